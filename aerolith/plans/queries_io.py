@@ -1,3 +1,456 @@
-"""Checked round-trip queries over sources, sinks, jobs and streams."""
+"""Checked round-trip queries over sources, sinks, jobs and streams.
+
+Each builder lands data derived from the driver tables in a fresh folder
+under the shared checkpoint root, runs the operator or job that reads it
+back, and returns the rows; the oracle recomputes the same content from the
+driver tables in DuckDB.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolith import schemas
+from aerolith.functions import fixed
+from aerolith.functions import scalars as X
+from aerolith.operators import aggregates as A
+from aerolith.operators import latest as W
+from aerolith.operators import predicates as P
+from aerolith.plans import adapter as AD
+from aerolith.plans import jobs as C
+from aerolith.plans.adapter import oracle
+from aerolith.plans.queries_core import (CHG_CTES, DAILY_PANDAS_BODY, GEN1_VALID, WIDE_CTE,
+                                         _change_set)
+from aerolith.plans.registry import dates_as_timestamps, register, rounded
+from aerolith.session import scratch_path
+from aerolith.sources import archive as SA
+from aerolith.sources import payloads as SP
+from aerolith.sources import sinks as K
+from aerolith.streaming import ingest as T
+
+M, S, R, LOC = AD.measurements, AD.scored, AD.raw_air_quality, AD.locations
+RAW_COLS = ["location_id", "sensors_id", "location", "datetime", "lat", "lon", "parameter",
+            "units", "value", "locationid", "month", "year"]
+RAW_COLS_SQL = ", ".join(RAW_COLS)
+
+
+def _iso(col: str):
+    """NTZ -> ISO-8601 text with a UTC offset."""
+    return F.date_format(F.col(col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+# ============================================================== archive
+@register("archive_roundtrip", oracle(f"SELECT {RAW_COLS_SQL} FROM raw_aq"))
+def q_archive_roundtrip(spark, d):
+    base = scratch_path(spark, "archive")
+    SA.write_archive(R(spark, d), base)
+    ids = LOC(spark, d).select("location_id")
+    return SA.read_archive(spark, base, ids, "2023-11", "2024-01").drop("ingestion_datetime")
+
+
+@register("archive_missing_partitions", oracle("""
+SELECT c.c_custkey AS locationid, t.year, t.month
+FROM customer c CROSS JOIN (VALUES (CAST(2023 AS BIGINT), '11'), (CAST(2023 AS BIGINT), '12'),
+                                   (CAST(2024 AS BIGINT), '01')) t(year, month)
+WHERE NOT EXISTS (SELECT 1 FROM raw_aq r WHERE r.locationid = c.c_custkey AND r.year = t.year
+                  AND r.month = t.month)"""))
+def q_archive_missing(spark, d):
+    base = scratch_path(spark, "archive")
+    SA.write_archive(R(spark, d), base)
+    ids = LOC(spark, d).select("location_id")
+    return SA.missing_partitions(spark, base, ids, "2023-11", "2024-01")
+
+
+@register("archive_backfill", oracle(f"SELECT {RAW_COLS_SQL} FROM raw_aq"))
+def q_archive_backfill(spark, d):
+    base = scratch_path(spark, "archive")
+    SA.write_archive(R(spark, d), base)
+    mp = scratch_path(spark, "locmap")
+    K.write_location_map(LOC(spark, d), mp)
+    fact = scratch_path(spark, "fact")
+    res = C.archive_backfill(spark, base, mp, "2024-01", "2024-01", fact, map_whole_file=False)
+    if res["appended"] <= 0:
+        raise RuntimeError("backfill appended nothing")
+    return spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact).select(*RAW_COLS)
+
+
+# ============================================================== location map
+@register("location_map_roundtrip", oracle("SELECT location_id, name FROM locations"))
+def q_location_map(spark, d):
+    path = scratch_path(spark, "locmap")
+    K.write_location_map(LOC(spark, d), path, shard_size=100)
+    return SP.read_location_map(spark, path, whole_file=False)
+
+
+# ============================================================== payloads
+def _sensor_key():
+    return AD.sensor_key("location_id", "sensor_id", "parameter")
+
+
+def land_metadata(spark, d, path):
+    """One metadata document per location with its distinct sensors."""
+    m = M(spark, d)
+    sensor = F.struct(_sensor_key().alias("id"), F.col("parameter").alias("name"),
+                      F.col("unit").alias("units"),
+                      F.struct(F.col("parameter").alias("name"), F.col("unit").alias("units"))
+                      .alias("parameter"))
+    docs = (m.groupBy("location_id", "location").agg(F.array_sort(F.collect_set(sensor)).alias("sensors"))
+            .select(F.array(F.struct(F.col("location_id").alias("id"), F.col("location").alias("name"),
+                                     "sensors")).alias("results")))
+    docs.write.mode("overwrite").json(path)
+
+
+def land_latest(spark, d, path, n=fixed.PAYLOAD_LATEST_LIMIT):
+    """One latest document per location: its newest ``n`` readings."""
+    m = M(spark, d).withColumn("sensor_key", _sensor_key())
+    top = W.ranked_latest(m, ["location_id"], [F.col("measurement_time").desc(),
+                                               F.col("sensor_key").desc()], n)
+    item = F.struct(F.col("sensor_key").alias("sensorsId"), F.col("location_id").alias("locationsId"),
+                    "value", F.struct(_iso("measurement_time").alias("utc"),
+                                      _iso("measurement_time").alias("local")).alias("datetime"),
+                    F.struct("latitude", "longitude").alias("coordinates"))
+    docs = top.groupBy("location_id").agg(F.collect_list(item).alias("results")).select("results")
+    docs.write.mode("overwrite").json(path)
+
+
+LIVE_CTES = """
+mk AS (SELECT m.*, CAST(location_id * 10000 + sensor_id * 100 +
+          CASE parameter WHEN 'pm25' THEN 1 WHEN 'pm10' THEN 2 WHEN 'so2' THEN 3
+                         WHEN 'no2' THEN 4 ELSE 5 END AS BIGINT) AS sensor_key FROM measurements m),
+live AS (SELECT location_id, sensor_key AS sensors_id, location, measurement_time AS datetime,
+                latitude AS lat, longitude AS lon, parameter, unit AS units, value,
+                location_id AS locationid, strftime(measurement_time, '%m') AS month,
+                CAST(year(measurement_time) AS BIGINT) AS year
+         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id
+                     ORDER BY measurement_time DESC, sensor_key DESC) AS rn FROM mk) t WHERE rn <= 100),
+seed AS (SELECT location_id, sensor_key AS sensors_id, location, measurement_time AS datetime,
+                latitude AS lat, longitude AS lon, parameter, unit AS units, value,
+                location_id AS locationid, strftime(measurement_time, '%m') AS month,
+                CAST(year(measurement_time) AS BIGINT) AS year
+         FROM mk WHERE measurement_time < TIMESTAMP '2024-01-29')"""
+
+
+def _payload_dirs(spark, d):
+    meta, latest = scratch_path(spark, "meta"), scratch_path(spark, "latest")
+    land_metadata(spark, d, meta)
+    land_latest(spark, d, latest)
+    return meta, latest
+
+
+@register("live_collection_dry_run", oracle("SELECT * FROM live", LIVE_CTES))
+def q_live_dry_run(spark, d):
+    meta, latest = _payload_dirs(spark, d)
+    rows, _ = C.live_collection(spark, meta, latest, dry_run=True, multiline=False)
+    return rows.select(*RAW_COLS)
+
+
+@register("live_collection_insert", oracle("""
+SELECT * FROM seed UNION ALL
+SELECT * FROM live l WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.location_id = l.location_id
+  AND s.sensors_id = l.sensors_id AND s.datetime = l.datetime AND s.parameter = l.parameter)""", LIVE_CTES))
+def q_live_insert(spark, d):
+    meta, latest = _payload_dirs(spark, d)
+    fact = scratch_path(spark, "fact")
+    seed = (M(spark, d).where(F.col("measurement_time") < F.lit("2024-01-29").cast("timestamp_ntz"))
+            .select("location_id", _sensor_key().alias("sensors_id"), "location",
+                    F.col("measurement_time").alias("datetime"), F.col("latitude").alias("lat"),
+                    F.col("longitude").alias("lon"), "parameter", F.col("unit").alias("units"), "value",
+                    F.col("location_id").alias("locationid"), X.month_text("measurement_time").alias("month"),
+                    X.year_number("measurement_time").alias("year"),
+                    X.utc_now().alias("ingestion_datetime")))
+    K.append_partitioned(seed, fact)
+    C.live_collection(spark, meta, latest, fact_path=fact, multiline=False)
+    return spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact).select(*RAW_COLS)
+
+
+# ============================================================== exports (K5-K9)
+EXPORT_SQL = oracle(f"""
+SELECT location_id, location, latitude, longitude, parameter, unit, value, measurement_time,
+       ROUND(quality_score, 6) AS quality_score
+FROM measurements WHERE quality_score > 0.5 AND parameter = 'pm10'
+ORDER BY measurement_time DESC, id DESC LIMIT {fixed.EXPORT_MAX_ROWS}""")
+EXPORT_SCHEMA = ("location_id long, location string, latitude double, longitude double, "
+                 "parameter string, unit string, value double, measurement_time timestamp_ntz, "
+                 "quality_score double")
+
+
+def _export_roundtrip(spark, d, fmt):
+    out = scratch_path(spark, f"export-{fmt}")
+    sl = K.export_slice(M(spark, d), parameter="pm10")
+    K.export(sl, out, fmt)
+    back = K.read_export(spark, out, fmt, EXPORT_SCHEMA)
+    return rounded(back, "quality_score")
+
+
+@register("export_csv", EXPORT_SQL)
+def q_export_csv(spark, d):
+    return _export_roundtrip(spark, d, "csv")
+
+
+@register("export_json", EXPORT_SQL)
+def q_export_json(spark, d):
+    return _export_roundtrip(spark, d, "json")
+
+
+@register("export_parquet", EXPORT_SQL)
+def q_export_parquet(spark, d):
+    return _export_roundtrip(spark, d, "parquet")
+
+
+@register("dashboard_download", oracle(
+    "SELECT * FROM dp WHERE location = 'Customer#000000042' AND parameter = 'pm25' "
+    "AND measurement_date >= TIMESTAMP '2024-01-03' AND measurement_date <= TIMESTAMP '2024-01-25'",
+    GEN1_VALID + ",\ndp AS (" + DAILY_PANDAS_BODY + ")"))
+def q_dashboard_download(spark, d):
+    daily = rounded(A.daily_stats_pandas(R(spark, d)), "average_value")
+    name = K.download_name("Customer#000000042", "pm25", "2024-01-03", "2024-01-25")
+    out = scratch_path(spark, name.replace(".csv", ""))
+    K.dashboard_download(daily, out, "Customer#000000042", "pm25", "2024-01-03", "2024-01-25")
+    return K.read_export(spark, out, "csv", daily.schema)
+
+
+# ============================================================== listing sync (S7, O-C4, K4)
+def land_listing(chg: DataFrame, path: str, per_doc: int = 100) -> None:
+    """Listing documents of at most ``per_doc`` locations each (ids are
+    unique, so ``id div per_doc`` bounds every document)."""
+    item = F.struct(F.col("location_id").alias("id"), "name", "city", "country", "timezone",
+                    F.struct("latitude", "longitude").alias("coordinates"))
+    docs = (chg.groupBy(F.floor(F.col("location_id") / per_doc).alias("_doc"))
+            .agg(F.collect_list(item).alias("results")).select("results"))
+    docs.write.mode("overwrite").json(path)
+
+
+@register("location_sync_counts", oracle("""
+SELECT CASE WHEN l.location_id IS NULL THEN 'added' ELSE 'updated' END AS sync_status, COUNT(*) AS n
+FROM chg c LEFT JOIN locations l ON c.location_id = l.location_id GROUP BY 1""", CHG_CTES))
+def q_location_sync_counts(spark, d):
+    loc, chg = _change_set(spark, d)
+    path = scratch_path(spark, "listing")
+    land_listing(chg, path)
+    counts, _ = C.location_sync(spark, path, loc, scratch_path(spark, "dim"), limit=None,
+                                multiline=False)
+    return counts
+
+
+@register("location_sync_result", oracle("""
+SELECT location_id, name, city, country, latitude, longitude, timezone, is_active
+FROM locations l WHERE NOT EXISTS (SELECT 1 FROM chg c WHERE c.location_id = l.location_id)
+UNION ALL SELECT location_id, name, city, country, latitude, longitude, timezone, TRUE AS is_active FROM chg""",
+    CHG_CTES))
+def q_location_sync_result(spark, d):
+    loc, chg = _change_set(spark, d)
+    path = scratch_path(spark, "listing")
+    land_listing(chg, path)
+    _, dim = C.location_sync(spark, path, loc, scratch_path(spark, "dim"), limit=None, multiline=False)
+    return dim.select("location_id", "name", "city", "country", "latitude", "longitude", "timezone",
+                      "is_active")
+
+
+@register("listing_filtered", oracle("""
+SELECT location_id, name, city, country, latitude, longitude, timezone FROM chg
+WHERE country = 'ASIA' AND city = 'NATION_2' ORDER BY location_id LIMIT 1000""", CHG_CTES))
+def q_listing_filtered(spark, d):
+    _, chg = _change_set(spark, d)
+    path = scratch_path(spark, "listing")
+    land_listing(chg, path)
+    return SP.locations_listing(spark, path, "ASIA", "NATION_2", multiline=False)
+
+
+# ============================================================== measurement collection
+def land_measurement_payloads(spark, d, path, per_doc: int = 100) -> None:
+    """Measurement documents of at most ``per_doc`` readings (ids unique)."""
+    s = S(spark, d)
+    item = F.struct(F.col("location_id").alias("locationsId"), F.col("sensor_id").alias("sensorsId"),
+                    "location", "parameter", "value", "unit", _iso("measurement_time").alias("datetime"),
+                    F.struct("latitude", "longitude").alias("coordinates"))
+    docs = (s.groupBy(F.floor(F.col("id") / per_doc).alias("_doc"))
+            .agg(F.collect_list(item).alias("results")).select("results"))
+    docs.write.mode("overwrite").json(path)
+
+
+@register("measurement_collection", oracle("""
+SELECT DISTINCT location_id, sensor_id, location, latitude, longitude, parameter, unit, value,
+       measurement_time, ROUND(quality_score, 6) AS quality_score, 'openaq' AS source
+FROM measurements WHERE measurement_time >= TIMESTAMP '2024-01-05' AND measurement_time <= TIMESTAMP '2024-01-25'"""))
+def q_measurement_collection(spark, d):
+    path, table = scratch_path(spark, "mpayload"), scratch_path(spark, "measurements")
+    land_measurement_payloads(spark, d, path)
+    C.measurement_collection(spark, path, table, "2024-01-05", "2024-01-25", multiline=False)
+    back = spark.read.schema(schemas.MEASUREMENTS).parquet(table)
+    return rounded(back.select("location_id", "sensor_id", "location", "latitude", "longitude", "parameter",
+                               "unit", "value", "measurement_time", "quality_score", "source"),
+                   "quality_score")
+
+
+# ============================================================== views + caller SQL
+@register("named_param_sql", oracle("""
+SELECT location_id, location, parameter, unit,
+       CAST(CAST(measurement_time AS DATE) AS TIMESTAMP) AS measurement_date,
+       ROUND(AVG(value), 6) AS avg_value, COUNT(*) AS measurement_count
+FROM measurements WHERE quality_score > 0.5 AND parameter = 'pm25'
+GROUP BY location_id, location, parameter, unit, CAST(measurement_time AS DATE)"""))
+def q_named_param_sql(spark, d):
+    C.register_views(spark, C.presentation_gen2(M(spark, d), LOC(spark, d)))
+    out = spark.sql("SELECT location_id, location, parameter, unit, measurement_date, avg_value, "
+                    "measurement_count FROM presentation_daily_aggregates WHERE parameter = :p",
+                    args={"p": "pm25"})
+    return rounded(dates_as_timestamps(out), "avg_value")
+
+
+@register("gen1_views", oracle("""
+SELECT location_id, location, MAX(lat) AS lat, MAX(lon) AS lon, MAX(datetime) AS datetime,
+       MAX(CASE WHEN parameter = 'pm10' THEN value END) AS pm10,
+       MAX(CASE WHEN parameter = 'pm25' THEN value END) AS pm25,
+       MAX(CASE WHEN parameter = 'so2' THEN value END) AS so2
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id, parameter
+             ORDER BY datetime DESC, value DESC, lat DESC, lon DESC, location DESC) AS rn
+      FROM raw_aq WHERE value >= 0 AND parameter IN ('pm10', 'pm25', 'so2')) t
+WHERE rn = 1 GROUP BY location_id, location"""))
+def q_gen1_views(spark, d):
+    names = C.register_views(spark, C.presentation_gen1(R(spark, d)))
+    return spark.table(names[1])
+
+
+@register("initialized_tables", oracle("""
+SELECT * FROM (VALUES ('raw.air_quality', CAST(0 AS BIGINT)), ('raw.measurements', CAST(0 AS BIGINT)),
+                      ('staging.locations', CAST(0 AS BIGINT)), ('staging.sensors', CAST(0 AS BIGINT))) t(name, n_rows)"""))
+def q_initialized_tables(spark, d):
+    root = scratch_path(spark, "warehouse")
+    paths = K.initialize_tables(spark, root)
+    parts = []
+    for name, path in paths.items():
+        parts.append(K.read_table(spark, name, path).agg(F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(name).alias("name"), "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ============================================================== streaming
+def _land_stream(spark, d, src_fn=S, n_files: int = 6) -> str:
+    path = scratch_path(spark, "landing")
+    T.land_records(src_fn(spark, d).drop("quality_score"), path, n_files)
+    return path
+
+
+STREAM_COLS = ["location_id", "sensor_id", "location", "latitude", "longitude", "parameter", "unit",
+               "value", "measurement_time"]
+STREAM_COLS_SQL = ", ".join(STREAM_COLS)
+
+
+@register("stream_ingest", oracle(f"SELECT id, {STREAM_COLS_SQL}, ROUND(quality_score, 6) AS quality_score FROM measurements"))
+def q_stream_ingest(spark, d):
+    src = _land_stream(spark, d)
+    table, ck = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-ck")
+    T.ingest_insert_if_absent(spark, src, table, ck).awaitTermination()
+    # a second run over the same files and checkpoint must add nothing
+    T.ingest_insert_if_absent(spark, src, table, ck).awaitTermination()
+    back = spark.read.parquet(table).drop("batch_id")
+    return rounded(back.select("id", *STREAM_COLS, "quality_score"), "quality_score")
+
+
+@register("stream_dedupe", oracle(f"SELECT DISTINCT {STREAM_COLS_SQL} FROM measurements"))
+def q_stream_dedupe(spark, d):
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    dd = T.dedupe_stream(s, ["location_id", "sensor_id", "measurement_time", "parameter"])
+    out = scratch_path(spark, "stream-dedupe")
+    T.run_to_table(dd.select(*STREAM_COLS), out, "append", label="dedupe")
+    return spark.read.parquet(out)
+
+
+@register("stream_hourly", oracle("""
+SELECT location_id, parameter, date_trunc('hour', measurement_time) AS hour,
+       ROUND(AVG(value), 6) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value,
+       ROUND(STDDEV_SAMP(value), 6) AS std_value, COUNT(value) AS count,
+       ROUND(AVG(quality_score), 6) AS avg_quality
+FROM measurements
+GROUP BY location_id, parameter, date_trunc('hour', measurement_time)
+HAVING date_trunc('hour', measurement_time) + INTERVAL 1 HOUR
+       <= (SELECT MAX(measurement_time) FROM measurements) - INTERVAL 1 HOUR"""))
+def q_stream_hourly(spark, d):
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    out = scratch_path(spark, "stream-hourly")
+    T.run_to_table(T.hourly_stream(s, "1 hour"), out, "append", label="hourly")
+    return rounded(spark.read.parquet(out), "avg_value", "std_value", "avg_quality")
+
+
+@register("stream_latest", oracle("""
+SELECT location_id, location, latitude, longitude, parameter, unit, value, measurement_time,
+       ROUND(quality_score, 6) AS quality_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id, parameter ORDER BY measurement_time DESC, id DESC) AS rn
+  FROM measurements WHERE quality_score > 0.5) t WHERE rn = 1"""))
+def q_stream_latest(spark, d):
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    out = scratch_path(spark, "stream-latest")
+    T.run_to_table(T.latest_stream(s), out, "complete", label="latest")
+    return rounded(spark.read.parquet(out), "quality_score")
+
+
+@register("stream_staleness", oracle("""
+SELECT COUNT(CASE WHEN last_t < (SELECT MAX(measurement_time) FROM lt) - INTERVAL 24 HOURS THEN 1 END)
+       AS stale_locations
+FROM (SELECT location, MAX(measurement_time) AS last_t FROM lt WHERE location IS NOT NULL GROUP BY location) g""",
+    """lt AS (SELECT * FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id, parameter ORDER BY measurement_time DESC, id DESC) AS rn
+  FROM measurements WHERE quality_score > 0.5) t WHERE rn = 1)"""))
+def q_stream_staleness(spark, d):
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    out = scratch_path(spark, "stream-latest")
+    T.run_to_table(T.latest_stream(s), out, "complete", label="latest")
+    return T.staleness_on_refresh(spark.read.parquet(out))
+
+
+BAND_SQL = "CASE " + " ".join(
+    f"WHEN value >= {b[0]} AND value <= {b[1]} THEN {i}" for i, b in enumerate(fixed.AQI_BREAKPOINTS)) + \
+    f" ELSE {len(fixed.AQI_BREAKPOINTS) - 1} END"
+
+
+@register("stream_alerts", oracle(f"""
+SELECT id, parameter, value,
+       CASE WHEN quality_score = 0 THEN 'out_of_range' ELSE 'aqi_band' END AS alert
+FROM scored
+WHERE quality_score = 0 OR (parameter IN ('pm25', 'pm10') AND value IS NOT NULL AND {BAND_SQL} >= 3)"""))
+def q_stream_alerts(spark, d):
+    src = _land_stream(spark, d)
+    s = T.read_record_stream(spark, src, max_files=2)
+    out = scratch_path(spark, "stream-alerts")
+    T.run_to_table(T.alert_stream(s).select("id", "parameter", "value", "alert"), out, "append",
+                   label="alerts")
+    return spark.read.parquet(out)
+
+
+@register("stream_feed", oracle("SELECT 'measurement' AS type, location_id, parameter, value FROM measurements"))
+def q_stream_feed(spark, d):
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    out = scratch_path(spark, "stream-feed")
+    T.run_to_table(T.feed_stream(s), out, "append", label="feed")
+    env = ("struct<type:string,data:struct<location_id:bigint,location:string,parameter:string,"
+           "value:double,unit:string,measurement_time:string>,timestamp:string>")
+    e = spark.read.parquet(out).select(F.from_json("value", env).alias("e"))
+    return e.select(F.col("e.type").alias("type"), F.col("e.data.location_id").alias("location_id"),
+                    F.col("e.data.parameter").alias("parameter"), F.col("e.data.value").alias("value"))
+
+
+# ============================================================== map layer / report
+@register("map_layer", oracle("""
+SELECT location_id, location, lat, lon, aqi,
+       CASE WHEN aqi IS NULL THEN NULL ELSE GREATEST(aqi, 1.0) END AS marker_size
+FROM wa WHERE lat IS NOT NULL AND lon IS NOT NULL""",
+    WIDE_CTE))
+def q_map_layer(spark, d):
+    pts, _ = C.map_layer(R(spark, d))
+    return pts.select("location_id", "location", "lat", "lon", "aqi", "marker_size")
+
+
+@register("quality_report_counts", oracle("""
+SELECT lower(parameter) AS parameter, COUNT(*) AS count FROM raw_aq
+WHERE value IS NOT NULL AND value >= 0 GROUP BY lower(parameter)"""))
+def q_quality_report(spark, d):
+    return C.quality_report(R(spark, d))["parameter_counts"]

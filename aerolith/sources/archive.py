@@ -104,7 +104,7 @@ def write_archive(df: DataFrame, base: str, mode: str = "overwrite") -> None:
     The timestamp is written as ISO-8601 with its UTC offset."""
     out = df.select(
         "location_id", "sensors_id", "location",
-        F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("datetime"),
+        F.date_format(F.col("datetime").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("datetime"),
         "lat", "lon", "parameter", "units", "value", "locationid", "year", "month")
     # rebalance: AQE splits a hot partition over several tasks and merges small ones
     (out.hint("rebalance", "locationid", "year", "month").write.mode(mode)

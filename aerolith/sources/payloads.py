@@ -24,35 +24,37 @@ from aerolith.operators import predicates as P
 MAP_SCHEMA = T.MapType(T.StringType(), T.StringType())
 
 
-def read_location_map(spark: SparkSession, path: str) -> DataFrame:
+def read_location_map(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """O-S4 JSON object id -> name as rows (location_id long, name string);
-    null names are kept."""
-    doc = spark.read.text(path, wholetext=True)
+    null names are kept. ``whole_file``: each file is one (pretty-printed)
+    object; otherwise each line is an object (a sharded map), so a large map
+    is parsed by many tasks."""
+    doc = spark.read.text(path, wholetext=whole_file)
     m = doc.select(F.explode(F.from_json("value", MAP_SCHEMA)).alias("k", "name"))
     return m.select(F.col("k").cast("long").alias("location_id"), "name")
 
 
-def read_payload(spark: SparkSession, kind: str, path: str) -> DataFrame:
+def read_payload(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
     """O-S9 read landed payloads of ``kind`` ('locations', 'latest',
     'measurements', 'metadata') and explode ``results``; unknown kinds raise."""
     if kind not in schemas.PAYLOAD_SCHEMAS:
         raise ValueError(f"Unknown extraction type: {kind}")
     schema = schemas.PAYLOAD_SCHEMAS[kind]
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", multiline).json(path)
     return docs.select(F.explode("results").alias("r")).select("r.*")
 
 
-def location_metadata(spark: SparkSession, path: str) -> DataFrame:
+def location_metadata(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """O-S5 one row per location: id and name."""
-    return read_payload(spark, "metadata", path).select(
+    return read_payload(spark, "metadata", path, multiline).select(
         F.col("id").alias("location_id"), F.col("name").alias("location_name"))
 
 
-def sensor_lookup(spark: SparkSession, path: str) -> DataFrame:
+def sensor_lookup(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """O-S5 sensors out of the metadata payloads: sensor_id, location_id,
     parameter (lower case, parameter name else sensor name), units ('' if
     missing). Sensors without an id or a parameter name are skipped."""
-    loc = read_payload(spark, "metadata", path)
+    loc = read_payload(spark, "metadata", path, multiline)
     s = loc.select(F.col("id").alias("location_id"), F.explode("sensors").alias("s"))
     pname = F.coalesce(X.blank_to_null(F.col("s.parameter.name")), X.blank_to_null(F.col("s.name")))
     units = F.coalesce(X.blank_to_null(F.col("s.parameter.units")), X.blank_to_null(F.col("s.units")),
@@ -62,9 +64,10 @@ def sensor_lookup(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("sensor_id").isNotNull() & F.col("parameter").isNotNull()))
 
 
-def latest_rows(spark: SparkSession, path: str, limit: int = fixed.PAYLOAD_LATEST_LIMIT) -> DataFrame:
+def latest_rows(spark: SparkSession, path: str, limit: int = fixed.PAYLOAD_LATEST_LIMIT,
+                multiline: bool = True) -> DataFrame:
     """O-S6 latest measurements, at most ``limit`` newest per location."""
-    r = read_payload(spark, "latest", path).select(
+    r = read_payload(spark, "latest", path, multiline).select(
         F.col("sensorsId").alias("sensor_id"), F.col("locationsId").alias("location_id"),
         X.nan_to_null("value").alias("value"), F.col("datetime.utc").alias("utc"),
         "coordinates")
@@ -74,9 +77,10 @@ def latest_rows(spark: SparkSession, path: str, limit: int = fixed.PAYLOAD_LATES
 
 
 def locations_listing(spark: SparkSession, path: str, country: str | None = None,
-                      city: str | None = None, limit: int | None = fixed.LOCATION_LISTING_LIMIT) -> DataFrame:
+                      city: str | None = None, limit: int | None = fixed.LOCATION_LISTING_LIMIT,
+                      multiline: bool = True) -> DataFrame:
     """O-S7 listing -> flat location rows, optional country/city, limit."""
-    r = read_payload(spark, "locations", path)
+    r = read_payload(spark, "locations", path, multiline)
     r = P.flatten_coordinates(r.withColumnRenamed("id", "location_id"))
     r = P.locations_filter(r.withColumn("is_active", F.lit(True)), False, country, city)
     cols = ["location_id", "name", "city", "country", "latitude", "longitude", "timezone"]
@@ -84,9 +88,11 @@ def locations_listing(spark: SparkSession, path: str, country: str | None = None
     return r.orderBy("location_id").limit(limit) if limit else r
 
 
-def measurements_range(spark: SparkSession, path: str, date_from, date_to) -> DataFrame:
-    """O-S8 measurement payloads within [date_from, date_to]."""
-    r = read_payload(spark, "measurements", path)
+def measurements_range(spark: SparkSession, path: str, date_from, date_to,
+                       multiline: bool = True) -> DataFrame:
+    """O-S8 measurement payloads within [date_from, date_to] (standardised
+    names, flattened coordinates, UTC time)."""
+    r = read_payload(spark, "measurements", path, multiline)
     r = P.standardise_columns(r)
     r = P.flatten_coordinates(r).withColumn("measurement_time", X.parse_utc("measurement_time"))
     return r.where(P.optional_filters(date_from=date_from, date_to=date_to))
@@ -129,3 +135,14 @@ def measurement_records(df: DataFrame, now=None) -> DataFrame:
     r = r.withColumn("quality_score", X.quality_score("parameter", "value"))
     r = P.with_lineage(r, now=now)
     return P.keep_valid_scored(r)
+
+
+def measurement_records_flat(r: DataFrame, now=None) -> DataFrame:
+    """O-C5 on rows already standardised by ``measurements_range``: score,
+    lineage, keep rule; ``location_name`` becomes the table's ``location``."""
+    r = r.withColumn("value", X.nan_to_null("value"))
+    if "location_name" in r.columns:
+        r = r.withColumnRenamed("location_name", "location")
+    r = r.withColumn("quality_score", X.quality_score("parameter", "value"))
+    r = P.with_lineage(r, now=now)
+    return P.keep_valid_scored(r)

@@ -67,10 +67,8 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
     cols = [c.name for c in schemas.MEASUREMENTS.fields]
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(t.dataType).alias(c)
                        for c, t in zip(cols, schemas.MEASUREMENTS.fields)])
-    new = new.withColumn("_y", F.year("measurement_time")).withColumn(
-        "_m", X.month_text("measurement_time"))
     new_obs, obs_out = Q.observed(new, "inserted")
-    append_partitioned(new_obs, table_path, ("_y", "_m"))
+    new_obs.hint("rebalance").write.mode("append").parquet(table_path)
     inserted = int(obs_out.get.get("rows", 0))
     total = int(obs_in.get.get("rows", 0))
     return {"inserted": inserted, "skipped": total - inserted}
@@ -88,6 +86,10 @@ def load_locations(spark: SparkSession, listing: DataFrame, target: DataFrame,
 
 
 # ------------------------------------------------------------------ exports
+TEXT_TIME_OPTIONS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 def export_slice(m: DataFrame, location_id=None, parameter=None, date_from=None, date_to=None,
                  max_rows: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
     """O-K8 trusted rows with optional filters, newest first, capped in the
@@ -106,6 +108,9 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> str:
     if fmt not in fixed.EXPORT_FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
     w = df.write.mode(mode)
+    if fmt in ("csv", "json"):
+        # text formats default to milliseconds: keep the full microseconds
+        w = w.options(**TEXT_TIME_OPTIONS)
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "json":
@@ -116,7 +121,7 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> str:
 
 
 def read_export(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFrame:
-    r = spark.read
+    r = spark.read.options(**TEXT_TIME_OPTIONS) if fmt in ("csv", "json") else spark.read
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
@@ -159,18 +164,22 @@ def build_views(spark: SparkSession, builders: list[tuple[str, Callable[[], Data
     return names
 
 
+TABLES = {
+    "raw.air_quality": (schemas.RAW_AIR_QUALITY, ["year", "month"]),
+    "raw.measurements": (schemas.MEASUREMENTS, []),
+    "staging.locations": (schemas.LOCATIONS, []),
+    "staging.sensors": (schemas.SENSORS, []),
+}
+
+
 def initialize_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """O-K12 namespaces and empty typed tables as Parquet folders under
     ``root``: raw.air_quality, raw.measurements, staging.locations,
-    staging.sensors. Existing tables are left alone."""
-    paths = {
-        "raw.air_quality": (schemas.RAW_AIR_QUALITY, ["year", "month"]),
-        "raw.measurements": (schemas.MEASUREMENTS, []),
-        "staging.locations": (schemas.LOCATIONS, []),
-        "staging.sensors": (schemas.SENSORS, []),
-    }
+    staging.sensors. Existing tables are left alone. Read them back with
+    ``read_table`` (explicit schema; an empty partitioned table has no
+    files to take a schema from)."""
     out = {}
-    for name, (schema, parts) in paths.items():
+    for name, (schema, parts) in TABLES.items():
         path = f"{root.rstrip('/')}/{name.replace('.', '/')}"
         try:
             spark.read.schema(schema).parquet(path).limit(0).collect()
@@ -183,6 +192,11 @@ def initialize_tables(spark: SparkSession, root: str) -> dict[str, str]:
     return out
 
 
+def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """O-S10 table scan with the fixed schema of ``name``."""
+    return spark.read.schema(TABLES[name][0]).parquet(path)
+
+
 def first_existing_table(spark: SparkSession, candidates: list[str]) -> str:
     """O-S11 the first of ``candidates`` that exists in the catalog."""
     for name in candidates:
@@ -191,13 +205,15 @@ def first_existing_table(spark: SparkSession, candidates: list[str]) -> str:
     raise RuntimeError(f"No table found among {candidates}")
 
 
-def write_location_map(locations: DataFrame, path: str) -> None:
-    """O-K13 the location map as one JSON object id -> name. The map form
-    collects (id, name) pairs into one row, so it is for dimension-sized
-    inputs only (the reference's map has hundreds of entries)."""
-    pairs = locations.select(F.col("location_id").cast("string").alias("k"), F.col("name").alias("v"))
-    one = pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    one.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_location_map(locations: DataFrame, path: str, shard_size: int = 1000) -> None:
+    """O-K13 the location map as JSON objects id -> name, one object per
+    line. Ids are sharded by ``location_id div shard_size`` so no object (one
+    group) holds more than ``shard_size`` entries of a unique key; the
+    reference's single map is the case of fewer than ``shard_size`` ids."""
+    pairs = locations.select(F.col("location_id").cast("string").alias("k"), F.col("name").alias("v"),
+                             F.floor(F.col("location_id") / F.lit(shard_size)).alias("_shard"))
+    shards = pairs.groupBy("_shard").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    shards.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_location_rows(locations: DataFrame, path: str) -> None:
