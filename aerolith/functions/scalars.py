@@ -136,17 +136,12 @@ def name_or_id(name: ColumnOrName, id_col: ColumnOrName) -> Column:
     return default_text(name, _c(id_col).cast("string"))
 
 
-def parameter_label(parameter: ColumnOrName) -> Column:
-    """O-J8 label of a parameter code, default upper case."""
-    p = _c(parameter)
-    expr = None
-    for code, label in fixed.PARAMETER_LABELS.items():
-        expr = (F.when(p == code, F.lit(label)) if expr is None
-                else expr.when(p == code, F.lit(label)))
-    return expr.otherwise(F.upper(p))
+# ---------------------------------------------------------------- quality score (F8)
+def _literal_map(pairs: dict) -> Column:
+    """A constant map (folded to one literal by Catalyst)."""
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-# ---------------------------------------------------------------- quality score (F8)
 def quality_score(parameter: ColumnOrName, value: ColumnOrName,
                   thresholds: dict[str, tuple[float, float]] | None = None) -> Column:
     """O-F8 score in [0, 1]: 0.5 for an unknown parameter, 0.0 outside the
@@ -154,13 +149,13 @@ def quality_score(parameter: ColumnOrName, value: ColumnOrName,
 
     A null value of a known parameter scores null (T23; the row is dropped by
     the keep rule either way). A value equal to the maximum scores 0 (T13).
+    The ranges are two constant maps, so the expression stays small inside
+    whole-stage codegen however often the optimizer inlines it.
     """
     th = thresholds or fixed.QUALITY_THRESHOLDS
     p, v = _c(parameter), _c(value)
-    lo = hi = None
-    for code, (mn, mx) in th.items():
-        lo = F.when(p == code, F.lit(mn)) if lo is None else lo.when(p == code, F.lit(mn))
-        hi = F.when(p == code, F.lit(mx)) if hi is None else hi.when(p == code, F.lit(mx))
+    lo = F.try_element_at(_literal_map({k: float(mn) for k, (mn, _) in th.items()}), p)
+    hi = F.try_element_at(_literal_map({k: float(mx) for k, (_, mx) in th.items()}), p)
     score = F.lit(1.0) - (v - lo) / (hi - lo)
     return (F.when(hi.isNull(), F.lit(fixed.UNKNOWN_PARAMETER_SCORE))
              .when(v.isNull(), F.lit(None).cast("double"))
@@ -168,6 +163,12 @@ def quality_score(parameter: ColumnOrName, value: ColumnOrName,
              .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
 
 
+def parameter_label(parameter: ColumnOrName) -> Column:
+    """O-J8 label of a parameter code, default upper case (constant map)."""
+    p = _c(parameter)
+    return F.coalesce(F.try_element_at(_literal_map(fixed.PARAMETER_LABELS), p), F.upper(p))
+
+
 # ---------------------------------------------------------------- AQI
 def aqi_estimate(pm25: ColumnOrName, pm10: ColumnOrName) -> Column:
     """O-F9 max of the non-null particulates, 0.0 when both are missing."""

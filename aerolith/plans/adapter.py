@@ -21,18 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, with_copies: bool) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     et = F.col("event_type")
     parameter = (F.when(et == "click", "pm25").when(et == "view", "pm10")
                  .when(et == "purchase", "so2").when(et == "error", "no2")
                  .otherwise("humidity"))
-    value = (F.when(F.col("event_id") % 97 == 0, -F.col("value"))
+    v = X.nan_to_null("value")
+    value = (F.when(F.col("event_id") % 97 == 0, -v)
              .when(F.col("event_id") % 89 == 0, F.lit(None).cast("double"))
-             .otherwise(F.col("value")))
+             .otherwise(v))
+    ident = F.col("event_id")
+    if with_copies:
+        # exact copies of every 101st event: emitted by the same scan (explode),
+        # not by a second scan and join
+        n = F.when(F.col("event_id") % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        e = e.select("*", F.explode(n).alias("_copy"))
+        ident = F.col("event_id") + F.col("_copy") * F.lit(DUP_OFFSET)
     return (e.join(c, e.user_id == c.c_custkey)
-            .select(F.col("event_id").alias("id"),
+            .select(ident.alias("id"),
                     F.col("user_id").alias("location_id"),
                     (F.col("event_id") % 3).alias("sensor_id"),
                     F.col("c_name").alias("location"),
@@ -40,15 +48,19 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (-(F.col("user_id") % 180)).cast("double").alias("longitude"),
                     parameter.alias("parameter"),
                     F.when(et == "signup", "pct").otherwise("ug/m3").alias("unit"),
-                    X.nan_to_null(value).alias("value"),
+                    value.alias("value"),
                     F.col("ts").alias("measurement_time")))
 
 
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``base`` relation: one row per event with a customer."""
+    return _base(spark, sf_dir, with_copies=False)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All landed rows with their quality score (bad rows kept)."""
-    b = base(spark, sf_dir)
-    dups = b.where(F.col("id") % 101 == 0).withColumn("id", F.col("id") + F.lit(DUP_OFFSET))
-    m0 = b.unionByName(dups)
+    """All landed rows (``base`` plus exact copies of every 101st event)
+    with their quality score; bad rows kept."""
+    m0 = _base(spark, sf_dir, with_copies=True)
     return m0.withColumn("quality_score", X.quality_score("parameter", "value"))
 
 

@@ -178,12 +178,26 @@ def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STA
 
 
 def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
-    """Land flat records as JSON lines files in time order, ``n_files`` files
-    per call (the stream's input in tests and registered round trips)."""
+    """Land flat records as JSON lines in ``n_files`` arrivals, oldest first.
+
+    The file source processes files in modification-time order, so each time
+    slice is written by its own job after the previous one: arrival order is
+    event-time order, as it is for a collector landing files every period."""
     out = df.select(*[f.name for f in RECORD_SCHEMA.fields if f.name != "measurement_time"],
-                    F.date_format("measurement_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-                    .alias("measurement_time"))
-    out.repartitionByRange(n_files, "measurement_time").write.mode("append").json(path)
+                    F.col("measurement_time").alias("_t"),
+                    F.date_format(F.col("measurement_time").cast("timestamp"),
+                                  "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("measurement_time"))
+    bounds = out.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
+    if bounds["lo"] is None:
+        return
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / n_files
+    for i in range(n_files):
+        start = lo + step * i
+        cond = F.col("_t") >= F.lit(start)
+        if i + 1 < n_files:
+            cond = cond & (F.col("_t") < F.lit(lo + step * (i + 1)))
+        out.where(cond).drop("_t").coalesce(1).write.mode("append").json(path)
 
 
 def empty_records(spark: SparkSession) -> DataFrame:
