@@ -9,6 +9,8 @@ fact is never shuffled by its (low-cardinality, skewed) parameter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -102,6 +104,16 @@ def outliers(m: DataFrame, method: str = "iqr", **kw) -> DataFrame:
 def observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
     """O-A26 / O-A27 attach row-count (and other) metrics to a plan that is
     about to run; read them from the Observation after the action."""
-    obs = Observation(name)
+    obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")  # names must be unique per session
     exprs = [F.count(F.lit(1)).alias("rows")] + [e.alias(k) for k, e in metrics.items()]
     return df.observe(obs, *exprs), obs
+
+
+def metrics(obs: Observation) -> dict:
+    """Observed values, or ``{}`` when the observed subtree never ran: AQE
+    removes a stage it has proved empty, and its observation with it (an
+    observation above an exchange, as in the sinks, always reports)."""
+    try:
+        return obs.get
+    except Exception:  # noqa: BLE001 - only the folded-empty case reaches here
+        return {}

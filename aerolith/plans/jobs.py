@@ -28,10 +28,9 @@ def archive_backfill(spark: SparkSession, archive_base: str, location_map: str,
     Returns rows appended and the requested partitions that were absent."""
     ids = SP.read_location_map(spark, location_map, whole_file=map_whole_file).select("location_id")
     rows = SA.read_archive(spark, archive_base, ids, start, end)
-    obs_rows, obs = Q.observed(rows, "backfill")
-    K.append_partitioned(obs_rows, fact_path)
+    metrics = K.append_partitioned(rows, fact_path)
     missing = SA.missing_partitions(spark, archive_base, ids, start, end)
-    return {"appended": int(obs.get.get("rows", 0)), "missing_partitions": missing}
+    return {"appended": int(metrics.get("rows", 0)), "missing_partitions": missing}
 
 
 def presentation_gen1(raw: DataFrame) -> dict[str, DataFrame]:
@@ -95,13 +94,16 @@ def measurement_collection(spark: SparkSession, payload_path: str, table_path: s
         now = now or dt.datetime.utcnow()
         date_from, date_to = now - dt.timedelta(days=1), now
     raw = SP.measurements_range(spark, payload_path, date_from, date_to, multiline=multiline)
-    raw_obs, o_ex = Q.observed(raw, "extracted")
-    recs = SP.measurement_records_flat(raw_obs)
-    recs = recs.withColumn("id", natural_id())
+    scored = SP.measurement_records_flat(raw, keep=False)
+    v = F.col("value")
+    keep = v.isNotNull() & (v >= 0) & (F.col("quality_score") > 0)
+    scored, obs = Q.observed(scored, "extracted", kept=F.count(F.when(keep, F.lit(1))))
+    recs = P.keep_valid_scored(scored).withColumn("id", natural_id())
     res = K.load_measurements(spark, recs, table_path)
-    ex = int(o_ex.get.get("rows", 0))
-    return {"extracted": ex, "loaded": res["inserted"], "skipped": res["skipped"],
-            "filtered": max(ex - res["inserted"] - res["skipped"], 0)}
+    m = Q.metrics(obs)
+    extracted, kept = int(m.get("rows", 0)), int(m.get("kept", 0))
+    return {"extracted": extracted, "transformed": kept, "filtered": extracted - kept,
+            "loaded": res["inserted"], "skipped": res["skipped"]}
 
 
 def natural_id():

@@ -44,6 +44,29 @@ def read_payload(spark: SparkSession, kind: str, path: str, multiline: bool = Tr
     return docs.select(F.explode("results").alias("r")).select("r.*")
 
 
+def read_payload_checked(spark: SparkSession, kind: str, path: str,
+                         multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """O-E3 read a set of landed payload files in one scan, splitting
+    (exploded good rows, quarantined bad documents). A malformed document is
+    kept whole in ``_corrupt_record`` with its file path instead of failing
+    the job or being dropped silently; counting the quarantine is the
+    "failed locations" metric."""
+    if kind not in schemas.PAYLOAD_SCHEMAS:
+        raise ValueError(f"Unknown extraction type: {kind}")
+    schema = T.StructType(schemas.PAYLOAD_SCHEMAS[kind].fields
+                          + [T.StructField("_corrupt_record", T.StringType(), True)])
+    docs = (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+            .select("results", "_corrupt_record", F.col("_metadata.file_path").alias("file_path")))
+    # the filter references the parsed ``results`` too: Spark refuses a scan
+    # that reads only the corrupt-record column (a corrupt document has none)
+    bad = docs.where(F.col("_corrupt_record").isNotNull() & F.col("results").isNull()) \
+              .select("file_path", "_corrupt_record")
+    good = (docs.where(F.col("_corrupt_record").isNull())
+            .select(F.explode("results").alias("r")).select("r.*"))
+    return good, bad
+
+
 def location_metadata(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """O-S5 one row per location: id and name."""
     return read_payload(spark, "metadata", path, multiline).select(
@@ -134,10 +157,10 @@ def measurement_records(df: DataFrame, now=None) -> DataFrame:
          .withColumn("value", X.nan_to_null("value"))
     r = r.withColumn("quality_score", X.quality_score("parameter", "value"))
     r = P.with_lineage(r, now=now)
-    return P.keep_valid_scored(r)
+    return P.keep_valid_scored(r) if keep else r
 
 
-def measurement_records_flat(r: DataFrame, now=None) -> DataFrame:
+def measurement_records_flat(r: DataFrame, now=None, keep: bool = True) -> DataFrame:
     """O-C5 on rows already standardised by ``measurements_range``: score,
     lineage, keep rule; ``location_name`` becomes the table's ``location``."""
     r = r.withColumn("value", X.nan_to_null("value"))
@@ -145,4 +168,4 @@ def measurement_records_flat(r: DataFrame, now=None) -> DataFrame:
         r = r.withColumnRenamed("location_name", "location")
     r = r.withColumn("quality_score", X.quality_score("parameter", "value"))
     r = P.with_lineage(r, now=now)
-    return P.keep_valid_scored(r)
+    return P.keep_valid_scored(r) if keep else r

@@ -25,10 +25,21 @@ from aerolith.operators import quality as Q
 
 # ------------------------------------------------------------------ fact appends
 def append_partitioned(df: DataFrame, path: str, partition_by=("year", "month"),
-                       fmt: str = "parquet") -> None:
-    """O-K1 append rows partitioned by year/month."""
-    (df.hint("rebalance", *partition_by).write.mode("append")
-       .partitionBy(*partition_by).format(fmt).save(path))
+                       fmt: str = "parquet") -> dict:
+    """O-K1 append rows partitioned by year/month; returns the observed row
+    count of the write (O-A26). The observation sits above the rebalance
+    exchange, so it reports 0 for an empty write instead of being folded
+    away with the empty stage."""
+    out, obs = Q.observed(df.hint("rebalance", *partition_by), "appended")
+    out.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
+    return obs.get
+
+
+def append_plain(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
+    """Append without partition columns (rebalanced), observed like above."""
+    out, obs = Q.observed(df.hint("rebalance"), "appended")
+    out.write.mode("append").format(fmt).save(path)
+    return obs.get
 
 
 def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
@@ -47,9 +58,7 @@ def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
             raise
         new = rows
     new = new.select(*[c.name for c in schemas.RAW_AIR_QUALITY.fields])
-    observed, obs = Q.observed(new, "inserted")
-    append_partitioned(observed, fact_path)
-    return int(obs.get.get("rows", 0))
+    return int(append_partitioned(new, fact_path).get("rows", 0))
 
 
 def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
@@ -62,15 +71,20 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
         target = schemas.empty_frame(spark, schemas.MEASUREMENTS)
-    batch_obs, obs_in = Q.observed(batch, "batch")
-    new = J.insert_ignore_conflict(batch_obs, target, [key])
-    cols = [c.name for c in schemas.MEASUREMENTS.fields]
-    new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(t.dataType).alias(c)
-                       for c, t in zip(cols, schemas.MEASUREMENTS.fields)])
-    new_obs, obs_out = Q.observed(new, "inserted")
-    new_obs.hint("rebalance").write.mode("append").parquet(table_path)
-    inserted = int(obs_out.get.get("rows", 0))
-    total = int(obs_in.get.get("rows", 0))
+    # one row per key: the batch is keyed once (its size observed on the way);
+    # a key repeated inside the batch is skipped like any other conflict
+    batch_o, obs = Q.observed(batch, "batch")
+    keyed = J.dedupe_on_key(batch_o, [key]).persist()
+    try:
+        keyed.count()
+        total = int(Q.metrics(obs).get("rows", 0))
+        new = keyed.join(target.select(key), key, "left_anti")
+        cols = [c.name for c in schemas.MEASUREMENTS.fields]
+        new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(t.dataType).alias(c)
+                           for c, t in zip(cols, schemas.MEASUREMENTS.fields)])
+        inserted = int(append_plain(new, table_path).get("rows", 0))
+    finally:
+        keyed.unpersist()
     return {"inserted": inserted, "skipped": total - inserted}
 
 
