@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import predicates as P
+from aerolith.operators import quantiles as QN
 
 
 def first_non_null(x: str, *order: str) -> Column:
@@ -132,14 +133,15 @@ def location_groups(locations: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def system_summary(locations: DataFrame, m: DataFrame) -> DataFrame:
-    """O-A8 active locations, measurements, distinct parameters, latest time.
-    Two 1-row aggregates side by side (joined on a constant, 1 x 1 rows)."""
-    a = locations.agg(F.count(F.when(F.col("is_active") == F.lit(True), F.lit(1)))
-                      .alias("total_locations")).withColumn("_k", F.lit(1))
-    b = m.agg(F.count(F.lit(1)).alias("total_measurements"),
-              F.countDistinct("parameter").alias("total_parameters"),
-              F.max("measurement_time").alias("latest_measurement")).withColumn("_k", F.lit(1))
-    return a.join(b, "_k").drop("_k")
+    """O-A8 active locations, measurements, distinct parameters, latest time:
+    one global aggregate on the fact with the dimension's count as a scalar
+    subquery."""
+    active = locations.agg(F.count(F.when(F.col("is_active") == F.lit(True), F.lit(1)))).scalar()
+    return m.agg(F.count(F.lit(1)).alias("total_measurements"),
+                 F.countDistinct("parameter").alias("total_parameters"),
+                 F.max("measurement_time").alias("latest_measurement")) \
+        .select(active.alias("total_locations"), "total_measurements", "total_parameters",
+                "latest_measurement")
 
 
 def trusted_summary(m: DataFrame, approximate: bool = False) -> DataFrame:
@@ -218,26 +220,25 @@ def non_null_counts(df: DataFrame, by: str = "parameter") -> DataFrame:
         *[F.count(F.col(f"`{c}`")).alias(c) for c in others])
 
 
-def numeric_profile(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """O-A19 ``describe()``: count, mean, std, min, 25/50/75 %, max per column
-    in long form (one row per column). Exact quartiles are interpolated like
-    pandas (``percentile``); ``approximate`` uses ``percentile_approx``."""
+    in long form (one row per column). Quartiles are interpolated like pandas;
+    ``method`` picks the quantile strategy (see ``quantiles``)."""
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        if approximate:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).cast("array<double>")
-        else:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(df.agg(F.lit(c).alias("column"), F.count(x).alias("count"),
-                            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                            F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")))
+        moments = df.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                         F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        qs = QN.quantile_columns(df.select(x.alias("_x")), "_x", [], [0.25, 0.5, 0.75],
+                                 ["p25", "p50", "p75"], method)
+        parts.append(moments.select("column", "count", "mean", "std", "min", "max",
+                                    qs.select("p25").scalar().alias("p25"),
+                                    qs.select("p50").scalar().alias("p50"),
+                                    qs.select("p75").scalar().alias("p75")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("column", "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max")
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def mean_matrix(df: DataFrame, x: str, y: str, z: str, x_values: list | None = None) -> DataFrame:
@@ -258,29 +259,29 @@ def map_center(df: DataFrame, lat: str = "latitude", lon: str = "longitude") ->
     return df.agg(F.avg(lat).alias("center_lat"), F.avg(lon).alias("center_lon"))
 
 
+def _box(df: DataFrame, keys: list[str], value: str, method: str) -> DataFrame:
+    """min, quartiles, max, count per group; quartiles by ``method``."""
+    basic = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"),
+                                  F.count(value).alias("count"))
+    qs = QN.quantile_columns(df, value, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method)
+    return basic.join(qs, keys, "left")
+
+
 def weekday_distribution(daily: DataFrame, value: str = "average_value",
-                         date_col: str = "measurement_date") -> DataFrame:
+                         date_col: str = "measurement_date", method: str = "exact") -> DataFrame:
     """O-A25 box summary per weekday (min, quartiles, max, count), ordered
     Monday first (O-L8)."""
     d = daily.withColumn("weekday_number", X.weekday_number_monday0(date_col)) \
              .withColumn("weekday", X.weekday_name(date_col))
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (d.groupBy("weekday_number", "weekday")
-            .agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"),
-                 F.count(value).alias("count"))
-            .select("weekday_number", "weekday", "min", F.col("_q")[0].alias("q1"),
-                    F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "count")
-            .orderBy("weekday_number"))
+    box = _box(d, ["weekday_number", "weekday"], value, method)
+    return box.select("weekday_number", "weekday", "min", "q1", "median", "q3", "max", "count") \
+              .orderBy("weekday_number")
 
 
-def parameter_distribution(m: DataFrame, value: str = "value") -> DataFrame:
+def parameter_distribution(m: DataFrame, value: str = "value", method: str = "exact") -> DataFrame:
     """O-A25 per-parameter box summary (the gen 2 box plot)."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (m.groupBy("parameter")
-            .agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"),
-                 F.count(value).alias("count"))
-            .select("parameter", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max", "count"))
+    box = _box(m, ["parameter"], value, method)
+    return box.select("parameter", "min", "q1", "median", "q3", "max", "count")
 
 
 def first_unit(df: DataFrame, by: list[str], unit: str = "units",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import predicates as P
+from aerolith.operators import quantiles as QN
 
 GEN1_DUPLICATE_KEYS = ["location_id", "datetime", "parameter"]
 
@@ -59,21 +60,19 @@ def quality_profile(raw: DataFrame, keys: list[str] | None = None,
 
 
 def iqr_bounds(m: DataFrame, value: str = "value", by: str = "parameter",
-               factor: float = fixed.OUTLIER_IQR_FACTOR, approximate: bool = False) -> DataFrame:
-    """Per-group quartiles (linear interpolation, like pandas) and fences."""
-    v = F.col(value)
-    q = (F.percentile_approx(v, [0.25, 0.75], 10000).cast("array<double>") if approximate
-         else F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
-    b = m.groupBy(by).agg(q.alias("_q"))
-    return (b.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+               factor: float = fixed.OUTLIER_IQR_FACTOR, method: str = "exact") -> DataFrame:
+    """Per-group quartiles (linear interpolation, like pandas) and fences.
+    ``method``: 'exact' (distributed selection), 'percentile', 'approx'."""
+    b = QN.quantile_columns(m, value, [by], [0.25, 0.75], ["q1", "q3"], method)
+    return (b
              .withColumn("lower_bound", F.col("q1") - factor * (F.col("q3") - F.col("q1")))
              .withColumn("upper_bound", F.col("q3") + factor * (F.col("q3") - F.col("q1"))))
 
 
 def outliers_iqr(m: DataFrame, value: str = "value", by: str = "parameter",
-                 factor: float = fixed.OUTLIER_IQR_FACTOR, approximate: bool = False) -> DataFrame:
+                 factor: float = fixed.OUTLIER_IQR_FACTOR, method: str = "exact") -> DataFrame:
     """O-A22 flag values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] of their group."""
-    b = iqr_bounds(m, value, by, factor, approximate).select(by, "lower_bound", "upper_bound")
+    b = iqr_bounds(m, value, by, factor, method).select(by, "lower_bound", "upper_bound")
     v = F.col(value)
     flag = (v < F.col("lower_bound")) | (v > F.col("upper_bound"))
     return (m.join(b, by, "left")
