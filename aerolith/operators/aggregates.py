@@ -222,23 +222,19 @@ def non_null_counts(df: DataFrame, by: str = "parameter") -> DataFrame:
 
 def numeric_profile(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """O-A19 ``describe()``: count, mean, std, min, 25/50/75 %, max per column
-    in long form (one row per column). Quartiles are interpolated like pandas;
-    ``method`` picks the quantile strategy (see ``quantiles``)."""
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        moments = df.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                         F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        qs = QN.quantile_columns(df.select(x.alias("_x")), "_x", [], [0.25, 0.5, 0.75],
-                                 ["p25", "p50", "p75"], method)
-        parts.append(moments.select("column", "count", "mean", "std", "min", "max",
-                                    qs.select("p25").scalar().alias("p25"),
-                                    qs.select("p50").scalar().alias("p50"),
-                                    qs.select("p75").scalar().alias("p75")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    in long form (one row per column). Every column is profiled in the same
+    pass: rows are unpivoted to (column, value) and grouped by column.
+    Quartiles are interpolated like pandas; ``method`` picks the quantile
+    strategy (see ``quantiles``)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                      for c in cols])
+    long = df.select(F.explode(pairs).alias("_s")).select("_s.column", "_s.x")
+    moments = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
+                                         F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+                                         F.max("x").alias("max"))
+    qs = QN.quantile_columns(long, "x", ["column"], [0.25, 0.5, 0.75], ["p25", "p50", "p75"], method)
+    return moments.join(qs, "column", "left").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def mean_matrix(df: DataFrame, x: str, y: str, z: str, x_values: list | None = None) -> DataFrame:

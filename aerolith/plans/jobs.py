@@ -118,7 +118,7 @@ def full_pipeline(spark: SparkSession, listing_path: str, payload_path: str, roo
     tables = K.initialize_tables(spark, root)
     counts, dim = location_sync(spark, listing_path, locations, f"{root}/staging/locations_v2")
     stats = measurement_collection(spark, payload_path, tables["raw.measurements"], date_from, date_to)
-    m = spark.read.parquet(tables["raw.measurements"])
+    m = K.read_table(spark, "raw.measurements", tables["raw.measurements"])
     names = register_views(spark, presentation_gen2(m, dim))
     return {"sync": counts, "collection": stats, "views": names}
 

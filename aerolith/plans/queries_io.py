@@ -454,3 +454,34 @@ SELECT lower(parameter) AS parameter, COUNT(*) AS count FROM raw_aq
 WHERE value IS NOT NULL AND value >= 0 GROUP BY lower(parameter)"""))
 def q_quality_report(spark, d):
     return C.quality_report(R(spark, d))["parameter_counts"]
+
+
+# ============================================================== full pipeline (O-C7)
+@register("full_pipeline", oracle("""
+SELECT l.location_id, l.name AS location_name, l.city, l.country, l.latitude, l.longitude,
+       COUNT(DISTINCT m.parameter) AS parameter_count, MAX(m.measurement_time) AS last_measurement_time,
+       ROUND(AVG(m.quality_score), 6) AS avg_quality_score
+FROM dim l LEFT JOIN mc m ON l.location_id = m.location_id
+WHERE l.is_active GROUP BY l.location_id, l.name, l.city, l.country, l.latitude, l.longitude""",
+    CHG_CTES + """,
+dim AS (SELECT location_id, name, city, country, latitude, longitude, is_active
+        FROM locations l WHERE NOT EXISTS (SELECT 1 FROM chg c WHERE c.location_id = l.location_id)
+        UNION ALL SELECT location_id, name, city, country, latitude, longitude, TRUE FROM chg),
+mc AS (SELECT DISTINCT location_id, sensor_id, parameter, measurement_time, value, quality_score
+       FROM measurements WHERE measurement_time >= TIMESTAMP '2024-01-05'
+         AND measurement_time <= TIMESTAMP '2024-01-25')"""))
+def q_full_pipeline(spark, d):
+    loc, chg = _change_set(spark, d)
+    listing, payload = scratch_path(spark, "listing"), scratch_path(spark, "mpayload")
+    land_listing(chg, listing)
+    land_measurement_payloads(spark, d, payload)
+    root = scratch_path(spark, "warehouse")
+    tables = K.initialize_tables(spark, root)
+    _, dim = C.location_sync(spark, listing, loc, f"{root}/staging/locations_v2", limit=None,
+                             multiline=False)
+    C.measurement_collection(spark, payload, tables["raw.measurements"], "2024-01-05", "2024-01-25",
+                             multiline=False)
+    m = K.read_table(spark, "raw.measurements", tables["raw.measurements"])
+    names = C.register_views(spark, C.presentation_gen2(m, dim))
+    summary = spark.table(names[2])
+    return rounded(summary, "avg_quality_score")

@@ -90,11 +90,23 @@ def requested_partitions(spark: SparkSession, location_ids: DataFrame, start: st
         F.lpad(((F.col("_m") % 12) + 1).cast("string"), 2, "0").alias("month"))
 
 
+def present_partitions(spark: SparkSession, base: str) -> DataFrame:
+    """(locationid, year, month) of every archive file, from the file listing
+    alone: the ``binaryFile`` source reads no content when only path-derived
+    columns are selected. Types are fixed whatever partition inference says
+    (an inferred month 1 becomes '01' again, T1)."""
+    files = (spark.read.format("binaryFile").option("basePath", base)
+             .option("pathGlobFilter", "*.csv*").load(base))
+    return files.select(F.col("locationid").cast("long").alias("locationid"),
+                        F.col("year").cast("long").alias("year"),
+                        F.lpad(F.col("month").cast("string"), 2, "0").alias("month")).distinct()
+
+
 def missing_partitions(spark: SparkSession, base: str, location_ids: DataFrame, start: str,
                        end: str) -> DataFrame:
-    """O-S3 requested partitions absent from the archive (an anti-join of the
-    request against the partitions actually present)."""
-    found = scan_archive(spark, base).select("locationid", "year", "month").distinct()
+    """O-S3 requested partitions absent from the archive: an anti-join of the
+    request against the partitions listed (no data file is read)."""
+    found = present_partitions(spark, base)
     req = requested_partitions(spark, location_ids, start, end)
     return req.join(found, ["locationid", "year", "month"], "left_anti")
 

@@ -52,6 +52,13 @@ def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
     keys = keys or J.GEN1_INSERT_KEYS
     try:
         fact = spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact_path)
+        # two scalars of the batch prune the fact's year/month partitions
+        b = rows.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
+        if b["lo"] is not None:
+            lo_m, hi_m = b["lo"].year * 12 + b["lo"].month - 1, b["hi"].year * 12 + b["hi"].month - 1
+            month_ix = F.col("year") * 12 + F.col("month").cast("long") - 1
+            fact = fact.where(month_ix.between(lo_m, hi_m)
+                              & F.col(time_col).between(F.lit(b["lo"]), F.lit(b["hi"])))
         new = J.insert_if_absent(rows, fact, keys, time_col=time_col)
     except Exception as exc:  # an absent table: everything is new
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
