@@ -16,7 +16,24 @@ from aerolith.operators import predicates as P
 
 DUP_OFFSET = 1_000_000_000
 
+# Built relations per (session, folder, name). DataFrames are immutable and
+# lazy, so reusing one is reusing a view definition: no data is cached, only
+# the file listing and the analysed plan.
+_MEMO: dict[tuple, DataFrame] = {}
 
+
+def _memo(fn):
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (spark, sf_dir.rstrip("/"), fn.__name__, args)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf_dir, *args)
+        return _MEMO[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -52,11 +69,13 @@ def _base(spark: SparkSession, sf_dir: str, with_copies: bool) -> DataFrame:
                     F.col("ts").alias("measurement_time")))
 
 
+@_memo
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``base`` relation: one row per event with a customer."""
     return _base(spark, sf_dir, with_copies=False)
 
 
+@_memo
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All landed rows (``base`` plus exact copies of every 101st event)
     with their quality score; bad rows kept."""
@@ -64,11 +83,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m0.withColumn("quality_score", X.quality_score("parameter", "value"))
 
 
+@_memo
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean gen 2 fact: O-P6 keep rule over ``scored``."""
     return P.keep_valid_scored(scored(spark, sf_dir))
 
 
+@_memo
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -85,6 +106,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("c_custkey") % 10 != 0).alias("is_active")))
 
 
+@_memo
 def raw_air_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gen 1 fact shape (raw.air_quality) over ``scored``; keeps bad rows."""
     s = scored(spark, sf_dir)
@@ -106,6 +128,7 @@ def sensor_key(location_id, sensor_id, parameter):
     return (F.col(location_id) * 10000 + F.col(sensor_id) * 100 + code).cast("long")
 
 
+@_memo
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor metadata frame: one row per combined key."""
     s = scored(spark, sf_dir)
