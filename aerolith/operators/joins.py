@@ -23,7 +23,7 @@ def _and(cols: list[Column]) -> Column:
 
 
 def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None = None,
-                     time_col: str | None = None, dedupe_batch: bool = False) -> DataFrame:
+                     time_col: str | None = "auto", dedupe_batch: bool = False) -> DataFrame:
     """O-J1 stage rows with no match in ``fact`` on ``keys`` (NOT EXISTS).
 
     NULL keys never match, so such rows are always inserted (T15). With
@@ -32,8 +32,13 @@ def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None =
     stage keys, so the large side is scanned once and never shuffled in full;
     the anti-join then runs against at most |stage| matched keys.
     ``dedupe_batch`` additionally keeps one row per key inside the batch.
+    ``time_col='auto'`` narrows by the first timestamp-typed key (a row can only
+    match a fact row with the same time); ``None`` anti-joins the full fact.
     """
     keys = keys or GEN1_INSERT_KEYS
+    if time_col == "auto":
+        types = dict(stage.dtypes)
+        time_col = next((k for k in keys if types.get(k, "").startswith("timestamp")), None)
     s = stage.dropDuplicates(keys) if dedupe_batch else stage
     fk = fact.select(*keys)
     if time_col is not None:

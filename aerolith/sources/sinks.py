@@ -69,9 +69,14 @@ def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
 
 
 def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
-                      key: str = "id") -> dict[str, int]:
+                      key: str = "id", time_col: str | None = "measurement_time") -> dict[str, int]:
     """O-K3 insert, ignore conflicts on the primary key; reports inserted and
-    skipped separately (the reference counted attempts)."""
+    skipped separately (the reference counted attempts).
+
+    The key is a hash of the natural key, which includes the time, so equal
+    keys have equal times: the table is narrowed to the batch's time range
+    and semi-joined with the batch keys before the anti-join, and is never
+    shuffled in full. Pass ``time_col=None`` for a key without that property."""
     try:
         target = spark.read.schema(schemas.MEASUREMENTS).parquet(table_path)
     except Exception as exc:
@@ -85,7 +90,12 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
     try:
         keyed.count()
         total = int(Q.metrics(obs).get("rows", 0))
-        new = keyed.join(target.select(key), key, "left_anti")
+        if time_col is not None:
+            tk = target.select(key, time_col).withColumnRenamed(time_col, "_t")
+            new = J.insert_if_absent(keyed.withColumn("_t", F.col(time_col)), tk, [key, "_t"],
+                                     time_col="_t").drop("_t")
+        else:
+            new = keyed.join(target.select(key), key, "left_anti")
         cols = [c.name for c in schemas.MEASUREMENTS.fields]
         new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(t.dataType).alias(c)
                            for c, t in zip(cols, schemas.MEASUREMENTS.fields)])

@@ -10,10 +10,10 @@ the session zone is UTC, so the cast keeps the wall clock, and sinks cast
 back.
 
 Exactly-once against the fact: ``foreachBatch`` may replay a batch after a
-failure; the insert-if-absent anti-join makes the replay a no-op for rows
-with non-null keys (T15). Rows with a null key are always inserted by the
-reference's rule, so replay safety for them comes from recording the batch
-id alongside the rows and skipping batch ids already committed.
+failure. Batch ids are recorded in a small commit log next to the table
+after each append and a committed id is skipped; a failure between the
+append and the log entry replays the batch, and then the insert-if-absent
+anti-join makes the replay a no-op for rows with non-null keys (T15).
 """
 
 from __future__ import annotations
@@ -70,23 +70,35 @@ def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
     keys = keys or ["location_id", "sensor_id", "measurement_time", "parameter"]
     stream = P.keep_valid_scored(read_record_stream(spark, source))
 
+    commits = f"{table_path.rstrip('/')}_commits"
+
+    def committed(batch_id: int) -> bool:
+        try:
+            log = spark.read.schema("batch_id long").parquet(commits)
+        except Exception as exc:
+            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+                raise
+            return False
+        return not log.where(F.col("batch_id") == batch_id).isEmpty()
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if committed(batch_id):
+            return  # replay of a batch whose rows are already in the table
         # the batch is read several times (bounds, keys, rows): keep it once
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
         try:
             try:
-                existing = spark.read.parquet(table_path)
+                existing = spark.read.schema(b.schema).parquet(table_path)
+                existing.limit(0).collect()
             except Exception as exc:
                 if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
                     raise
                 existing = None
-            if existing is None:
-                new = b
-            elif not existing.where(F.col("batch_id") == batch_id).isEmpty():
-                return  # replay of a committed batch
-            else:
-                new = J.insert_if_absent(b, existing, keys, time_col="measurement_time")
+            new = b if existing is None else J.insert_if_absent(b, existing, keys,
+                                                                time_col="measurement_time")
             new.hint("rebalance").write.mode("append").parquet(table_path)
+            # a small commit log, not a scan of the table, answers "seen before?"
+            spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(commits)
         finally:
             b.unpersist()
 
