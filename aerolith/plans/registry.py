@@ -21,11 +21,26 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings every query relies on, applied whoever made the
+    session: UTC (NTZ facts hold UTC wall clock) and a shared scratch root."""
+    from aerolith.session import checkpoint_root
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    checkpoint_root(spark)
+
+
 def register(name: str, oracle_sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__, run.__module__ = fn.__name__, fn.__doc__, fn.__module__
+        QUERIES[name] = run
         if oracle_sql is not None:
             ORACLES[name] = oracle_sql
         return fn
