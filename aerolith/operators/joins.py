@@ -42,9 +42,12 @@ def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None =
     s = stage.dropDuplicates(keys) if dedupe_batch else stage
     fk = fact.select(*keys)
     if time_col is not None:
-        lo = stage.select(F.min(time_col)).scalar()
-        hi = stage.select(F.max(time_col)).scalar()
-        fk = fk.where(F.col(time_col).between(lo, hi))
+        # two scalars of the (small) stage, as literals: they reach the fact's
+        # Parquet scan as pushed filters and skip row groups outside the range
+        b = stage.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
+        if b["lo"] is None:  # no stage row has a time: only null keys, none can match
+            return s
+        fk = fk.where(F.col(time_col).between(F.lit(b["lo"]), F.lit(b["hi"])))
         fk = fk.join(s.select(*keys).distinct(), keys, "left_semi")
     return s.join(fk, keys, "left_anti")
 

@@ -88,15 +88,26 @@ def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
         try:
             try:
-                existing = spark.read.schema(b.schema).parquet(table_path)
-                existing.limit(0).collect()
+                existing = spark.read.parquet(table_path)
             except Exception as exc:
-                if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+                if ("PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc)
+                        and "UNABLE_TO_INFER_SCHEMA" not in str(exc)):
                     raise
                 existing = None
-            new = b if existing is None else J.insert_if_absent(b, existing, keys,
-                                                                time_col="measurement_time")
-            new.hint("rebalance").write.mode("append").parquet(table_path)
+            if existing is None:
+                new = b
+            else:
+                # prune the table's year/month partitions to the batch's months
+                t = b.agg(F.min("measurement_time").alias("lo"), F.max("measurement_time").alias("hi")).first()
+                if t["lo"] is not None:
+                    ix = F.col("year").cast("long") * 12 + F.col("month").cast("long") - 1
+                    existing = existing.where(ix.between(t["lo"].year * 12 + t["lo"].month - 1,
+                                                         t["hi"].year * 12 + t["hi"].month - 1))
+                new = J.insert_if_absent(b, existing, keys, time_col="measurement_time")
+            out = new.withColumn("year", X.year_number("measurement_time")) \
+                     .withColumn("month", X.month_text("measurement_time"))
+            (out.hint("rebalance", "year", "month").write.mode("append")
+                .partitionBy("year", "month").parquet(table_path))
             # a small commit log, not a scan of the table, answers "seen before?"
             spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(commits)
         finally:
