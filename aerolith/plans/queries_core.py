@@ -55,7 +55,7 @@ def q_quality_score(spark, d):
 SELECT id, CAST(CAST(measurement_time AS DATE) AS TIMESTAMP) AS day,
        dayofweek(measurement_time) AS weekday_sql, isodow(measurement_time) - 1 AS weekday_monday0,
        dayname(measurement_time) AS weekday_name,
-       CASE WHEN isodow(measurement_time) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+       CAST(CASE WHEN isodow(measurement_time) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
        date_trunc('hour', measurement_time) AS hour,
        strftime(measurement_time, '%m') AS month, year(measurement_time) AS year,
        measurement_time - INTERVAL 24 HOURS AS minus_24h
@@ -350,7 +350,7 @@ def q_newest_per_location(spark, d):
 @register("daily_stats_sql", oracle("""
 SELECT location_id, location, CAST(CAST(datetime AS DATE) AS TIMESTAMP) AS measurement_date,
        dayofweek(datetime) AS weekday_number, dayname(datetime) AS weekday,
-       CASE WHEN dayname(datetime) IN ('Saturday', 'Sunday') THEN 1 ELSE 0 END AS is_weekend,
+       CAST(CASE WHEN dayname(datetime) IN ('Saturday', 'Sunday') THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
        lat, lon, parameter, units, ROUND(AVG(value), 6) AS average_value
 FROM raw_aq WHERE value >= 0
 GROUP BY location_id, location, CAST(datetime AS DATE), dayofweek(datetime), dayname(datetime),
@@ -363,7 +363,7 @@ def q_daily_stats_sql(spark, d):
 DAILY_PANDAS_BODY = """
 SELECT location_id, location, CAST(CAST(datetime AS DATE) AS TIMESTAMP) AS measurement_date,
        isodow(datetime) - 1 AS weekday_number, dayname(datetime) AS weekday,
-       CASE WHEN isodow(datetime) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+       CAST(CASE WHEN isodow(datetime) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
        parameter, units, MAX(lat) AS lat, MAX(lon) AS lon, ROUND(AVG(value), 6) AS average_value
 FROM v WHERE location_id IS NOT NULL AND location IS NOT NULL AND parameter IS NOT NULL
   AND units IS NOT NULL AND datetime IS NOT NULL
