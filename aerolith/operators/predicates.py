@@ -227,3 +227,8 @@ def validate_required(df: DataFrame, required: str = "id") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count(F.when(F.col(required).isNull(), F.lit(1))).alias("n_missing")) \
         .withColumn("is_valid", (F.col("n_rows") > 0) & (F.col("n_missing") == 0))
+
+
+def invalid_rows(df: DataFrame, required: str = "id") -> DataFrame:
+    """O-P16 the offending rows themselves: those missing the required field."""
+    return df.where(F.col(required).isNull())
