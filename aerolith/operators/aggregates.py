@@ -198,9 +198,11 @@ def top_locations_by_count(clean: DataFrame, n: int = fixed.TOP_LOCATIONS,
 
 def overview(raw: DataFrame) -> DataFrame:
     """O-A15 gen 1 overview: rows, distinct locations and parameters, date
-    bounds, latest reading and ingestion, sorted list of parameter labels."""
+    bounds, latest reading and ingestion, and the labels of the parameter
+    codes in code order. The code set is bounded by the parameter vocabulary."""
     v = P.load_readings(raw)
-    labels = F.array_join(F.array_sort(F.collect_set(X.parameter_label("parameter"))), ", ")
+    # codes sorted first, then shown by label (the order a reader sees)
+    labels = F.array_join(F.transform(F.array_sort(F.collect_set("parameter")), X.parameter_label), ", ")
     cols = [F.count(F.lit(1)).alias("total_records"),
             F.countDistinct("location").alias("location_count"),
             F.countDistinct("parameter").alias("parameter_count"),

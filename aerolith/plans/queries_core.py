@@ -494,7 +494,9 @@ SELECT COUNT(*) AS total_records, COUNT(DISTINCT location) AS location_count,
        CAST(MIN(CAST(datetime AS DATE)) AS TIMESTAMP) AS min_date,
        CAST(MAX(CAST(datetime AS DATE)) AS TIMESTAMP) AS max_date,
        MAX(datetime) AS latest_reading,
-       string_agg(DISTINCT {LABEL_CASE_RAW}, ', ' ORDER BY {LABEL_CASE_RAW}) AS parameter_labels
+       (SELECT string_agg({LABEL_CASE}, ', ' ORDER BY parameter) FROM (
+          SELECT DISTINCT lower(parameter) AS parameter FROM raw_aq
+          WHERE value IS NOT NULL AND value >= 0 AND parameter IS NOT NULL) c) AS parameter_labels
 FROM raw_aq WHERE value IS NOT NULL AND value >= 0"""))
 def q_overview(spark, d):
     return A.overview(R(spark, d))

@@ -218,3 +218,9 @@ def test_iqr_outlier_flags(spark):
     m = meas_rows(spark, [(i, 1, "pm25", v, T0) for i, v in enumerate(vals)])
     flags = {r.value: r.is_outlier for r in Q.outliers(m, "iqr").collect()}
     assert flags[100.0] is True and not any(flags[v] for v in vals[:4])
+
+
+def test_overview_labels_in_code_order(spark):
+    raw = raw_rows(spark, [(1, "a", T0, 1.0, 2.0, "pb", 1.0), (1, "a", T0, 1.0, 2.0, "NO2", 2.0),
+                           (1, "a", T0, 1.0, 2.0, "xyz", 3.0)])
+    assert one(A.overview(raw)).parameter_labels == "NO2, Lead (Pb), XYZ"
