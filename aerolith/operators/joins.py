@@ -39,7 +39,7 @@ def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None =
     if time_col == "auto":
         types = dict(stage.dtypes)
         time_col = next((k for k in keys if types.get(k, "").startswith("timestamp")), None)
-    s = stage.dropDuplicates(keys) if dedupe_batch else stage
+    s = dedupe_on_key(stage, keys) if dedupe_batch else stage  # deterministic row per key
     fk = fact.select(*keys)
     if time_col is not None:
         # two scalars of the (small) stage, as literals: they reach the fact's
