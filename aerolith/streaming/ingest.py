@@ -176,20 +176,31 @@ def alert_stream(stream: DataFrame, min_band: int = 3) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append",
-                 checkpoint: str | None = None, label: str = "sink"):
+                 checkpoint: str | None = None, label: str = "sink",
+                 state_partitions: int | None = None):
     """Run a streaming frame to a Parquet folder (append) or, for
-    update/complete aggregates, replace a snapshot table per batch."""
+    update/complete aggregates, replace a snapshot table per batch.
+
+    The number of state-store partitions is fixed by the first run of a
+    checkpoint; it defaults to the cluster's default parallelism (one state
+    partition per core) and is applied only while this query starts."""
     spark = df.sparkSession
     ck = _checkpoint(spark, checkpoint, label)
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("path", path)
-             .option("checkpointLocation", ck).outputMode("append")
-             .trigger(availableNow=True).start())
-    else:
-        def snapshot(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-        q = (df.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
-             .outputMode(mode).trigger(availableNow=True).start())
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        if mode == "append":
+            q = (df.writeStream.format("parquet").option("path", path)
+                 .option("checkpointLocation", ck).outputMode("append")
+                 .trigger(availableNow=True).start())
+        else:
+            def snapshot(batch: DataFrame, batch_id: int) -> None:
+                batch.write.mode("overwrite").parquet(path)
+            q = (df.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
+                 .outputMode(mode).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
     return q
 
