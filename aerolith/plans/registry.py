@@ -5,6 +5,12 @@ Conventions for the cross-engine comparison, applied identically on both
 sides: averages and deviations are rounded to 6 places, and date-valued
 columns are handed over as midnight ``TIMESTAMP`` values (pandas holds DATE
 from one engine as ``datetime.date`` and from the other as ``datetime64``).
+
+Rounding goes through DECIMAL(38,12) on both engines: the double is first
+fixed to 12 places, then rounded half-up to 6. Two engines summing the same
+values in different orders differ around 1e-16, far below 1e-12, so a value
+sitting exactly on a half (an average like 36.49943 / 44 = 0.8295325) rounds
+the same way on both instead of following each engine's last bit.
 """
 
 from __future__ import annotations
@@ -42,15 +48,44 @@ def register(name: str, oracle_sql: str | None = None):
         run.__name__, run.__doc__, run.__module__ = fn.__name__, fn.__doc__, fn.__module__
         QUERIES[name] = run
         if oracle_sql is not None:
-            ORACLES[name] = oracle_sql
+            ORACLES[name] = decimal_rounding(oracle_sql)
         return fn
     return deco
 
 
 def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
-    """Round the named double columns (same rule as ``ROUND(x, 6)`` in SQL)."""
-    return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    """Round the named double columns via DECIMAL(38,12), half-up (see module note)."""
+    return df.select(*[F.round(F.col(c).cast("decimal(38,12)"), places).cast("double").alias(c)
+                       if c in cols else F.col(c) for c in df.columns])
+
+
+def decimal_rounding(sql: str, places: int = 6) -> str:
+    """Rewrite every ``ROUND(expr, 6)`` of an oracle into the same DECIMAL
+    rounding as ``rounded`` (text rewrite with balanced parentheses)."""
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth, comma = j + len(key), 1, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[j + len(key):comma], sql[comma + 1:k - 1].strip()
+        if digits != str(places):
+            out.append(sql[j:k])
+        else:
+            inner = decimal_rounding(inner, places)
+            out.append(f"CAST(ROUND(CAST({inner} AS DECIMAL(38,12)), {places}) AS DOUBLE)")
+        i = k
 
 
 def dates_as_timestamps(df: DataFrame) -> DataFrame:
