@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from aerolith import schemas
 from aerolith.functions import fixed
-from aerolith.functions import scalars as X
 from aerolith.operators import joins as J
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q

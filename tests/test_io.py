@@ -1,11 +1,8 @@
 """Sources, sinks and jobs on small generated files."""
 
-import datetime as dt
 import json
-import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from aerolith import schemas
 from aerolith.operators import joins as J

@@ -2,11 +2,9 @@
 no Python in the hot path."""
 
 import contextlib
-import datetime as dt
 import io
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from aerolith.operators import aggregates as A

@@ -1,11 +1,8 @@
 """Streaming jobs against their batch twins and the watermark rules."""
 
-import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
-from aerolith.operators import aggregates as A
 from aerolith.operators import predicates as P
 from aerolith.plans import adapter as AD
 from aerolith.streaming import ingest as T

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from aerolith import schemas
 from aerolith.functions import scalars as X
