@@ -388,7 +388,7 @@ def q_stream_latest(spark, d):
     s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
     out = scratch_path(spark, "stream-latest")
     T.run_to_table(T.latest_stream(s), out, "complete", label="latest")
-    return rounded(spark.read.parquet(out), "quality_score")
+    return rounded(T.read_snapshot(spark, out), "quality_score")
 
 
 @register("stream_staleness", oracle("""
@@ -403,7 +403,7 @@ def q_stream_staleness(spark, d):
     s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
     out = scratch_path(spark, "stream-latest")
     T.run_to_table(T.latest_stream(s), out, "complete", label="latest")
-    return T.staleness_on_refresh(spark.read.parquet(out))
+    return T.staleness_on_refresh(T.read_snapshot(spark, out))
 
 
 BAND_SQL = "CASE " + " ".join(

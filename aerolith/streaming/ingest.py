@@ -196,7 +196,9 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append",
                  .trigger(availableNow=True).start())
         else:
             def snapshot(batch: DataFrame, batch_id: int) -> None:
-                batch.write.mode("overwrite").parquet(path)
+                # each batch publishes a complete snapshot in its own folder; a
+                # replay rewrites the same folder, readers take the newest one
+                batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
             q = (df.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
                  .outputMode(mode).trigger(availableNow=True).start())
     finally:
@@ -205,6 +207,14 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append",
     return q
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete snapshot written by ``run_to_table`` in update or
+    complete mode (a folder is visible only after its job committed)."""
+    snaps = spark.read.option("basePath", path).parquet(path)
+    newest = snaps.select(F.max(F.col("batch").cast("long"))).scalar()
+    return snaps.where(F.col("batch").cast("long") == newest).drop("batch")
+
+
 def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STALE_HOURS) -> DataFrame:
     """O-T7 stale locations over the continuously maintained latest table
     (a scheduled batch; no processing-time timers needed)."""

@@ -42,7 +42,7 @@ def test_stream_latest_equals_batch(spark, tmp_path):
     T.run_to_table(T.latest_stream(s), out, "complete", checkpoint=str(tmp_path / "ck"))
     from aerolith.operators import latest as W
     batch = W.latest_measurements(AD.measurements(spark, SF))
-    got = spark.read.parquet(out)
+    got = T.read_snapshot(spark, out)
     assert got.count() == batch.count()
     assert got.exceptAll(batch.select(*got.columns)).count() == 0
 
