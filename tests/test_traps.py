@@ -223,3 +223,17 @@ def test_overview_labels_in_code_order(spark):
     raw = raw_rows(spark, [(1, "a", T0, 1.0, 2.0, "pb", 1.0), (1, "a", T0, 1.0, 2.0, "NO2", 2.0),
                            (1, "a", T0, 1.0, 2.0, "xyz", 3.0)])
     assert one(A.overview(raw)).parameter_labels == "NO2, Lead (Pb), XYZ"
+
+
+def test_value_zero_and_above_max(spark):
+    m = meas_rows(spark, [(1, 1, "pm25", 0.0, T0), (2, 1, "pm25", 500.01, T0), (3, 1, "co", 50.0, T0)])
+    scores = {r.id: r.quality_score for r in m.collect()}
+    assert scores == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert {r.id for r in P.keep_valid_scored(m).collect()} == {1}
+
+
+def test_null_location_name_falls_back_to_id(spark):
+    m = meas_rows(spark, [(1, 5, "pm25", 1.0, T0), (2, 6, "pm25", 1.0, T0)])
+    loc = spark.createDataFrame([(5, None), (6, "")], "location_id long, name string")
+    got = {r.location_id: r.location for r in J.attach_location_name(m.drop("location"), loc).collect()}
+    assert got == {5: "5", 6: "6"}
