@@ -313,15 +313,27 @@ def q_gen1_views(spark, d):
 
 
 @register("initialized_tables", oracle("""
-SELECT * FROM (VALUES ('raw.air_quality', CAST(0 AS BIGINT)), ('raw.measurements', CAST(0 AS BIGINT)),
-                      ('staging.locations', CAST(0 AS BIGINT)), ('staging.sensors', CAST(0 AS BIGINT))) t(name, n_rows)"""))
+SELECT 'raw.air_quality' AS name, COUNT(*) AS n_rows FROM raw_aq
+UNION ALL SELECT 'raw.measurements', COUNT(*) FROM measurements
+UNION ALL SELECT 'staging.locations', COUNT(*) FROM locations
+UNION ALL SELECT 'staging.sensors', COUNT(*) FROM sensors"""))
 def q_initialized_tables(spark, d):
+    """O-K12 + O-S10: create the typed tables, load the derived data into
+    them and read every table back through its fixed schema."""
     root = scratch_path(spark, "warehouse")
     paths = K.initialize_tables(spark, root)
-    parts = []
-    for name, path in paths.items():
-        parts.append(K.read_table(spark, name, path).agg(F.count(F.lit(1)).alias("n_rows"))
-                     .select(F.lit(name).alias("name"), "n_rows"))
+    now = X.utc_now()
+    K.append_partitioned(R(spark, d).withColumn("ingestion_datetime", now), paths["raw.air_quality"])
+    m = P.with_lineage(M(spark, d), now=now)
+    K.append_plain(m.select(*[f.name for f in schemas.MEASUREMENTS.fields]), paths["raw.measurements"])
+    loc = LOC(spark, d).withColumn("last_updated", now)
+    K.append_plain(loc.select(*[f.name for f in schemas.LOCATIONS.fields]), paths["staging.locations"])
+    sens = AD.sensors(spark, d).select(
+        F.col("sensor_key").alias("sensor_id"), "location_id", F.col("parameter").alias("name"),
+        "parameter", "unit", F.lit(True).alias("is_active"), now.alias("last_updated"))
+    K.append_plain(sens, paths["staging.sensors"])
+    parts = [K.read_table(spark, name, path).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(name).alias("name"), "n_rows") for name, path in paths.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
