@@ -8,8 +8,6 @@ threshold, and stay shuffle joins (with skew splitting) otherwise.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +16,6 @@ from aerolith.functions import scalars as X
 GEN1_INSERT_KEYS = ["location_id", "sensors_id", "datetime", "parameter"]
 
 
-def _and(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)
-
-
 def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None = None,
                      time_col: str | None = "auto", dedupe_batch: bool = False) -> DataFrame:
     """O-J1 stage rows with no match in ``fact`` on ``keys`` (NOT EXISTS).

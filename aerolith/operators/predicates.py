@@ -19,8 +19,6 @@ from aerolith.functions import scalars as X
 RAW_COLUMNS = ["location_id", "sensors_id", "location", "datetime", "lat", "lon",
                "parameter", "units", "value", "locationid", "month", "year",
                "ingestion_datetime"]
-MEASUREMENT_VIEW_COLUMNS = ["location_id", "location", "latitude", "longitude", "parameter",
-                            "unit", "value", "measurement_time", "quality_score"]
 
 
 def _present(df: DataFrame, cols: list[str]) -> list[str]:

@@ -147,7 +147,7 @@ def payload_to_raw_rows(latest: DataFrame, sensors: DataFrame, metadata: DataFra
         (now if now is not None else X.utc_now()).alias("ingestion_datetime"))
 
 
-def measurement_records(df: DataFrame, now=None) -> DataFrame:
+def measurement_records(df: DataFrame, now=None, keep: bool = True) -> DataFrame:
     """O-C5 measurement transform on standardised payload rows: rename,
     flatten coordinates, parse time, score, lineage, keep rule."""
     r = P.standardise_columns(df)

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith import schemas
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import joins as J
@@ -243,6 +242,3 @@ def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
             cond = cond & (F.col("_t") < F.lit(lo + step * (i + 1)))
         out.where(cond).drop("_t").coalesce(1).write.mode("append").json(path)
 
-
-def empty_records(spark: SparkSession) -> DataFrame:
-    return schemas.empty_frame(spark, RECORD_SCHEMA)

@@ -110,3 +110,29 @@ def test_measurement_collection_metrics(spark, tmp_path):
     assert stats["filtered"] == stats["extracted"] - stats["transformed"]
     # exact copies share the natural key: one of each pair is skipped
     assert stats["loaded"] + stats["skipped"] == stats["transformed"]
+
+
+def test_public_helpers(spark, tmp_path):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from aerolith.operators import ordering as L
+    from aerolith.operators import aggregates as A
+
+    m = AD.measurements(spark, SF)
+    assert L.cap_rows(m, 7).count() == 7
+    daily = A.daily_stats_pandas(AD.raw_air_quality(spark, SF))
+    first = L.by_weekday(daily).first()
+    assert first.weekday == "Monday"
+    K.write_location_rows(AD.locations(spark, SF), str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == AD.locations(spark, SF).count()
+    lo, hi = SP.last_day_window(F.lit(dt.datetime(2024, 1, 2, 12)))
+    r = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
+    assert (r.hi - r.lo) == dt.timedelta(days=1)
+    raw = spark.createDataFrame(
+        [(1, 2, "L", "pm25", 10.0, "ug/m3", "2024-01-01T00:00:00Z", (1.0, 2.0)),
+         (1, 2, "L", "pm25", -1.0, "ug/m3", "2024-01-01T01:00:00Z", (1.0, 2.0))],
+        "locationsId long, sensorsId long, location string, parameter string, value double, unit string, "
+        "datetime string, coordinates struct<latitude:double,longitude:double>")
+    recs = SP.measurement_records(raw).collect()
+    assert len(recs) == 1 and recs[0].latitude == 1.0 and recs[0].source == "openaq"
+    assert recs[0].measurement_time == dt.datetime(2024, 1, 1)
