@@ -5,6 +5,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from aerolith.operators import aggregates as A
@@ -87,3 +88,14 @@ CORE = sorted(n for n, fn in registry.QUERIES.items() if fn.__module__.endswith(
 def test_no_python_in_plan(spark, name):
     text = plan(E.queries()[name](spark, SF), "extended")
     assert not any(node in text for node in PYTHON_NODES), name
+
+
+def test_insert_if_absent_pushes_time_range_to_fact(spark, tmp_path):
+    from aerolith.operators import joins as J
+    raw = AD.raw_air_quality(spark, SF)
+    raw.write.mode("overwrite").parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    stage = raw.where(F.col("datetime") >= F.lit("2024-01-25").cast("timestamp_ntz"))
+    text = plan(J.insert_if_absent(stage, fact))
+    fact_scan = [l for l in text.splitlines() if "PushedFilters" in l and "GreaterThanOrEqual(datetime" in l]
+    assert fact_scan and "LessThanOrEqual(datetime" in fact_scan[0]
