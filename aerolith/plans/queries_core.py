@@ -188,7 +188,7 @@ def q_bbox(spark, d):
     return P.in_bbox(m, (-100.0, 10.0, -20.0, 60.0)).drop("quality_score")
 
 
-@register("lineage_source", oracle("SELECT id, 'openaq' AS source FROM measurements"))
+@register("lineage_source", oracle(f"SELECT id, '{fixed.SOURCE_NAME}' AS source FROM measurements"))
 def q_lineage(spark, d):
     return P.with_lineage(M(spark, d)).select("id", "source")
 

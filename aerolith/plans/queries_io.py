@@ -269,9 +269,9 @@ def land_measurement_payloads(spark, d, path, per_doc: int = 100) -> None:
     docs.write.mode("overwrite").json(path)
 
 
-@register("measurement_collection", oracle("""
+@register("measurement_collection", oracle(f"""
 SELECT DISTINCT location_id, sensor_id, location, latitude, longitude, parameter, unit, value,
-       measurement_time, ROUND(quality_score, 6) AS quality_score, 'openaq' AS source
+       measurement_time, ROUND(quality_score, 6) AS quality_score, '{fixed.SOURCE_NAME}' AS source
 FROM measurements WHERE measurement_time >= TIMESTAMP '2024-01-05' AND measurement_time <= TIMESTAMP '2024-01-25'"""))
 def q_measurement_collection(spark, d):
     path, table = scratch_path(spark, "mpayload"), scratch_path(spark, "measurements")

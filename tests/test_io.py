@@ -5,6 +5,7 @@ import json
 import pytest
 
 from aerolith import schemas
+from aerolith.functions import fixed
 from aerolith.operators import joins as J
 from aerolith.plans import adapter as AD
 from aerolith.plans import jobs as C
@@ -134,5 +135,5 @@ def test_public_helpers(spark, tmp_path):
         "locationsId long, sensorsId long, location string, parameter string, value double, unit string, "
         "datetime string, coordinates struct<latitude:double,longitude:double>")
     recs = SP.measurement_records(raw).collect()
-    assert len(recs) == 1 and recs[0].latitude == 1.0 and recs[0].source == "openaq"
+    assert len(recs) == 1 and recs[0].latitude == 1.0 and recs[0].source == fixed.SOURCE_NAME
     assert recs[0].measurement_time == dt.datetime(2024, 1, 1)

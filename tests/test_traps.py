@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from aerolith import schemas
+from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import aggregates as A
 from aerolith.operators import joins as J
@@ -33,7 +34,7 @@ def meas_rows(spark, rows):
     out = []
     for r in rows:
         i, loc, p, v, t = r[:5]
-        out.append((i, loc, 1, f"L{loc}", 10.0, 20.0, p, "ug/m3", v, t, T0, "openaq", None))
+        out.append((i, loc, 1, f"L{loc}", 10.0, 20.0, p, "ug/m3", v, t, T0, fixed.SOURCE_NAME, None))
     df = spark.createDataFrame(out, schemas.MEASUREMENTS)
     return df.withColumn("quality_score", X.quality_score("parameter", "value"))
 
