@@ -28,7 +28,7 @@ def archive_backfill(spark: SparkSession, archive_base: str, location_map: str,
     Returns rows appended and the requested partitions that were absent."""
     ids = SP.read_location_map(spark, location_map, whole_file=map_whole_file).select("location_id")
     rows = SA.read_archive(spark, archive_base, ids, start, end)
-    metrics = K.append_partitioned(rows, fact_path)
+    metrics = K.append_partitioned(rows, fact_path, sort_within=K.GEN1_FACT_ORDER)
     missing = SA.missing_partitions(spark, archive_base, ids, start, end)
     return {"appended": int(metrics.get("rows", 0)), "missing_partitions": missing}
 
