@@ -105,8 +105,9 @@ def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
                 new = J.insert_if_absent(b, existing, keys, time_col="measurement_time")
             out = new.withColumn("year", X.year_number("measurement_time")) \
                      .withColumn("month", X.month_text("measurement_time"))
-            (out.hint("rebalance", "year", "month").write.mode("append")
-                .partitionBy("year", "month").parquet(table_path))
+            (out.hint("rebalance", "year", "month")
+                .sortWithinPartitions("year", "month", "location_id", "parameter", "measurement_time")
+                .write.mode("append").partitionBy("year", "month").parquet(table_path))
             # a small commit log, not a scan of the table, answers "seen before?"
             spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(commits)
         finally:
