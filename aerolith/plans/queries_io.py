@@ -399,7 +399,8 @@ def q_stream_latest(spark, d):
     src = _land_stream(spark, d)
     s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
     out = scratch_path(spark, "stream-latest")
-    T.run_to_table(T.latest_stream(s), out, "complete", label="latest")
+    T.run_to_table(T.latest_stream(s), out, "update", label="latest",
+                   keys=["location_id", "parameter"])
     return rounded(T.read_snapshot(spark, out), "quality_score")
 
 

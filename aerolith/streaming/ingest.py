@@ -177,7 +177,7 @@ def alert_stream(stream: DataFrame, min_band: int = 3) -> DataFrame:
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append",
                  checkpoint: str | None = None, label: str = "sink",
-                 state_partitions: int | None = None):
+                 state_partitions: int | None = None, keys: list[str] | None = None):
     """Run a streaming frame to a Parquet folder (append) or, for
     update/complete aggregates, replace a snapshot table per batch.
 
@@ -194,6 +194,32 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append",
             q = (df.writeStream.format("parquet").option("path", path)
                  .option("checkpointLocation", ck).outputMode("append")
                  .trigger(availableNow=True).start())
+        elif mode == "update":
+            # update mode emits only the keys that changed in this batch: they
+            # replace their rows of the previous snapshot (anti-join + union),
+            # and the result is published as this batch's snapshot
+            if not keys:
+                raise ValueError("update mode needs the key columns")
+
+            def merge(batch: DataFrame, batch_id: int) -> None:
+                target = f"{path.rstrip('/')}/batch={batch_id}"
+                try:
+                    snaps = spark.read.option("basePath", path).parquet(path)
+                    older = snaps.where(F.col("batch").cast("long") < batch_id)
+                    newest = older.select(F.max(F.col("batch").cast("long"))).first()[0]
+                except Exception as exc:
+                    if ("PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc)
+                            and "UNABLE_TO_INFER_SCHEMA" not in str(exc)):
+                        raise
+                    newest = None
+                if newest is None:
+                    merged = batch
+                else:
+                    prev = snaps.where(F.col("batch").cast("long") == newest).drop("batch")
+                    merged = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+                merged.write.mode("overwrite").parquet(target)
+            q = (df.writeStream.foreachBatch(merge).option("checkpointLocation", ck)
+                 .outputMode("update").trigger(availableNow=True).start())
         else:
             def snapshot(batch: DataFrame, batch_id: int) -> None:
                 # each batch publishes a complete snapshot in its own folder; a
