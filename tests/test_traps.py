@@ -238,3 +238,14 @@ def test_null_location_name_falls_back_to_id(spark):
     loc = spark.createDataFrame([(5, None), (6, "")], "location_id long, name string")
     got = {r.location_id: r.location for r in J.attach_location_name(m.drop("location"), loc).collect()}
     assert got == {5: "5", 6: "6"}
+
+
+def test_requested_months_cross_year_boundary(spark, tmp_dir):
+    ids = spark.createDataFrame([(5,)], "location_id long")
+    got = sorted((r.year, r.month) for r in SA.requested_partitions(spark, ids, "2023-11", "2024-02").collect())
+    assert got == [(2023, "11"), (2023, "12"), (2024, "01"), (2024, "02")]
+    raw = raw_rows(spark, [(5, "a", dt.datetime(2023, 12, 31, 23), 1.0, 2.0, "pm25", 1.0)])
+    SA.write_archive(raw, tmp_dir)
+    missing = sorted(r.month for r in SA.missing_partitions(spark, tmp_dir, ids, "2023-11", "2024-02").collect())
+    assert missing == ["01", "02", "11"]
+    assert SA.read_archive(spark, tmp_dir, ids, "2023-12", "2023-12", min_partitions=4).rdd.getNumPartitions() == 4
