@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import quality_rules
+from aerolith.llm import line_dedup, quality_rules, simhash
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -49,3 +49,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_policy(quality_rules.apply_policy(led, QUALITY_POLICY), "base", "base_kept")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          (~F.col("base_kept")).alias("base_failed"), "kept", "failures")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, text FROM documents),
+l AS (SELECT k, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+      FROM d WHERE text IS NOT NULL),
+t AS (SELECT k, source, i, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line_key FROM l),
+pages AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
+bad AS (SELECT source, line_key FROM (SELECT source, line_key, count(DISTINCT k) AS n FROM t
+            WHERE line_key <> '' AND source IS NOT NULL GROUP BY source, line_key) JOIN pages USING (source)
+        WHERE n >= 5 AND n > 0.1 * pages),
+kept AS (SELECT k, count(*) AS n_lines, count(*) FILTER (bad.line_key IS NOT NULL) AS n_dropped,
+                coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bad.line_key IS NULL), '') AS kept
+         FROM t LEFT JOIN bad ON t.source = bad.source AND t.line_key = bad.line_key GROUP BY k)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
+@register("op6_line_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs).drop("source")
+
+
+@register("op10_simhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
