@@ -6,10 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, line_dedup, quality_rules, simhash
+from aerolith.llm import decontaminate, langid, line_dedup, packing, quality_rules, simhash, token_files
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; it is installed on every node."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 #: Policy of ``op4_quality_rules`` and the newest of the ledger.
 QUALITY_POLICY = "v2"
 
@@ -89,3 +97,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
