@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, line_dedup, packing, quality_rules, simhash, token_files
+from aerolith.llm import decontaminate, html_text, langid, line_dedup, packing, quality_rules, simhash, token_files
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -108,3 +108,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@register("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
