@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.session import scratch_path
@@ -37,8 +37,19 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     ``row_key`` tells rows apart that repeat a doc_id with another text; rows that
     are equal in both share it, and every result of theirs is equal too.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"), *extra)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _row_key().alias("row_key"), *extra)
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` that are in ``keys`` (doc_id, row_key), or with ``left_anti`` the
+    others. All columns stay; a null doc_id equals a null one."""
+    tagged = docs.withColumn("__key", _row_key())
+    same = (tagged["__key"] == keys["row_key"]) & tagged["doc_id"].eqNullSafe(keys["doc_id"])
+    return tagged.join(keys, same, how).drop("__key")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

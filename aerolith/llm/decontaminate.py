@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import pieces
+from aerolith.llm.common import keyed, pieces, rows_of, staged
 
 SEED_WORDS = 3
 BLOCK_ITEMS = 20_000
@@ -152,8 +152,9 @@ def _seed_counts(docs: DataFrame, block) -> np.ndarray:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: float = RARE,
           block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, score): every pair of a document and an item that it holds."""
+    """(doc_id, item_id, score, row_key): every pair of a document and an item that it holds."""
     spark = docs.sparkSession
+    docs = keyed(docs)
     n_docs = docs.count()
     blocks = max(1, -(-benchmark.count() // block_items))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -174,16 +175,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, r
                 rows = [(r, block.ids[i], s) for r, text in enumerate(b.column("text").to_pylist())
                         for i, s in matches(block, text, min_score)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array([r for r, _, _ in rows], pa.int64())),
-                     pa.array([i for _, i, _ in rows], item_type), pa.array([s for _, _, s in rows], pa.float64())],
-                    ["doc_id", "item_id", "score"])
+                    [b.column("doc_id").take(at := pa.array([r for r, _, _ in rows], pa.int64())),
+                     pa.array([i for _, i, _ in rows], item_type), pa.array([s for _, _, s in rows], pa.float64()),
+                     b.column("row_key").take(at)],
+                    ["doc_id", "item_id", "score", "row_key"])
 
-        pairs = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double")
+        pairs = docs.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, row_key bigint")
         found = pairs if found is None else found.union(pairs)
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
-    ids = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    gone = staged(leaks(docs, benchmark).select("doc_id", "row_key").distinct(), "leaking")
+    return rows_of(docs, gone, "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import pieces, staged
+from aerolith.llm.common import pieces, rows_of, staged
 
 ORDER = 4
 #: Bound of a broadcast model: log-probabilities (4-grams x languages). Beyond it the
@@ -315,28 +315,31 @@ def calibrate(scored: DataFrame, width: float = 0.05, spread: float = 6.0, least
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected): one row per document.
+    """(doc_id, held_out, lang_pred, score, rejected): one row per document."""
+    return judged(docs).drop("row_key")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``identify`` with the row_key that tells equal doc_ids apart.
 
     Rows with crc32(doc_id) mod 4 of 0 or 1 and a language are counted, those with 3
     calibrate, those with 2 are held out of both.
     """
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    rows = docs.select("doc_id", "text", "lang", part.alias("part"))
+    rows = docs.select("doc_id", "text", "lang", part.cast("int").alias("part"),
+                       F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
     labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     model = train(labelled.where("part IN (0, 1)"))
-    held = (F.coalesce(part == 2, F.lit(False))).alias("held_out")
+    held = F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out")
     if model is None:
-        return docs.select("doc_id", held, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    kind = rows.withColumn("part", F.col("part").cast("int"))
-    scored = staged(score(kind, model, "doc_id", "lang", "part"), "lang-scored")
+        return rows.select("doc_id", held, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), "row_key")
+    scored = staged(score(rows, model, "doc_id", "lang", "part", "row_key"), "lang-scored")
     cal = calibrate(scored.where("part = 3 AND lang IS NOT NULL"))
     out = scored.withColumn("score", F.when(F.col("lang_pred") == UND, F.lit(0.0)).otherwise(cal.score()))
-    return out.select("doc_id", F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score",
-                      cal.rejected().alias("rejected"))
+    return out.select("doc_id", held, "lang_pred", "score", cal.rejected().alias("rejected"), "row_key")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected."""
-    gone = identify(docs).where("rejected")
-    ids = gone.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    gone = staged(judged(docs).where("rejected").select("doc_id", "row_key").distinct(), "lang-rejected")
+    return rows_of(docs, gone, "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import pieces, staged
+from aerolith.llm.common import keyed, pieces, rows_of, staged
 from aerolith.llm.components import connected
 
 MAX_SHARD = 20_000
@@ -69,14 +69,15 @@ def text_fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, row_key, fp): the fingerprint of every whole text as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             fp = text_fingerprints(b.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "row_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, row_key bigint, fp bigint")
 
 
 class BKTree:
@@ -181,21 +182,32 @@ def links(distinct: DataFrame, radius: int = 2, max_shard: int = MAX_SHARD) -> D
             .mapInArrow(_shard_links(radius), "a bigint, b bigint").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, max_shard: int = MAX_SHARD) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document."""
+def _classes(docs: DataFrame, words: int, radius: int, max_shard: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows, and (fp, one) with the row that stands for each fingerprint's
+    class: the one of the smallest doc_id, those without an id last."""
     rows = staged(fingerprints(docs, words), "simhash-rows")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    classes = staged(rows.groupBy("fp").agg(F.min(one).alias("one")), "simhash-classes")
     root = connected(links(classes.select("fp"), radius, max_shard)).withColumnRenamed("node", "fp")
-    linked = classes.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = staged(linked.join(ids, "root").select("fp", "component_id"), "simhash-ids")
-    return rows.join(of, "fp")
+    linked = classes.join(root, "fp", "left").select("fp", "one", F.coalesce("root", "fp").alias("root"))
+    ones = linked.groupBy("root").agg(F.min("one").alias("one"))
+    return rows, staged(linked.select("fp", "root").join(ones, "root").select("fp", "one"), "simhash-ids")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, max_shard: int = MAX_SHARD) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document."""
+    rows, of = _classes(docs, words, radius, max_shard)
+    return rows.join(of, "fp").select("doc_id", "fp", F.col("one.doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names the class.
-    A class without any id keeps its rows; equal ids of a class keep one row."""
-    found = near_duplicates(docs, words, radius)
-    gone = (found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """``docs`` with one document of each class: the one whose id names the class."""
+    rows, of = _classes(docs, words, radius, MAX_SHARD)
+    ones = of.select("one.doc_id", "one.row_key").distinct()
+    same = (rows["row_key"] == ones["row_key"]) & rows["doc_id"].eqNullSafe(ones["doc_id"])
+    kept = staged(rows.join(ones, same, "left_semi").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
+    once = rows_of(docs, kept.where("n = 1"))
+    again = kept.where("n > 1")
+    if again.isEmpty():
+        return once
+    return once.union(rows_of(docs, again).dropDuplicates(["doc_id", "text"]))  # the same row repeated
