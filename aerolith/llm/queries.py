@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, html_text, langid, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files
+from aerolith.llm import decontaminate, html_text, langid, licenses, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -119,3 +119,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_suffix_array_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
