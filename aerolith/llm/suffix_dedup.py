@@ -303,7 +303,8 @@ def remove_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataF
     200-byte string covers is removed; ``kept`` is the rest."""
     docs = keyed(docs)
     occurring, _, covered = window_repeats(docs, block_windows)
-    per_kind = covered.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "size")).alias("covers"))
+    # written, so that the join below reads two plain exchanges and a hot window's rows can be split
+    per_kind = staged(covered.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "size")).alias("covers")), "covers")
     cuts = (occurring.join(per_kind, ["anchor", "content"])
             .select("doc_id", "row_key", "at", "covers")
             .groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("at", "covers")).alias("cuts")))
