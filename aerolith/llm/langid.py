@@ -288,8 +288,9 @@ def calibrate(scored: DataFrame, width: float = 0.05, spread: float = 6.0, least
     Score: share of right predictions by margin bin (``width`` nats, widened to
     ``LEAST_ROWS`` rows, smoothed by one right and one wrong row) made non-decreasing by pooling neighbours. Limit: mean plus
     ``spread`` deviations (``least_spread`` nats at least) of the cross-entropy of right
-    predictions in the same language and size class; sizes without 20 rows take the
-    language's widest limit.
+    predictions in the same language and size class. Sizes without 20 rows take the mean
+    and deviation of the whole language, short ones with more spread; a language without
+    5 rows rejects nothing.
     """
     right = F.col("lang") == F.col("lang_pred")
     rows = scored.where(f"lang_pred <> '{UND}'")
@@ -305,12 +306,18 @@ def calibrate(scored: DataFrame, width: float = 0.05, spread: float = 6.0, least
             ok, n, b = pool.pop()
             pool[-1] = [pool[-1][0] + ok, pool[-1][1] + n, b]
     stats = (rows.where(right).groupBy("lang", F.least(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))), F.lit(SIZES - 1)).cast("int").alias("size"))
-             .agg(F.count(F.lit(1)).alias("n"), F.mean("xent").alias("mean"), F.coalesce(F.stddev_pop("xent"), F.lit(0.0)).alias("sd")).collect())
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("xent").alias("s"), F.sum(F.col("xent") * F.col("xent")).alias("q")).collect())
+
+    def over(rows: list, more: float = 1.0) -> float:
+        n, s, q = (sum(r[k] for r in rows) for k in ("n", "s", "q"))
+        return s / n + spread * more * max(max(q / n - (s / n) ** 2, 0.0) ** 0.5, least_spread)
+
     limit: dict[str, list[float]] = {}
     for lang in sorted({r["lang"] for r in stats}):
-        own = {r["size"]: r["mean"] + spread * max(r["sd"], least_spread) for r in stats if r["lang"] == lang and r["n"] >= 20}
-        wide = max(own.values(), default=float("inf"))
-        limit[lang] = [own.get(s, wide) for s in range(SIZES)]
+        mine = [r for r in stats if r["lang"] == lang]
+        own = {r["size"]: over([r]) for r in mine if r["n"] >= 20}
+        enough = sum(r["n"] for r in mine) >= 5
+        limit[lang] = [own.get(s) or (over(mine, max(1.0, (64 / 2 ** s) ** 0.5)) if enough else float("inf")) for s in range(SIZES)]
     return Calibration([(p[2] + 1) * width for p in pool] or [0.0], [p[0] / p[1] for p in pool] or [0.5], limit)
 
 

@@ -5,10 +5,11 @@ apart, so that a notice inside prose is seen whole. Word 1- and 2-grams are hash
 sparse vector, and a multinomial logistic regression (pyspark.ml, on the JVM) tells the
 licence families and ``none`` apart. It is trained on the templates, bare and set between
 words of ordinary paragraphs, against ``NEGATIVES`` ordinary paragraphs of the corpus
-(bounded by that parameter; the choice is by hash, the same every time).
+(bounded by that parameter; the choice is by hash, the same every time). Half of the
+notices of families without a class train the class ``other``.
 
 The limit of the ``unknown`` class is calibrated on rows kept out of training: known
-notices and notices of families that have no class. A named family must also be confirmed
+notices, and the other half of those without a class. A named family must also be confirmed
 by one of its templates: share of common word 3-grams, of the shorter of the two.
 
 Defined results: a null or empty text has no paragraphs; a null doc_id is kept; repeated
@@ -31,7 +32,9 @@ FEATURES = 1 << 15
 NEGATIVES = 3000
 CONTEXTS = (0, 4, 12)
 SIMILAR = 0.6
-CLASSES = ["none", *TEMPLATES]
+#: Range of the calibrated least probability of a licence.
+LICENCE = (0.25, 0.5)
+CLASSES = ["none", *TEMPLATES, "other"]
 _CUE = r"(?i)licen[cs]|copyright|copyleft|public domain|all rights|permission|redistribut"
 
 
@@ -44,8 +47,9 @@ def paragraph_windows(docs: DataFrame) -> DataFrame:
     lines = keyed(docs).select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     words = lines.select("doc_id", "row_key", "paragraph", _words(F.col("line")).alias("w")).where("size(w) > 0")
     last = F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0))
-    return (words.select("doc_id", "row_key", "paragraph", "w", F.explode(F.sequence(F.lit(0), last, F.lit(WINDOW // 2))).alias("first_word"))
-            .select("doc_id", "row_key", "paragraph", "first_word", F.slice("w", F.col("first_word") + 1, WINDOW).alias("w")))
+    # cut before the rows are made: a window's row holds its own words only
+    cut = F.transform(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), lambda s: F.struct(s.alias("first_word"), F.slice("w", s + 1, WINDOW).alias("w")))
+    return words.select("doc_id", "row_key", "paragraph", F.explode(cut).alias("x")).select("doc_id", "row_key", "paragraph", "x.*")
 
 
 def _featured(rows: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def _featured(rows: DataFrame) -> DataFrame:
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(f"{family}:{k}", family, CLASSES.index(family), text)
             for family, texts in TEMPLATES.items() for k, text in enumerate(texts)]
-    rows += [(f"unknown:{k}", "unknown", -1, text) for k, text in enumerate(UNKNOWN)]
+    rows += [(f"unknown:{k}", "unknown", -1 if k % 2 else CLASSES.index("other"), text) for k, text in enumerate(UNKNOWN)]
     rows = [(slot, *row) for slot, row in enumerate(rows)]
     return (spark.createDataFrame(rows, "slot int, template string, family string, label int, text string")
             .select("slot", "template", "family", "label", _words(F.col("text")).alias("tw")))
@@ -84,18 +88,23 @@ def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
             .union(templates.where("label > 0").select("label", F.lit(False), "tw")))
 
 
-def train(docs: DataFrame, negatives: int = NEGATIVES) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the limit below which a licence is of unknown family."""
+def train(docs: DataFrame, negatives: int = NEGATIVES) -> tuple[LogisticRegressionModel, float, float]:
+    """The classifier, the least probability of a licence (twice what any ordinary paragraph
+    kept out of training gets, within ``LICENCE``), and the least share of its family."""
     rows = staged(_featured(training_rows(docs, negatives)), "licence-training")
     fit = rows.where("label >= 0 AND NOT held").withColumn("label", F.col("label").cast("double"))
-    model = LogisticRegression(family="multinomial", maxIter=40, regParam=0.003).fit(fit)
-    kept_out = staged(_judged(rows.where("held OR label = -1"), model).where("licence >= 0.5").select("label", "best", "p"), "licence-calibration")
+    model = LogisticRegression(family="multinomial", maxIter=40, regParam=0.002).fit(fit)
+    kept_out = staged(_judged(rows.where("held OR label = -1"), model).select("label", "licence", "best", "p"), "licence-calibration")
+    plain = kept_out.where("label = 0").agg(F.max("licence").alias("p")).head()["p"] or 0.0
+    licence = min(max(2 * plain, LICENCE[0]), LICENCE[1])
+    kept_out = kept_out.where(F.col("licence") >= licence)
     grid = F.explode(F.array(*[F.lit(x / 20) for x in range(4, 20)])).alias("limit")
-    good = F.when(F.col("p") >= F.col("limit"), F.col("label") == F.col("best")).otherwise(F.col("label") == -1)
+    named = (F.col("p") >= F.col("limit")) & (F.col("best") < len(CLASSES) - 1)
+    good = F.when(named, F.col("label") == F.col("best")).otherwise(F.col("label").isin(-1, len(CLASSES) - 1))
     # each side counts the same, however many rows it has
     sides = kept_out.select("label", "p", "best", grid).groupBy("limit", (F.col("label") == -1).alias("foreign")).agg(F.avg(good.cast("double")).alias("right"))
     best = sides.groupBy("limit").agg(F.avg("right").alias("right")).orderBy(F.desc("right"), "limit").head()
-    return model, float(best["limit"]) if best else 0.5
+    return model, licence, float(best["limit"]) if best else 0.5
 
 
 def _judged(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
@@ -118,13 +127,14 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     similarity, confirmed): the paragraphs that hold a licence notice. ``family`` is
     ``unknown`` unless the classifier names one and a template of it confirms it."""
     spark = docs.sparkSession
-    model, limit = train(docs, negatives)
-    hits = staged(_judged(_featured(paragraph_windows(docs)), model).where("licence >= 0.5"), "licence-windows")
-    templates = F.broadcast(_templates(spark).where("label > 0")  # the fixed list of templates
+    model, licence, limit = train(docs, negatives)
+    hits = staged(_judged(_featured(paragraph_windows(docs)), model).where(F.col("licence") >= licence), "licence-windows")
+    templates = F.broadcast(_templates(spark).where("family <> 'unknown'")  # the fixed list of templates
                             .select("template", F.col("label").alias("best"), "family", _grams(F.col("tw")).alias("tg")))
     grams = hits.withColumn("g", _grams(F.col("w")))
     same = F.size(F.array_intersect("g", "tg")) / F.least(F.size("g"), F.size("tg"))
-    compared = (grams.join(templates, "best").withColumn("similarity", same)
+    compared = (grams.join(templates, "best", "left")
+                .withColumn("similarity", F.when(F.col("tg").isNull(), 0.0).otherwise(same))
                 .withColumn("confirmed", (F.col("p") >= limit) & (F.col("similarity") >= SIMILAR)))
     rank = F.struct("confirmed", "similarity", "licence", "p", "template", "family")
     top = compared.groupBy("doc_id", "row_key", "paragraph").agg(F.max(rank).alias("t"))

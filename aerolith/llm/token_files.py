@@ -79,14 +79,14 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndarr
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEAD.size
+    if len(raw) != at + 17 * docs + n_control + n_data:
+        raise ValueError("a token file is cut short")
     doc_ids = np.frombuffer(raw, "<i8", docs, at)
     valid = np.frombuffer(raw, np.uint8, docs, at + 8 * docs)
     sizes = np.frombuffer(raw, "<u8", docs, at + 9 * docs).astype(np.int64)
     at += 17 * docs
     control = np.frombuffer(raw, np.uint8, n_control, at)
     data = np.frombuffer(raw, np.uint8, n_data, at + n_control)
-    if len(raw) != at + n_control + n_data:
-        raise ValueError("a token file is cut short")
     return [int(x) if v else None for x, v in zip(doc_ids, valid, strict=True)], sizes, start, decode_ranks(control, data, ids)
 
 
