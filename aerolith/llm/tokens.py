@@ -2,23 +2,39 @@
 
 A BPE pre-tokenizer never joins what stands on the two sides of a single white space
 between other characters, except that a space goes with the word after it. So a text can
-be cut before each such white space, each distinct unit encoded once per worker by the
-``tokenizers`` library, and the ids put together. Texts with white space beyond ASCII are
-encoded whole. ``tests/llm`` holds the result against whole-text encoding.
+be cut before each such white space, each distinct unit encoded once by the
+``tokenizers`` library, and the ids put together. White space in runs or beyond ASCII is
+kept whole. ``tests/llm`` holds the result against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-_UNIT = re.compile(r"\s?\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+", re.ASCII)
+_RUNS = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_UNIT = re.compile(r"\s?\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+", re.ASCII)
+#: Units of one generation of the cache; two are held.
 MAX_UNITS = 400_000
 
 
+def _units(text: str) -> list[str]:
+    """The units of a text; a unit that begins with a space stands without it, one that
+    begins otherwise with a mark before it."""
+    if not _RUNS.search(text):
+        first, *rest = text.replace("\n", " \x00\n").split(" ")
+        return ["\x00" + first, *rest] if not first.startswith("\x00") else [first, *rest]
+    if _OTHER_SPACE.search(text):
+        return ["\x00" + text]
+    return [u[1:] if u[0] == " " else "\x00" + u for u in _UNIT.findall(text)]
+
+
+def _raw(unit: str) -> str:
+    return unit[1:] if unit[:1] == "\x00" else " " + unit
+
+
 class Encoder:
     """``encode(texts)``: ids of each text as little-endian uint32 bytes."""
 
@@ -27,22 +43,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t and _OTHER_SPACE.search(t) else _UNIT.findall(t or "") for t in texts]
-        need = set().union(*(u for u in cut if u is not None))
-        if len(self.known) + len(need) > MAX_UNITS:
-            self.known.clear()
-        new = [u for u in need if u not in self.known]
+    def _learn(self, units: set[str]) -> None:
+        if len(self.known) + len(units) > MAX_UNITS:
+            self.before, self.known = self.known, {}
+        again = units & self.before.keys()
+        self.known.update((u, self.before[u]) for u in again)
+        new = list(units - again)
         for lo in range(0, len(new), 4096):
             part = new[lo:lo + 4096]
-            self.known.update(zip(part, self._whole(part), strict=True))
-        get = self.known.__getitem__
-        return [self._whole([t])[0] if u is None else b"".join(map(get, u)) for t, u in zip(texts, cut, strict=True)]
+            self.known.update(zip(part, self._whole([_raw(u) for u in part]), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 200):
+            cut = [_units(t) if t and "\x00" not in t else None for t in texts[lo:lo + 200]]
+            need = set().union(*(u for u in cut if u is not None))
+            fresh = need - self.known.keys()
+            if fresh:
+                if len(self.known) + len(fresh) > MAX_UNITS:
+                    fresh = need  # the cache turns over: all units of these texts must be in the new one
+                self._learn(fresh)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, u)) if u is not None else self._whole([t or ""])[0]
+                    for t, u in zip(texts[lo:lo + 200], cut, strict=True)]
+        return out
 
 
 @lru_cache(maxsize=2)
