@@ -68,6 +68,14 @@ WEEKDAY_ORDER: list[str] = [
     "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
 ]
 
+# --- Fixed values: payload columns that get another name --------------------
+PAYLOAD_RENAMES = {
+    "locationsId": "location_id",
+    "sensorsId": "sensor_id",
+    "datetime": "measurement_time",
+    "location": "location_name",
+}
+
 # --- Fixed values: limits and periods ---------------------------------------
 QUALITY_STALE_HOURS = 24
 RAW_TABLE_CANDIDATES = ("air_quality", "air_quality_data")

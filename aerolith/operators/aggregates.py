@@ -146,13 +146,14 @@ def system_summary(locations: DataFrame, m: DataFrame) -> DataFrame:
 
 def trusted_summary(m: DataFrame, approximate: bool = False) -> DataFrame:
     """O-A9 distinct locations, distinct parameters, rows, latest (trusted).
-    Exact multi-distinct plans an ``Expand``; ``approximate`` uses HLL++."""
-    t = P.trusted(m)
-    cd = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.countDistinct(c))
-    return t.agg(cd("location_id").alias("location_count"),
-                 cd("parameter").alias("parameter_count"),
-                 F.count(F.lit(1)).alias("total_measurements"),
-                 F.max("measurement_time").alias("latest_measurement"))
+    The fact is first reduced to a row per (location, parameter), so the exact
+    distinct counts run over that small frame; ``approximate`` uses HLL++."""
+    per = (P.trusted(m).groupBy("location_id", "parameter")
+           .agg(F.count(F.lit(1)).alias("n"), F.max("measurement_time").alias("t")))
+    cd = F.approx_count_distinct if approximate else F.countDistinct
+    return per.agg(cd("location_id").alias("location_count"), cd("parameter").alias("parameter_count"),
+                   F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_measurements"),
+                   F.max("t").alias("latest_measurement"))
 
 
 def quality_by_parameter(m: DataFrame) -> DataFrame:
@@ -201,17 +202,22 @@ def overview(raw: DataFrame) -> DataFrame:
     bounds, latest reading and ingestion, and the labels of the parameter
     codes in code order. The code set is bounded by the parameter vocabulary."""
     v = P.load_readings(raw)
+    has_ingestion = "ingestion_datetime" in v.columns
+    # a row per (location, parameter) first: the distinct counts run over that small frame
+    v = v.groupBy("location", "parameter").agg(
+        F.count(F.lit(1)).alias("n"), F.min("datetime").alias("first"), F.max("datetime").alias("last"),
+        *[F.max("ingestion_datetime").alias("ingested")] * has_ingestion)
     # codes sorted first, then shown by label (the order a reader sees)
     labels = F.array_join(F.transform(F.array_sort(F.collect_set("parameter")), X.parameter_label), ", ")
-    cols = [F.count(F.lit(1)).alias("total_records"),
+    cols = [F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_records"),
             F.countDistinct("location").alias("location_count"),
             F.countDistinct("parameter").alias("parameter_count"),
-            F.min(X.to_midnight("datetime")).alias("min_date"),
-            F.max(X.to_midnight("datetime")).alias("max_date"),
-            F.max("datetime").alias("latest_reading"),
+            X.to_midnight(F.min("first")).alias("min_date"),
+            X.to_midnight(F.max("last")).alias("max_date"),
+            F.max("last").alias("latest_reading"),
             labels.alias("parameter_labels")]
-    if "ingestion_datetime" in v.columns:
-        cols.insert(6, F.max("ingestion_datetime").alias("latest_ingestion"))
+    if has_ingestion:
+        cols.insert(6, F.max("ingested").alias("latest_ingestion"))
     return v.agg(*cols)
 
 

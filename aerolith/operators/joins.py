@@ -12,19 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions import scalars as X
+from aerolith.session import small_side, written_once
 
 GEN1_INSERT_KEYS = ["location_id", "sensors_id", "datetime", "parameter"]
 
 
 def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None = None,
-                     time_col: str | None = "auto", dedupe_batch: bool = False) -> DataFrame:
+                     time_col: str | None = "auto", dedupe_batch: bool = False,
+                     null_safe: bool = False) -> DataFrame:
     """O-J1 stage rows with no match in ``fact`` on ``keys`` (NOT EXISTS).
 
-    NULL keys never match, so such rows are always inserted (T15). With
-    ``time_col`` the fact is first narrowed to the time range of the stage
-    (pushed to the scan / partitions) and reduced by a semi-join against the
-    stage keys, so the large side is scanned once and never shuffled in full;
-    the anti-join then runs against at most |stage| matched keys.
+    NULL keys never match, so such rows are always inserted (T15), unless
+    ``null_safe``. With ``time_col`` the fact is first narrowed to the months
+    that the stage holds (``stage_months``): literals that prune partitions and
+    row groups, so one old row opens its own month and not all since. The
+    stage's keys are written once; counted and small, they are broadcast and
+    the fact is filtered where it is scanned. Larger, the narrowed fact is
+    shuffled by the keys. The anti-join runs against at most |stage| keys.
     ``dedupe_batch`` additionally keeps one row per key inside the batch.
     ``time_col='auto'`` narrows by the first timestamp-typed key (a row can only
     match a fact row with the same time); ``None`` anti-joins the full fact.
@@ -36,14 +40,51 @@ def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None =
     s = dedupe_on_key(stage, keys) if dedupe_batch else stage  # deterministic row per key
     fk = fact.select(*keys)
     if time_col is not None:
-        # two scalars of the (small) stage, as literals: they reach the fact's
-        # Parquet scan as pushed filters and skip row groups outside the range
-        b = stage.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
-        if b["lo"] is None:  # no stage row has a time: only null keys, none can match
+        s = written_once(s, "stage")
+        months = stage_months(s, time_col)
+        if not months and not null_safe:  # no stage row has a time: none can match
             return s
-        fk = fk.where(F.col(time_col).between(F.lit(b["lo"]), F.lit(b["hi"])))
-        fk = fk.join(s.select(*keys).distinct(), keys, "left_semi")
-    return s.join(fk, keys, "left_anti")
+        fk = _in_months(fact, time_col, months, null_safe).select(*keys)
+        fk = _matching(fk, small_side(s.select(*keys).distinct(), "stage-keys"), keys, "left_semi", null_safe)
+    return _matching(s, fk, keys, "left_anti", null_safe)
+
+
+def stage_months(stage: DataFrame, time_col: str) -> list[tuple[int, int]]:
+    """The distinct (year, month) of a batch's times, in order."""
+    t = F.col(time_col)
+    rows = stage.where(t.isNotNull()).select(F.year(t).alias("y"), F.month(t).alias("m")).distinct().collect()
+    return sorted((r["y"], r["m"]) for r in rows)
+
+
+def _in_months(fact: DataFrame, time_col: str, months: list[tuple[int, int]], nulls: bool) -> DataFrame:
+    """Fact rows of the listed months: a time range per run of months (it skips row
+    groups) and, where the fact has them, its year/month partition columns."""
+    runs: list[list[int]] = []
+    for y, m in months:
+        k = y * 12 + m - 1
+        if runs and runs[-1][1] == k:
+            runs[-1][1] = k + 1
+        else:
+            runs.append([k, k + 1])
+    first = lambda k: F.lit(f"{k // 12:04d}-{k % 12 + 1:02d}-01").cast("timestamp_ntz")
+    keep = F.col(time_col).isNull() if nulls else F.lit(False)
+    for lo, hi in runs:
+        inside = (F.col(time_col) >= first(lo)) & (F.col(time_col) < first(hi))
+        if {"year", "month"} <= set(fact.columns):
+            ix = F.col("year").cast("long") * 12 + F.col("month").cast("long") - 1
+            inside = inside & (ix >= lo) & (ix < hi)
+        keep = keep | inside
+    return fact.where(keep)
+
+
+def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return left.join(right, keys, how)
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(r[f"_r_{k}"])
+    return left.join(r, cond, how)
 
 
 def lookup_sensors(rows: DataFrame, sensors: DataFrame, key: str = "sensor_id",
@@ -62,18 +103,21 @@ def lookup_sensors(rows: DataFrame, sensors: DataFrame, key: str = "sensor_id",
 def attach_location_name(m: DataFrame, locations: DataFrame, name_col: str = "name",
                          out: str = "location") -> DataFrame:
     """O-J9 location name from the dimension, else the id as text."""
-    l = locations.select("location_id", F.col(name_col).alias("_name"))
+    # metadata is landed again by every poll: one name per id, or rows would multiply
+    l = locations.groupBy("location_id").agg(F.max(name_col).alias("_name"))
     return (m.join(l, "location_id", "left")
             .withColumn(out, X.name_or_id("_name", "location_id")).drop("_name"))
 
 
 def classify_existing(incoming: DataFrame, existing: DataFrame,
                       key: str = "location_id") -> DataFrame:
-    """O-J5 incoming record already present? -> 'updated' else 'added'.
-    Returns the incoming rows with ``sync_status`` (one left join, no N+1)."""
+    """O-J5 incoming record already present? -> 'updated' else 'added'; a record
+    without its key cannot be stored and is 'errors'. Returns the incoming rows
+    with ``sync_status`` (one left join, no N+1)."""
     ek = existing.select(F.col(key).alias("_ek")).distinct()
     return (incoming.join(ek, incoming[key] == ek["_ek"], "left")
-            .withColumn("sync_status", F.when(F.col("_ek").isNull(), F.lit("added"))
+            .withColumn("sync_status", F.when(F.col(key).isNull(), F.lit("errors"))
+                        .when(F.col("_ek").isNull(), F.lit("added"))
                         .otherwise(F.lit("updated"))).drop("_ek"))
 
 
@@ -102,11 +146,14 @@ def insert_ignore_conflict(batch: DataFrame, target: DataFrame, key: list[str],
 
 def upsert(target: DataFrame, batch: DataFrame, key: list[str],
            prefer: list[Column] | None = None, stamp_col: str | None = "last_updated",
-           now: Column | None = None) -> DataFrame:
+           now: Column | None = None, defaults: dict | None = None) -> DataFrame:
     """O-J7 copy-on-write upsert: target rows whose key is not in the batch,
     plus the (deduplicated) batch with ``stamp_col`` refreshed. The caller
     writes the result to a new path (never over the path being read)."""
     b = dedupe_on_key(batch, key, prefer)
+    for c, value in (defaults if defaults is not None else {"is_active": True}).items():
+        if c in target.columns:  # a batch that does not say so adds active locations
+            b = b.withColumn(c, F.coalesce(F.col(c), F.lit(value)) if c in b.columns else F.lit(value))
     if stamp_col is not None and stamp_col in target.columns:
         b = b.withColumn(stamp_col, now if now is not None else X.utc_now())
     kept = target.join(b.select(*key), key, "left_anti")
@@ -142,7 +189,8 @@ def update_locations(target: DataFrame, changes: DataFrame, key: str = "location
     cols = [c for c in changes.columns if c != key and c in target.columns]
     if not cols:
         return target
-    ch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]) \
+    # a key repeated in the changes keeps one (the largest) change, not one row each
+    ch = dedupe_on_key(changes.select(key, *cols), [key]).select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]) \
                 .withColumn("_hit", F.lit(True))
     j = target.join(ch, key, "left")
     hit = F.col("_hit").isNotNull()

@@ -158,21 +158,11 @@ def in_bbox(df: DataFrame, bbox: tuple[float, float, float, float],
 
 
 # Payload field -> table column (O-P13).
-PAYLOAD_COLUMN_MAP = {
-    "locationsId": "location_id",
-    "sensorsId": "sensor_id",
-    "location": "location_name",
-    "parameter": "parameter",
-    "value": "value",
-    "unit": "unit",
-    "datetime": "measurement_time",
-    "coordinates": "coordinates",
-}
 
 
 def standardise_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """O-P13 rename known columns, keep the rest."""
-    m = mapping or PAYLOAD_COLUMN_MAP
+    m = mapping or fixed.PAYLOAD_RENAMES
     return df.select(*[F.col(f"`{c}`").alias(m.get(c, c)) for c in df.columns])
 
 

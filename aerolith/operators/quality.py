@@ -2,9 +2,9 @@
 
 Global bounds (newest time, per-parameter quartiles, mean and deviation) are
 computed once as small aggregates. A 1-row bound is used as a scalar
-subquery; a per-parameter bound frame is joined on ``parameter`` and AQE turns
-that join into a broadcast only after measuring the aggregated side, so the
-fact is never shuffled by its (low-cardinality, skewed) parameter.
+subquery. A per-parameter bound frame is written and counted before it is
+joined: up to ``session.SMALL_ROWS`` rows it is broadcast and the fact stays
+where it is scanned; beyond that the join shuffles, with hot keys split by AQE.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import predicates as P
 from aerolith.operators import quantiles as QN
+from aerolith.session import small_side, written_once
 
 GEN1_DUPLICATE_KEYS = ["location_id", "datetime", "parameter"]
 
@@ -45,15 +46,18 @@ def quality_profile(raw: DataFrame, keys: list[str] | None = None,
                     location: str = "location", hours: int = fixed.QUALITY_STALE_HOURS) -> DataFrame:
     """O-A13 one-row profile of the gen 1 fact (invalid rows included):
     total, missing, negative, duplicates (T14 keys), stale locations, latest.
-    Each part is its own aggregate; parts are combined as scalar subqueries."""
+    Two scans of the fact: one per location (all counts and the newest time,
+    written as a dimension-sized table), one for the duplicates."""
     r = P.load_readings(raw, include_invalid=True).withColumn("value", X.to_number("value"))
     k = keys or GEN1_DUPLICATE_KEYS
     dup = duplicate_count(r, k).scalar()
-    stale = stale_locations(r, location, "datetime", hours).scalar()
-    base = r.agg(F.count(F.lit(1)).alias("total_records"),
-                 F.count(F.when(F.col("value").isNull(), F.lit(1))).alias("missing_values"),
-                 F.count(F.when(F.col("value") < 0, F.lit(1))).alias("negative_values"),
-                 F.max("datetime").alias("latest_reading"))
+    per = written_once(r.groupBy(location).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value").isNull(), F.lit(1))).alias("missing"),
+        F.count(F.when(F.col("value") < 0, F.lit(1))).alias("negative"), F.max("datetime").alias("datetime")), "profile")
+    stale = stale_locations(per, location, "datetime", hours).scalar()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    base = per.agg(total("n").alias("total_records"), total("missing").alias("missing_values"),
+                   total("negative").alias("negative_values"), F.max("datetime").alias("latest_reading"))
     return base.select("total_records", "missing_values", "negative_values",
                        dup.alias("duplicate_records"), stale.alias("stale_locations"),
                        "latest_reading")
@@ -72,7 +76,7 @@ def iqr_bounds(m: DataFrame, value: str = "value", by: str = "parameter",
 def outliers_iqr(m: DataFrame, value: str = "value", by: str = "parameter",
                  factor: float = fixed.OUTLIER_IQR_FACTOR, method: str = "exact") -> DataFrame:
     """O-A22 flag values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] of their group."""
-    b = iqr_bounds(m, value, by, factor, method).select(by, "lower_bound", "upper_bound")
+    b = small_side(iqr_bounds(m, value, by, factor, method).select(by, "lower_bound", "upper_bound"), "bounds")
     v = F.col(value)
     flag = (v < F.col("lower_bound")) | (v > F.col("upper_bound"))
     return (m.join(b, by, "left")
@@ -84,7 +88,7 @@ def outliers_zscore(m: DataFrame, value: str = "value", by: str = "parameter",
                     limit: float = fixed.OUTLIER_Z_LIMIT) -> DataFrame:
     """O-A23 flag |z| > 3 with the sample deviation of the group; a zero or
     undefined deviation flags nothing (T24)."""
-    s = m.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
+    s = small_side(m.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")), "bounds")
     z = X.abs_zscore(value, "_mean", "_std")
     return (m.join(s, by, "left")
             .withColumn("is_outlier", F.coalesce(z > F.lit(limit), F.lit(False)))
@@ -109,10 +113,5 @@ def observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observatio
 
 
 def metrics(obs: Observation) -> dict:
-    """Observed values, or ``{}`` when the observed subtree never ran: AQE
-    removes a stage it has proved empty, and its observation with it (an
-    observation above an exchange, as in the sinks, always reports)."""
-    try:
-        return obs.get
-    except Exception:  # noqa: BLE001 - only the folded-empty case reaches here
-        return {}
+    """Observed values; a failed observation raises instead of reading as zero."""
+    return obs.get

@@ -19,8 +19,8 @@ Only the bracket (about ``2 * margin * n / accuracy`` rows' distinct
 values per quantile) is ever ordered; the largest value below and the
 smallest above each bracket are kept too, so a bracket that ends one rank
 short (sketch rounding on small groups) still yields the exact value. A
-bracket missing by more would give null rather than a wrong value; the
-sketch's rank guarantee and the margin make that unreachable.
+bracket missing by more raises an error; the sketch's rank guarantee and the
+margin make that unreachable.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.session import small_side
+
 DEFAULT_ACCURACY = 1_000_000
 DEFAULT_MARGIN = 4.0
 
@@ -58,9 +60,10 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
     hi_p = [min(1.0, p + eps) for p in probs]
     stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
                                F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_a"))
-    bounds = stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n",
+    # a row per group, computed once: broadcast when counted small, so the rows stay where they are
+    bounds = small_side(stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n",
                           *[F.col("_a")[i].alias(f"_lo{i}") for i in range(k)],
-                          *[F.col("_a")[k + i].alias(f"_hi{i}") for i in range(k)])
+                          *[F.col("_a")[k + i].alias(f"_hi{i}") for i in range(k)]), "brackets")
 
     # 2. one pass: per quantile, every row falls below, inside or above its
     #    bracket; inside rows keep their value as bucket, outside rows keep
@@ -96,7 +99,9 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
              .agg(F.max(value_at(F.col("_r0"))).alias("_v0"),
                   F.max(value_at(F.col("_r1"))).alias("_v1"),
                   F.max("_h").alias("_h"), F.max("_r0").alias("_r0")))
-    per_q = per_q.withColumn("_q", F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0")))
+    found = F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket: raise the accuracy or the margin")).cast("double")
+    per_q = per_q.withColumn("_q", F.when(found.isNull(), missed).otherwise(found))
     return per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i])
                                     for i in range(k)])
 

@@ -7,6 +7,7 @@ through ``Observation`` (O-A27) rather than extra counting jobs.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ from aerolith.sources import sinks as K
 def archive_backfill(spark: SparkSession, archive_base: str, location_map: str, start: str,
                      end: str, fact_path: str, map_whole_file: bool = True) -> dict:
     """O-C1 location map -> partition selection -> scan -> append.
-    Returns rows appended and the requested partitions that were absent."""
+    Returns rows appended, lines that did not parse, and the requested
+    partitions that were absent. A line whose time does not parse is not stored."""
     ids = SP.read_location_map(spark, location_map, whole_file=map_whole_file).select("location_id")
-    rows = SA.read_archive(spark, archive_base, ids, start, end)
+    rows = SA.read_archive(spark, archive_base, ids, start, end).where(F.col("datetime").isNotNull())
     metrics = K.append_partitioned(rows, fact_path, sort_within=K.GEN1_FACT_ORDER)
     missing = SA.missing_partitions(spark, archive_base, ids, start, end)
-    return {"appended": int(metrics.get("rows", 0)), "missing_partitions": missing}
+    corrupt = SA.corrupt_lines(spark, archive_base, ids, start, end).count()
+    return {"appended": int(metrics.get("rows", 0)), "corrupt_lines": corrupt, "missing_partitions": missing}
 
 
 def presentation_gen1(raw: DataFrame) -> dict[str, DataFrame]:
@@ -59,29 +62,39 @@ def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> list[str
 
 def live_collection(spark: SparkSession, metadata_path: str, latest_path: str,
                     fact_path: str | None = None, dry_run: bool = False,
-                    multiline: bool = True) -> tuple[DataFrame, int | None]:
+                    multiline: bool = True) -> tuple[DataFrame, dict]:
     """O-C3 metadata + latest payloads -> sensor join -> fact rows ->
-    insert-if-absent. ``dry_run`` returns the rows without writing."""
+    insert-if-absent. ``dry_run`` returns the rows without writing. The second
+    result counts rows inserted (observed at the write) and documents that
+    could not be read (O-E3)."""
     sensors = SP.sensor_lookup(spark, metadata_path, multiline=multiline)
     meta = SP.location_metadata(spark, metadata_path, multiline=multiline)
     latest = SP.latest_rows(spark, latest_path, multiline=multiline)
     rows = SP.payload_to_raw_rows(latest, sensors, meta)
-    if dry_run or fact_path is None:
-        return rows, None
-    return rows, K.insert_live_rows(spark, rows, fact_path)
+    failed = sum(SP.quarantined(spark, kind, path, multiline).count()
+                 for kind, path in (("metadata", metadata_path), ("latest", latest_path)))
+    stats = {"inserted": None, "failed_documents": failed}
+    if not dry_run and fact_path is not None:
+        stats["inserted"] = K.insert_live_rows(spark, rows, fact_path)
+    return rows, stats
 
 
 def location_sync(spark: SparkSession, listing_path: str, locations: DataFrame, out_path: str,
                   country: str | None = None, city: str | None = None,
                   limit: int | None = None, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """O-C4 listing -> validation -> flatten -> classify (added/updated) ->
-    upsert written copy-on-write. Returns (counts by status, new dimension)."""
+    """O-C4 listing -> validation -> flatten -> classify (added/updated/errors) ->
+    upsert written copy-on-write. Returns (counts by status, new dimension). A
+    listing without any usable record raises; records without an id are counted
+    as errors and left out, documents that could not be read as failed_documents."""
     listing = SP.locations_listing(spark, listing_path, country, city, limit, multiline=multiline)
     check = P.validate_required(listing, "location_id").first()
-    if not check["is_valid"]:
+    if check["n_rows"] == check["n_missing"]:
         raise ValueError("location listing failed validation")
+    failed = SP.quarantined(spark, "locations", listing_path, multiline).count()
     counts = J.sync_counts(listing, locations)
-    new_dim = K.load_locations(spark, listing, locations, out_path)
+    if failed:
+        counts = counts.unionByName(spark.createDataFrame([("failed_documents", failed)], counts.schema))
+    new_dim = K.load_locations(spark, listing.where(F.col("location_id").isNotNull()), locations, out_path)
     return counts, new_dim
 
 
@@ -89,7 +102,9 @@ def measurement_collection(spark: SparkSession, payload_path: str, table_path: s
                            date_from=None, date_to=None, now: dt.datetime | None = None,
                            multiline: bool = True) -> dict:
     """O-C6 measurement payloads (default: the last 24 hours before ``now``)
-    -> transform (O-C5) -> insert ignoring conflicts -> metrics (O-A27)."""
+    -> transform (O-C5) -> insert ignoring conflicts -> metrics (O-A27): rows of
+    every step, documents that could not be read, start and end of the run."""
+    started = dt.datetime.now(dt.timezone.utc)
     if date_from is None or date_to is None:
         now = now or dt.datetime.utcnow()
         date_from, date_to = now - dt.timedelta(days=1), now
@@ -102,22 +117,28 @@ def measurement_collection(spark: SparkSession, payload_path: str, table_path: s
     res = K.load_measurements(spark, recs, table_path)
     m = Q.metrics(obs)
     extracted, kept = int(m.get("rows", 0)), int(m.get("kept", 0))
+    failed = SP.quarantined(spark, "measurements", payload_path, multiline).count()
     return {"extracted": extracted, "transformed": kept, "filtered": extracted - kept,
-            "loaded": res["inserted"], "skipped": res["skipped"]}
+            "loaded": res["inserted"], "skipped": res["skipped"], "errors": failed,
+            "started": started, "ended": dt.datetime.now(dt.timezone.utc)}
 
 
 def natural_id():
-    """Deterministic primary key of a measurement: hash of its natural key
-    (the reference declares ``id`` but never sets it)."""
-    return F.xxhash64("location_id", "sensor_id", "parameter", "measurement_time")
+    """Id value of a measurement: hash of its natural key (the reference declares
+    ``id`` but never sets it). Rows are matched on the key itself, not on this."""
+    keys = K.NATURAL_KEYS
+    return F.xxhash64(*keys, *[F.col(k).isNull() for k in keys])  # a hash alone skips nulls
 
 
 def full_pipeline(spark: SparkSession, listing_path: str, payload_path: str, root: str,
-                  locations: DataFrame, date_from, date_to) -> dict:
-    """O-C7 tables -> location sync -> measurement collection -> views."""
+                  locations: DataFrame, date_from, date_to, multiline: bool = True) -> dict:
+    """O-C7 tables -> location sync -> measurement collection -> views. The new
+    dimension goes to a path of its own per run (copy-on-write)."""
     tables = K.initialize_tables(spark, root)
-    counts, dim = location_sync(spark, listing_path, locations, f"{root}/staging/locations_v2")
-    stats = measurement_collection(spark, payload_path, tables["raw.measurements"], date_from, date_to)
+    out = f"{root.rstrip('/')}/staging/locations-{uuid.uuid4().hex[:12]}"
+    counts, dim = location_sync(spark, listing_path, locations, out, multiline=multiline)
+    stats = measurement_collection(spark, payload_path, tables["raw.measurements"], date_from, date_to,
+                                   multiline=multiline)
     m = K.read_table(spark, "raw.measurements", tables["raw.measurements"])
     names = register_views(spark, presentation_gen2(m, dim))
     return {"sync": counts, "collection": stats, "views": names}

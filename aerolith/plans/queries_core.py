@@ -58,7 +58,7 @@ SELECT id, CAST(CAST(measurement_time AS DATE) AS TIMESTAMP) AS day,
        CAST(CASE WHEN isodow(measurement_time) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
        date_trunc('hour', measurement_time) AS hour,
        strftime(measurement_time, '%m') AS month, year(measurement_time) AS year,
-       measurement_time - INTERVAL 24 HOURS AS minus_24h
+       measurement_time - INTERVAL 24 HOURS AS minus_24h, measurement_time - INTERVAL 1 DAY AS minus_1d
 FROM measurements"""))
 def q_time_parts(spark, d):
     m = M(spark, d)
@@ -68,7 +68,8 @@ def q_time_parts(spark, d):
                     X.weekday_number_monday0(t).alias("weekday_monday0"),
                     X.weekday_name(t).alias("weekday_name"), X.weekend_flag(t).alias("is_weekend"),
                     X.floor_hour(t).alias("hour"), X.month_text(t).alias("month"),
-                    X.year_number(t).alias("year"), X.minus_hours(t, 24).alias("minus_24h"))
+                    X.year_number(t).alias("year"), X.minus_hours(t, 24).alias("minus_24h"),
+                    X.minus_days(t, 1).alias("minus_1d"))
 
 
 LABEL_CASE = "CASE parameter " + " ".join(
@@ -519,10 +520,13 @@ def _profile_sql(col: str) -> str:
             f"ROUND(quantile_cont({col}, 0.75), 6) AS p75, MAX({col}) AS max FROM measurements")
 
 
+NUMERIC = ("id", "location_id", "sensor_id", "latitude", "longitude", "value", "quality_score")
+
+
 @register("numeric_profile", oracle(" UNION ALL ".join(
-    _profile_sql(c) for c in ("value", "quality_score", "latitude"))))
+    _profile_sql(c) for c in NUMERIC)))
 def q_numeric_profile(spark, d):
-    out = A.numeric_profile(M(spark, d), ["value", "quality_score", "latitude"])
+    out = A.numeric_profile(M(spark, d), list(NUMERIC))
     return rounded(out, "mean", "std", "p25", "p50", "p75")
 
 
@@ -608,16 +612,9 @@ def q_duplicate_count(spark, d):
 SELECT COUNT(CASE WHEN last_t < (SELECT MAX(measurement_time) FROM measurements) - INTERVAL 24 HOURS
               THEN 1 END) AS stale_locations
 FROM (SELECT location, MAX(measurement_time) AS last_t FROM measurements
-      WHERE location IS NOT NULL AND parameter = 'so2' GROUP BY location) g"""))
+      WHERE location IS NOT NULL GROUP BY location) g"""))
 def q_stale_locations(spark, d):
-    m = M(spark, d)
-    newest_all = m.select(F.max("measurement_time")).scalar()
-    per = m.where(F.col("parameter") == "so2")
-    # newest over all parameters, staleness of the so2 series
-    per_loc = per.where(F.col("location").isNotNull()).groupBy("location") \
-                 .agg(F.max("measurement_time").alias("_last"))
-    return per_loc.agg(F.count(F.when(F.col("_last") < X.minus_hours(newest_all, 24), 1))
-                       .alias("stale_locations"))
+    return Q.stale_locations(M(spark, d), "location", "measurement_time", 24)
 
 
 @register("stale_locations_all", oracle("""
@@ -681,7 +678,7 @@ SELECT s.* FROM stg s WHERE NOT EXISTS (
 @register("insert_if_absent", INSERT_ABSENT_SQL)
 def q_insert_if_absent(spark, d):
     tgt, stg = _inc_frames(spark, d)
-    return J.insert_if_absent(stg, tgt)
+    return J.insert_if_absent(stg, tgt, time_col=None)  # against the whole fact
 
 
 @register("insert_if_absent_narrowed", INSERT_ABSENT_SQL)
@@ -793,6 +790,50 @@ def q_update_locations(spark, d):
     return J.update_locations(loc, chg.select("location_id", "name"))
 
 
+@register("attach_repeated_names", oracle("""
+SELECT m.id, m.location_id, COALESCE(NULLIF(l.name, ''), CAST(m.location_id AS VARCHAR)) AS location
+FROM measurements m LEFT JOIN locations l ON m.location_id = l.location_id"""))
+def q_attach_repeated_names(spark, d):
+    """O-J9 with metadata landed twice: a reading stays one row."""
+    twice = LOC(spark, d).unionByName(LOC(spark, d))
+    return J.attach_location_name(M(spark, d).select("id", "location_id"), twice).select("id", "location_id", "location")
+
+
+@register("update_repeated_keys", oracle("""
+SELECT l.location_id, COALESCE(c.name, l.name) AS name, l.city, l.country, l.latitude, l.longitude,
+       l.timezone, l.is_active
+FROM locations l LEFT JOIN (SELECT location_id, MAX(n) AS name FROM (
+  SELECT location_id, name AS n FROM chg UNION ALL SELECT location_id, name || ' 2' FROM chg) x GROUP BY location_id) c
+  ON l.location_id = c.location_id""", CHG_CTES))
+def q_update_repeated_keys(spark, d):
+    """O-M2 with every key changed twice: one row each, the larger change wins."""
+    loc, chg = _change_set(spark, d)
+    one = chg.select("location_id", "name")
+    two = one.withColumn("name", F.concat("name", F.lit(" 2")))
+    return J.update_locations(loc, one.unionByName(two))
+
+
+@register("upsert_without_flag", oracle("""
+SELECT * FROM locations l WHERE NOT EXISTS (SELECT 1 FROM chg c WHERE c.location_id = l.location_id)
+UNION ALL SELECT location_id, name, city, country, latitude, longitude, timezone, TRUE AS is_active FROM chg""", CHG_CTES))
+def q_upsert_without_flag(spark, d):
+    """O-J7: a batch without ``is_active`` stores active locations."""
+    loc, chg = _change_set(spark, d)
+    return J.upsert(loc, chg.drop("is_active"), ["location_id"], stamp_col=None)
+
+
+@register("sync_errors", oracle("""
+SELECT CASE WHEN c.location_id IS NULL THEN 'errors' WHEN l.location_id IS NULL THEN 'added' ELSE 'updated' END AS sync_status,
+       COUNT(*) AS n
+FROM (SELECT CASE WHEN country = 'EUROPE' THEN NULL ELSE location_id END AS location_id FROM chg) c
+LEFT JOIN locations l ON c.location_id = l.location_id GROUP BY 1""", CHG_CTES))
+def q_sync_errors(spark, d):
+    """O-J5: records without a key are counted as errors."""
+    loc, chg = _change_set(spark, d)
+    broken = chg.withColumn("location_id", F.when(F.col("country") != "EUROPE", F.col("location_id")))
+    return J.sync_counts(broken, loc)
+
+
 @register("deactivate_locations", oracle("""
 SELECT l.location_id, l.name, l.city, l.country, l.latitude, l.longitude, l.timezone,
        CASE WHEN l.country = 'EUROPE' THEN FALSE ELSE l.is_active END AS is_active
@@ -863,13 +904,13 @@ def q_first_locations(spark, d):
 
 
 @register("weekday_ordered", oracle("""
-SELECT dayname(datetime) AS weekday, COUNT(*) AS n FROM raw_aq WHERE value >= 0
-GROUP BY dayname(datetime), isodow(datetime) ORDER BY isodow(datetime)"""))
+SELECT dayname(d) AS weekday, d, COUNT(*) AS n
+FROM (SELECT CAST(CAST(datetime AS DATE) AS TIMESTAMP) AS d FROM raw_aq WHERE value >= 0) t
+GROUP BY d ORDER BY isodow(d), d"""))
 def q_weekday_ordered(spark, d):
     v = P.valid_readings(R(spark, d)).withColumn("d", X.to_day("datetime"))
-    g = v.groupBy(F.weekday("d").alias("wd"), X.weekday_name("d").alias("weekday")) \
-         .agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy("wd").select("weekday", "n")
+    days = v.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    return dates_as_timestamps(L.by_weekday(days, "d").select(X.weekday_name("d").alias("weekday"), "d", "n"))
 
 
 @register("newest_first", oracle(f"SELECT {FACT_COLS} FROM measurements ORDER BY measurement_time DESC, id DESC"))
@@ -892,10 +933,14 @@ def q_parameter_options(spark, d):
 
 
 @register("location_options_fallback", oracle("""
-SELECT DISTINCT name AS value FROM locations WHERE name IS NOT NULL"""))
+SELECT DISTINCT name AS value FROM locations WHERE name IS NOT NULL
+UNION ALL SELECT DISTINCT lower(parameter) AS value FROM raw_aq WHERE parameter IS NOT NULL AND value IS NOT NULL AND value >= 0"""))
 def q_location_options_fallback(spark, d):
-    empty = P.empty_like(P.load_readings(R(spark, d)))
-    return L.sorted_options(empty, "location", LOC(spark, d), "name")
+    """Both branches: no values (the fallback's are taken) and values (they are)."""
+    r = P.load_readings(R(spark, d))
+    without = L.sorted_options(P.empty_like(r), "location", LOC(spark, d), "name")
+    present = L.sorted_options(r, "parameter", LOC(spark, d), "name")
+    return without.unionByName(present)
 
 
 @register("archive_union_live", oracle("""
@@ -916,10 +961,9 @@ def q_archive_union_live(spark, d):
 
 @register("ensure_parameter_columns", oracle("""
 SELECT location_id, """ + ", ".join(
-    f"MAX(CASE WHEN parameter = '{p}' THEN value END) AS {p}" if p in ("pm25", "pm10", "so2", "no2")
+    f"MAX(CASE WHEN parameter = '{p}' THEN value END) AS {p}" if p in ("pm25", "pm10", "so2", "no2", "humidity")
     else f"CAST(NULL AS DOUBLE) AS {p}" for p in fixed.POLLUTANT_ORDER) + """
-FROM measurements WHERE parameter <> 'humidity' GROUP BY location_id"""))
+FROM measurements GROUP BY location_id"""))
 def q_ensure_parameter_columns(spark, d):
-    m = M(spark, d).where(F.col("parameter") != "humidity")
-    wide = m.groupBy("location_id").pivot("parameter", ["pm25", "pm10", "so2", "no2"]).agg(F.max("value"))
+    wide = M(spark, d).groupBy("location_id").pivot("parameter", ["pm25", "pm10", "so2", "no2", "humidity"]).agg(F.max("value"))
     return P.ensure_parameter_columns(wide)

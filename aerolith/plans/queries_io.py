@@ -20,7 +20,7 @@ from aerolith.operators import predicates as P
 from aerolith.plans import adapter as AD
 from aerolith.plans import jobs as C
 from aerolith.plans.adapter import oracle
-from aerolith.plans.queries_core import (CHG_CTES, DAILY_PANDAS_BODY, GEN1_VALID, WIDE_CTE,
+from aerolith.plans.queries_core import (CHG_CTES, DAILY_PANDAS_BODY, GEN1_VALID, PROFILE_CTES, WIDE_CTE,
                                          _change_set)
 from aerolith.plans.registry import dates_as_timestamps, register, rounded
 from aerolith.session import scratch_path
@@ -132,10 +132,45 @@ seed AS (SELECT location_id, sensor_key AS sensors_id, location, measurement_tim
 
 
 def _payload_dirs(spark, d):
+    """Metadata and latest payloads; the metadata is landed by two polls."""
     meta, latest = scratch_path(spark, "meta"), scratch_path(spark, "latest")
-    land_metadata(spark, d, meta)
+    land_metadata(spark, d, f"{meta}/poll=1")
+    land_metadata(spark, d, f"{meta}/poll=2")
     land_latest(spark, d, latest)
-    return meta, latest
+    return f"{meta}/poll=*", latest
+
+
+def _broken_document(spark, path):
+    """One document of a payload folder cut short, as a broken download leaves it."""
+    spark.createDataFrame([('{"results": [{"locationsId": 1, "val',)], "value string").write.mode("append").text(path)
+
+
+@register("quarantined_documents", oracle("""
+SELECT 'locations' AS kind, 1 AS bad_documents, COUNT(*) AS good_rows FROM chg
+UNION ALL SELECT 'measurements', 1, COUNT(*) FROM scored""", CHG_CTES))
+def q_quarantined_documents(spark, d):
+    """O-E3: every good document is read, the broken one of each folder is kept and counted."""
+    _, chg = _change_set(spark, d)
+    listing, payload = scratch_path(spark, "listing"), scratch_path(spark, "mpayload")
+    land_listing(chg, listing)
+    land_measurement_payloads(spark, d, payload)
+    out = None
+    for kind, path in (("locations", listing), ("measurements", payload)):
+        _broken_document(spark, path)
+        good, bad = SP.read_payload_checked(spark, kind, path, multiline=False)
+        row = (good.agg(F.count(F.lit(1)).alias("good_rows"))
+               .select(F.lit(kind).alias("kind"), F.lit(bad.count()).alias("bad_documents"), "good_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("latest_two_polls", oracle("SELECT location_id, COUNT(*) AS n FROM (SELECT location_id FROM live UNION ALL SELECT location_id FROM live) t GROUP BY location_id", LIVE_CTES))
+def q_latest_two_polls(spark, d):
+    """O-S6: the limit belongs to a request, so two polls of a location keep both."""
+    path = scratch_path(spark, "latest")
+    land_latest(spark, d, f"{path}/poll=1")
+    land_latest(spark, d, f"{path}/poll=2")
+    return SP.latest_rows(spark, f"{path}/poll=*", multiline=False).groupBy("location_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("live_collection_dry_run", oracle("SELECT * FROM live", LIVE_CTES))
@@ -160,7 +195,10 @@ def q_live_insert(spark, d):
                     X.year_number("measurement_time").alias("year"),
                     X.utc_now().alias("ingestion_datetime")))
     K.append_partitioned(seed, fact)
-    C.live_collection(spark, meta, latest, fact_path=fact, multiline=False)
+    _broken_document(spark, latest)
+    _, stats = C.live_collection(spark, meta, latest, fact_path=fact, multiline=False)
+    if stats["failed_documents"] != 1 or stats["inserted"] <= 0:
+        raise RuntimeError(f"unexpected collection result {stats}")
     return spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact).select(*RAW_COLS)
 
 
@@ -249,7 +287,7 @@ def q_location_sync_result(spark, d):
 
 @register("listing_filtered", oracle("""
 SELECT location_id, name, city, country, latitude, longitude, timezone FROM chg
-WHERE country = 'ASIA' AND city = 'NATION_2' ORDER BY location_id LIMIT 1000""", CHG_CTES))
+WHERE country = 'ASIA' AND city = 'NATION_2'""", CHG_CTES))
 def q_listing_filtered(spark, d):
     _, chg = _change_set(spark, d)
     path = scratch_path(spark, "listing")
@@ -313,10 +351,10 @@ def q_gen1_views(spark, d):
 
 
 @register("initialized_tables", oracle("""
-SELECT 'raw.air_quality' AS name, COUNT(*) AS n_rows FROM raw_aq
-UNION ALL SELECT 'raw.measurements', COUNT(*) FROM measurements
-UNION ALL SELECT 'staging.locations', COUNT(*) FROM locations
-UNION ALL SELECT 'staging.sensors', COUNT(*) FROM sensors"""))
+SELECT 'raw.air_quality' AS name, COUNT(*) AS n_rows, CAST(SUM(location_id) AS BIGINT) AS locations, ROUND(SUM(value), 6) AS total FROM raw_aq
+UNION ALL SELECT 'raw.measurements', COUNT(*), CAST(SUM(location_id) AS BIGINT), ROUND(SUM(value), 6) FROM measurements
+UNION ALL SELECT 'staging.locations', COUNT(*), CAST(SUM(location_id) AS BIGINT), ROUND(SUM(latitude), 6) FROM locations
+UNION ALL SELECT 'staging.sensors', COUNT(*), CAST(SUM(location_id) AS BIGINT), CAST(NULL AS DOUBLE) FROM sensors"""))
 def q_initialized_tables(spark, d):
     """O-K12 + O-S10: create the typed tables, load the derived data into
     them and read every table back through its fixed schema."""
@@ -325,15 +363,21 @@ def q_initialized_tables(spark, d):
     now = X.utc_now()
     K.append_partitioned(R(spark, d).withColumn("ingestion_datetime", now), paths["raw.air_quality"])
     m = P.with_lineage(M(spark, d), now=now)
-    K.append_plain(m.select(*[f.name for f in schemas.MEASUREMENTS.fields]), paths["raw.measurements"])
+    dated = m.select(*[f.name for f in schemas.MEASUREMENTS.fields],
+                     X.year_number("measurement_time").alias("year"), X.month_text("measurement_time").alias("month"))
+    K.append_partitioned(dated, paths["raw.measurements"])
     loc = LOC(spark, d).withColumn("last_updated", now)
     K.append_plain(loc.select(*[f.name for f in schemas.LOCATIONS.fields]), paths["staging.locations"])
     sens = AD.sensors(spark, d).select(
         F.col("sensor_key").alias("sensor_id"), "location_id", F.col("parameter").alias("name"),
         "parameter", "unit", F.lit(True).alias("is_active"), now.alias("last_updated"))
     K.append_plain(sens, paths["staging.sensors"])
-    parts = [K.read_table(spark, name, path).agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(name).alias("name"), "n_rows") for name, path in paths.items()]
+    again = K.initialize_tables(spark, root)  # a second call leaves the content alone
+    total = {"raw.air_quality": "value", "raw.measurements": "value", "staging.locations": "latitude"}
+    parts = [rounded(K.read_table(spark, name, path).agg(
+                F.count(F.lit(1)).alias("n_rows"), F.sum("location_id").alias("locations"),
+                (F.sum(total[name]) if name in total else F.lit(None).cast("double")).alias("total")), "total")
+             .select(F.lit(name).alias("name"), "n_rows", "locations", "total") for name, path in again.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -352,13 +396,18 @@ STREAM_COLS = ["location_id", "sensor_id", "location", "latitude", "longitude",
 STREAM_COLS_SQL = ", ".join(STREAM_COLS)
 
 
-@register("stream_ingest", oracle(f"SELECT id, {STREAM_COLS_SQL}, ROUND(quality_score, 6) AS quality_score FROM measurements"))
+@register("stream_ingest", oracle(f"""
+SELECT id, {STREAM_COLS_SQL}, ROUND(quality_score, 6) AS quality_score FROM measurements
+UNION ALL SELECT id, {STREAM_COLS_SQL.replace("location_id,", "location_id + 10000000 AS location_id,")}, ROUND(quality_score, 6) FROM measurements"""))
 def q_stream_ingest(spark, d):
     src = _land_stream(spark, d)
     table, ck = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-ck")
     T.ingest_insert_if_absent(spark, src, table, ck).awaitTermination()
     # a second run over the same files and checkpoint must add nothing
     T.ingest_insert_if_absent(spark, src, table, ck).awaitTermination()
+    # another source into the same table, with its own checkpoint, starts at batch 0 again
+    other = _land_stream(spark, d, lambda s, x: S(s, x).withColumn("location_id", F.col("location_id") + 10000000), 2)
+    T.ingest_insert_if_absent(spark, other, table).awaitTermination()
     back = spark.read.parquet(table).drop("batch_id")
     return rounded(back.select("id", *STREAM_COLS, "quality_score"), "quality_score")
 
@@ -390,6 +439,23 @@ def q_stream_hourly(spark, d):
     return rounded(spark.read.parquet(out), "avg_value", "std_value", "avg_quality")
 
 
+@register("stream_hourly_closed", oracle("""
+SELECT location_id, parameter, date_trunc('hour', measurement_time) AS hour,
+       ROUND(AVG(value), 6) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value,
+       ROUND(STDDEV_SAMP(value), 6) AS std_value, COUNT(value) AS count,
+       ROUND(AVG(quality_score), 6) AS avg_quality
+FROM measurements GROUP BY location_id, parameter, date_trunc('hour', measurement_time)"""))
+def q_stream_hourly_closed(spark, d):
+    """O-T3 with its correction path: every hour, also those the stream left open."""
+    src = _land_stream(spark, d)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    out = scratch_path(spark, "stream-hourly")
+    T.run_to_table(T.hourly_stream(s, "1 hour"), out, "append", label="hourly")
+    emitted = spark.read.schema("location_id long, parameter string, hour timestamp_ntz, avg_value double, min_value double, "
+                                "max_value double, std_value double, count long, avg_quality double").parquet(out)
+    return rounded(T.close_hours(emitted, M(spark, d)), "avg_value", "std_value", "avg_quality")
+
+
 @register("stream_latest", oracle("""
 SELECT location_id, location, latitude, longitude, parameter, unit, value, measurement_time,
        ROUND(quality_score, 6) AS quality_score FROM (
@@ -488,13 +554,75 @@ def q_full_pipeline(spark, d):
     listing, payload = scratch_path(spark, "listing"), scratch_path(spark, "mpayload")
     land_listing(chg, listing)
     land_measurement_payloads(spark, d, payload)
-    root = scratch_path(spark, "warehouse")
-    tables = K.initialize_tables(spark, root)
-    _, dim = C.location_sync(spark, listing, loc, f"{root}/staging/locations_v2", limit=None,
-                             multiline=False)
-    C.measurement_collection(spark, payload, tables["raw.measurements"], "2024-01-05", "2024-01-25",
-                             multiline=False)
-    m = K.read_table(spark, "raw.measurements", tables["raw.measurements"])
-    names = C.register_views(spark, C.presentation_gen2(m, dim))
-    summary = spark.table(names[2])
-    return rounded(summary, "avg_quality_score")
+    done = C.full_pipeline(spark, listing, payload, scratch_path(spark, "warehouse"), loc,
+                           "2024-01-05", "2024-01-25", multiline=False)
+    return rounded(spark.table(done["views"][2]), "avg_quality_score")
+
+
+@register("collection_metrics", oracle("""
+SELECT (SELECT COUNT(*) FROM scored WHERE measurement_time >= TIMESTAMP '2024-01-05'
+          AND measurement_time <= TIMESTAMP '2024-01-25') AS extracted,
+       COUNT(*) AS transformed, (SELECT COUNT(*) FROM (SELECT DISTINCT location_id, sensor_id, parameter, measurement_time
+          FROM measurements WHERE measurement_time >= TIMESTAMP '2024-01-05' AND measurement_time <= TIMESTAMP '2024-01-25') t) AS loaded,
+       0 AS loaded_again, 1 AS errors
+FROM measurements WHERE measurement_time >= TIMESTAMP '2024-01-05' AND measurement_time <= TIMESTAMP '2024-01-25'"""))
+def q_collection_metrics(spark, d):
+    """O-A26, O-A27: counts observed while the job writes, for a first and a second run."""
+    path, table = scratch_path(spark, "mpayload"), scratch_path(spark, "measurements")
+    land_measurement_payloads(spark, d, path)
+    _broken_document(spark, path)
+    a, b = (C.measurement_collection(spark, path, table, "2024-01-05", "2024-01-25", multiline=False) for _ in range(2))
+    if not a["started"] <= a["ended"] <= b["started"] or a["loaded"] + a["skipped"] != a["transformed"]:
+        raise RuntimeError(f"unexpected metrics {a} {b}")
+    return spark.createDataFrame([(a["extracted"], a["transformed"], a["loaded"], b["loaded"], a["errors"])],
+                                 "extracted long, transformed long, loaded long, loaded_again long, errors int")
+
+
+@register("first_existing_table", oracle("SELECT COUNT(*) AS n FROM raw_aq"))
+def q_first_existing_table(spark, d):
+    """O-S11: the first candidate that the catalog has is the one that is read."""
+    R(spark, d).createOrReplaceTempView(fixed.RAW_TABLE_CANDIDATES[1])
+    spark.catalog.dropTempView(fixed.RAW_TABLE_CANDIDATES[0])
+    name = K.first_existing_table(spark, list(fixed.RAW_TABLE_CANDIDATES))
+    return spark.table(name).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("export_truncation", oracle("""
+SELECT COUNT(*) AS matching, LEAST(COUNT(*), 1000) AS exported, COUNT(*) > 1000 AS truncated
+FROM measurements WHERE quality_score > 0.5"""))
+def q_export_truncation(spark, d):
+    return K.export_truncated(M(spark, d), max_rows=1000)
+
+
+@register("map_center_of_layer", oracle("""
+SELECT ROUND(AVG(lat), 6) AS center_lat, ROUND(AVG(lon), 6) AS center_lon FROM wa
+WHERE lat IS NOT NULL AND lon IS NOT NULL""", WIDE_CTE))
+def q_map_center_of_layer(spark, d):
+    _, center = C.map_layer(R(spark, d))
+    return rounded(center, "center_lat", "center_lon")
+
+
+@register("quality_report_profile", oracle("""
+SELECT COUNT(*) AS total_records, COUNT(CASE WHEN value IS NULL THEN 1 END) AS missing_values,
+       COUNT(CASE WHEN value < 0 THEN 1 END) AS negative_values,
+       (SELECT duplicate_records FROM dup) AS duplicate_records,
+       (SELECT stale_locations FROM st) AS stale_locations, MAX(datetime) AS latest_reading
+FROM r""", PROFILE_CTES))
+def q_quality_report_profile(spark, d):
+    return C.quality_report(R(spark, d))["profile"]
+
+
+@register("quality_report_locations", oracle("""
+SELECT location, COUNT(*) AS count FROM raw_aq WHERE value IS NOT NULL AND value >= 0 AND location IS NOT NULL
+GROUP BY location ORDER BY count DESC, location LIMIT 12"""))
+def q_quality_report_locations(spark, d):
+    return C.quality_report(R(spark, d))["location_counts"]
+
+
+@register("archive_subset", oracle(f"SELECT {RAW_COLS_SQL} FROM raw_aq WHERE locationid IN (SELECT location_id FROM locations WHERE country = 'ASIA')"))
+def q_archive_subset(spark, d):
+    """O-S2: an id frame of some locations reads their folders only."""
+    base = scratch_path(spark, "archive")
+    SA.write_archive(R(spark, d), base)
+    ids = LOC(spark, d).where(F.col("country") == "ASIA").select("location_id")
+    return SA.read_archive(spark, base, ids, "2023-11", "2024-01").drop("ingestion_datetime")

@@ -7,11 +7,11 @@ goes through the session zone.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -60,13 +60,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names storage every executor can reach, and it
-    is only read here. Where it is unset (tests, a laptop) a fresh scratch
-    folder is created and registered once for this session.
+    is only read here; without it a cluster session is refused, because each
+    machine would write to its own disk. Only a ``local`` master (tests, a
+    laptop) gets a fresh scratch folder, registered once for the session.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         root = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to shared storage for master {master}")
         root = tempfile.mkdtemp(prefix="aerolith-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
     spark.sparkContext.setCheckpointDir(root)
@@ -79,10 +83,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder or file is there, asked of its own file system; a
+    storage or permission fault raises instead of reading as absence."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared root and read back: it is computed once,
+    and the planner knows its size."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a written bounds or key table may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, label: str, most: int = SMALL_ROWS) -> DataFrame:
+    """A join side that is computed once and broadcast only if its counted rows
+    are at most ``most``; larger, it stays a shuffle side whose hot keys AQE splits."""
+    once = written_once(df, label)
+    return F.broadcast(once) if once.count() <= most else once

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from aerolith import schemas
 from aerolith.functions import scalars as X
+from aerolith.session import written_once
 
 ARCHIVE_READ_SCHEMA = T.StructType(schemas.ARCHIVE_CSV.fields + schemas.ARCHIVE_PARTITIONS.fields)
 
@@ -33,25 +34,60 @@ def month_key(year_col: str = "year", month_col: str = "month"):
 
 
 def scan_archive(spark: SparkSession, base: str) -> DataFrame:
-    """O-S1 the whole archive with an explicit schema (``month`` stays text)."""
-    return (spark.read.schema(ARCHIVE_READ_SCHEMA)
+    """O-S1 the whole archive with an explicit schema (``month`` stays text).
+    Lines that do not parse are left out; ``corrupt_lines`` has them."""
+    return _archive_lines(spark, base).where(_line_text() == "").drop(CORRUPT)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _line_text():
+    """The text of a line that does not parse, else ''. Not a bare column: the CSV
+    reader would take a filter on that one before it has parsed the line."""
+    return F.coalesce(F.col(CORRUPT), F.lit(""))
+
+
+def _archive_lines(spark: SparkSession, base: str) -> DataFrame:
+    schema = T.StructType([*ARCHIVE_READ_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(schema)
             .option("header", True).option("basePath", base)
-            .option("mode", "PERMISSIVE")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(base))
 
 
+def corrupt_lines(spark: SparkSession, base: str, location_ids=None, start: str | None = None,
+                  end: str | None = None) -> DataFrame:
+    """(locationid, year, month, _corrupt_record): archive lines that do not parse,
+    or whose time does not, within the selection."""
+    df = _archive_lines(spark, base)
+    if start is not None and end is not None:
+        df = select_partitions(df, location_ids, start, end)
+    time = F.coalesce(F.col("datetime"), F.lit(""))
+    bad = (_line_text() != "") | ((time != "") & X.parse_utc(time).isNull())
+    return df.where(bad).select("locationid", "year", "month", F.coalesce(CORRUPT, "datetime").alias(CORRUPT))
+
+
+#: Location ids up to which a frame of them becomes an IN filter on the partitions.
+MAX_IN_IDS = 50_000
+
+
 def select_partitions(df: DataFrame, location_ids: DataFrame | list[int] | None,
                       start: str, end: str) -> DataFrame:
     """O-S2 locations x months from ``start`` to ``end`` ('YYYY-MM', both
-    inclusive) as partition predicates. A list of ids becomes an IN filter;
-    an id frame becomes a semi-join (dynamic partition pruning when small)."""
+    inclusive) as partition predicates. A list of ids becomes an IN filter, and
+    so does an id frame of at most ``MAX_IN_IDS`` ids (counted first), so only
+    their folders are read; a larger frame is semi-joined."""
     lo, hi = _month_index(start), _month_index(end)
     out = df.where(month_key().between(lo, hi))
     if location_ids is None:
         return out
     if isinstance(location_ids, DataFrame):
         ids = location_ids.select(F.col(location_ids.columns[0]).cast("long").alias("locationid"))
-        return out.join(ids.distinct(), "locationid", "left_semi")
+        ids = written_once(ids.where("locationid IS NOT NULL").distinct(), "archive-ids")
+        if ids.count() > MAX_IN_IDS:
+            return out.join(ids, "locationid", "left_semi")
+        location_ids = [r["locationid"] for r in ids.collect()]
     return out.where(F.col("locationid").isin([int(i) for i in location_ids]))
 
 

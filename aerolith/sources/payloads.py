@@ -5,7 +5,7 @@ The engine starts from payload files already landed in shared storage (one
 JSON document per file with a ``results`` array); fetching is outside Spark.
 Each document is parsed with an explicit schema, and ``results`` (and
 ``sensors``) are exploded on the executors. Malformed documents are kept in
-``_corrupt_record`` and counted, not silently dropped.
+``_corrupt_record``; the jobs count them as failed documents (``quarantined``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from aerolith import schemas
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import joins as J
-from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 
 MAP_SCHEMA = T.MapType(T.StringType(), T.StringType())
@@ -34,37 +33,39 @@ def read_location_map(spark: SparkSession, path: str, whole_file: bool = True) -
     return m.select(F.col("k").cast("long").alias("location_id"), "name")
 
 
-def read_payload(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
-    """O-S9 read landed payloads of ``kind`` ('locations', 'latest',
-    'measurements', 'metadata') and explode ``results``; unknown kinds raise."""
-    if kind not in schemas.PAYLOAD_SCHEMAS:
-        raise ValueError(f"Unknown extraction type: {kind}")
-    schema = schemas.PAYLOAD_SCHEMAS[kind]
-    docs = spark.read.schema(schema).option("multiLine", multiline).json(path)
-    return docs.select(F.explode("results").alias("r")).select("r.*")
-
-
-def read_payload_checked(spark: SparkSession, kind: str, path: str,
-                         multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """O-E3 read a set of landed payload files in one scan, splitting
-    (exploded good rows, quarantined bad documents). A malformed document is
-    kept whole in ``_corrupt_record`` with its file path instead of failing
-    the job or being dropped silently; counting the quarantine is the
-    "failed locations" metric."""
+def _documents(spark: SparkSession, kind: str, path: str, multiline: bool) -> DataFrame:
+    """One row per landed document: results, _corrupt_record, file_path."""
     if kind not in schemas.PAYLOAD_SCHEMAS:
         raise ValueError(f"Unknown extraction type: {kind}")
     schema = T.StructType(schemas.PAYLOAD_SCHEMAS[kind].fields
                           + [T.StructField("_corrupt_record", T.StringType(), True)])
-    docs = (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
+    return (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
             .select("results", "_corrupt_record", F.col("_metadata.file_path").alias("file_path")))
+
+
+def read_payload(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
+    """O-S9 read landed payloads of ``kind`` ('locations', 'latest',
+    'measurements', 'metadata') and explode ``results`` of the well-formed
+    documents; ``quarantined`` has the others. Unknown kinds raise."""
+    docs = _documents(spark, kind, path, multiline).where(F.col("_corrupt_record").isNull())
+    return docs.select(F.explode("results").alias("r")).select("r.*")
+
+
+def quarantined(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
+    """O-E3 (file_path, _corrupt_record): documents that could not be read, whole.
+    Every job counts them as its failed documents."""
     # the filter references the parsed ``results`` too: Spark refuses a scan
-    # that reads only the corrupt-record column (a corrupt document has none)
-    bad = docs.where(F.col("_corrupt_record").isNotNull() & F.col("results").isNull()) \
-              .select("file_path", "_corrupt_record")
-    good = (docs.where(F.col("_corrupt_record").isNull())
-            .select(F.explode("results").alias("r")).select("r.*"))
-    return good, bad
+    # that reads only the corrupt-record column
+    return (_documents(spark, kind, path, multiline)
+            .where(F.col("_corrupt_record").isNotNull() & (F.coalesce(F.size("results"), F.lit(0)) >= -1))
+            .select("file_path", "_corrupt_record"))
+
+
+def read_payload_checked(spark: SparkSession, kind: str, path: str,
+                         multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """O-E3 (exploded rows of the good documents, quarantined bad documents)."""
+    return read_payload(spark, kind, path, multiline), quarantined(spark, kind, path, multiline)
 
 
 def location_metadata(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -87,28 +88,36 @@ def sensor_lookup(spark: SparkSession, path: str, multiline: bool = True) -> Dat
             .where(F.col("sensor_id").isNotNull() & F.col("parameter").isNotNull()))
 
 
-def latest_rows(spark: SparkSession, path: str, limit: int = fixed.PAYLOAD_LATEST_LIMIT,
+def latest_rows(spark: SparkSession, path: str, limit: int | None = fixed.PAYLOAD_LATEST_LIMIT,
                 multiline: bool = True) -> DataFrame:
-    """O-S6 latest measurements, at most ``limit`` newest per location."""
-    r = read_payload(spark, "latest", path, multiline).select(
-        F.col("sensorsId").alias("sensor_id"), F.col("locationsId").alias("location_id"),
-        X.nan_to_null("value").alias("value"), F.col("datetime.utc").alias("utc"),
-        "coordinates")
-    r = r.withColumn("measured_at", X.parse_utc("utc"))
-    return W.ranked_latest(r, ["location_id"],
-                           [F.col("measured_at").desc(), F.col("sensor_id").desc()], limit)
+    """O-S6 latest measurements, at most ``limit`` newest of each document: the
+    limit belongs to a request, so two polls of a location keep both."""
+    docs = _documents(spark, "latest", path, multiline).where(F.col("_corrupt_record").isNull())
+    items = F.transform("results", lambda r: F.struct(
+        X.parse_utc(r["datetime"]["utc"]).alias("measured_at"), r["sensorsId"].alias("sensor_id"),
+        r["locationsId"].alias("location_id"), X.nan_to_null(r["value"]).alias("value"),
+        r["datetime"]["utc"].alias("utc"), r["coordinates"].alias("coordinates")))
+    newest = F.sort_array(items, asc=False)
+    kept = F.slice(newest, 1, limit) if limit else newest
+    return docs.select(F.explode(kept).alias("r")).select(
+        "r.sensor_id", "r.location_id", "r.value", "r.utc", "r.coordinates", "r.measured_at")
 
 
 def locations_listing(spark: SparkSession, path: str, country: str | None = None,
                       city: str | None = None, limit: int | None = fixed.LOCATION_LISTING_LIMIT,
                       multiline: bool = True) -> DataFrame:
-    """O-S7 listing -> flat location rows, optional country/city, limit."""
-    r = read_payload(spark, "locations", path, multiline)
+    """O-S7 listing -> flat location rows, optional country/city; at most
+    ``limit`` of each document, as a request returns them."""
+    docs = _documents(spark, "locations", path, multiline).where(F.col("_corrupt_record").isNull())
+    wanted = F.col("results")
+    if country is not None:
+        wanted = F.filter(wanted, lambda r: r["country"] == F.lit(country))
+    if city is not None:
+        wanted = F.filter(wanted, lambda r: r["city"] == F.lit(city))
+    kept = F.slice(wanted, 1, limit) if limit else wanted
+    r = docs.select(F.explode(kept).alias("r")).select("r.*")
     r = P.flatten_coordinates(r.withColumnRenamed("id", "location_id"))
-    r = P.locations_filter(r.withColumn("is_active", F.lit(True)), False, country, city)
-    cols = ["location_id", "name", "city", "country", "latitude", "longitude", "timezone"]
-    r = r.select(*cols)
-    return r.orderBy("location_id").limit(limit) if limit else r
+    return r.select("location_id", "name", "city", "country", "latitude", "longitude", "timezone")
 
 
 def measurements_range(spark: SparkSession, path: str, date_from, date_to,
@@ -161,7 +170,7 @@ def measurement_records(df: DataFrame, now=None, keep: bool = True) -> DataFrame
 
 
 def measurement_records_flat(r: DataFrame, now=None, keep: bool = True) -> DataFrame:
-    """O-C5 on rows already standardised by ``measurements_range``: score,
+    """The tail of O-C5, on rows that ``measurements_range`` has standardised: score,
     lineage, keep rule; ``location_name`` becomes the table's ``location``."""
     r = r.withColumn("value", X.nan_to_null("value"))
     if "location_name" in r.columns:

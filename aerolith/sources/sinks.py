@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from aerolith import schemas
 from aerolith.functions import fixed
+from aerolith.functions import scalars as X
 from aerolith.operators import joins as J
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q
+from aerolith.session import path_exists, written_once
 
 
 # ------------------------------------------------------------------ fact appends
@@ -53,66 +55,45 @@ def append_plain(df: DataFrame, path: str, fmt: str = "parquet",
     return obs.get
 
 
+#: What makes two measurements the same one.
+NATURAL_KEYS = ("location_id", "sensor_id", "parameter", "measurement_time")
+
+
 def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
                      keys: list[str] | None = None, time_col: str = "datetime") -> int:
     """O-K2 insert rows absent from the fact on the four keys; returns the
     number inserted (observed while writing, no second count).
 
-    The existing fact is narrowed to the batch's time range and semi-joined
-    with the batch keys before the anti-join (see ``insert_if_absent``)."""
+    The existing fact is narrowed to the batch's months (its partitions) before
+    the joins; the batch is computed once (see ``insert_if_absent``)."""
     keys = keys or J.GEN1_INSERT_KEYS
-    try:
+    new = rows
+    if path_exists(spark, fact_path):
         fact = spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact_path)
-        # two scalars of the batch prune the fact's year/month partitions
-        b = rows.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
-        if b["lo"] is not None:
-            lo_m, hi_m = b["lo"].year * 12 + b["lo"].month - 1, b["hi"].year * 12 + b["hi"].month - 1
-            month_ix = F.col("year") * 12 + F.col("month").cast("long") - 1
-            fact = fact.where(month_ix.between(lo_m, hi_m)
-                              & F.col(time_col).between(F.lit(b["lo"]), F.lit(b["hi"])))
         new = J.insert_if_absent(rows, fact, keys, time_col=time_col)
-    except Exception as exc:  # an absent table: everything is new
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        new = rows
     new = new.select(*[c.name for c in schemas.RAW_AIR_QUALITY.fields])
     return int(append_partitioned(new, fact_path, sort_within=GEN1_FACT_ORDER).get("rows", 0))
 
 
 def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
-                      key: str = "id", time_col: str | None = "measurement_time") -> dict[str, int]:
+                      keys: tuple[str, ...] = NATURAL_KEYS, time_col: str = "measurement_time") -> dict[str, int]:
     """O-K3 insert, ignore conflicts on the primary key; reports inserted and
     skipped separately (the reference counted attempts).
 
-    The key is a hash of the natural key, which includes the time, so equal
-    keys have equal times: the table is narrowed to the batch's time range
-    and semi-joined with the batch keys before the anti-join, and is never
-    shuffled in full. Pass ``time_col=None`` for a key without that property."""
-    try:
+    Rows are told apart by the natural key columns themselves, a null equal to
+    a null: the stored ``id`` is a hash and only a value. The table is
+    partitioned by year and month and narrowed to the batch's months."""
+    once = written_once(batch, "load")
+    total = once.count()
+    unique = J.dedupe_on_key(once, list(keys))  # a key repeated in the batch is skipped like any other conflict
+    new = unique
+    if path_exists(spark, table_path):
         target = spark.read.schema(schemas.MEASUREMENTS).parquet(table_path)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        target = schemas.empty_frame(spark, schemas.MEASUREMENTS)
-    # one row per key: the batch is keyed once (its size observed on the way);
-    # a key repeated inside the batch is skipped like any other conflict
-    batch_o, obs = Q.observed(batch, "batch")
-    keyed = J.dedupe_on_key(batch_o, [key]).persist()
-    try:
-        keyed.count()
-        total = int(Q.metrics(obs).get("rows", 0))
-        if time_col is not None:
-            tk = target.select(key, time_col).withColumnRenamed(time_col, "_t")
-            new = J.insert_if_absent(keyed.withColumn("_t", F.col(time_col)), tk, [key, "_t"],
-                                     time_col="_t").drop("_t")
-        else:
-            new = keyed.join(target.select(key), key, "left_anti")
-        cols = [c.name for c in schemas.MEASUREMENTS.fields]
-        new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(t.dataType).alias(c)
-                           for c, t in zip(cols, schemas.MEASUREMENTS.fields)])
-        inserted = int(append_plain(new, table_path, sort_within=GEN2_FACT_ORDER).get("rows", 0))
-    finally:
-        keyed.unpersist()
+        new = J.insert_if_absent(unique, target, list(keys), time_col=time_col, null_safe=True)
+    fields = [F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name)
+              for f in schemas.MEASUREMENTS.fields]
+    dated = new.select(*fields, X.year_number(time_col).alias("year"), X.month_text(time_col).alias("month"))
+    inserted = int(append_partitioned(dated, table_path, sort_within=GEN2_FACT_ORDER).get("rows", 0))
     return {"inserted": inserted, "skipped": total - inserted}
 
 
@@ -133,15 +114,24 @@ TEXT_TIME_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
 }
 def export_slice(m: DataFrame, location_id=None, parameter=None, date_from=None, date_to=None,
-                 max_rows: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
-    """O-K8 trusted rows with optional filters, newest first, capped in the
-    plan (``TakeOrderedAndProject``), id as tie-break."""
+                 max_rows: int | None = fixed.EXPORT_MAX_ROWS) -> DataFrame:
+    """O-K8 trusted rows with optional filters, newest first, id as tie-break;
+    at most ``max_rows`` (``TakeOrderedAndProject``), all with ``None``.
+    ``export_truncated`` tells whether the cap leaves rows out."""
     cols = ["location_id", "location", "latitude", "longitude", "parameter", "unit", "value",
             "measurement_time", "quality_score"]
     pred = P.optional_filters(location_id, parameter, date_from, date_to)
-    top = (P.trusted(m).where(pred)
-           .orderBy(F.col("measurement_time").desc(), F.col("id").desc()).limit(max_rows))
-    return top.select(*cols)
+    rows = P.trusted(m).where(pred).orderBy(F.col("measurement_time").desc(), F.col("id").desc())
+    return (rows if max_rows is None else rows.limit(max_rows)).select(*cols)
+
+
+def export_truncated(m: DataFrame, location_id=None, parameter=None, date_from=None, date_to=None,
+                     max_rows: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
+    """O-K8 one row (matching, exported, truncated): what a capped export leaves out."""
+    pred = P.optional_filters(location_id, parameter, date_from, date_to)
+    return (P.trusted(m).where(pred).agg(F.count(F.lit(1)).alias("matching"))
+            .select("matching", F.least("matching", F.lit(max_rows).cast("long")).alias("exported"),
+                    (F.col("matching") > max_rows).alias("truncated")))
 
 
 def export(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> str:
@@ -208,7 +198,7 @@ def build_views(spark: SparkSession, builders: list[tuple[str, Callable[[], Data
 
 TABLES = {
     "raw.air_quality": (schemas.RAW_AIR_QUALITY, ["year", "month"]),
-    "raw.measurements": (schemas.MEASUREMENTS, []),
+    "raw.measurements": (schemas.MEASUREMENTS, ["year", "month"]),
     "staging.locations": (schemas.LOCATIONS, []),
     "staging.sensors": (schemas.SENSORS, []),
 }
@@ -223,10 +213,12 @@ def initialize_tables(spark: SparkSession, root: str) -> dict[str, str]:
     out = {}
     for name, (schema, parts) in TABLES.items():
         path = f"{root.rstrip('/')}/{name.replace('.', '/')}"
-        try:
-            spark.read.schema(schema).parquet(path).limit(0).collect()
-        except Exception:  # absent: create it empty
-            w = schemas.empty_frame(spark, schema).write.mode("overwrite")
+        if not path_exists(spark, path):  # proven absent; any storage fault raises
+            empty = schemas.empty_frame(spark, schema)
+            for p, kind in (("year", "long"), ("month", "string")):
+                if p in parts and p not in empty.columns:
+                    empty = empty.withColumn(p, F.lit(None).cast(kind))
+            w = empty.write.mode("errorifexists")
             if parts:
                 w = w.partitionBy(*parts)
             w.parquet(path)
@@ -235,8 +227,10 @@ def initialize_tables(spark: SparkSession, root: str) -> dict[str, str]:
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """O-S10 table scan with the fixed schema of ``name``."""
-    return spark.read.schema(TABLES[name][0]).parquet(path)
+    """O-S10 table scan with the fixed schema of ``name`` (partition columns that
+    are not part of it are left out)."""
+    schema = TABLES[name][0]
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def first_existing_table(spark: SparkSession, candidates: list[str]) -> str:

@@ -10,25 +10,33 @@ the session zone is UTC, so the cast keeps the wall clock, and sinks cast
 back.
 
 Exactly-once against the fact: ``foreachBatch`` may replay a batch after a
-failure. Batch ids are recorded in a small commit log next to the table
-after each append and a committed id is skipped; a failure between the
-append and the log entry replays the batch, and then the insert-if-absent
-anti-join makes the replay a no-op for rows with non-null keys (T15).
+failure. Each append records (checkpoint, batch id) in a small commit log
+next to the table, and only a batch of the same checkpoint counts as a
+replay; a second source or a new checkpoint starts at batch 0 again and is
+ingested. A failure between the append and the log entry replays the batch,
+and then the insert-if-absent anti-join makes the replay a no-op for rows
+with non-null keys (T15). The default checkpoint is named by source and
+table, so running the same ingest again resumes where it stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
+from aerolith.operators import aggregates as A
 from aerolith.operators import joins as J
 from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q
-from aerolith.session import scratch_path
+from aerolith.session import checkpoint_root, path_exists, scratch_path, written_once
 
 # Flat landed measurement records (one JSON object per line).
 RECORD_SCHEMA = T.StructType([
@@ -60,61 +68,49 @@ def _checkpoint(spark: SparkSession, checkpoint: str | None, label: str) -> str:
     return checkpoint or scratch_path(spark, f"stream-{label}")
 
 
+def _stable_checkpoint(spark: SparkSession, source: str, table_path: str) -> str:
+    """The same folder below the shared root for the same source and table."""
+    name = hashlib.sha256(f"{source.rstrip('/')}|{table_path.rstrip('/')}".encode()).hexdigest()[:16]
+    return f"{checkpoint_root(spark).rstrip('/')}/ingest-{name}"
+
+
+TABLE_SCHEMA = T.StructType([
+    *[T.StructField(f.name, T.TimestampNTZType()) if f.name == "measurement_time" else f for f in RECORD_SCHEMA],
+    T.StructField("quality_score", T.DoubleType()), T.StructField("batch_id", T.LongType()),
+    T.StructField("year", T.LongType()), T.StructField("month", T.StringType()),
+])
+COMMIT_SCHEMA = "checkpoint string, batch_id long"
+
+
 def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
                             checkpoint: str | None = None, keys: list[str] | None = None,
                             trigger_available_now: bool = True):
     """O-T1 incremental ingest: each micro-batch keeps valid rows (O-P6),
     anti-joins them against the table on ``keys`` (narrowed to the batch's
-    time range) and appends. Returns the finished (availableNow) query."""
+    months) and appends. Returns the finished (availableNow) query."""
     keys = keys or ["location_id", "sensor_id", "measurement_time", "parameter"]
     stream = P.keep_valid_scored(read_record_stream(spark, source))
-
+    own = checkpoint or _stable_checkpoint(spark, source, table_path)
     commits = f"{table_path.rstrip('/')}_commits"
 
-    def committed(batch_id: int) -> bool:
-        try:
-            log = spark.read.schema("batch_id long").parquet(commits)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-                raise
-            return False
-        return not log.where(F.col("batch_id") == batch_id).isEmpty()
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if committed(batch_id):
-            return  # replay of a batch whose rows are already in the table
-        # the batch is read several times (bounds, keys, rows): keep it once
-        b = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
-        try:
-            try:
-                existing = spark.read.parquet(table_path)
-            except Exception as exc:
-                if ("PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc)
-                        and "UNABLE_TO_INFER_SCHEMA" not in str(exc)):
-                    raise
-                existing = None
-            if existing is None:
-                new = b
-            else:
-                # prune the table's year/month partitions to the batch's months
-                t = b.agg(F.min("measurement_time").alias("lo"), F.max("measurement_time").alias("hi")).first()
-                if t["lo"] is not None:
-                    ix = F.col("year").cast("long") * 12 + F.col("month").cast("long") - 1
-                    existing = existing.where(ix.between(t["lo"].year * 12 + t["lo"].month - 1,
-                                                         t["hi"].year * 12 + t["hi"].month - 1))
-                new = J.insert_if_absent(b, existing, keys, time_col="measurement_time")
-            out = new.withColumn("year", X.year_number("measurement_time")) \
-                     .withColumn("month", X.month_text("measurement_time"))
-            (out.hint("rebalance", "year", "month")
-                .sortWithinPartitions("year", "month", "location_id", "parameter", "measurement_time")
-                .write.mode("append").partitionBy("year", "month").parquet(table_path))
-            # a small commit log, not a scan of the table, answers "seen before?"
-            spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(commits)
-        finally:
-            b.unpersist()
-
-    w = (stream.writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", _checkpoint(spark, checkpoint, "ingest")))
+        if path_exists(spark, commits):
+            log = spark.read.schema(COMMIT_SCHEMA).parquet(commits)
+            if not log.where((F.col("checkpoint") == own) & (F.col("batch_id") == batch_id)).isEmpty():
+                return  # replay of a batch whose rows are already in the table
+        new = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        if path_exists(spark, table_path):
+            existing = spark.read.schema(TABLE_SCHEMA).parquet(table_path)
+            new = J.insert_if_absent(new, existing, keys, time_col="measurement_time")
+        out = new.withColumn("year", X.year_number("measurement_time")) \
+                 .withColumn("month", X.month_text("measurement_time"))
+        (out.hint("rebalance", "year", "month")
+            .sortWithinPartitions("year", "month", "location_id", "parameter", "measurement_time")
+            .write.mode("append").partitionBy("year", "month").parquet(table_path))
+        # a small commit log, not a scan of the table, answers "seen before?"
+        spark.createDataFrame([(own, batch_id)], COMMIT_SCHEMA).write.mode("append").parquet(commits)
+
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", own)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="15 minutes")
     return w.start()
 
@@ -140,6 +136,16 @@ def hourly_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
                     "avg_value", "min_value", "max_value", "std_value", "count", "avg_quality")
 
 
+def close_hours(emitted: DataFrame, table: DataFrame) -> DataFrame:
+    """The correction path of O-T3: the hours that the stream has emitted, plus a
+    batch O-A12 over the table for those that it has not (windows still open when
+    the stream ended, or made only of rows later than the watermark)."""
+    keys = ["location_id", "parameter", "hour"]
+    rows = table.withColumn("hour", X.floor_hour("measurement_time"))
+    rest = rows.join(written_once(emitted.select(*keys).distinct(), "emitted-hours"), keys, "left_anti")
+    return emitted.unionByName(A.hourly(rest.drop("hour")).select(*emitted.columns))
+
+
 def latest_stream(stream: DataFrame) -> DataFrame:
     """O-T4 continuously current latest trusted row per (location, parameter):
     ``max_by`` state, one row per key (update/complete mode)."""
@@ -183,62 +189,74 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append",
 
     The number of state-store partitions is fixed by the first run of a
     checkpoint; it defaults to the cluster's default parallelism (one state
-    partition per core) and is applied only while this query starts."""
+    partition per core) and is set only while the query starts."""
+    ck = _checkpoint(df.sparkSession, checkpoint, label)
+    if mode == "append":
+        w = df.writeStream.format("parquet").option("path", path).outputMode("append")
+    else:
+        if mode == "update" and not keys:
+            raise ValueError("update mode needs the key columns")
+
+        def publish(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            out = batch
+            newest = _published(spark, path, below=batch_id)
+            if mode == "update" and newest is not None:
+                # update mode emits only the keys that changed: they replace their rows
+                prev = spark.read.parquet(newest)
+                out = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+            # a replay writes a new folder; the manifest row, written after it, makes it visible
+            target = f"{path.rstrip('/')}/snapshot-{batch_id:012d}-{uuid.uuid4().hex[:8]}"
+            out.write.parquet(target)
+            spark.createDataFrame([(batch_id, target)], MANIFEST_SCHEMA).coalesce(1) \
+                 .write.mode("append").json(f"{path.rstrip('/')}/manifest")
+            _forget_old(spark, path)
+        w = df.writeStream.foreachBatch(publish).outputMode(mode)
+    n = state_partitions or df.sparkSession.sparkContext.defaultParallelism
     spark = df.sparkSession
-    ck = _checkpoint(spark, checkpoint, label)
-    n = state_partitions or spark.sparkContext.defaultParallelism
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    try:
-        if mode == "append":
-            q = (df.writeStream.format("parquet").option("path", path)
-                 .option("checkpointLocation", ck).outputMode("append")
-                 .trigger(availableNow=True).start())
-        elif mode == "update":
-            # update mode emits only the keys that changed in this batch: they
-            # replace their rows of the previous snapshot (anti-join + union),
-            # and the result is published as this batch's snapshot
-            if not keys:
-                raise ValueError("update mode needs the key columns")
-
-            def merge(batch: DataFrame, batch_id: int) -> None:
-                target = f"{path.rstrip('/')}/batch={batch_id}"
-                try:
-                    snaps = spark.read.option("basePath", path).parquet(path)
-                    older = snaps.where(F.col("batch").cast("long") < batch_id)
-                    newest = older.select(F.max(F.col("batch").cast("long"))).first()[0]
-                except Exception as exc:
-                    if ("PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc)
-                            and "UNABLE_TO_INFER_SCHEMA" not in str(exc)):
-                        raise
-                    newest = None
-                if newest is None:
-                    merged = batch
-                else:
-                    prev = snaps.where(F.col("batch").cast("long") == newest).drop("batch")
-                    merged = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-                merged.write.mode("overwrite").parquet(target)
-            q = (df.writeStream.foreachBatch(merge).option("checkpointLocation", ck)
-                 .outputMode("update").trigger(availableNow=True).start())
-        else:
-            def snapshot(batch: DataFrame, batch_id: int) -> None:
-                # each batch publishes a complete snapshot in its own folder; a
-                # replay rewrites the same folder, readers take the newest one
-                batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
-            q = (df.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
-                 .outputMode(mode).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with _START:  # the setting is read when the query starts; nothing else is planned in between
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            q = w.option("checkpointLocation", ck).trigger(availableNow=True).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
     return q
 
 
+_START = threading.Lock()
+MANIFEST_SCHEMA = "batch long, path string"
+#: Published snapshots that are kept, so that a reader of an older one can finish.
+KEPT_SNAPSHOTS = 3
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    """The published (batch, path), newest first; one row per batch of the stream's life
+    is read, the rows of dropped snapshots are small."""
+    if not path_exists(spark, f"{path.rstrip('/')}/manifest"):
+        return []
+    m = spark.read.schema(MANIFEST_SCHEMA).json(f"{path.rstrip('/')}/manifest")
+    return m.orderBy(F.col("batch").desc(), F.col("path").desc()).limit(KEPT_SNAPSHOTS + 2).collect()
+
+
+def _published(spark: SparkSession, path: str, below: int | None = None) -> str | None:
+    return next((r["path"] for r in _manifest(spark, path) if below is None or r["batch"] < below), None)
+
+
+def _forget_old(spark: SparkSession, path: str) -> None:
+    for r in _manifest(spark, path)[KEPT_SNAPSHOTS:]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete snapshot written by ``run_to_table`` in update or
-    complete mode (a folder is visible only after its job committed)."""
-    snaps = spark.read.option("basePath", path).parquet(path)
-    newest = snaps.select(F.max(F.col("batch").cast("long"))).scalar()
-    return snaps.where(F.col("batch").cast("long") == newest).drop("batch")
+    """The newest snapshot that ``run_to_table`` published in update or complete
+    mode: the manifest names it only after its job committed."""
+    newest = _published(spark, path)
+    if newest is None:
+        raise FileNotFoundError(f"no snapshot is published below {path}")
+    return spark.read.parquet(newest)
 
 
 def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STALE_HOURS) -> DataFrame:
@@ -248,7 +266,8 @@ def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STA
 
 
 def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
-    """Land flat records as JSON lines in ``n_files`` arrivals, oldest first.
+    """Land flat records as JSON lines in ``n_files`` arrivals, oldest first. An
+    arrival has as many files as its size asks for (``rebalance``).
 
     The file source processes files in modification-time order, so each time
     slice is written by its own job after the previous one: arrival order is
@@ -257,6 +276,7 @@ def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
                     F.col("measurement_time").alias("_t"),
                     F.date_format(F.col("measurement_time").cast("timestamp"),
                                   "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("measurement_time"))
+    out = written_once(out, "records")
     bounds = out.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
     if bounds["lo"] is None:
         return
@@ -267,5 +287,5 @@ def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
         cond = F.col("_t") >= F.lit(start)
         if i + 1 < n_files:
             cond = cond & (F.col("_t") < F.lit(lo + step * (i + 1)))
-        out.where(cond).drop("_t").coalesce(1).write.mode("append").json(path)
+        out.where(cond).drop("_t").hint("rebalance").write.mode("append").json(path)
 

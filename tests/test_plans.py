@@ -98,4 +98,44 @@ def test_insert_if_absent_pushes_time_range_to_fact(spark, tmp_path):
     stage = raw.where(F.col("datetime") >= F.lit("2024-01-25").cast("timestamp_ntz"))
     text = plan(J.insert_if_absent(stage, fact))
     fact_scan = [l for l in text.splitlines() if "PushedFilters" in l and "GreaterThanOrEqual(datetime" in l]
-    assert fact_scan and "LessThanOrEqual(datetime" in fact_scan[0]
+    assert fact_scan and "LessThan(datetime,2024-02-01" in fact_scan[0]
+
+
+def test_an_old_row_opens_its_own_month_only(spark, tmp_path):
+    from aerolith.operators import joins as J
+    raw = AD.raw_air_quality(spark, SF)
+    raw.write.mode("overwrite").partitionBy("year", "month").parquet(str(tmp_path / "fact"))
+    fact = spark.read.schema(raw.schema).parquet(str(tmp_path / "fact"))
+    stage = raw.where(F.col("datetime") >= F.lit("2024-01-25").cast("timestamp_ntz"))
+    old = stage.limit(1).withColumn("datetime", F.lit("2019-03-05").cast("timestamp_ntz"))
+    new = J.insert_if_absent(stage.unionByName(old), fact)
+    assert J.stage_months(stage.unionByName(old), "datetime") == [(2019, 3), (2024, 1)]
+    assert new.count() == 1
+
+
+def test_bounds_never_shuffle_the_fact(spark, tmp_path):
+    """With a broadcast threshold of 1 KB the fact still is not dealt by its parameter."""
+    from aerolith.operators import quality as Q
+    AD.scored(spark, SF).write.parquet(str(tmp_path / "m"))
+    m = spark.read.parquet(str(tmp_path / "m"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+    try:
+        for df in (Q.outliers_iqr(m), Q.outliers_zscore(m)):
+            text = plan(df)
+            assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_missed_bracket_raises(spark):
+    from aerolith.operators import quantiles as QN
+    df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(Exception, match="bracket"):
+        QN.exact_quantiles(df, "x", ["g"], [0.5], ["m"], accuracy=2, margin=0.0).collect()
+
+
+def test_distinct_counts_expand_the_small_frame_only(spark):
+    tree = plan(A.trusted_summary(AD.measurements(spark, SF))).split("\n\n")[0]
+    below = tree[tree.index("Expand"):]
+    assert "Exchange" in below[:below.index("Scan")]  # the fact is reduced before it is expanded

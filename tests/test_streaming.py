@@ -52,11 +52,35 @@ def test_ingest_replay_adds_nothing(spark, tmp_path):
     T.land_records(AD.scored(spark, SF).drop("quality_score"), src, 2)
     T.ingest_insert_if_absent(spark, src, table, ck).awaitTermination()
     n1 = spark.read.parquet(table).count()
-    # a fresh checkpoint replays every file: the anti-join keeps the table unchanged
+    # a fresh checkpoint starts at batch 0 again and is no replay: every file is read
+    # again, and the anti-join on the keys keeps the table unchanged
     T.ingest_insert_if_absent(spark, src, table, str(tmp_path / "ck2")).awaitTermination()
     assert spark.read.parquet(table).count() == n1 == AD.measurements(spark, SF).count()
 
 
+def test_two_sources_and_the_default_checkpoint(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"s{k}").mkdir()
+        (tmp_path / f"s{k}" / "a.json").write_text("\n".join(
+            json.dumps(_rec(10 * k + i, f"2024-01-0{k}T0{i}:00:00Z")) for i in range(2)))
+    table = str(tmp_path / "t")
+    for _ in range(2):  # the second round resumes from the checkpoints and reads nothing
+        for k in (1, 2):
+            T.ingest_insert_if_absent(spark, str(tmp_path / f"s{k}"), table).awaitTermination()
+    assert spark.read.parquet(table).count() == 4
+
+
+def test_readers_see_published_snapshots_only(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "latest")
+    T.land_records(AD.scored(spark, SF).drop("quality_score"), src, 6)
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=1))
+    T.run_to_table(T.latest_stream(s), out, "update", checkpoint=str(tmp_path / "ck"), keys=["location_id", "parameter"])
+    n = T.read_snapshot(spark, out).count()
+    (tmp_path / "latest" / "snapshot-999999999999-half").mkdir()  # moved half, never published
+    assert T.read_snapshot(spark, out).count() == n
+    assert len(list((tmp_path / "latest").glob("snapshot-0*"))) == T.KEPT_SNAPSHOTS
+
+
 def test_alerts_rule(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
