@@ -52,6 +52,7 @@ def _archive_lines(spark: SparkSession, base: str) -> DataFrame:
     schema = T.StructType([*ARCHIVE_READ_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(schema)
             .option("header", True).option("basePath", base)
+            .option("columnPruning", False)  # a line is judged by all its columns
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(base))
 
