@@ -3,7 +3,9 @@
 Two physical shapes, both skew-safe:
 
 * ``max_by(struct(cols), struct(time, tie))`` in a ``groupBy`` - partial
-  aggregation keeps one candidate per key per map task, no sort at all;
+  aggregation keeps one candidate per key per map task. The candidate is a
+  struct, so Spark sorts each task's own rows by key (SortAggregate); there
+  is no window and no sort across tasks;
 * ``row_number() <= n`` over a window, which Catalyst turns into a
   ``WindowGroupLimit`` applied before the shuffle as well as after it.
 
@@ -114,6 +116,15 @@ def latest_wide(raw: DataFrame, parameters: list[str] | None = None) -> DataFram
     return with_aqi(wide)
 
 
+def latest_map(raw: DataFrame) -> DataFrame:
+    """O-W3 with every parameter: one row per (location_id, location) with the newest
+    datetime and a map parameter -> latest value. The schema stays bounded whatever
+    parameters are measured; ``latest_wide`` has columns for the listed ones."""
+    entries = F.array_sort(F.collect_list(F.struct("parameter", "value")))  # a row per parameter of the location
+    return (latest_rows_pandas(raw).groupBy("location_id", "location")
+            .agg(F.max("datetime").alias("datetime"), F.map_from_entries(entries).alias("latest")))
+
+
 def with_aqi(wide: DataFrame, contiguous: bool = False) -> DataFrame:
     """O-F9..O-F11 on a wide row (missing particulate columns read as null)."""
     pm25 = F.col("pm25") if "pm25" in wide.columns else F.lit(None).cast("double")

@@ -95,7 +95,7 @@ def keep_valid_scored(df: DataFrame) -> DataFrame:
 
 def locations_filter(locations: DataFrame, active_only: bool = True,
                      country: str | None = None, city: str | None = None) -> DataFrame:
-    """O-P7 active / country / city filter, ordered by country, city, name (O-L4)."""
+    """O-P7 active / country / city filter; O-L4 orders the result where that is wanted."""
     pred = F.lit(True)
     if active_only:
         pred = pred & (F.col("is_active") == F.lit(True))

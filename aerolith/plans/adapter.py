@@ -8,6 +8,8 @@ is the portable SQL text below, run by DuckDB. Both read the whole tables.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,19 @@ from aerolith.operators import predicates as P
 
 DUP_OFFSET = 1_000_000_000
 
-# Built relations per (session, folder, name). DataFrames are immutable and
-# lazy, so reusing one is reusing a view definition: no data is cached, only
-# the file listing and the analysed plan.
-_MEMO: dict[tuple, DataFrame] = {}
+# Built relations of each session, dropped with it. DataFrames are immutable
+# and lazy, so reusing one is reusing a view definition: no data is cached,
+# only the file listing and the analysed plan.
+_MEMO: WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = WeakKeyDictionary()
 
 
 def _memo(fn):
     def wrapper(spark: SparkSession, sf_dir: str, *args):
-        key = (spark, sf_dir.rstrip("/"), fn.__name__, args)
-        if key not in _MEMO:
-            _MEMO[key] = fn(spark, sf_dir, *args)
-        return _MEMO[key]
+        own = _MEMO.setdefault(spark, {})
+        key = (sf_dir.rstrip("/"), fn.__name__, args)
+        if key not in own:
+            own[key] = fn(spark, sf_dir, *args)
+        return own[key]
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
     return wrapper

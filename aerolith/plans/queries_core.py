@@ -268,6 +268,16 @@ def q_latest_rows_pandas(spark, d):
         "location_id", "location", "parameter", "datetime", "lat", "lon", "units", "value", "sensors_id")
 
 
+@register("latest_map", oracle("""
+SELECT location_id, location, MAX(datetime) OVER (PARTITION BY location_id, location) AS datetime,
+       CASE parameter WHEN 'humidity' THEN 'not_listed' ELSE parameter END AS parameter, value FROM lr""", GEN1_VALID))
+def q_latest_map(spark, d):
+    """O-W3: a parameter outside the fixed list survives."""
+    raw = R(spark, d).withColumn("parameter", F.when(F.lower("parameter") == "humidity", F.lit("not_listed"))
+                                 .otherwise(F.col("parameter")))
+    return W.latest_map(raw).select("location_id", "location", "datetime", F.explode("latest").alias("parameter", "value"))
+
+
 def _pollutant_cols_sql(src: str = "lr") -> str:
     return ",\n       ".join(f"MAX(CASE WHEN parameter = '{p}' THEN value END) AS {p}"
                               for p in fixed.POLLUTANT_ORDER)
