@@ -13,8 +13,8 @@ import re
 from array import array
 from functools import lru_cache
 
-_RUNS = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_OTHER_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 _UNIT = re.compile(r"\s?\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+", re.ASCII)
 #: Units of one generation of the cache; two are held.
 MAX_UNITS = 400_000
@@ -23,10 +23,11 @@ MAX_UNITS = 400_000
 def _units(text: str) -> list[str]:
     """The units of a text; a unit that begins with a space stands without it, one that
     begins otherwise with a mark before it."""
-    if not _RUNS.search(text):
+    wide = not text.isascii() and any(c in text for c in _OTHER_SPACE)
+    if not wide and not any(x in text for x in _RUNS):  # only single spaces and line ends
         first, *rest = text.replace("\n", " \x00\n").split(" ")
         return ["\x00" + first, *rest] if not first.startswith("\x00") else [first, *rest]
-    if _OTHER_SPACE.search(text):
+    if wide or any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return ["\x00" + text]
     return [u[1:] if u[0] == " " else "\x00" + u for u in _UNIT.findall(text)]
 
@@ -50,8 +51,6 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.known) + len(units) > MAX_UNITS:
-            self.before, self.known = self.known, {}
         again = units & self.before.keys()
         self.known.update((u, self.before[u]) for u in again)
         new = list(units - again)
@@ -60,18 +59,26 @@ class Encoder:
             self.known.update(zip(part, self._whole([_raw(u) for u in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+        out: list[bytes] = []
         for lo in range(0, len(texts), 200):
-            cut = [_units(t) if t and "\x00" not in t else None for t in texts[lo:lo + 200]]
-            need = set().union(*(u for u in cut if u is not None))
-            fresh = need - self.known.keys()
-            if fresh:
-                if len(self.known) + len(fresh) > MAX_UNITS:
-                    fresh = need  # the cache turns over: all units of these texts must be in the new one
-                self._learn(fresh)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, u)) if u is not None else self._whole([t or ""])[0]
-                    for t, u in zip(texts[lo:lo + 200], cut, strict=True)]
+            if len(self.known) > MAX_UNITS:
+                self.before, self.known = self.known, {}
+            found: list[list[bytes | None]] = []
+            gaps: list[tuple[list[bytes | None], int, str]] = []  # units that the cache does not hold yet
+            get = self.known.get
+            for t in texts[lo:lo + 200]:
+                units = _units(t) if t and "\x00" not in t else []
+                ids = list(map(get, units))
+                if None in ids:
+                    gaps += [(ids, i, units[i]) for i, x in enumerate(ids) if x is None]
+                elif t and not units:
+                    ids = self._whole([t])
+                found.append(ids)
+            if gaps:
+                self._learn({u for _, _, u in gaps})
+                for ids, i, u in gaps:
+                    ids[i] = self.known[u]
+            out += map(b"".join, found)
         return out
 
 
