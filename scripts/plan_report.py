@@ -55,9 +55,11 @@ def main() -> None:
              "TOP = TakeOrderedAndProject. No query has a Python node, a cartesian product or a "
              "nested-loop join.", "",
              "Reading the table:", "",
-             "- Every join is planned as a shuffle join and turned into a broadcast by AQE only after "
-             "the small side (dimension, per-group bounds, batch keys) was measured; on large sides "
-             "the same join stays a sort-merge join with skew splitting.",
+             "- Joins with a dimension are planned as shuffle joins and turned into broadcasts by AQE "
+             "after the small side was measured. Bounds and batch keys are written and counted first "
+             "and broadcast if small; such steps run before the plan shown here, so their own scans "
+             "of the fact are not in it (one for the bounds, one for the sketch of a quantile).",
+             "- `scans` counts the Parquet scans in the plan shown, per table.",
              "- `max_by`/`min_by` over struct payloads (latest per key, pandas-style first/last, "
              "dedupe on key) run as SortAggregate: their buffers are not fixed-width, so Spark "
              "aggregates sorted runs. They are still partial before the exchange, so a hot key "
@@ -67,8 +69,8 @@ def main() -> None:
              "- The quantile queries (iqr_bounds, outliers_iqr, numeric_profile, *_distribution) "
              "carry the distributed exact selection: sketch aggregate (ObjAgg), bracket pass, and a "
              "window over bracket buckets only.", "",
-             "| query | shuffles | BHJ | SMJ | HashAgg | ObjAgg | SortAgg | WGL | Window | Sort | TOP | Expand | pushed filters |",
-             "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
+             "| query | shuffles | BHJ | SMJ | HashAgg | ObjAgg | SortAgg | WGL | Window | Sort | TOP | Expand | scans | pushed filters |",
+             "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
     bad = []
     for name in names:
         df = registry.QUERIES[name](spark, sf)
@@ -77,13 +79,15 @@ def main() -> None:
         text = full.split("== Initial Plan ==")[0]  # only the final adaptive plan
         c = count_nodes(text)
         pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", full)) - {""})
+        tables = re.findall(r"FileScan parquet.*?Location: [^\[]*\[[^\]]*?/([A-Za-z-]+)(?:\.parquet|-[0-9a-f]{12})", text)
+        scans = ", ".join(f"{t} {tables.count(t)}" for t in sorted(set(tables)))
         pf = "; ".join(p[:80] for p in pushed)[:160]
         if c["ArrowEvalPython"] or c["BatchEvalPython"] or c["CartesianProduct"] or c["BroadcastNestedLoopJoin"]:
             bad.append(name)
         lines.append(f"| {name} | {c['Exchange']} | {c['BroadcastHashJoin']} | {c['SortMergeJoin']} | "
                      f"{c['HashAggregate']} | {c['ObjectHashAggregate']} | {c['SortAggregate']} | "
                      f"{c['WindowGroupLimit']} | {c['Window']} | {c['Sort']} | {c['TakeOrderedAndProject']} | "
-                     f"{c['Expand']} | {pf} |")
+                     f"{c['Expand']} | {scans} | {pf} |")
     if bad:
         lines += ["", "Queries with a Python node, cartesian product or nested-loop join: " + ", ".join(bad)]
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
