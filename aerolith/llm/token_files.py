@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
