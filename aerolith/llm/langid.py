@@ -4,7 +4,9 @@ Training counts all 4-grams of all learning rows on Spark; the model of each lan
 interpolated Kneser-Ney (absolute discount on the 4-gram counts, continuation counts
 below). Models are kept in sorted arrays of 64-bit n-gram hashes, one row of
 log-probabilities per hash with a column per language, so one binary search serves all
-languages. A text gets the language of lowest cross-entropy per character.
+languages. A text gets the language of lowest cross-entropy per character. No 4-gram is
+left out: a model above ``MAX_CELLS`` stays on Spark, where its columns are computed for
+the 4-grams of the scored texts and broadcast in bounded blocks, one after the other.
 
 Calibration uses learning rows that were not counted: accuracy by margin (bounded bins,
 made monotone) becomes the score, and the cross-entropies of right predictions give each
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from aerolith.llm.common import pieces, rows_of, staged
 
 ORDER = 4
-#: Bound of a broadcast model: log-probabilities (4-grams x languages). Beyond it the
-#: rarest 4-grams are left out of the model by a count limit.
+#: Bound of a broadcast: log-probabilities (4-grams x languages). A larger model is scored
+#: in several blocks, with the same results.
 MAX_CELLS = 8_000_000
 BINS = 64
 #: Calibration rows that a margin bin gathers before it stands for itself.
@@ -209,20 +211,30 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def _discount(c: np.ndarray) -> float:
-    one, two = float((c == 1).sum()), float((c == 2).sum())
+    return _discount_of(float((c == 1).sum()), float((c == 2).sum()))
+
+
+def _discount_of(one: float, two: float) -> float:
     return min(max(one / (one + 2 * two), 0.1), 0.9) if one else 0.5
 
 
-def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model | None:
-    """The model of all rows (text, lang); None if there is nothing to learn."""
+@dataclass
+class CountedModel:
+    """A model above the bound of a broadcast: its counts stay on Spark."""
+    langs: list[str]
+    counts: DataFrame  # (lang, gram, n)
+    max_cells: int
+
+
+def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model | CountedModel | None:
+    """The model of all rows (text, lang) and all their 4-grams; None if there is nothing to learn."""
     counts = staged(count_grams(rows), "lang-counts")
-    sizes = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("grams")).collect()  # a row per language
-    if not sizes:
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row per language
+    if not langs:
         return None
-    most, least = max_cells // len(sizes), 1
-    while (kept := counts.where(F.col("n") >= least)).select("gram").distinct().count() > most:
-        least *= 2
-    pdf = kept.toPandas()  # bounded by max_cells
+    if counts.select("gram").distinct().count() > max_cells // len(langs):
+        return CountedModel(langs, counts, max_cells)
+    pdf = counts.toPandas()  # bounded by max_cells
     out = {}
     for lang, part in pdf.groupby("lang"):
         key = part["gram"].to_numpy().view(np.uint64)
@@ -231,9 +243,83 @@ def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model | None:
     return kneser_ney(out)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def _distinct_grams(docs: DataFrame) -> DataFrame:
+    """(gram): the different 4-grams of all texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for b in pieces(batches, "text", 1 << 20):
+            held = np.union1d(held, grams(*encode(b.column("text").to_pylist()))[0])
+            if len(held) > 2_000_000:  # a bounded working set, nothing lost
+                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["gram"])
+                held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["gram"])
+
+    return docs.select("text").mapInArrow(run, "gram bigint").distinct()
+
+
+def gram_columns(model: CountedModel, wanted: DataFrame) -> DataFrame:
+    """(gram, logp): what ``kneser_ney`` gives the wanted 4-grams, in the order of ``langs``."""
+    def short(order: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+    def by_lang(rows: DataFrame, key: str, value: str) -> DataFrame:  # an entry per language
+        return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("j", value))).alias(value))
+
+    def of(values: list[float]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.col("j"))
+
+    j = (F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")) - 1).cast("int")
+    counted = {ORDER: model.counts.select(j.alias("j"), "gram", "n")}
+    asked = {ORDER: wanted}
+    for o in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
+        counted[o] = staged(counted[o + 1].groupBy("j", short(o).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lang-continuations")
+        asked[o] = asked[o + 1].select(short(o).alias("gram")).distinct()
+    n_chars = counted[1].select("gram").distinct().count() + 1
+    probs = None
+    for o in range(1, ORDER + 1):
+        stats = sorted(counted[o].groupBy("j").agg(  # a row per language
+            F.sum((F.col("n") == 1).cast("long")).alias("one"), F.sum((F.col("n") == 2).cast("long")).alias("two"),
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect())
+        d = [_discount_of(float(r["one"]), float(r["two"])) for r in stats]
+        if o == 1:
+            rest = [x * r["kinds"] / r["total"] / n_chars for x, r in zip(d, stats, strict=True)]
+            own = counted[o].select("j", "gram", ((F.col("n") - of(d)) / of([float(r["total"]) for r in stats])).alias("own"))
+            probs = asked[o].join(by_lang(own, "gram", "own"), "gram", "left").select("gram", F.transform(
+                F.array(*map(F.lit, rest)), lambda p, k: p + F.coalesce(F.try_element_at("own", k), F.lit(0.0))).alias("p"))
+            continue
+        rows = counted[o].withColumn("ctx", F.shiftrightunsigned("gram", 16))
+        seen = rows.groupBy("j", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        own = rows.join(seen, ["j", "ctx"]).select("j", "gram", ((F.col("n") - of(d)) / F.col("total")).alias("own"))
+        weight = seen.select("j", "ctx", (of(d) * F.col("kinds") / F.col("total")).alias("weight"))
+        lower = probs.withColumnRenamed("gram", "short").withColumnRenamed("p", "lower")
+        mixed = F.transform("lower", lambda p, k: p * F.coalesce(F.try_element_at("weight", k), F.lit(1.0))
+                            + F.coalesce(F.try_element_at("own", k), F.lit(0.0)))
+        probs = staged(asked[o].select("gram", short(o - 1).alias("short"), F.shiftrightunsigned("gram", 16).alias("ctx"))
+                       .join(lower, "short").join(by_lang(own, "gram", "own"), "gram", "left")
+                       .join(by_lang(weight, "ctx", "weight"), "ctx", "left").select("gram", mixed.alias("p")), "lang-columns")
+    return probs.select("gram", F.transform("p", lambda p: F.log(p).cast("float")).alias("logp"))
+
+
+def _ranked(total: np.ndarray, n: np.ndarray, no_letter: np.ndarray, langs: list[str]) -> list[pa.Array]:
+    """lang_pred, xent, margin and n of texts with these -log p by language."""
+    mean = total / np.maximum(n, 1)[:, None]
+    ranked = np.sort(mean, axis=1)
+    margin = ranked[:, 1] - ranked[:, 0] if len(langs) > 1 else np.full(len(mean), 1.0)
+    pred = [UND if x else langs[i] for x, i in zip(no_letter, mean.argmin(axis=1), strict=True)]
+    return [pa.array(pred, pa.string()), pa.array(ranked[:, 0]), pa.array(np.where(no_letter, 0.0, margin)), pa.array(n)]
+
+
+def _no_letter(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.array([not (codes[x:y] != SPACE_CODE).any() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], bool)
+
+
+def score(docs: DataFrame, model: Model | CountedModel, *keep: str) -> DataFrame:
     """(*keep, lang_pred, xent, margin, n): best language, its cross-entropy, the gap to
     the second, and the characters scored. Whole texts, in bounded pieces."""
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    schema += "lang_pred string, xent double, margin double, n bigint"
+    if isinstance(model, CountedModel):
+        return _score_in_blocks(docs, model, keep, schema)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,17 +332,67 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             for lo in range(0, len(key), 1 << 20):
                 s, k = m.cross_entropy(key[lo:lo + (1 << 20)], owner[lo:lo + (1 << 20)], len(texts))
                 total, n = total + s, n + k
-            no_letter = np.array([not (codes[x:y] != SPACE_CODE).any() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], bool)
-            mean = total / np.maximum(n, 1)[:, None]
-            ranked = np.sort(mean, axis=1)
-            margin = ranked[:, 1] - ranked[:, 0] if len(m.langs) > 1 else np.full(len(texts), 1.0)
-            pred = [UND if x else m.langs[i] for x, i in zip(no_letter, mean.argmin(axis=1), strict=True)]
-            margin = np.where(no_letter, 0.0, margin)
-            cols = [b.column(c) for c in keep] + [pa.array(pred), pa.array(ranked[:, 0]), pa.array(margin), pa.array(n)]
+            cols = [b.column(c) for c in keep] + _ranked(total, n, _no_letter(codes, bounds), m.langs)
             yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "xent", "margin", "n"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(run, f"{schema}{', ' if keep else ''}lang_pred string, xent double, margin double, n bigint")
+    return docs.select("text", *keep).mapInArrow(run, schema)
+
+
+def _score_in_blocks(docs: DataFrame, model: CountedModel, keep: tuple[str, ...], schema: str) -> DataFrame:
+    """``score`` by one pass over the texts for each block of 4-grams (by hash): a pass sums
+    what its block holds of each text, and the passes' sums are added. Equal texts are one."""
+    spark, langs = docs.sparkSession, model.langs
+    wanted = staged(_distinct_grams(docs), "lang-grams")
+    blocks = max(1, -(-wanted.count() * len(langs) // model.max_cells))
+    columns = staged(gram_columns(model, wanted).withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)).cast("int"))
+                     .repartition("block").sortWithinPartitions("block"), "lang-blocks")
+    named = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"), "text", *keep)
+    passes = None
+    for k in range(blocks):
+        found = columns.where(F.col("block") == k).select("gram", "logp").toArrow()  # bounded by max_cells
+        key = found.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        logp = found.column("logp").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+        held = spark.sparkContext.broadcast((key[order], logp[order]))
+        part = staged(named.select("same", "text").mapInArrow(
+            _block_pass(held, len(langs)), "same string, no_letter boolean, n bigint, total array<double>")
+            .groupBy("same").agg(*[F.max(c).alias(c) for c in ("no_letter", "n", "total")]), "lang-pass")
+        held.destroy()
+        passes = part if passes is None else passes.union(part)
+    sums = (passes.groupBy("same").agg(F.max("no_letter").alias("no_letter"), F.max("n").alias("n"),
+                                       F.array(*[F.sum(F.get("total", F.lit(j))) for j in range(len(langs))]).alias("total")))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.array(b.column("total").to_pylist(), np.float64).reshape(-1, len(langs))
+            n, no_letter = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "no_letter"))
+            cols = [b.column(c) for c in keep] + _ranked(total, n.astype(np.int64), no_letter.astype(bool), langs)
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "xent", "margin", "n"])
+
+    return (named.select("same", *keep).join(staged(sums, "lang-sums"), "same")
+            .select(*keep, "no_letter", "n", "total").mapInArrow(finish, schema))
+
+
+def _block_pass(held, n_langs: int):
+    """Task: (same, no_letter, n, total), the -log p by language of the 4-grams in the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, logp = held.value
+        step = max((1 << 23) // n_langs, 1)
+        for b in pieces(batches, "text", 1 << 20):
+            codes, bounds = encode(b.column("text").to_pylist())
+            key, owner = grams(codes, bounds)
+            total = np.zeros((b.num_rows, n_langs))
+            for lo in range(0, len(key), step):
+                at = _lookup(table, key[lo:lo + step])
+                at, own = at[at >= 0], owner[lo:lo + step][at >= 0]
+                if len(at):
+                    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    total[own[cut]] -= np.add.reduceat(logp[at], cut, axis=0, dtype=np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("same"), pa.array(_no_letter(codes, bounds)), pa.array(np.bincount(owner, minlength=b.num_rows).astype(np.int64)),
+                 pa.array(list(total), pa.list_(pa.float64()))], ["same", "no_letter", "n", "total"])
+
+    return run
 
 
 @dataclass

@@ -322,6 +322,22 @@ def test_held_out_accuracy_and_long_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_blocks_score_as_the_whole_model(spark):
+    """A model over the bound keeps every 4-gram and language, a rare one of single counts too."""
+    rows = table(spark, SF, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    odd = [(-1, "Ljubav zmaja grozdje", "rare"), (-2, "zmaja Ljubav", None), (-3, "", None), (-4, None, None), (-5, "日本語 ж", None), (-5, "日本語 ж", None)]
+    rows = rows.limit(150).union(spark.createDataFrame(odd, rows.schema))
+    learned = rows.where("lang IS NOT NULL")
+    whole, part = langid.train(learned), langid.train(learned, max_cells=12_000)
+    assert part.langs == whole.langs and "rare" in part.langs
+    want, got = ([tuple(r) for r in langid.score(rows, m, "doc_id").orderBy("doc_id").collect()] for m in (whole, part))
+    assert len(got) == len(want) == rows.count()
+    for w, g in zip(want, got, strict=True):
+        assert (w[0], w[1], w[4]) == (g[0], g[1], g[4])
+        assert w[2:4] == pytest.approx(g[2:4], abs=1e-5)
+    assert {g[1] for g in got if g[0] in (-1, -2)} == {"rare"}
+
+
 def test_foreign_script_is_rejected(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select(*DOCUMENT_COLUMNS)
     rnd = random.Random(8)
