@@ -98,14 +98,31 @@ def _window_rows(docs: DataFrame) -> DataFrame:
                 for s, k, h in windows(np.frombuffer(raw, np.uint8)):
                     row.append(r), at.append(s), n.append(k), anchor.append(h)
                     content.append(digest(raw[s:s + k + LEAST - 1]))
-            key = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "row_key")]
+            key = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "row_key", "times")]
             yield pa.RecordBatch.from_arrays(
                 [*key, pa.array(at, pa.int32()), pa.array(n, pa.int16()), pa.array(anchor, pa.int64()),
                  pa.array(np.array(content, np.uint64).view(np.int64))],
-                ["doc_id", "row_key", "at", "n", "anchor", "content"])
+                ["doc_id", "row_key", "times", "at", "n", "anchor", "content"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key bigint, at int, n smallint, anchor bigint, content bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key bigint, times bigint, at int, n smallint, anchor bigint, content bigint")
+
+
+def _once(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows equal in doc_id and text as one with their number (``times``), and if there are any."""
+    keys = docs.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    if keys.where("times > 1").isEmpty():
+        return docs.withColumn("times", F.lit(1).cast("bigint")), False
+    one = docs.groupBy("doc_id", "row_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    return staged(one.select("doc_id", "text", "row_key", "times"), "rows-once"), True
+
+
+def _for_each_row(docs: DataFrame, results: DataFrame, label: str) -> DataFrame:
+    """The results of a row (doc_id, row_key, ...) for each of the rows that equal it."""
+    results = staged(results, label)  # written, so that the join reads two plain exchanges
+    same = (docs["row_key"] == results["row_key"]) & docs["doc_id"].eqNullSafe(results["doc_id"])
+    return docs.select("doc_id", "row_key").join(results, same).select(
+        docs["doc_id"], *[results[c] for c in results.columns if c not in ("doc_id", "row_key")])
 
 
 class Block:
@@ -268,10 +285,10 @@ def window_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> tuple
     """(occurring, repeats, covered): the windows that share an anchor, the interval trees of
     the block-wise arrays, and (anchor, content, first, size) ranges that repeats cover."""
     found = staged(_window_rows(docs), "windows")
-    shared = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    shared = staged(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
     occurring = staged(found.join(shared, "anchor", "left_semi"), "shared-windows")
     kinds = staged(occurring.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row_key", "at", "n")).alias("one")), "window-kinds")
+        F.sum("times").alias("copies"), F.min(F.struct("doc_id", "row_key", "at", "n")).alias("one")), "window-kinds")
     several = (kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
                .select("anchor", (F.col("kinds") > block_windows).alias("hot")))
     wanted = kinds.join(several, "anchor").select("anchor", "content", "copies", "hot", "one.*")
@@ -291,17 +308,23 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     """(repeat, parent, length, doc_id, start): every occurrence of every maximal repeat of
     different windows, under the deepest repeat that holds it; a repeat's occurrences are
     its own rows and those of the repeats that name it as parent, and so on down."""
-    occurring, trees, _ = window_repeats(keyed(docs))
+    rows = keyed(docs)
+    docs, again = _once(rows)
+    occurring, trees, _ = window_repeats(docs)
     where = trees.where("offset IS NOT NULL").select("repeat", "length", "anchor", "content", "offset")
     up = trees.where("offset IS NULL").select("repeat", "parent")
-    return (occurring.join(where, ["anchor", "content"]).join(up, "repeat")
-            .select("repeat", "parent", "length", "doc_id", (F.col("at") + F.col("offset")).alias("start")))
+    out = (occurring.join(where, ["anchor", "content"]).join(up, "repeat")
+           .select("repeat", "parent", "length", "doc_id", "row_key", (F.col("at") + F.col("offset")).alias("start")))
+    if again:
+        out = _for_each_row(rows, out, "repeats-once")
+    return out.select("repeat", "parent", "length", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every byte that a repeated
     200-byte string covers is removed; ``kept`` is the rest."""
-    docs = keyed(docs)
+    rows = keyed(docs)
+    docs, again = _once(rows)
     occurring, _, covered = window_repeats(docs, block_windows)
     # written, so that the join below reads two plain exchanges and a hot window's rows can be split
     per_kind = staged(covered.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "size")).alias("covers")), "covers")
@@ -324,10 +347,11 @@ def remove_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataF
                 rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                                             ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = (docs["row_key"] == cuts["row_key"]) & docs["doc_id"].eqNullSafe(cuts["doc_id"])
-    return (docs.join(cuts, same, "left").select(docs["doc_id"], "text", "cuts")
-            .mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))
+    out = (docs.join(cuts, same, "left").select(docs["doc_id"], docs["row_key"], "text", "cuts")
+           .mapInArrow(run, f"doc_id {kind}, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))
+    return _for_each_row(rows, out, "rows-removed") if again else out.drop("row_key")

@@ -140,6 +140,19 @@ def test_repeats_of_odd_texts(spark, block_windows):
     assert [tuple(r)[1:5] for r in got] == _removed(texts)
 
 
+def test_repeated_rows_are_worked_on_once(spark):
+    """Rows equal in doc_id and text: one list of cuts, one string of each window kind."""
+    twin, other = " ".join(f"t{i}" for i in range(150)), " ".join(f"o{i}" for i in range(150))
+    rows = [(1, twin)] * 300 + [(None, other)] * 300 + [(2, f"head {twin[:400]} tail"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    once, again = suffix_dedup._once(suffix_dedup.keyed(df))
+    occurring, _, _ = suffix_dedup.window_repeats(once)
+    assert again and once.count() == 4
+    assert occurring.where("doc_id = 1").count() == occurring.where("doc_id = 1").select("at").distinct().count()
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, _removed([t for _, t in rows]), strict=True))
+
+
 def test_repeats_of_documents(docs, texts):
     got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == dict(zip(texts, _removed(list(texts.values())), strict=True))
