@@ -12,6 +12,12 @@ The limit of the ``unknown`` class is calibrated on rows kept out of training: k
 notices, and the other half of those without a class. A named family must also be confirmed
 by one of its templates: share of common word 3-grams, of the shorter of the two.
 
+A paragraph yields a row per notice. A confirmed notice is where its window agrees with the
+template; places that overlap, and those of one family less than half a window apart, are one
+notice, an unconfirmed window that reaches into a place belongs to it, and other unconfirmed
+windows that overlap are one. Each window names one family, so of two notices within the same
+``WINDOW`` words one may be missed.
+
 Defined results: a null or empty text has no paragraphs; a null doc_id is kept; repeated
 rows give repeated paragraphs once per distinct row; other columns are ignored.
 """
@@ -21,7 +27,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import keyed, staged
@@ -124,8 +130,9 @@ def _grams(w: Column) -> Column:
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """(doc_id, paragraph, family, licence_probability, family_probability, template,
-    similarity, confirmed): the paragraphs that hold a licence notice. ``family`` is
-    ``unknown`` unless the classifier names one and a template of it confirms it."""
+    similarity, confirmed, first_word): the licence notices, each with its best window and its
+    first word. ``family`` is ``unknown`` unless the classifier names one and a
+    template of it confirms it."""
     spark = docs.sparkSession
     model, licence, limit = train(docs, negatives)
     hits = staged(_judged(_featured(paragraph_windows(docs)), model).where(F.col("licence") >= licence), "licence-windows")
@@ -136,9 +143,30 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     compared = (grams.join(templates, "best", "left")
                 .withColumn("similarity", F.when(F.col("tg").isNull(), 0.0).otherwise(same))
                 .withColumn("confirmed", (F.col("p") >= limit) & (F.col("similarity") >= SIMILAR)))
-    rank = F.struct("confirmed", "similarity", "licence", "p", "template", "family")
-    top = compared.groupBy("doc_id", "row_key", "paragraph").agg(F.max(rank).alias("t"))
+    third = F.transform("w", lambda x, i: F.concat_ws(" ", F.slice("w", i + 1, 3)))
+    agree = F.filter(F.transform(third, lambda g, i: F.when(F.array_contains("tg", g), i)), lambda i: i.isNotNull())
+    compared = (compared.withColumn("agree", F.when(F.col("confirmed"), agree))
+                .withColumn("lo", F.col("first_word") + F.coalesce(F.array_min("agree"), F.lit(0)))
+                .withColumn("hi", F.col("first_word") + F.least(F.coalesce(F.array_max("agree") + 2, F.size("w") - 1), F.size("w") - 1)))
+    rank = F.struct("confirmed", "similarity", "licence", "p", "template", "family", "lo", "hi")
+    line = ["doc_id", "row_key", "paragraph"]
+    windows = compared.groupBy(*line, "first_word").agg(F.max(rank).alias("t")).select(*line, "t", "t.confirmed", "t.lo", "t.hi")
+    reach = F.max(F.when(F.col("confirmed"), F.col("hi"))).over(
+        Window.partitionBy(*line).orderBy("lo").rangeBetween(Window.unboundedPreceding, WINDOW - 1))
+    own = windows.withColumn("reach", reach).where("confirmed OR reach IS NULL OR reach < lo")
+
+    def joined(places: DataFrame, kind: str, gap: int) -> DataFrame:
+        """Places of a kind that overlap or are at most ``gap`` words apart as one, with the best ``t``."""
+        order = Window.partitionBy(*line, kind).orderBy("lo", "hi")
+        before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.coalesce(F.col("lo") - before > gap, F.lit(True)).cast("int")
+        return (places.withColumn("begins", begins)
+                .withColumn("notice", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy(*line, kind, "notice").agg(F.max("t").alias("t"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("notice"))
+
     family = F.when(F.col("t.confirmed"), F.col("t.family")).otherwise("unknown")
-    return top.select("doc_id", "paragraph", family.alias("family"), F.col("t.licence").alias("licence_probability"),
-                      F.col("t.p").alias("family_probability"), F.col("t.template").alias("template"),
-                      F.col("t.similarity").alias("similarity"), F.col("t.confirmed").alias("confirmed"))
+    places = joined(own, "confirmed", 0).withColumn("family", family)
+    notices = joined(places.where("confirmed"), "family", WINDOW // 2).unionByName(places.where("NOT confirmed").select(*line, "family", "t", "lo", "hi"))
+    return notices.select("doc_id", "paragraph", "family", F.col("t.licence").alias("licence_probability"),
+                          F.col("t.p").alias("family_probability"), F.col("t.template").alias("template"),
+                          F.col("t.similarity").alias("similarity"), F.col("t.confirmed").alias("confirmed"), F.col("lo").alias("first_word"))

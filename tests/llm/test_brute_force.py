@@ -387,6 +387,16 @@ def test_licences_in_prose(spark, docs):
     assert got == {(0, 0): "MIT", (1, 0): "Apache-2.0", (3, 0): "unknown", (4, 1): "GPL-3.0"}
 
 
+def test_every_notice_of_a_line(spark, docs):
+    prose = "one ordinary sentence follows another here and nothing in them speaks of rights or of terms at all today " * 6
+    parts = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.",
+             "Released under the MIT License."]
+    df = docs.select("doc_id", "text").where("doc_id >= 10").union(spark.createDataFrame([(0, prose + prose.join(parts) + prose)], "doc_id bigint, text string"))
+    rows = licenses.scan(df, 600).where("doc_id = 0").orderBy("first_word").collect()
+    assert [r.family for r in rows] == ["MIT", "GPL-3.0", "MIT"]
+    assert {r.paragraph for r in rows} == {0} and len({r.first_word for r in rows}) == 3
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline_stages_against_plain_python(spark, docs):
