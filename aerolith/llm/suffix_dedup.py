@@ -15,7 +15,8 @@ without a global sort:
    parent, so a repeat's occurrences (its own and those of the intervals below) are all
    there in space linear in the block;
 4. an anchor with more than ``BLOCK_WINDOWS`` different windows is settled by counting
-   128-bit hashes of its 200-byte strings instead, so no task holds an unbounded group.
+   128-bit hashes of its 200-byte strings instead, so no task holds an unbounded group; its
+   tree, where it is asked for, comes from hashes of all longer prefixes of what repeats.
 
 A repeat longer than a window is reported piece by piece, one for each anchor in it. Strings
 never cross texts and are judged on the input.
@@ -128,7 +129,7 @@ def _for_each_row(docs: DataFrame, results: DataFrame, label: str) -> DataFrame:
 class Block:
     """Enhanced suffix array over window strings; suffixes start within the first ``n``."""
 
-    def __init__(self, strings: list[bytes], least: int = LEAST):
+    def __init__(self, strings: list[bytes], least: int = LEAST, copies: list[int] | None = None):
         sizes = np.array([len(s) for s in strings], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
         sym = np.empty(int((sizes + 1).sum()), np.int64)
@@ -152,6 +153,8 @@ class Block:
         self.owner, self.offset, self.pos = owner[order], offset[order], pos[order]
         self.left = np.where(self.offset > 0, sym[np.maximum(self.pos - 1, 0)], -1 - np.arange(len(order)))
         self.lcp = self._lcp()
+        self.copies = np.array(copies if copies is not None else [1] * len(strings), np.int64)[self.owner]
+        self.rest = sizes[self.owner] - self.offset  # bytes of the suffix
 
     def _lcp(self) -> np.ndarray:
         """Common prefix of each suffix with the one before it, read off the rank levels."""
@@ -186,7 +189,10 @@ class Block:
     def repeats(self) -> tuple[list[tuple[int, int, int]], list[int], np.ndarray]:
         """(maximal intervals, parent index of each or -1, deepest one of each suffix or -1)."""
         change = np.concatenate(([0], np.cumsum(self.left[1:] != self.left[:-1])))
-        kept = [x for x in self.intervals() if change[x[2]] > change[x[1]]]
+        beside = np.maximum(self.lcp, np.concatenate((self.lcp[1:], [0]))) if len(self.lcp) == len(self.pos) else self.rest
+        # a string with copies repeats as a whole, though it is one suffix
+        alone = np.flatnonzero((self.copies > 1) & (self.offset == 0) & (self.rest > beside))
+        kept = [(int(self.rest[k]), int(k), int(k)) for k in alone] + [x for x in self.intervals() if change[x[2]] > change[x[1]]]
         parent, of = [-1] * len(kept), np.full(len(self.pos), -1, np.int64)
         for k in range(len(kept) - 1, -1, -1):  # outer ones first, so inner ones overwrite
             _, lo, hi = kept[k]
@@ -212,12 +218,13 @@ _REPEATS = "repeat bigint, parent bigint, length int, n int, anchor bigint, cont
 
 def _block_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Interval trees of consecutive anchors. A row with an ``offset`` is an occurrence, one
-    without it is a repeat with its parent and its number of suffixes."""
+    without it is a repeat with its parent and its number of occurrences."""
     held, size, anchor = [], 0, None
 
     def solve() -> pa.RecordBatch:
-        block = Block([s for _, _, s in held])
+        block = Block([s for _, _, s, _ in held], copies=[c for *_, c in held])
         kept, parent, of = block.repeats()
+        upto = np.concatenate(([0], np.cumsum(block.copies)))
         base = held[0][0]  # ids are unique among the blocks: an anchor is in one block only
         ids = [hash((base, k)) for k in range(len(kept))]
         hit = np.flatnonzero(of >= 0)
@@ -227,7 +234,7 @@ def _block_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             [ids[k] for k in of[hit]] + ids,
             none + [ids[p] if p >= 0 else None for p in parent],
             [kept[k][0] for k in of[hit]] + [k[0] for k in kept],
-            none + [k[2] - k[1] + 1 for k in kept],
+            none + [int(upto[k[2] + 1] - upto[k[1]]) for k in kept],
             [held[o][0] for o in own] + [None] * len(kept),
             [held[o][1] for o in own] + [None] * len(kept),
             block.offset[hit].tolist() + [None] * len(kept)]
@@ -236,11 +243,11 @@ def _block_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     for b in batches:
-        for a, content, s in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "string")), strict=True):
+        for a, content, s, copies in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "string", "copies")), strict=True):
             if a != anchor and held and (size >= BLOCK_BYTES or len(held) >= BLOCK_WINDOWS):
                 yield solve()
                 held, size = [], 0
-            held.append((a, content, s))
+            held.append((a, content, s, copies))
             size, anchor = size + len(s), a
     if held:
         yield solve()
@@ -261,6 +268,44 @@ def _hashed_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                              ["anchor", "content", "copies", "offset", "h"])
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each prefix of 200 bytes or more of the suffixes at ``offsets``: its 128-bit hash, the
+    byte after it (-1 at the end) and before it (-1 at the window's start)."""
+    names = ["anchor", "content", "copies", "offset", "h", "length", "after", "before"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int16(), pa.int16()]
+    for b in batches:
+        for a, content, copies, s, offsets in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "copies", "string", "offsets")), strict=True):
+            rows = []
+            for k in offsets:
+                x = xxhash.xxh3_128(s[k:k + LEAST])
+                for e in range(k + LEAST, len(s) + 1):
+                    rows.append((a, content, copies, k, x.digest(), e - k, s[e] if e < len(s) else -1, s[k - 1] if k else -1))
+                    x.update(s[e:e + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _hot_trees(strings: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Interval trees of anchors too large for a block, in the form of ``_block_repeats``: the
+    suffixes that repeat are split by the bytes after their first 200, so no group is gathered."""
+    offsets = repeated.groupBy("anchor", "content").agg(F.collect_list("offset").alias("offsets"))
+    found = staged(strings.join(offsets, ["anchor", "content"]).select("anchor", "content", "copies", "string", "offsets").mapInArrow(
+        _prefixes, "anchor bigint, content bigint, copies bigint, offset int, h binary, length int, after smallint, before smallint"), "hot-prefixes")
+    # an end or a start of a window differs from every other
+    differ = "min({0}) < max({0}) OR min({0}) = -1"
+    maximal = staged(found.groupBy("h", "length").agg(
+        F.sum("copies").alias("n"), F.expr(differ.format("after")).alias("right"), F.expr(differ.format("before")).alias("left"))
+        .where("n > 1 AND right AND left").select("h", "length", F.xxhash64("h", "length").alias("repeat"), F.col("n").cast("int").alias("n")), "hot-maximal")
+    chain = (found.join(maximal, ["h", "length"]).groupBy("anchor", "content", "offset")
+             .agg(F.sort_array(F.collect_list(F.struct("length", "repeat", "n"))).alias("c")))
+    chain = staged(chain, "hot-chains")
+    none = F.lit(None)
+    own = chain.select(F.element_at("c", -1).alias("r"), "anchor", "content", "offset").select(
+        "r.repeat", none.cast("bigint").alias("parent"), "r.length", none.cast("int").alias("n"), "anchor", "content", "offset")
+    up = F.transform("c", lambda x, i: F.struct(x["repeat"].alias("repeat"), F.when(i > 0, F.get("c", i - 1)["repeat"]).alias("parent"), x["length"].alias("length"), x["n"].alias("n")))
+    nodes = chain.select(F.explode(up).alias("x")).select("x.*").distinct()
+    return own.unionByName(nodes.select("*", none.cast("bigint").alias("anchor"), none.cast("bigint").alias("content"), none.cast("int").alias("offset")))
+
+
 def _cut_strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, content, copies, hot, string) of the wanted windows, cut from their texts."""
     per_text = wanted.groupBy("doc_id", "row_key").agg(
@@ -281,36 +326,41 @@ def _cut_strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(run, "anchor bigint, content bigint, copies bigint, hot boolean, string binary"))
 
 
-def window_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def window_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurring, repeats, covered): the windows that share an anchor, the interval trees of
-    the block-wise arrays, and (anchor, content, first, size) ranges that repeats cover."""
+    the block-wise arrays, and (anchor, content, first, size) ranges that repeats cover. The
+    ranges need no trees of windows that only occur as copies, nor of anchors above
+    ``block_windows``; with ``whole`` the trees have them too."""
     found = staged(_window_rows(docs), "windows")
     shared = staged(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
     occurring = staged(found.join(shared, "anchor", "left_semi"), "shared-windows")
     kinds = staged(occurring.groupBy("anchor", "content").agg(
         F.sum("times").alias("copies"), F.min(F.struct("doc_id", "row_key", "at", "n")).alias("one")), "window-kinds")
-    several = (kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = (kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most"))
+               .where("kinds > 1 OR most > 1" if whole else "kinds > 1")
                .select("anchor", (F.col("kinds") > block_windows).alias("hot")))
     wanted = kinds.join(several, "anchor").select("anchor", "content", "copies", "hot", "one.*")
     strings = staged(_cut_strings(docs, wanted), "window-strings")
     trees = staged(strings.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "content")
-                   .select("anchor", "content", "string").mapInArrow(_block_repeats, _REPEATS), "repeats")
+                   .select("anchor", "content", "string", "copies").mapInArrow(_block_repeats, _REPEATS), "repeats")
     hot = staged(strings.where("hot").select("anchor", "content", "copies", "string").mapInArrow(
         _hashed_strings, "anchor bigint, content bigint, copies bigint, offset int, h binary"), "hot-strings")
     often = hot.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
+    if whole:
+        trees = trees.unionByName(staged(_hot_trees(strings.where("hot"), hot.join(often, "h", "left_semi")), "hot-repeats"))
     covered = (kinds.where("copies > 1").select("anchor", "content", F.lit(0).alias("first"), (F.col("one.n") + LEAST - 1).cast("int").alias("size"))
                .union(trees.where("offset IS NOT NULL").select("anchor", "content", "offset", "length"))
                .union(hot.join(often, "h", "left_semi").select("anchor", "content", "offset", F.lit(LEAST))))
     return occurring, trees, covered
 
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """(repeat, parent, length, doc_id, start): every occurrence of every maximal repeat of
-    different windows, under the deepest repeat that holds it; a repeat's occurrences are
+def maximal_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """(repeat, parent, length, doc_id, start): every occurrence of every maximal repeat within
+    windows, exact copies of windows too, under the deepest repeat that holds it; a repeat's occurrences are
     its own rows and those of the repeats that name it as parent, and so on down."""
     rows = keyed(docs)
     docs, again = _once(rows)
-    occurring, trees, _ = window_repeats(docs)
+    occurring, trees, _ = window_repeats(docs, block_windows, whole=True)
     where = trees.where("offset IS NOT NULL").select("repeat", "length", "anchor", "content", "offset")
     up = trees.where("offset IS NULL").select("repeat", "parent")
     out = (occurring.join(where, ["anchor", "content"]).join(up, "repeat")

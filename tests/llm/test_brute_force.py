@@ -196,6 +196,40 @@ def test_every_occurrence_of_a_repeat_is_reported(spark):
         assert {x.doc_id for x in same} == set(range(6))
 
 
+@pytest.mark.parametrize("block_windows", [suffix_dedup.BLOCK_WINDOWS, 0])
+def test_maximal_repeats_of_windows(spark, block_windows):
+    """Exact copies and anchors above ``block_windows`` too: all maximal strings of all windows."""
+    twin, part = (" ".join(f"{c}{i}" for i in range(60)) for c in "tp")
+    texts = [twin, twin, f"x {part} one", f"y {part} two", f"y {part} two", f"z {part[:220]}", "w" * 210]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = suffix_dedup.maximal_repeats(df, block_windows).collect()
+    parent, length = {r.repeat: r.parent for r in rows}, {r.repeat: r.length for r in rows}
+    found = {}
+    for r in rows:
+        k = r.repeat
+        while k is not None and k in length:
+            found.setdefault((texts[r.doc_id][r.start:r.start + length[k]]), set()).add((r.doc_id, r.start))
+            k = parent[k]
+    spans = {}  # anchor -> [(text, first start, end, starts)]
+    for d, t in enumerate(texts):
+        for s, n, a in suffix_dedup.windows(np.frombuffer(t.encode(), np.uint8)):
+            spans.setdefault(a, []).append((d, s, s + n + 199, n))
+    want = {}
+    for own in spans.values():
+        at = {}
+        for d, s, e, n in own:
+            for i in range(s, s + n):
+                for j in range(i + 200, e + 1):
+                    at.setdefault(texts[d][i:j], []).append((d, i, texts[d][j] if j < e else (d, i), texts[d][i - 1] if i > s else (d, i)))
+        for x, where in at.items():
+            if len(where) > 1 and len({w[2] for w in where}) > 1 and len({w[3] for w in where}) > 1:
+                want[x] = {w[:2] for w in where}
+    # one that only occurs as part of the deeper ones has no rows of its own; those below it carry it
+    assert {0, 1} <= {r.doc_id for r in rows} and any(len(x) > 200 and {w[0] for w in y} == {0, 1} for x, y in found.items())
+    assert all(want.get(x) == y for x, y in found.items())
+    assert {w for y in want.values() for w in y} == {w for y in found.values() for w in y}
+
+
 # --- SimHash ------------------------------------------------------------------------------
 
 def _fingerprint(text):
