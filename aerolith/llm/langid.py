@@ -1,6 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Training counts all 4-grams of all learning rows on Spark; the model of each language is
+Training counts all 4-grams of the rows with crc32(doc_id) mod 4 of 0 or 1 on Spark (3
+calibrates, 2 is held out; a language without a row in 0 or 1 is never predicted); the model of each language is
 interpolated Kneser-Ney (absolute discount on the 4-gram counts, continuation counts
 below). Models are kept in sorted arrays of 64-bit n-gram hashes, one row of
 log-probabilities per hash with a column per language, so one binary search serves all
