@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, html_text, langid, licenses, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files
+from aerolith.llm import (decontaminate, hard_negatives, html_text, langid, licenses, line_dedup, packing, quality_rules, simhash,
+                          suffix_dedup, token_files)
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -124,3 +125,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_license_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH v AS (SELECT row_number() OVER () AS k, vec_id,
+                  CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT a.k AS a_k, a.vec_id AS anchor_id, v.k, v.vec_id, a.label = v.label AS same,
+             CAST(list_inner_product(a.v, v.v) AS BIGINT) AS score
+      FROM a JOIN v ON a.k <> v.k),
+p AS (SELECT *, row_number() OVER (PARTITION BY a_k ORDER BY score DESC, vec_id NULLS LAST, k) AS p FROM s WHERE same QUALIFY p <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.a_k, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST, s.k) AS INTEGER) AS rank
+      FROM p JOIN s ON s.a_k = p.a_k AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@register("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), every=100, relabel=7)
