@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.session import scratch_path
@@ -52,6 +52,27 @@ def rows_of(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFra
     return tagged.join(keys, same, how).drop("__key")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made of it that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's number in ``order``, from 1. Rows are dealt by ranges of the order,
+    sorted and numbered within a range, and the sizes of the ranges before are added, so no task
+    sees more than a range. Rows equal in the whole order are numbered in any way."""
+    at, part, base = (free_name(df, x) for x in ("at", "part", "base"))
+    dealt = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    split = dealt.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = split.groupBy(part).agg(F.count(F.lit(1)).alias(base))  # a row per range
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    return split.join(F.broadcast(bases), part).select(*df.columns, (F.col(at) + F.col(base) + 1).alias(name))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``most`` bytes of ``column``
     (one row at least), so that a task's working arrays stay bounded."""

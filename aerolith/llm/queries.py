@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import (decontaminate, hard_negatives, html_text, langid, licenses, line_dedup, packing, quality_rules, simhash,
-                          suffix_dedup, token_files)
+from aerolith.llm import (decontaminate, hard_negatives, html_text, importance, langid, licenses, line_dedup, packing, quality_rules,
+                          simhash, suffix_dedup, token_files)
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -148,3 +148,9 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 @register("op11_hard_negatives", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), every=100, relabel=7)
+
+
+@register("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
