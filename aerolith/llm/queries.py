@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import (decontaminate, hard_negatives, html_text, importance, langid, licenses, line_dedup, packing, quality_rules,
-                          simhash, suffix_dedup, token_files)
+from aerolith.llm import (decontaminate, hard_negatives, html_text, importance, langid, licenses, line_dedup, mixing, packing,
+                          quality_rules, simhash, suffix_dedup, token_files)
 from aerolith.llm.common import table
 from aerolith.llm.registry import register
 
@@ -154,3 +154,45 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS BIGINT) AS size,
+             md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)) AS key FROM d),
+s AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place,
+             1 + rows // 2000 + source_size // 1048576 AS shards, source_size * 2 AS cap
+      FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS rows FROM c GROUP BY source)),
+w AS (SELECT *, [5, 2, 1][1 + (place - 1) % 3] AS weight FROM s),
+total AS (SELECT CAST(sum(source_size) AS BIGINT) AS words FROM w),
+fill(n, unit) AS (SELECT 0, CAST(0 AS DOUBLE)
+    UNION ALL SELECT n + 1, again FROM (
+        SELECT n, unit, (CAST((SELECT words * 150 FROM total) AS DOUBLE) / 100 - coalesce(sum(cap) FILTER (cap < weight * unit), 0))
+                        / sum(weight) FILTER (NOT cap < weight * unit) AS again
+        FROM fill, w GROUP BY n, unit) WHERE again <> unit AND n < 1000),
+u AS (SELECT unit FROM fill ORDER BY n DESC LIMIT 1),
+t AS (SELECT w.*, CASE WHEN cap < weight * unit THEN CAST(cap AS DOUBLE) ELSE weight * unit END AS target FROM w, u),
+seat AS (SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS r
+         FROM (SELECT place, target, unnest(range(0, CAST(target / 16 AS BIGINT) + 2)) AS k FROM t)),
+q AS (SELECT place, count(*) AS quota FROM seat, total WHERE r <= floor(least(words * 1.5, words * 2) / 16 + 0.5) GROUP BY place),
+p AS (SELECT c.*, place, source_size, target, CAST(('0x' || substr(key, 1, 15)) AS BIGINT) % shards AS shard
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+ring AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS a,
+                sum(size) OVER (PARTITION BY place, shard) AS ring FROM p),
+sh AS (SELECT place, shard, any_value(ring) AS ring FROM ring GROUP BY place, shard),
+sseat AS (SELECT place, shard, row_number() OVER (PARTITION BY place ORDER BY ring / (2 * k + 1) DESC, shard, k) AS r
+          FROM (SELECT place, shard, ring, unnest(range(0, CAST(2 * ring // 16 AS BIGINT) + 3)) AS k FROM sh)),
+sq AS (SELECT place, shard, count(*) AS blocks FROM sseat JOIN q USING (place) WHERE r <= quota GROUP BY place, shard),
+run AS (SELECT ring.*, CAST(('0x' || substr(md5('13:' || place || ':' || shard), 1, 15)) AS BIGINT) % greatest((ring + 15) // 16, 1) * 16 AS b,
+               least(coalesce(blocks, 0) * 16, ring * 2) AS n FROM ring LEFT JOIN sq USING (place, shard))
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(least(b + n, a + size) - greatest(b, a), 0) + greatest(least(b + n, a + size + ring) - greatest(b, a + ring), 0)
+            + greatest(least(b + n, a + size + 2 * ring) - greatest(b, a + 2 * ring), 0) AS BIGINT) AS taken
+FROM run
+"""
+
+
+@register("op13_source_mixing", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
