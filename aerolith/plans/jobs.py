@@ -18,22 +18,35 @@ from aerolith.operators import joins as J
 from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q
+from aerolith.session import written_once
 from aerolith.sources import archive as SA
 from aerolith.sources import payloads as SP
 from aerolith.sources import sinks as K
 
 
 def archive_backfill(spark: SparkSession, archive_base: str, location_map: str, start: str,
-                     end: str, fact_path: str, map_whole_file: bool = True) -> dict:
-    """O-C1 location map -> partition selection -> scan -> append.
-    Returns rows appended, lines that did not parse, and the requested
-    partitions that were absent. A line whose time does not parse is not stored."""
-    ids = SP.read_location_map(spark, location_map, whole_file=map_whole_file).select("location_id")
-    rows = SA.read_archive(spark, archive_base, ids, start, end).where(F.col("datetime").isNotNull())
-    metrics = K.append_partitioned(rows, fact_path, sort_within=K.GEN1_FACT_ORDER)
+                     end: str, fact_path: str, map_whole_file: bool = True, strict_map: bool = True,
+                     rejects_path: str | None = None) -> dict:
+    """O-C1 location map -> partition selection -> scan -> append, the archive parsed once.
+
+    The result's ``lines`` counts every line read, and ``appended`` (of which ``without_time`` have an
+    empty time), ``corrupt_lines`` and ``outside`` add up to it. ``missing_partitions`` are those asked
+    for and absent. A location map that is broken raises; with ``strict_map=False`` its broken objects
+    are named in ``rejected_map_shards`` and the rest is loaded. Lines that do not parse are kept below
+    ``rejects_path`` where that is given."""
+    ids = SP.read_location_map(spark, location_map, whole_file=map_whole_file, strict=strict_map).select("location_id")
+    ids = written_once(ids, "location-ids")
+    shards = [] if strict_map else [r["file_path"] for r in SP.rejected_map_shards(spark, location_map, map_whole_file)
+                                    .select("file_path").distinct().orderBy("file_path").limit(NAMED_SHARDS).collect()]
+    found = K.append_archive(SA.tagged_lines(spark, archive_base, ids, start, end), fact_path)
+    if rejects_path is not None and found["corrupt_lines"]:
+        SA.corrupt_lines(spark, archive_base, ids, start, end).write.mode("append").parquet(rejects_path)
     missing = SA.missing_partitions(spark, archive_base, ids, start, end)
-    corrupt = SA.corrupt_lines(spark, archive_base, ids, start, end).count()
-    return {"appended": int(metrics.get("rows", 0)), "corrupt_lines": corrupt, "missing_partitions": missing}
+    return {**found, "missing_partitions": missing, "rejected_map_shards": shards}
+
+
+#: Files with broken location map objects that a load names; ``rejected_map_shards`` has all.
+NAMED_SHARDS = 100
 
 
 def presentation_gen1(raw: DataFrame) -> dict[str, DataFrame]:
@@ -64,16 +77,17 @@ def live_collection(spark: SparkSession, metadata_path: str, latest_path: str,
                     fact_path: str | None = None, dry_run: bool = False,
                     multiline: bool = True) -> tuple[DataFrame, dict]:
     """O-C3 metadata + latest payloads -> sensor join -> fact rows ->
-    insert-if-absent. ``dry_run`` returns the rows without writing. The second
-    result counts rows inserted (observed at the write) and documents that
-    could not be read (O-E3)."""
-    sensors = SP.sensor_lookup(spark, metadata_path, multiline=multiline)
-    meta = SP.location_metadata(spark, metadata_path, multiline=multiline)
-    latest = SP.latest_rows(spark, latest_path, multiline=multiline)
-    rows = SP.payload_to_raw_rows(latest, sensors, meta)
-    failed = sum(SP.quarantined(spark, kind, path, multiline).count()
-                 for kind, path in (("metadata", metadata_path), ("latest", latest_path)))
-    stats = {"inserted": None, "failed_documents": failed}
+    insert-if-absent. ``dry_run`` returns the rows without writing. Each payload is
+    parsed once. The second result counts rows inserted (observed at the write),
+    documents that could not be read, and records with a field set to null or
+    without a usable key or time (O-E3)."""
+    metadata = SP.landing(spark, "metadata", metadata_path, multiline, once=True)
+    latest = SP.landing(spark, "latest", latest_path, multiline, once=True)
+    rows = SP.payload_to_raw_rows(SP.latest_rows(spark, latest), SP.sensor_lookup(spark, metadata),
+                                  SP.location_metadata(spark, metadata))
+    seen = [metadata.counts(), latest.counts()]
+    stats = {"inserted": None, "failed_documents": sum(c["failed_documents"] for c in seen),
+             "repaired_records": sum(c["repaired"] for c in seen), "rejected_records": sum(c["rejected"] for c in seen)}
     if not dry_run and fact_path is not None:
         stats["inserted"] = K.insert_live_rows(spark, rows, fact_path)
     return rows, stats
@@ -85,15 +99,18 @@ def location_sync(spark: SparkSession, listing_path: str, locations: DataFrame,
     """O-C4 listing -> validation -> flatten -> classify (added/updated/errors) ->
     upsert written copy-on-write. Returns (counts by status, new dimension). A
     listing without any usable record raises; records without an id are counted
-    as errors and left out, documents that could not be read as failed_documents."""
-    listing = SP.locations_listing(spark, listing_path, country, city, limit, multiline=multiline)
+    as errors and left out, documents that could not be read as failed_documents,
+    records whose id is none or that are no object as rejected_records."""
+    docs = SP.landing(spark, "locations", listing_path, multiline, once=True)
+    listing = SP.locations_listing(spark, docs, country, city, limit)
     check = P.validate_required(listing, "location_id").first()
     if check["n_rows"] == check["n_missing"]:
         raise ValueError("location listing failed validation")
-    failed = SP.quarantined(spark, "locations", listing_path, multiline).count()
+    seen = docs.counts()
     counts = J.sync_counts(listing, locations)
-    if failed:
-        counts = counts.unionByName(spark.createDataFrame([("failed_documents", failed)], counts.schema))
+    lost = [(name, n) for name, n in (("failed_documents", seen["failed_documents"]), ("rejected_records", seen["rejected"])) if n]
+    if lost:
+        counts = counts.unionByName(spark.createDataFrame(lost, counts.schema))
     new_dim = K.load_locations(spark, listing.where(F.col("location_id").isNotNull()), locations, out_path)
     return counts, new_dim
 
@@ -102,24 +119,30 @@ def measurement_collection(spark: SparkSession, payload_path: str, table_path: s
                            date_from=None, date_to=None, now: dt.datetime | None = None,
                            multiline: bool = True) -> dict:
     """O-C6 measurement payloads (default: the last 24 hours before ``now``)
-    -> transform (O-C5) -> insert ignoring conflicts -> metrics (O-A27): rows of
-    every step, documents that could not be read, start and end of the run."""
+    -> transform (O-C5) -> insert ignoring conflicts -> metrics (O-A27): records and
+    documents of every step, start and end of the run. The payloads are parsed once.
+
+    ``records`` of the documents read = ``extracted`` + ``outside`` (of the range) + ``rejected``;
+    ``extracted`` = ``transformed`` + ``filtered``; ``transformed`` = ``loaded`` + ``skipped``.
+    ``repaired`` records had a field set to null; ``errors`` are documents that could not be read."""
     started = dt.datetime.now(dt.timezone.utc)
     if date_from is None or date_to is None:
         now = now or dt.datetime.utcnow()
         date_from, date_to = now - dt.timedelta(days=1), now
-    raw = SP.measurements_range(spark, payload_path, date_from, date_to, multiline=multiline)
-    scored = SP.measurement_records_flat(raw, keep=False)
+    docs = SP.landing(spark, "measurements", payload_path, multiline, once=True)
+    seen = docs.counts()
+    scored = SP.measurement_records(SP.measurement_rows(docs.rows()), keep=False)
     v = F.col("value")
-    keep = v.isNotNull() & (v >= 0) & (F.col("quality_score") > 0)
-    scored, obs = Q.observed(scored, "extracted", kept=F.count(F.when(keep, F.lit(1))))
-    recs = P.keep_valid_scored(scored).withColumn("id", natural_id())
+    inside = P.optional_filters(date_from=date_from, date_to=date_to)
+    keep = inside & v.isNotNull() & (v >= 0) & (F.col("quality_score") > 0)
+    scored, obs = Q.observed(scored, "extracted", inside=F.count(F.when(inside, F.lit(1))), kept=F.count(F.when(keep, F.lit(1))))
+    recs = P.keep_valid_scored(scored.where(inside)).withColumn("id", natural_id())
     res = K.load_measurements(spark, recs, table_path)
     m = Q.metrics(obs)
-    extracted, kept = int(m.get("rows", 0)), int(m.get("kept", 0))
-    failed = SP.quarantined(spark, "measurements", payload_path, multiline).count()
-    return {"extracted": extracted, "transformed": kept, "filtered": extracted - kept,
-            "loaded": res["inserted"], "skipped": res["skipped"], "errors": failed,
+    rows, extracted, kept = (int(m.get(k) or 0) for k in ("rows", "inside", "kept"))
+    return {"records": seen["records"], "rejected": seen["rejected"], "repaired": seen["repaired"], "outside": rows - extracted,
+            "extracted": extracted, "transformed": kept, "filtered": extracted - kept,
+            "loaded": res["inserted"], "skipped": res["skipped"], "errors": seen["failed_documents"],
             "started": started, "ended": dt.datetime.now(dt.timezone.utc)}
 
 

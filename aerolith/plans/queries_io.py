@@ -75,6 +75,41 @@ def q_archive_backfill(spark, d):
     return spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact).select(*RAW_COLS)
 
 
+BAD_LINES = """
+spots AS (SELECT DISTINCT locationid, year, month FROM raw_aq)"""
+
+
+def land_bad_lines(raw: DataFrame, base: str) -> None:
+    """A file in every partition of an archive with a line of each kind that is no plain row: an empty
+    time, a time that is none, a sensor id that is none."""
+    at = raw.select("locationid", "year", "month").distinct()
+    kinds = F.array(*[F.struct(F.lit(sensor).alias("sensors_id"), F.lit(t).alias("datetime"))
+                      for sensor, t in (("1", None), ("2", "yesterday"), ("three", "2024-01-01T00:00:00Z"))])
+    lines = at.select("*", F.explode(kinds).alias("k")).select(
+        F.col("locationid").cast("string").alias("location_id"), "k.sensors_id", F.lit("here").alias("location"), "k.datetime",
+        F.lit("1.5").alias("lat"), F.lit("2.5").alias("lon"), F.lit("pm10").alias("parameter"), F.lit("ug/m3").alias("units"),
+        F.lit("3.5").alias("value"), "locationid", "year", "month")
+    lines.write.mode("append").partitionBy("locationid", "year", "month").option("header", True).csv(base)
+
+
+@register("archive_ledger", oracle("""
+SELECT n + 3 * p AS lines, n + p AS appended, p AS without_time, 2 * p AS corrupt_lines, 0 AS outside, 2 * p AS kept_aside, p AS null_times
+FROM (SELECT COUNT(*) AS n FROM raw_aq), (SELECT COUNT(*) AS p FROM spots)""", BAD_LINES))
+def q_archive_ledger(spark, d):
+    """O-C1, O-S1: every line of the archive is counted once, and is in the fact or kept aside."""
+    base, fact, aside = (scratch_path(spark, x) for x in ("archive", "fact", "rejects"))
+    SA.write_archive(R(spark, d), base)
+    land_bad_lines(R(spark, d), base)
+    mp = scratch_path(spark, "locmap")
+    K.write_location_map(LOC(spark, d), mp)
+    res = C.archive_backfill(spark, base, mp, "2024-01", "2024-01", fact, map_whole_file=False, rejects_path=aside)
+    stored = spark.read.schema(schemas.RAW_AIR_QUALITY).parquet(fact)
+    counts = ("lines", "appended", "without_time", "corrupt_lines", "outside")
+    return (stored.agg(F.count(F.lit(1)).alias("appended"), F.count(F.when(F.col("datetime").isNull(), F.lit(1))).alias("null_times"))
+            .select("appended", "null_times", *[F.lit(res[c]).cast("bigint").alias(c) for c in counts if c != "appended"],
+                    F.lit(spark.read.parquet(aside).count()).alias("kept_aside")))
+
+
 # ============================================================== location map
 @register("location_map_roundtrip", oracle("SELECT location_id, name FROM locations"))
 def q_location_map(spark, d):
@@ -83,6 +118,23 @@ def q_location_map(spark, d):
     return SP.read_location_map(spark, path, whole_file=False)
 
 
+@register("location_map_rejects", oracle("""
+SELECT 'not JSON' AS reason, COUNT(DISTINCT CAST(floor(location_id / 100) AS BIGINT)) AS n FROM locations
+UNION ALL SELECT 'an id is no number', COUNT(DISTINCT CAST(floor(location_id / 100) AS BIGINT)) FROM locations
+UNION ALL SELECT 'rows', COUNT(*) FROM locations"""))
+def q_location_map_rejects(spark, d):
+    """O-S4: beside each shard of a map stand one that is cut short and one with a name for an id."""
+    path = scratch_path(spark, "locmap")
+    K.write_location_map(LOC(spark, d), path, shard_size=100)
+    shards = spark.read.text(path)
+    cut = shards.select(F.expr("substring(value, 1, length(value) - 4)").alias("value"))
+    named = shards.select(F.regexp_replace("value", r'^\{"', '{"near ').alias("value"))
+    cut.unionByName(named).write.mode("append").text(path)
+    rows = SP.read_location_map(spark, path, whole_file=False, strict=False).agg(F.count(F.lit(1)).alias("n"))
+    bad = SP.rejected_map_shards(spark, path, whole_file=False).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return bad.unionByName(rows.select(F.lit("rows").alias("reason"), "n"))
+
+
 # ============================================================== payloads
 def _sensor_key():
     return AD.sensor_key("location_id", "sensor_id", "parameter")
@@ -164,6 +216,76 @@ def q_quarantined_documents(spark, d):
     return out
 
 
+def land_odd_payloads(spark, d, path, per_doc: int = 100) -> None:
+    """Measurement documents in which some readings of each are not as the schema has them: by the last
+    digit of the id 3 has a value that is no number, 4 a number as text, 5 a location that is no number,
+    6 a time that is none, 7 no time, 8 no object for its coordinates, and 9 is a bare text."""
+    k = F.col("id") % 10
+    field = lambda name, x: F.concat(F.lit(f'"{name}":'), x)
+    text = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.lit(1 << 20))  # noqa: E731  ends with the brace
+    json_of = lambda x: F.regexp_replace(text(F.coalesce(x.cast("string"), F.lit(""))), r"\}$", "")
+    number = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    value = F.when(k == 3, F.lit('"n/a"')).when((k == 4) & F.col("value").isNotNull(), json_of(F.col("value"))).otherwise(number(F.col("value")))
+    place = F.when(k == 5, F.lit('"unknown"')).otherwise(number(F.col("location_id")))
+    time = F.when(k == 6, F.lit('"yesterday"')).when(k == 7, F.lit("null")).otherwise(json_of(_iso("measurement_time")))
+    where = F.when(k == 8, F.lit('"north"')).otherwise(F.to_json(F.struct("latitude", "longitude")))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", field("locationsId", place), field("sensorsId", number(F.col("sensor_id"))),
+                     field("location", json_of(F.col("location"))), field("parameter", json_of(F.col("parameter"))), field("value", value),
+                     field("unit", json_of(F.col("unit"))), field("datetime", time), field("coordinates", where)), F.lit("}"))
+    items = S(spark, d).select("id", F.when(k == 9, F.lit('"lost"')).otherwise(whole).alias("item"))
+    docs = (items.groupBy(F.floor(F.col("id") / per_doc).alias("_doc"))
+            .agg(F.concat(F.lit('{"results":['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value")))
+    docs.select("value").write.mode("overwrite").text(path)
+    spark.createDataFrame([('{"results": [{"locationsId": 1, "val',), ('{"detail": "rate limit exceeded"}',)], "value string") \
+         .write.mode("append").text(path)
+
+
+@register("payload_salvage", oracle("""
+SELECT location_id, sensor_id, location, parameter, CASE WHEN id % 10 = 3 THEN NULL ELSE value END AS value, unit, measurement_time,
+       CASE WHEN id % 10 = 8 THEN NULL ELSE latitude END AS latitude, CASE WHEN id % 10 = 8 THEN NULL ELSE longitude END AS longitude
+FROM scored WHERE id % 10 NOT IN (5, 6, 7, 9)"""))
+def q_payload_salvage(spark, d):
+    """O-S9, O-S8, O-F16: a reading of a wrong type costs its field or itself, not its document."""
+    path = scratch_path(spark, "mpayload")
+    land_odd_payloads(spark, d, path)
+    rows = SP.measurement_rows(SP.read_payload(spark, "measurements", path, multiline=False))
+    return rows.select("location_id", "sensor_id", F.col("location_name").alias("location"), "parameter", "value", "unit",
+                       "measurement_time", "latitude", "longitude")
+
+
+@register("payload_rejects", oracle("""
+SELECT CASE WHEN id % 10 IN (3, 8) THEN 'repaired' ELSE 'rejected' END AS status,
+       CASE id % 10 WHEN 3 THEN 'value' WHEN 5 THEN 'locationsId' WHEN 8 THEN 'coordinates' WHEN 9 THEN '$' ELSE 'datetime' END AS field,
+       CASE id % 10 WHEN 3 THEN '"n/a"' WHEN 5 THEN '"unknown"' WHEN 6 THEN 'yesterday' WHEN 8 THEN '"north"' WHEN 9 THEN '"lost"' END AS text,
+       COUNT(*) AS n
+FROM scored WHERE id % 10 IN (3, 5, 6, 7, 8, 9) GROUP BY 1, 2, 3"""))
+def q_payload_rejects(spark, d):
+    """O-E3: each field that became null and each record that was left out, with its text."""
+    path = scratch_path(spark, "mpayload")
+    land_odd_payloads(spark, d, path)
+    docs = SP.landing(spark, "measurements", path, multiline=False, once=True)
+    lost = docs.rejected().select(F.lit("rejected").alias("status"), F.explode("issues").alias("i")).select("status", "i.*")
+    nulled = docs.repaired().select(F.lit("repaired").alias("status"), "field", "text")
+    return lost.unionByName(nulled).groupBy("status", "field", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("payload_ledger", oracle("""
+SELECT records, rejected, repaired, records - rejected - extracted AS outside, extracted, transformed, extracted - transformed AS filtered, 2 AS errors
+FROM (SELECT COUNT(*) AS records, COUNT(*) FILTER (id % 10 IN (5, 6, 7, 9)) AS rejected, COUNT(*) FILTER (id % 10 IN (3, 8)) AS repaired,
+             COUNT(*) FILTER (id % 10 NOT IN (5, 6, 7, 9) AND measurement_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25') AS extracted,
+             COUNT(*) FILTER (id % 10 NOT IN (3, 5, 6, 7, 9) AND measurement_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'
+                              AND value IS NOT NULL AND value >= 0 AND quality_score > 0) AS transformed FROM scored)"""))
+def q_payload_ledger(spark, d):
+    """O-C6: every record of the documents read is in one count of the job's metrics."""
+    path, table = scratch_path(spark, "mpayload"), scratch_path(spark, "measurements")
+    land_odd_payloads(spark, d, path)
+    got = C.measurement_collection(spark, path, table, "2024-01-05", "2024-01-25", multiline=False)
+    if got["loaded"] + got["skipped"] != got["transformed"]:
+        raise RuntimeError(f"unexpected metrics {got}")
+    names = ("records", "rejected", "repaired", "outside", "extracted", "transformed", "filtered", "errors")
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 @register("latest_two_polls", oracle("SELECT location_id, COUNT(*) AS n FROM (SELECT location_id FROM live UNION ALL SELECT location_id FROM live) t GROUP BY location_id", LIVE_CTES))
 def q_latest_two_polls(spark, d):
     """O-S6: the limit belongs to a request, so two polls of a location keep both."""

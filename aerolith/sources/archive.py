@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +40,16 @@ def scan_archive(spark: SparkSession, base: str) -> DataFrame:
 
 
 CORRUPT = "_corrupt_record"
+#: What became of a line: in the fact, in it with a null time, not parsed (the line or its time), not asked for.
+STORED, WITHOUT_TIME, UNPARSABLE, OUTSIDE = "stored", "without_time", "unparsable", "outside"
 
 
 def _line_text():
-    """The text of a line that does not parse, else ''. Not a bare column: the CSV
-    reader would take a filter on that one before it has parsed the line."""
-    return F.coalesce(F.col(CORRUPT), F.lit(""))
+    """The text of a line that does not parse, else ''. Not a bare column: the CSV reader would take a
+    filter on that one before it has parsed the line. The reader converts only columns that the plan
+    asks for, so this asks for all: a line is judged alike whatever is selected of it."""
+    asked = F.xxhash64(*[f.name for f in schemas.ARCHIVE_CSV.fields]) % 2 < 2  # always true, but the planner can't know
+    return F.when(asked, F.coalesce(F.col(CORRUPT), F.lit("")))
 
 
 def _archive_lines(spark: SparkSession, base: str) -> DataFrame:
@@ -57,6 +61,32 @@ def _archive_lines(spark: SparkSession, base: str) -> DataFrame:
             .csv(base))
 
 
+def _unparsable():
+    time = F.coalesce(F.col("datetime"), F.lit(""))
+    return (_line_text() != "") | ((time != "") & X.parse_utc(time).isNull())
+
+
+def tagged_lines(spark: SparkSession, base: str, location_ids=None, start: str | None = None,
+                 end: str | None = None) -> DataFrame:
+    """O-S1 + O-K1: every line of the selected partitions as a ``raw.air_quality`` row with its
+    ``line_status``. A line with an empty time is a row with a null time, as the table allows it; a line
+    that does not parse has its text in ``_corrupt_record``. One parse of each file serves rows and counts."""
+    df, asked = _archive_lines(spark, base), F.lit(True)
+    if start is not None and end is not None:
+        df, asked = _select(df, location_ids, start, end)
+    elif location_ids is not None:
+        df, asked = _select(df, location_ids, "0001-01", "9999-12")
+    no_time = F.coalesce(F.col("datetime"), F.lit("")) == ""
+    status = (F.when(~asked, F.lit(OUTSIDE)).when(_unparsable(), F.lit(UNPARSABLE))
+              .when(no_time, F.lit(WITHOUT_TIME)).otherwise(F.lit(STORED)))
+    return to_raw_rows(df.withColumn("line_status", status), keep=("line_status", CORRUPT))
+
+
+def line_ledger(tagged: DataFrame) -> DataFrame:
+    """(line_status, lines) of ``tagged_lines``."""
+    return tagged.groupBy("line_status").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def corrupt_lines(spark: SparkSession, base: str, location_ids=None, start: str | None = None,
                   end: str | None = None) -> DataFrame:
     """(locationid, year, month, _corrupt_record): archive lines that do not parse,
@@ -64,9 +94,7 @@ def corrupt_lines(spark: SparkSession, base: str, location_ids=None, start: str
     df = _archive_lines(spark, base)
     if start is not None and end is not None:
         df = select_partitions(df, location_ids, start, end)
-    time = F.coalesce(F.col("datetime"), F.lit(""))
-    bad = (_line_text() != "") | ((time != "") & X.parse_utc(time).isNull())
-    return df.where(bad).select("locationid", "year", "month", F.coalesce(CORRUPT, "datetime").alias(CORRUPT))
+    return df.where(_unparsable()).select("locationid", "year", "month", F.coalesce(CORRUPT, "datetime").alias(CORRUPT))
 
 
 #: Location ids up to which a frame of them becomes an IN filter on the partitions.
@@ -79,27 +107,33 @@ def select_partitions(df: DataFrame, location_ids: DataFrame | list[int] | None,
     inclusive) as partition predicates. A list of ids becomes an IN filter, and
     so does an id frame of at most ``MAX_IN_IDS`` ids (counted first), so only
     their folders are read; a larger frame is semi-joined."""
+    out, asked = _select(df, location_ids, start, end)
+    return out.where(asked).select(*df.columns)
+
+
+def _select(df: DataFrame, location_ids: DataFrame | list[int] | None, start: str, end: str) -> tuple[DataFrame, Column]:
+    """(rows of the partitions that are read, whether a row was asked for)."""
     lo, hi = _month_index(start), _month_index(end)
     out = df.where(month_key().between(lo, hi))
     if location_ids is None:
-        return out
+        return out, F.lit(True)
     if isinstance(location_ids, DataFrame):
-        ids = location_ids.select(F.col(location_ids.columns[0]).cast("long").alias("locationid"))
-        ids = written_once(ids.where("locationid IS NOT NULL").distinct(), "archive-ids")
+        ids = location_ids.select(F.col(location_ids.columns[0]).cast("long").alias("_asked"))
+        ids = written_once(ids.where("_asked IS NOT NULL").distinct(), "archive-ids")
         if ids.count() > MAX_IN_IDS:
-            return out.join(ids, "locationid", "left_semi")
-        location_ids = [r["locationid"] for r in ids.collect()]
-    return out.where(F.col("locationid").isin([int(i) for i in location_ids]))
+            return out.join(ids, F.col("locationid") == F.col("_asked"), "left"), F.col("_asked").isNotNull()
+        location_ids = [r["_asked"] for r in ids.collect()]
+    return out.where(F.col("locationid").isin([int(i) for i in location_ids])), F.lit(True)
 
 
-def to_raw_rows(df: DataFrame, now=None) -> DataFrame:
+def to_raw_rows(df: DataFrame, now=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """O-K1 projection into ``raw.air_quality``: parse the offset timestamp to
-    UTC (T2), add the ingestion time."""
+    UTC (T2), add the ingestion time, and the columns of ``keep``."""
     return df.select(
         "location_id", "sensors_id", "location", X.parse_utc("datetime").alias("datetime"),
         "lat", "lon", "parameter", "units", X.nan_to_null("value").alias("value"),
         "locationid", "month", "year",
-        (now if now is not None else X.utc_now()).alias("ingestion_datetime"))
+        (now if now is not None else X.utc_now()).alias("ingestion_datetime"), *keep)
 
 
 def read_archive(spark: SparkSession, base: str, location_ids=None, start: str | None = None,

@@ -1,84 +1,94 @@
 """Landed API payload sources (O-S4 .. O-S9) and the payload-to-row
 projection (O-P15).
 
-The engine starts from payload files already landed in shared storage (one
-JSON document per file with a ``results`` array); fetching is outside Spark.
-Each document is parsed with an explicit schema, and ``results`` (and
-``sensors``) are exploded on the executors. Malformed documents are kept in
-``_corrupt_record``; the jobs count them as failed documents (``quarantined``).
+The engine starts from payload files already landed in shared storage (JSON
+documents with a ``results`` array); fetching is outside Spark. ``landing``
+parses them record by record; every function here takes a path or a
+:class:`~aerolith.sources.landing.Landing`, so that a job parses its documents once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from aerolith import schemas
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import joins as J
 from aerolith.operators import predicates as P
+from aerolith.sources.landing import Landing, landing, texts
 
-MAP_SCHEMA = T.MapType(T.StringType(), T.StringType())
+Source = str | Landing
 
 
-def read_location_map(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """O-S4 JSON object id -> name as rows (location_id long, name string);
-    null names are kept. ``whole_file``: each file is one (pretty-printed)
-    object; otherwise each line is an object (a sharded map), so a large map
-    is parsed by many tasks."""
-    doc = spark.read.text(path, wholetext=whole_file)
-    m = doc.select(F.explode(F.from_json("value", MAP_SCHEMA)).alias("k", "name"))
-    return m.select(F.col("k").cast("long").alias("location_id"), "name")
+def location_map_shards(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """O-S4 (file_path, text, reason, entries): the JSON objects id -> name below ``path``, one a file or, with
+    ``whole_file=False``, one a line. ``reason`` tells why an object is rejected: it is cut short or no JSON
+    (which includes an id given twice), it is no object, or an id in it is no number."""
+    shard = texts(spark, path, whole_file).withColumn("doc", F.try_parse_json("text"))
+    shard = shard.withColumn("map", F.try_variant_get("doc", "$", "map<string,variant>"))
+    entries = F.transform(F.map_entries("map"), lambda e: F.struct(
+        e["key"].try_cast("bigint").alias("location_id"), F.try_variant_get(e["value"], "$", "string").alias("name")))
+    shard = shard.withColumn("entries", entries)
+    reason = (F.when(F.col("doc").isNull(), F.lit("not JSON")).when(F.col("map").isNull(), F.lit("not an object"))
+              .when(F.exists("entries", lambda e: e["location_id"].isNull()), F.lit("an id is no number")))
+    return shard.select("file_path", "text", reason.alias("reason"), "entries")
 
 
-def _documents(spark: SparkSession, kind: str, path: str, multiline: bool) -> DataFrame:
-    """One row per landed document: results, _corrupt_record, file_path."""
-    if kind not in schemas.PAYLOAD_SCHEMAS:
-        raise ValueError(f"Unknown extraction type: {kind}")
-    schema = T.StructType(schemas.PAYLOAD_SCHEMAS[kind].fields
-                          + [T.StructField("_corrupt_record", T.StringType(), True)])
-    return (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-            .select("results", "_corrupt_record", F.col("_metadata.file_path").alias("file_path")))
+def rejected_map_shards(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """O-S4 (file_path, reason, text): the objects of a location map that cannot be used."""
+    return location_map_shards(spark, path, whole_file).where(F.col("reason").isNotNull()).select("file_path", "reason", "text")
 
 
-def read_payload(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
-    """O-S9 read landed payloads of ``kind`` ('locations', 'latest',
-    'measurements', 'metadata') and explode ``results`` of the well-formed
-    documents; ``quarantined`` has the others. Unknown kinds raise."""
-    docs = _documents(spark, kind, path, multiline).where(F.col("_corrupt_record").isNull())
-    return docs.select(F.explode("results").alias("r")).select("r.*")
+def read_location_map(spark: SparkSession, path: str, whole_file: bool = True, strict: bool = True) -> DataFrame:
+    """O-S4 JSON object id -> name as rows (location_id long, name string); null names are kept.
+    ``whole_file``: each file is one (pretty-printed) object; otherwise each line is an object (a
+    sharded map), so a large map is parsed by many tasks. An object that cannot be used raises, naming
+    its file; with ``strict=False`` it is left out, and ``rejected_map_shards`` has it."""
+    shards = location_map_shards(spark, path, whole_file)
+    if strict:
+        broken = F.raise_error(F.concat(F.lit("location map "), F.col("file_path"), F.lit(": "), F.col("reason")))
+        entries = F.when(F.col("reason").isNull(), F.col("entries")).otherwise(broken.cast("array<struct<location_id:bigint,name:string>>"))
+    else:
+        shards, entries = shards.where(F.col("reason").isNull()), F.col("entries")
+    return shards.select(F.explode(entries).alias("e")).select("e.location_id", "e.name")
 
 
-def quarantined(spark: SparkSession, kind: str, path: str, multiline: bool = True) -> DataFrame:
-    """O-E3 (file_path, _corrupt_record): documents that could not be read, whole.
+def landed(spark: SparkSession, kind: str, source: Source, multiline: bool = True) -> Landing:
+    """``source`` itself if it is parsed already, else the parsed documents below it."""
+    return source if isinstance(source, Landing) else landing(spark, kind, source, multiline)
+
+
+def read_payload(spark: SparkSession, kind: str, source: Source, multiline: bool = True) -> DataFrame:
+    """O-S9 the usable records of landed payloads of ``kind`` ('locations', 'latest', 'measurements',
+    'metadata'). ``quarantined`` has the documents that could not be read. Unknown kinds raise."""
+    return landed(spark, kind, source, multiline).rows()
+
+
+def quarantined(spark: SparkSession, kind: str, source: Source, multiline: bool = True) -> DataFrame:
+    """O-E3 (file_path, reason, _corrupt_record): documents that could not be read, whole.
     Every job counts them as its failed documents."""
-    # the filter references the parsed ``results`` too: Spark refuses a scan
-    # that reads only the corrupt-record column
-    return (_documents(spark, kind, path, multiline)
-            .where(F.col("_corrupt_record").isNotNull() & (F.coalesce(F.size("results"), F.lit(0)) >= -1))
-            .select("file_path", "_corrupt_record"))
+    return landed(spark, kind, source, multiline).quarantined()
 
 
-def read_payload_checked(spark: SparkSession, kind: str, path: str,
+def read_payload_checked(spark: SparkSession, kind: str, source: Source,
                          multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """O-E3 (exploded rows of the good documents, quarantined bad documents)."""
-    return read_payload(spark, kind, path, multiline), quarantined(spark, kind, path, multiline)
+    """O-E3 (records of the good documents, quarantined bad documents)."""
+    docs = landed(spark, kind, source, multiline)
+    return docs.rows(), docs.quarantined()
 
 
-def location_metadata(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def location_metadata(spark: SparkSession, source: Source, multiline: bool = True) -> DataFrame:
     """O-S5 one row per location: id and name."""
-    return read_payload(spark, "metadata", path, multiline).select(
+    return read_payload(spark, "metadata", source, multiline).select(
         F.col("id").alias("location_id"), F.col("name").alias("location_name"))
 
 
-def sensor_lookup(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def sensor_lookup(spark: SparkSession, source: Source, multiline: bool = True) -> DataFrame:
     """O-S5 sensors out of the metadata payloads: sensor_id, location_id,
     parameter (lower case, parameter name else sensor name), units ('' if
     missing). Sensors without an id or a parameter name are skipped."""
-    loc = read_payload(spark, "metadata", path, multiline)
+    loc = read_payload(spark, "metadata", source, multiline)
     s = loc.select(F.col("id").alias("location_id"), F.explode("sensors").alias("s"))
     pname = F.coalesce(X.blank_to_null(F.col("s.parameter.name")), X.blank_to_null(F.col("s.name")))
     units = F.coalesce(X.blank_to_null(F.col("s.parameter.units")), X.blank_to_null(F.col("s.units")),
@@ -88,11 +98,11 @@ def sensor_lookup(spark: SparkSession, path: str, multiline: bool = True) -> Dat
             .where(F.col("sensor_id").isNotNull() & F.col("parameter").isNotNull()))
 
 
-def latest_rows(spark: SparkSession, path: str, limit: int | None = fixed.PAYLOAD_LATEST_LIMIT,
+def latest_rows(spark: SparkSession, source: Source, limit: int | None = fixed.PAYLOAD_LATEST_LIMIT,
                 multiline: bool = True) -> DataFrame:
     """O-S6 latest measurements, at most ``limit`` newest of each document: the
     limit belongs to a request, so two polls of a location keep both."""
-    docs = _documents(spark, "latest", path, multiline).where(F.col("_corrupt_record").isNull())
+    docs = landed(spark, "latest", source, multiline).results()
     items = F.transform("results", lambda r: F.struct(
         X.parse_utc(r["datetime"]["utc"]).alias("measured_at"), r["sensorsId"].alias("sensor_id"),
         r["locationsId"].alias("location_id"), X.nan_to_null(r["value"]).alias("value"),
@@ -103,12 +113,12 @@ def latest_rows(spark: SparkSession, path: str, limit: int | None = fixed.PAYLOA
         "r.sensor_id", "r.location_id", "r.value", "r.utc", "r.coordinates", "r.measured_at")
 
 
-def locations_listing(spark: SparkSession, path: str, country: str | None = None,
+def locations_listing(spark: SparkSession, source: Source, country: str | None = None,
                       city: str | None = None, limit: int | None = fixed.LOCATION_LISTING_LIMIT,
                       multiline: bool = True) -> DataFrame:
     """O-S7 listing -> flat location rows, optional country/city; at most
     ``limit`` of each document, as a request returns them."""
-    docs = _documents(spark, "locations", path, multiline).where(F.col("_corrupt_record").isNull())
+    docs = landed(spark, "locations", source, multiline).results()
     wanted = F.col("results")
     if country is not None:
         wanted = F.filter(wanted, lambda r: r["country"] == F.lit(country))
@@ -120,14 +130,20 @@ def locations_listing(spark: SparkSession, path: str, country: str | None = None
     return r.select("location_id", "name", "city", "country", "latitude", "longitude", "timezone")
 
 
-def measurements_range(spark: SparkSession, path: str, date_from, date_to,
+def measurements_range(spark: SparkSession, source: Source, date_from, date_to,
                        multiline: bool = True) -> DataFrame:
     """O-S8 measurement payloads within [date_from, date_to] (standardised
     names, flattened coordinates, UTC time)."""
-    r = read_payload(spark, "measurements", path, multiline)
-    r = P.standardise_columns(r)
-    r = P.flatten_coordinates(r).withColumn("measurement_time", X.parse_utc("measurement_time"))
-    return r.where(P.optional_filters(date_from=date_from, date_to=date_to))
+    rows = measurement_rows(read_payload(spark, "measurements", source, multiline))
+    return rows.where(P.optional_filters(date_from=date_from, date_to=date_to))
+
+
+def measurement_rows(records: DataFrame) -> DataFrame:
+    """Measurement records with the table's names, flattened coordinates and UTC time."""
+    r = P.standardise_columns(records)
+    if "coordinates" in r.columns:
+        r = P.flatten_coordinates(r)
+    return r.withColumn("measurement_time", X.parse_utc("measurement_time"))
 
 
 def last_day_window(now_col=None):
@@ -156,22 +172,12 @@ def payload_to_raw_rows(latest: DataFrame, sensors: DataFrame, metadata: DataFra
         (now if now is not None else X.utc_now()).alias("ingestion_datetime"))
 
 
-def measurement_records(df: DataFrame, now=None, keep: bool = True) -> DataFrame:
-    """O-C5 measurement transform on standardised payload rows: rename,
-    flatten coordinates, parse time, score, lineage, keep rule."""
-    r = P.standardise_columns(df)
-    if "coordinates" in r.columns:
-        r = P.flatten_coordinates(r)
-    r = r.withColumn("measurement_time", X.parse_utc("measurement_time")) \
-         .withColumn("value", X.nan_to_null("value"))
-    r = r.withColumn("quality_score", X.quality_score("parameter", "value"))
-    r = P.with_lineage(r, now=now)
-    return P.keep_valid_scored(r) if keep else r
-
-
-def measurement_records_flat(r: DataFrame, now=None, keep: bool = True) -> DataFrame:
-    """The tail of O-C5, on rows that ``measurements_range`` has standardised: score,
-    lineage, keep rule; ``location_name`` becomes the table's ``location``."""
+def measurement_records(r: DataFrame, now=None, keep: bool = True) -> DataFrame:
+    """O-C5 measurement transform: standardise payload records (unless
+    ``measurement_rows`` has), score, lineage, keep rule; ``location_name``
+    becomes the table's ``location``."""
+    if dict(r.dtypes).get("measurement_time") != "timestamp_ntz":
+        r = measurement_rows(r)
     r = r.withColumn("value", X.nan_to_null("value"))
     if "location_name" in r.columns:
         r = r.withColumnRenamed("location_name", "location")

@@ -22,6 +22,7 @@ from aerolith.operators import joins as J
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q
 from aerolith.session import path_exists, written_once
+from aerolith.sources import archive as SA
 
 
 # ------------------------------------------------------------------ fact appends
@@ -44,6 +45,20 @@ def append_partitioned(df: DataFrame, path: str, partition_by=("year", "month"),
     return obs.get
 
 
+def append_archive(tagged: DataFrame, path: str) -> dict[str, int]:
+    """O-K1 append the stored rows of ``archive.tagged_lines`` and count all of its lines on the same pass:
+    the counts sit above the exchange, in the tasks that write, so a task that is run again counts once.
+    Returns lines, appended, without_time, corrupt_lines and outside."""
+    by = {s: F.count(F.when(F.col("line_status") == s, F.lit(1))) for s in (SA.STORED, SA.WITHOUT_TIME, SA.UNPARSABLE, SA.OUTSIDE)}
+    dealt, obs = Q.observed(tagged.hint("rebalance", "year", "month"), "lines", **by)
+    rows = dealt.where(F.col("line_status").isin(SA.STORED, SA.WITHOUT_TIME)).drop("line_status", SA.CORRUPT)
+    (rows.sortWithinPartitions("year", "month", *GEN1_FACT_ORDER)
+         .write.mode("append").partitionBy("year", "month").parquet(path))
+    m = {k: int(Q.metrics(obs).get(k) or 0) for k in ("rows", *by)}
+    return {"lines": m["rows"], "appended": m[SA.STORED] + m[SA.WITHOUT_TIME], "without_time": m[SA.WITHOUT_TIME],
+            "corrupt_lines": m[SA.UNPARSABLE], "outside": m[SA.OUTSIDE]}
+
+
 def append_plain(df: DataFrame, path: str, fmt: str = "parquet",
                  sort_within: tuple[str, ...] | None = None) -> dict:
     """Append without partition columns (rebalanced), observed like above."""
