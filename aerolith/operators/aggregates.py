@@ -9,23 +9,42 @@ measuring them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
+from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 from aerolith.operators import quantiles as QN
 
 
-def first_non_null(x: str, *order: str) -> Column:
-    """pandas ``first`` (T9): value of the earliest row where ``x`` is not null."""
-    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(*[F.col(o) for o in order])))
+def first_non_null(df: DataFrame, x: str, *order: str) -> Column:
+    """pandas ``first`` (T9): value of the earliest row where ``x`` is not null. By an order of a fixed
+    width, so that numbers are aggregated by hash; ``coded`` makes a text a number."""
+    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), W.order_key(df, list(order))))
 
 
-def last_non_null(x: str, *order: str) -> Column:
+def last_non_null(df: DataFrame, x: str, *order: str) -> Column:
     """pandas ``last`` (T9): value of the latest row where ``x`` is not null."""
-    return F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(*[F.col(o) for o in order])))
+    return F.max_by(F.col(x), F.when(F.col(x).isNotNull(), W.order_key(df, list(order))))
+
+
+#: Different texts up to which a column is aggregated by their numbers.
+MAX_CODES = 1_000
+
+
+def coded(df: DataFrame, x: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(``df`` with the texts of ``x`` as numbers, what turns a number into its text again). The vocabulary is
+    read by a pass over that column alone; if it is no small one, the texts stay."""
+    seen = df.where(F.col(x).isNotNull()).select(x).distinct().limit(MAX_CODES + 1).collect()
+    if len(seen) > MAX_CODES:
+        return df, lambda c: c
+    texts = F.array(*[F.lit(t) for t in sorted(r[0] for r in seen)]).cast("array<string>")
+    number = F.when(F.col(x).isNotNull(), F.array_position(texts, F.col(x)).cast("int"))
+    return df.withColumn(x, number), lambda c: F.when(c.isNotNull(), F.try_element_at(texts, c))
 
 
 # --------------------------------------------------------------------- gen 1 daily
@@ -174,14 +193,14 @@ def quality_overview(m: DataFrame) -> DataFrame:
 def hourly(m: DataFrame) -> DataFrame:
     """O-A12 hourly mean/min/max/std/count(value)/mean score and the first
     non-null latitude, longitude, unit in time order (tie on id)."""
-    h = m.withColumn("hour", X.floor_hour("measurement_time"))
+    h, text = coded(m.withColumn("hour", X.floor_hour("measurement_time")), "unit")
+    first = lambda x: first_non_null(h, x, "measurement_time", "id").alias(x)
     return (h.groupBy("location_id", "parameter", "hour")
             .agg(F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
                  F.max("value").alias("max_value"), F.stddev_samp("value").alias("std_value"),
                  F.count("value").alias("count"), F.avg("quality_score").alias("avg_quality"),
-                 first_non_null("latitude", "measurement_time", "id").alias("latitude"),
-                 first_non_null("longitude", "measurement_time", "id").alias("longitude"),
-                 first_non_null("unit", "measurement_time", "id").alias("unit")))
+                 first("latitude"), first("longitude"), first("unit"))
+            .withColumn("unit", text(F.col("unit"))))
 
 
 def counts_by_parameter(clean: DataFrame) -> DataFrame:
@@ -291,4 +310,5 @@ def parameter_distribution(m: DataFrame, value: str = "value", method: str = "ex
 def first_unit(df: DataFrame, by: list[str], unit: str = "units",
                order: tuple[str, ...] = ("datetime",)) -> DataFrame:
     """O-A29 first non-null unit of each series."""
-    return df.groupBy(*by).agg(first_non_null(unit, *order).alias(unit))
+    rows, text = coded(df, unit)
+    return rows.groupBy(*by).agg(first_non_null(rows, unit, *order).alias(unit)).withColumn(unit, text(F.col(unit)))

@@ -1,11 +1,12 @@
 """Latest-per-key family (O-W1 .. O-W6, O-A1, O-A20, O-A28, O-C9 parts).
 
-Two physical shapes, both skew-safe:
+Three physical shapes, all skew-safe:
 
-* ``max_by(struct(cols), struct(time, tie))`` in a ``groupBy`` - partial
-  aggregation keeps one candidate per key per map task. The candidate is a
-  struct, so Spark sorts each task's own rows by key (SortAggregate); there
-  is no window and no sort across tasks;
+* arg-max in two steps (``latest_by_key``): the newest time of each key by a hash aggregation
+  of fixed-width columns, then the rows that have it by a broadcast join whose side was
+  counted before. No task sorts its input; ties are settled among the few rows left;
+* ``max_by(x, order)`` in a hash aggregation where ``x`` and the order have a fixed width:
+  ``order_key`` packs a time and an integer into one decimal;
 * ``row_number() <= n`` over a window, which Catalyst turns into a
   ``WindowGroupLimit`` applied before the shuffle as well as after it.
 
@@ -20,19 +21,60 @@ from pyspark.sql import functions as F
 from aerolith.functions import fixed
 from aerolith.functions import scalars as X
 from aerolith.operators import predicates as P
+from aerolith.session import SMALL_ROWS, written_once
 
 
 def _cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def order_key(df: DataFrame, order: list[str]) -> Column:
+    """One column that orders like ``order``, null where the first of them is. Of a fixed width, so that
+    an aggregation by it can hash, for a time, or a time and an integer (nulls of which come first);
+    a struct, which makes Spark sort, for other columns."""
+    kinds = dict(df.dtypes)
+    first = F.col(order[0])
+    if len(order) == 1:
+        return first
+    if len(order) == 2 and kinds[order[0]] in ("timestamp", "timestamp_ntz") and kinds[order[1]] in _INTEGERS:
+        # 64 bits each; a null integer counts as one below the least
+        micros = F.unix_micros(first.cast("timestamp")).cast("decimal(19,0)")
+        low = F.coalesce(F.col(order[1]).cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
+        return micros * F.lit(str(1 << 65)).cast("decimal(20,0)") + low
+    return F.when(first.isNotNull(), F.struct(*_cols(order)))
+
+
+def newest_rows(df: DataFrame, keys: list[str], time_col: str, newest: DataFrame) -> DataFrame:
+    """The rows of ``df`` at the newest time of their key, ties included. ``newest`` (keys, _newest) is small."""
+    held = newest.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], "_newest")
+    same = df[time_col] == held["_newest"]
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(held[f"_k_{i}"])
+    return df.join(F.broadcast(held), same).select(*df.columns)
+
+
+def newest_times(df: DataFrame, keys: list[str], time_col: str) -> DataFrame:
+    """(keys, _newest): the newest time of each key that has one."""
+    return df.where(F.col(time_col).isNotNull()).groupBy(*keys).agg(F.max(time_col).alias("_newest"))
+
+
 def latest_by_key(df: DataFrame, keys: list[str], time_col: str, tie: list[str],
-                  cols: list[str] | None = None) -> DataFrame:
+                  cols: list[str] | None = None, most: int = SMALL_ROWS) -> DataFrame:
     """Generic latest row per ``keys`` by (``time_col``, *``tie``) descending.
 
-    Rows whose time is null never win. Output: keys + ``cols``.
+    Rows whose time is null never win. Output: keys + ``cols``. The newest times are written once and
+    counted: up to ``most`` keys, only rows at those times are aggregated whole. Beyond that, and for
+    streams, one aggregation carries the rows, for which Spark sorts each task's input by key.
     """
     cols = cols or [c for c in df.columns if c not in keys]
+    df = df.select(*dict.fromkeys([*keys, *cols, time_col, *tie]))
+    if not df.isStreaming:
+        newest = written_once(newest_times(df, keys, time_col), "newest")
+        if newest.count() <= most:
+            df = written_once(newest_rows(df, keys, time_col, newest), "newest-rows")
     payload = F.struct(*[F.col(c) for c in cols])
     order = F.when(F.col(time_col).isNotNull(), F.struct(*_cols([time_col] + tie)))
     return (df.groupBy(*keys).agg(F.max_by(payload, order).alias("_r"))
@@ -107,7 +149,7 @@ def latest_wide(raw: DataFrame, parameters: list[str] | None = None) -> DataFram
     """
     params = parameters or fixed.POLLUTANT_ORDER
     lr = latest_rows_pandas(raw)
-    ordk = ("datetime", "parameter")
+    ordk = ("datetime", "parameter")  # over a row per series, no longer over the fact
     wide = lr.groupBy("location_id", "location").agg(
         F.max_by(F.col("lat"), F.when(F.col("lat").isNotNull(), F.struct(*ordk))).alias("lat"),
         F.max_by(F.col("lon"), F.when(F.col("lon").isNotNull(), F.struct(*ordk))).alias("lon"),
@@ -139,11 +181,10 @@ def last_value_pivot(df: DataFrame, index: list[str], parameters: list[str],
                      value: str = "value") -> DataFrame:
     """O-A20 ``pivot_table(aggfunc='last')``: last non-null value per
     parameter column, one aggregation with a bounded pivot list."""
-    order_cols = [time_col] + (tie or [])
-    order = F.when(F.col(value).isNotNull(), F.struct(*_cols(order_cols)))
-    return (df.where(F.col("parameter").isNotNull())
-            .groupBy(*index).pivot("parameter", parameters)
-            .agg(F.max_by(F.col(value), order)))
+    order = F.when(F.col(value).isNotNull(), order_key(df, [time_col] + (tie or [])))
+    rows = df.where(F.col("parameter").isNotNull()).withColumn("_order", order)
+    return rows.groupBy(*index).agg(*[
+        F.max_by(value, F.when(F.col("parameter") == p, F.col("_order"))).alias(p) for p in parameters])
 
 
 def most_recent_row(wide: DataFrame, time_col: str = "datetime",

@@ -60,10 +60,71 @@ def test_ranked_latest_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_latest_by_key_is_a_partial_aggregate_without_sort(spark):
-    text = plan(W.latest_measurements(AD.measurements(spark, SF)))
-    assert "Window" not in text
-    assert "partial_max_by" in text
+def below_exchange(df):
+    """The plan from the first exchange down to the scans."""
+    text = plan(df, "simple")
+    return text[text.index("Exchange"):]
+
+
+def test_newest_times_hash_and_newest_rows_stay_where_they_are(spark, fact_path):
+    m = spark.read.parquet(fact_path)
+    keys = ["location_id", "parameter"]
+    newest = W.newest_times(m, keys, "measurement_time")
+    below = below_exchange(newest)
+    assert "Sort" not in below and "HashAggregate" in below
+    rows = plan(W.newest_rows(m, keys, "measurement_time", newest), "simple")
+    fact = rows[rows.rindex("BroadcastHashJoin"):].split("BroadcastExchange")[0]
+    assert "Sort" not in fact and "Exchange" not in fact
+
+
+@pytest.mark.parametrize("name", ["latest_measurements", "latest_rows_pandas", "latest_wide", "latest_map"])
+def test_latest_reads_the_few_rows_left(spark, fact_path, tmp_path, name):
+    """What a latest view aggregates whole is the written rows at the newest times, not the fact."""
+    raw = AD.raw_air_quality(spark, SF)
+    raw.write.parquet(str(tmp_path / "raw"))
+    src = spark.read.parquet(fact_path if name == "latest_measurements" else str(tmp_path / "raw"))
+    text = plan(getattr(W, name)(src), "simple")
+    scans = [x for x in text.splitlines() if "FileScan" in x]
+    assert scans and all("newest-rows" in x for x in scans) and "Window" not in text
+
+
+def test_first_and_last_values_are_hashed(spark, fact_path):
+    m = spark.read.parquet(fact_path)
+    v = m.withColumnRenamed("measurement_time", "datetime")
+    for df in (W.last_value_pivot(v, ["location_id", "location"], ["pm25", "pm10"], "datetime", ["sensor_id"]),
+               A.hourly(m), A.first_unit(m, ["location_id", "parameter"], "unit", ("measurement_time", "id"))):
+        text = plan(df, "simple")
+        assert "Sort" not in text and "HashAggregate" in text
+
+
+def test_order_key_orders_like_its_columns(spark):
+    times = ["1900-01-01 00:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-02-29 12:00:00.000001", "9999-12-31 23:59:59.999999", None]
+    ids = [-(1 << 63), -1, 0, 1, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(t, i) for t in times for i in ids], "t string, i bigint").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    rows = df.withColumn("k", W.order_key(df, ["t", "i"])).collect()
+    assert all((r.k is None) == (r.t is None) for r in rows)
+    timed = [r for r in rows if r.t is not None]
+    want = sorted(timed, key=lambda r: (r.t, r.i is not None, r.i or 0))
+    assert sorted(timed, key=lambda r: r.k) == want and len({r.k for r in timed}) == len(timed)
+
+
+def test_many_keys_and_ties_give_the_same_latest(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 37).alias("k"), F.expr("if(id % 5 = 0, null, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id % 11))").alias("t"),
+        (F.col("id") % 3).alias("tie"), F.col("id").alias("id"), F.col("id").cast("string").alias("text"))
+    rows = rows.unionByName(rows.limit(50).withColumn("k", F.lit(None).cast("bigint")))
+    rows = rows.unionByName(rows.limit(9).withColumn("k", F.lit(99)).withColumn("t", F.lit(None).cast("timestamp_ntz")))
+    few, many = (W.latest_by_key(rows, ["k"], "t", ["tie", "id"], most=n) for n in (1000, 1))
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    assert few.count() == 38  # a key without a time has no latest row
+
+
+def test_a_large_vocabulary_stays_text(spark, monkeypatch):
+    rows = spark.range(60).select((F.col("id") % 4).alias("g"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(id)").alias("t"),
+                                  F.expr("if(id < 4, null, cast(id as string))").alias("unit"))
+    few = sorted(map(tuple, A.first_unit(rows, ["g"], "unit", ("t",)).collect()))
+    monkeypatch.setattr(A, "MAX_CODES", 5)
+    assert sorted(map(tuple, A.first_unit(rows, ["g"], "unit", ("t",)).collect())) == few == [(0, "4"), (1, "5"), (2, "6"), (3, "7")]
 
 
 def test_daily_aggregates_partial_before_exchange(spark):
