@@ -10,6 +10,8 @@ measuring them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from aerolith.functions import scalars as X
 from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 from aerolith.operators import quantiles as QN
+from aerolith.session import written_once
 
 
 def first_non_null(df: DataFrame, x: str, *order: str) -> Column:
@@ -247,21 +250,34 @@ def non_null_counts(df: DataFrame, by: str = "parameter") -> DataFrame:
         *[F.count(F.col(f"`{c}`")).alias(c) for c in others])
 
 
+_MOMENTS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
 def numeric_profile(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """O-A19 ``describe()``: count, mean, std, min, 25/50/75 %, max per column
-    in long form (one row per column). Every column is profiled in the same
-    pass: rows are unpivoted to (column, value) and grouped by column.
+    in long form (one row per column; none for an empty table). Every column is
+    profiled in the same two passes, and no row is multiplied by its columns.
     Quartiles are interpolated like pandas; ``method`` picks the quantile
     strategy (see ``quantiles``)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                      for c in cols])
-    long = df.select(F.explode(pairs).alias("_s")).select("_s.column", "_s.x")
-    moments = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
-                                         F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-                                         F.max("x").alias("max"))
-    qs = QN.quantile_columns(long, "x", ["column"], [0.25, 0.5, 0.75], ["p25", "p50", "p75"], method)
-    return moments.join(qs, "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
+    rows = df.select(F.lit(0).alias("_all"), *cols)
+    if method == "exact":
+        s = QN.select(rows, cols, ["_all"], probs, _MOMENTS)
+        table = s.stats
+        quartile = F.map_from_entries(F.collect_list(F.struct(F.col("_j") * len(probs) + F.col("_i"), "_q")))  # three a column
+        found = s.quantiles.groupBy("_all").agg(quartile.alias("_quartiles"))
+        table = table.join(found, "_all", "left")
+        at = lambda j, i: F.try_element_at("_quartiles", F.lit(j * len(probs) + i))
+    else:
+        x = rows.select("_all", *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
+        table = x.groupBy("_all").agg(*[a for j in range(len(cols)) for a in (
+            F.count(f"_v{j}").alias(f"_n{j}"), QN.quantile_aggregate(F.col(f"_v{j}"), probs, method).alias(f"_q{j}"),
+            *[f(f"_v{j}").alias(f"{name}{j}") for name, f in _MOMENTS.items()])])
+        at = lambda j, i: F.col(f"_q{j}")[i]
+    entry = lambda j, c: F.struct(
+        F.lit(c).alias("column"), F.col(f"_n{j}").alias("count"), *[F.col(f"{n}{j}").alias(n) for n in ("mean", "std", "min")],
+        *[at(j, i).alias(n) for i, n in enumerate(names)], F.col(f"max{j}").alias("max"))
+    return table.select(F.explode(F.array(*[entry(j, c) for j, c in enumerate(cols)])).alias("_e")).select("_e.*")
 
 
 def mean_matrix(df: DataFrame, x: str, y: str, z: str, x_values: list | None = None) -> DataFrame:
@@ -284,6 +300,15 @@ def map_center(df: DataFrame, lat: str = "latitude", lon: str = "longitude") ->
 
 def _box(df: DataFrame, keys: list[str], value: str, method: str) -> DataFrame:
     """min, quartiles, max, count per group; quartiles by ``method``."""
+    if method == "exact":  # smallest, largest and number come with the sketches of the first pass
+        s = QN.select(df, [value], keys, [0.25, 0.5, 0.75], {"min": F.min, "max": F.max})
+        quartiles = s.quantiles.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
+                                                     for i, n in enumerate(("q1", "median", "q3"))])
+        basic = s.stats.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("min0").alias("min"), F.col("max0").alias("max"),
+                               F.col("_n0").alias("count"))
+        same = reduce(and_, [F.col(f"_k_{c}").eqNullSafe(quartiles[c]) for c in keys])
+        return (basic.join(quartiles, same, "left").drop(*[quartiles[c] for c in keys])
+                .select(*[F.col(f"_k_{c}").alias(c) for c in keys], "min", "max", "count", "q1", "median", "q3"))
     basic = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"),
                                   F.count(value).alias("count"))
     qs = QN.quantile_columns(df, value, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method)
@@ -294,8 +319,9 @@ def weekday_distribution(daily: DataFrame, value: str = "average_value",
                          date_col: str = "measurement_date", method: str = "exact") -> DataFrame:
     """O-A25 box summary per weekday (min, quartiles, max, count), ordered
     Monday first (O-L8)."""
-    d = daily.withColumn("weekday_number", X.weekday_number_monday0(date_col)) \
-             .withColumn("weekday", X.weekday_name(date_col))
+    d = daily.select(X.weekday_number_monday0(date_col).alias("weekday_number"), X.weekday_name(date_col).alias("weekday"),
+                     F.col(value).cast("double").alias(value))
+    d = written_once(d, "weekdays")  # daily statistics are an aggregate of the fact: read by both passes, made once
     box = _box(d, ["weekday_number", "weekday"], value, method)
     return box.select("weekday_number", "weekday", "min", "q1", "median", "q3", "max", "count") \
               .orderBy("weekday_number")

@@ -67,8 +67,11 @@ def iqr_bounds(m: DataFrame, value: str = "value", by: str = "parameter",
                factor: float = fixed.OUTLIER_IQR_FACTOR, method: str = "exact") -> DataFrame:
     """Per-group quartiles (linear interpolation, like pandas) and fences.
     ``method``: 'exact' (distributed selection), 'percentile', 'approx'."""
-    b = QN.quantile_columns(m, value, [by], [0.25, 0.75], ["q1", "q3"], method)
-    return (b
+    return _fences(QN.quantile_columns(m, value, [by], [0.25, 0.75], ["q1", "q3"], method), factor)
+
+
+def _fences(quartiles: DataFrame, factor: float) -> DataFrame:
+    return (quartiles
              .withColumn("lower_bound", F.col("q1") - factor * (F.col("q3") - F.col("q1")))
              .withColumn("upper_bound", F.col("q3") + factor * (F.col("q3") - F.col("q1"))))
 
@@ -76,7 +79,12 @@ def iqr_bounds(m: DataFrame, value: str = "value", by: str = "parameter",
 def outliers_iqr(m: DataFrame, value: str = "value", by: str = "parameter",
                  factor: float = fixed.OUTLIER_IQR_FACTOR, method: str = "exact") -> DataFrame:
     """O-A22 flag values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] of their group."""
-    b = small_side(iqr_bounds(m, value, by, factor, method).select(by, "lower_bound", "upper_bound"), "bounds")
+    if method == "exact":  # the groups were counted with their sketches: no second count
+        quartiles, small = QN.grouped_quantiles(m, value, [by], [0.25, 0.75], ["q1", "q3"])
+        b = _fences(quartiles, factor).select(by, "lower_bound", "upper_bound")
+        b = F.broadcast(b) if small else b
+    else:
+        b = small_side(iqr_bounds(m, value, by, factor, method).select(by, "lower_bound", "upper_bound"), "bounds")
     v = F.col(value)
     flag = (v < F.col("lower_bound")) | (v > F.col("upper_bound"))
     return (m.join(b, by, "left")

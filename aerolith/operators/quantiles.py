@@ -8,9 +8,11 @@ selection instead:
 
 1. a quantile sketch (``percentile_approx``, rank error <= n / accuracy)
    brackets each wanted rank with [lo, hi], together with the group size n;
-2. one pass over the rows counts, per group and quantile, the rows below lo
-   and the rows of each distinct value inside [lo, hi] (partial aggregation,
-   so a hot group is combined map-side; rows above hi are dropped);
+2. one pass over the rows keeps, per group, the rows of each distinct value
+   inside a bracket and, in counters of fixed width, how many rows lie below
+   each bracket and the values next to it. All columns and ranks are counted
+   in the update of one row, by a hash aggregation: no row is multiplied, and
+   a hot group is combined map-side;
 3. a running sum over those few buckets gives the values at ranks
    floor(h) and floor(h) + 1 with h = (n - 1) p, interpolated like pandas
    and ``quantile_cont``.
@@ -25,10 +27,15 @@ margin make that unreachable.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.session import small_side
+from aerolith.session import SMALL_ROWS, written_once
 
 DEFAULT_ACCURACY = 1_000_000
 DEFAULT_MARGIN = 4.0
@@ -41,46 +48,64 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: st
     return cond
 
 
-def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float],
-                    names: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
-                    margin: float = DEFAULT_MARGIN) -> DataFrame:
-    """One row per group of ``by`` with one column per probability (default
-    names ``q0, q1, ...``); null values are ignored, null keys form a group."""
-    names = names or [f"q{i}" for i in range(len(probs))]
-    if not by:  # one global group: a constant key keeps every step an equi-join
-        out = exact_quantiles(df.withColumn("_all", F.lit(0)), value, ["_all"], probs, names,
-                              accuracy, margin)
-        return out.drop("_all")
-    k = len(probs)
-    eps = margin / accuracy
-    d = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-
-    # 1. bracket every wanted rank; the group size comes with it
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                               F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_a"))
+@dataclass(frozen=True)
+class Selected:
+    """Exact quantiles of several columns: ``stats`` has a row per group with ``_n{j}`` (non-null values of
+    column j) and the moments asked for as ``{name}{j}``; ``quantiles`` (by, _j, _i, _q) the values at
+    probability i of column j, where the column has any. ``small``: the groups were counted as few."""
+
+    stats: DataFrame
+    quantiles: DataFrame
+    small: bool
+
+
+def select(df: DataFrame, values: list[str], by: list[str], probs: list[float], moments: dict[str, Callable[[str], Column]] | None = None,
+           accuracy: int = DEFAULT_ACCURACY, margin: float = DEFAULT_MARGIN) -> Selected:
+    """Two passes over ``df``: sketches with ``moments`` of every column, then the counts around their brackets."""
+    k, m, eps = len(probs), len(values), margin / accuracy
+    d = df.select(*by, *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(values)])
+
+    # 1. bracket every wanted rank; the group's size and moments come with it
+    ranks = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    aggs = [x for j in range(m) for x in (
+        F.count(f"_v{j}").alias(f"_n{j}"), F.percentile_approx(f"_v{j}", ranks, accuracy).alias(f"_a{j}"),
+        *[f(f"_v{j}").alias(f"{name}{j}") for name, f in (moments or {}).items()])]
     # a row per group, computed once: broadcast when counted small, so the rows stay where they are
-    bounds = small_side(stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n",
-                          *[F.col("_a")[i].alias(f"_lo{i}") for i in range(k)],
-                          *[F.col("_a")[k + i].alias(f"_hi{i}") for i in range(k)]), "brackets")
-
-    # 2. one pass: per quantile, every row falls below, inside or above its
-    #    bracket; inside rows keep their value as bucket, outside rows keep
-    #    only a count and the value next to the bracket
-    j = d.join(bounds, _null_safe_on(d, bounds, by, "_k_"), "inner")
-    v = F.col("_v")
-    cls = lambda i: (F.when(v < F.col(f"_lo{i}"), F.lit(0))
-                     .when(v <= F.col(f"_hi{i}"), F.lit(1)).otherwise(F.lit(2)))
-    tag = F.array(*[F.struct(F.lit(i).alias("i"), cls(i).alias("c")) for i in range(k)])
-    e = j.select(*by, "_n", "_v", F.explode(tag).alias("_t"))
-    e = e.select(*by, "_n", "_v", F.col("_t.i").alias("_i"), F.col("_t.c").alias("_cls"),
-                 F.when(F.col("_t.c") == 1, F.col("_v")).alias("_b"))
-    buckets = (e.groupBy(*by, "_n", "_i", "_cls", "_b")
-               .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_mx"), F.min("_v").alias("_mn")))
-
-    # 3. running counts over the few buckets of each (group, quantile)
-    w = Window.partitionBy(*by, "_i").orderBy("_cls", "_b") \
+    stats = written_once(d.groupBy(*by).agg(*aggs), "brackets")
+    small = stats.count() <= SMALL_ROWS
+    bounds = stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for j in range(m) for c in (f"_n{j}", f"_a{j}")])
+    bounds = F.broadcast(bounds) if small else bounds
+
+    # 2. one pass: a value inside a bracket is its own bucket; what lies below is counted
+    j_d = d.join(bounds, _null_safe_on(d, bounds, by, "_k_"), "inner")
+    lo, hi = (lambda j, i: F.col(f"_a{j}")[i]), (lambda j, i: F.col(f"_a{j}")[k + i])
+    inside = lambda x, j, i: (x >= lo(j, i)) & (x <= hi(j, i))
+    within = lambda j: reduce(or_, [inside(F.col(f"_v{j}"), j, i) for i in range(k)])
+    bucket = [F.when(within(j), F.col(f"_v{j}")).alias(f"_b{j}") for j in range(m)]
+    counters = []
+    for j in range(m):
+        for i in range(k):
+            v = F.col(f"_v{j}")
+            counters += [F.count(F.when(v < lo(j, i), v)).alias(f"_below{j}_{i}"), F.max(F.when(v < lo(j, i), v)).alias(f"_mx{j}_{i}"),
+                         F.min(F.when(v > hi(j, i), v)).alias(f"_mn{j}_{i}")]
+    part = j_d.groupBy(*by, *bucket).agg(F.count(F.lit(1)).alias("_c"), *counters)
+
+    # 3. these few rows by (group, column, rank): below, each value inside, above
+    few = part.join(bounds, _null_safe_on(part, bounds, by, "_k_"), "inner")
+    none = F.lit(None).cast("double")
+    zero = F.lit(0).cast("bigint")
+    entry = lambda j, i, cls, b, c, mx, mn: F.struct(
+        F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.lit(cls).alias("_cls"), F.col(f"_n{j}").alias("_n"), b.alias("_b"), c.alias("_c"),
+        mx.alias("_mx"), mn.alias("_mn"))
+    entries = F.array(*[e for j in range(m) for i in range(k) for e in (
+        entry(j, i, 0, none, F.col(f"_below{j}_{i}"), F.col(f"_mx{j}_{i}"), none),
+        entry(j, i, 1, F.col(f"_b{j}"), F.when(inside(F.col(f"_b{j}"), j, i), F.col("_c")).otherwise(zero), none, none),
+        entry(j, i, 2, none, zero, none, F.col(f"_mn{j}_{i}")))])
+    told = F.filter(entries, lambda e: (e["_c"] > 0) | e["_mn"].isNotNull())
+    buckets = (few.select(*by, F.explode(told).alias("_e")).select(*by, "_e.*").groupBy(*by, "_j", "_i", "_cls", "_n", "_b")
+               .agg(F.sum("_c").alias("_c"), F.max("_mx").alias("_mx"), F.min("_mn").alias("_mn")))
+
+    w = Window.partitionBy(*by, "_j", "_i").orderBy("_cls", "_b") \
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = buckets.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("_i") + 1)
@@ -95,15 +120,34 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
                  .when((c == 2) & (r == F.col("_start")), F.col("_mn")))
 
     per_q = (cum.withColumn("_h", h).withColumn("_r0", r0).withColumn("_r1", r1)
-             .groupBy(*by, "_i")
-             .agg(F.max(value_at(F.col("_r0"))).alias("_v0"),
-                  F.max(value_at(F.col("_r1"))).alias("_v1"),
+             .groupBy(*by, "_j", "_i")
+             .agg(F.max(value_at(F.col("_r0"))).alias("_x0"),
+                  F.max(value_at(F.col("_r1"))).alias("_x1"),
                   F.max("_h").alias("_h"), F.max("_r0").alias("_r0")))
-    found = F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))
+    found = F.col("_x0") + (F.col("_h") - F.col("_r0")) * (F.col("_x1") - F.col("_x0"))
     missed = F.raise_error(F.lit("a quantile lies outside its bracket: raise the accuracy or the margin")).cast("double")
-    per_q = per_q.withColumn("_q", F.when(found.isNull(), missed).otherwise(found))
-    return per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i])
-                                    for i in range(k)])
+    per_q = per_q.select(*by, "_j", "_i", F.when(found.isNull(), missed).otherwise(found).alias("_q"))
+    return Selected(stats, per_q, small)
+
+
+def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float],
+                    names: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
+                    margin: float = DEFAULT_MARGIN) -> DataFrame:
+    """One row per group of ``by`` with one column per probability (default
+    names ``q0, q1, ...``); null values are ignored, null keys form a group."""
+    return grouped_quantiles(df, value, by, probs, names, accuracy, margin)[0]
+
+
+def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float], names: list[str] | None = None,
+                      accuracy: int = DEFAULT_ACCURACY, margin: float = DEFAULT_MARGIN) -> tuple[DataFrame, bool]:
+    """(``exact_quantiles``, whether its rows were counted as few enough to broadcast)."""
+    names = names or [f"q{i}" for i in range(len(probs))]
+    own = by or ["_all"]  # one global group: a constant key keeps every step an equi-join
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    s = select(rows, [value], own, probs, accuracy=accuracy, margin=margin)
+    out = s.quantiles.groupBy(*own).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    return out.select(*by, *names), s.small
 
 
 def quantile_columns(df: DataFrame, value: str, by: list[str], probs: list[float],
@@ -113,12 +157,15 @@ def quantile_columns(df: DataFrame, value: str, by: list[str], probs: list[float
     for groups of bounded distinct values) or 'approx' (sketch)."""
     if method == "exact":
         return exact_quantiles(df, value, by, probs, names)
-    x = F.col(value).cast("double")
-    if method == "percentile":
-        q = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    elif method == "approx":
-        q = F.percentile_approx(x, [float(p) for p in probs], DEFAULT_ACCURACY).cast("array<double>")
-    else:
-        raise ValueError(f"unknown quantile method: {method}")
+    q = quantile_aggregate(F.col(value).cast("double"), probs, method)
     g = df.groupBy(*by).agg(q.alias("_q")) if by else df.agg(q.alias("_q"))
     return g.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def quantile_aggregate(x: Column, probs: list[float], method: str) -> Column:
+    """Spark's own aggregate: 'percentile' or 'approx'."""
+    if method == "percentile":
+        return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+    if method == "approx":
+        return F.percentile_approx(x, [float(p) for p in probs], DEFAULT_ACCURACY).cast("array<double>")
+    raise ValueError(f"unknown quantile method: {method}")

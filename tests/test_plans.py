@@ -196,6 +196,36 @@ def test_a_missed_bracket_raises(spark):
         QN.exact_quantiles(df, "x", ["g"], [0.5], ["m"], accuracy=2, margin=0.0).collect()
 
 
+def test_quantiles_multiply_no_row_of_the_fact(spark, fact_path):
+    """Nothing is generated below the exchange; a row meets all columns' and ranks' counters at once."""
+    from aerolith.operators import quality as Q
+    from aerolith.operators import quantiles as QN
+    m = spark.read.parquet(fact_path)
+    daily = A.daily_aggregates(m).withColumnRenamed("avg_value", "average_value")
+    for df in (A.numeric_profile(m, ["value", "latitude", "quality_score"]), A.parameter_distribution(m), A.weekday_distribution(daily),
+               Q.iqr_bounds(m), Q.outliers_iqr(m), QN.exact_quantiles(m, "value", [], [0.5])):
+        text = plan(df, "simple")
+        for line in [x for x in text.splitlines() if "FileScan" in x]:
+            above = text[:text.index(line)]
+            path = above[above.rindex("Exchange"):] if "Exchange" in above else above
+            assert "Generate" not in path and "Expand" not in path
+
+
+def test_quantiles_of_several_columns(spark):
+    from aerolith.operators import quantiles as QN
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 1000).cast("double").alias("x"),
+                                    F.when(F.col("id") % 7 != 0, (F.col("id") % 5).cast("double")).alias("y"), F.lit(None).cast("double").alias("z"),
+                                    F.lit(4.0).alias("c"))
+    want = {r["column"]: r for r in A.numeric_profile(rows, ["x", "y", "z", "c"], "percentile").collect()}
+    got = {r["column"]: r for r in A.numeric_profile(rows, ["x", "y", "z", "c"]).collect()}
+    assert got == want and got["z"]["count"] == 0 and got["z"]["p50"] is None and got["c"]["std"] == 0.0
+    s = QN.select(rows, ["x", "y"], ["g"], [0.1, 0.9], accuracy=30, margin=4)
+    found = {(r.g, r._j, r._i): r._q for r in s.quantiles.collect()}
+    for r in rows.groupBy("g").agg(*[F.percentile(c, [0.1, 0.9]).alias(c) for c in "xy"]).collect():
+        assert [[found[r.g, j, i] for i in (0, 1)] for j in (0, 1)] == [r.x, r.y]
+    assert A.numeric_profile(rows.limit(0), ["x"]).count() == 0
+
+
 def test_distinct_counts_expand_the_small_frame_only(spark):
     tree = plan(A.trusted_summary(AD.measurements(spark, SF))).split("\n\n")[0]
     below = tree[tree.index("Expand"):]
