@@ -29,8 +29,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,33 +74,28 @@ def select(df: DataFrame, values: list[str], by: list[str], probs: list[float],
     bounds = stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for j in range(m) for c in (f"_n{j}", f"_a{j}")])
     bounds = F.broadcast(bounds) if small else bounds
 
-    # 2. one pass: a value inside a bracket is its own bucket; what lies below is counted
-    j_d = d.join(bounds, _null_safe_on(d, bounds, by, "_k_"), "inner")
-    lo, hi = (lambda j, i: F.col(f"_a{j}")[i]), (lambda j, i: F.col(f"_a{j}")[k + i])
-    inside = lambda x, j, i: (x >= lo(j, i)) & (x <= hi(j, i))
-    within = lambda j: reduce(or_, [inside(F.col(f"_v{j}"), j, i) for i in range(k)])
-    bucket = [F.when(within(j), F.col(f"_v{j}")).alias(f"_b{j}") for j in range(m)]
-    counters = []
-    for j in range(m):
-        for i in range(k):
-            v = F.col(f"_v{j}")
-            counters += [F.count(F.when(v < lo(j, i), v)).alias(f"_below{j}_{i}"), F.max(F.when(v < lo(j, i), v)).alias(f"_mx{j}_{i}"),
-                         F.min(F.when(v > hi(j, i), v)).alias(f"_mn{j}_{i}")]
-    part = j_d.groupBy(*by, *bucket).agg(F.count(F.lit(1)).alias("_c"), *counters)
+    # 2. one pass: a value inside a bracket is its own bucket; what lies below is counted.
+    # As SQL text: hundreds of small expressions are slow to build one call at a time
+    near = d.join(bounds, _null_safe_on(d, bounds, by, "_k_"), "inner")
+    lo, hi = (lambda j, i: f"_a{j}[{i}]"), (lambda j, i: f"_a{j}[{k + i}]")
+    inside = lambda x, j, i: f"{x} BETWEEN {lo(j, i)} AND {hi(j, i)}"
+    bucket = [F.expr(f"CASE WHEN {' OR '.join(inside(f'_v{j}', j, i) for i in range(k))} THEN _v{j} END").alias(f"_b{j}") for j in range(m)]
+    counters = [F.expr(x) for j in range(m) for i in range(k) for x in (
+        f"count(CASE WHEN _v{j} < {lo(j, i)} THEN 1 END) AS _below{j}_{i}", f"max(CASE WHEN _v{j} < {lo(j, i)} THEN _v{j} END) AS _mx{j}_{i}",
+        f"min(CASE WHEN _v{j} > {hi(j, i)} THEN _v{j} END) AS _mn{j}_{i}")]
+    part = near.groupBy(*by, *bucket).agg(F.count(F.lit(1)).alias("_c"), *counters)
 
     # 3. these few rows by (group, column, rank): below, each value inside, above
     few = part.join(bounds, _null_safe_on(part, bounds, by, "_k_"), "inner")
-    none = F.lit(None).cast("double")
-    zero = F.lit(0).cast("bigint")
-    entry = lambda j, i, cls, b, c, mx, mn: F.struct(
-        F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.lit(cls).alias("_cls"), F.col(f"_n{j}").alias("_n"), b.alias("_b"), c.alias("_c"),
-        mx.alias("_mx"), mn.alias("_mn"))
-    entries = F.array(*[e for j in range(m) for i in range(k) for e in (
-        entry(j, i, 0, none, F.col(f"_below{j}_{i}"), F.col(f"_mx{j}_{i}"), none),
-        entry(j, i, 1, F.col(f"_b{j}"), F.when(inside(F.col(f"_b{j}"), j, i), F.col("_c")).otherwise(zero), none, none),
-        entry(j, i, 2, none, zero, none, F.col(f"_mn{j}_{i}")))])
-    told = F.filter(entries, lambda e: (e["_c"] > 0) | e["_mn"].isNotNull())
-    buckets = (few.select(*by, F.explode(told).alias("_e")).select(*by, "_e.*").groupBy(*by, "_j", "_i", "_cls", "_n", "_b")
+    entry = lambda j, i, cls, b="null", c="0L", mx="null", mn="null": (
+        f"named_struct('_j', {j}, '_i', {i}, '_cls', {cls}, '_n', _n{j}, '_b', CAST({b} AS DOUBLE), '_c', {c}, "
+        f"'_mx', CAST({mx} AS DOUBLE), '_mn', CAST({mn} AS DOUBLE))")
+    entries = ", ".join(e for j in range(m) for i in range(k) for e in (
+        entry(j, i, 0, c=f"_below{j}_{i}", mx=f"_mx{j}_{i}"),
+        entry(j, i, 1, b=f"_b{j}", c=f"CASE WHEN {inside(f'_b{j}', j, i)} THEN _c ELSE 0L END"),
+        entry(j, i, 2, mn=f"_mn{j}_{i}")))
+    told = F.expr(f"explode(filter(array({entries}), e -> e._c > 0 OR e._mn IS NOT NULL)) AS _e")
+    buckets = (few.select(*by, told).select(*by, "_e.*").groupBy(*by, "_j", "_i", "_cls", "_n", "_b")
                .agg(F.sum("_c").alias("_c"), F.max("_mx").alias("_mx"), F.min("_mn").alias("_mn")))
 
     w = Window.partitionBy(*by, "_j", "_i").orderBy("_cls", "_b") \
