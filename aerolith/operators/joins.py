@@ -44,7 +44,7 @@ def insert_if_absent(stage: DataFrame, fact: DataFrame, keys: list[str] | None =
         months = stage_months(s, time_col)
         if not months and not null_safe:  # no stage row has a time: none can match
             return s
-        fk = _in_months(fact, time_col, months, null_safe).select(*keys)
+        fk = in_months(fact, time_col, months, null_safe).select(*keys)
         fk = _matching(fk, small_side(s.select(*keys).distinct(), "stage-keys"), keys, "left_semi", null_safe)
     return _matching(s, fk, keys, "left_anti", null_safe)
 
@@ -56,7 +56,7 @@ def stage_months(stage: DataFrame, time_col: str) -> list[tuple[int, int]]:
     return sorted((r["y"], r["m"]) for r in rows)
 
 
-def _in_months(fact: DataFrame, time_col: str, months: list[tuple[int, int]], nulls: bool) -> DataFrame:
+def in_months(fact: DataFrame, time_col: str, months: list[tuple[int, int]], nulls: bool = False) -> DataFrame:
     """Fact rows of the listed months: a time range per run of months (it skips row
     groups) and, where the fact has them, its year/month partition columns."""
     runs: list[list[int]] = []

@@ -68,6 +68,12 @@ def presentation_gen2(m: DataFrame, locations: DataFrame) -> dict[str, DataFrame
     }
 
 
+def monthly_views(root: str) -> dict[str, K.MonthlyView]:
+    """O-C7 / O-K10 the gen 2 view whose rows belong to a month, stored below ``root``."""
+    path = f"{root.rstrip('/')}/presentation/daily_aggregates"
+    return {"presentation.daily_aggregates": K.MonthlyView("presentation.daily_aggregates", A.daily_aggregates, path)}
+
+
 def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> list[str]:
     """O-K11 register views in their (dependency) order."""
     return K.build_views(spark, [(name, (lambda df=df: df)) for name, df in views.items()])
@@ -142,7 +148,7 @@ def measurement_collection(spark: SparkSession, payload_path: str, table_path: s
     rows, extracted, kept = (int(m.get(k) or 0) for k in ("rows", "inside", "kept"))
     return {"records": seen["records"], "rejected": seen["rejected"], "repaired": seen["repaired"], "outside": rows - extracted,
             "extracted": extracted, "transformed": kept, "filtered": extracted - kept,
-            "loaded": res["inserted"], "skipped": res["skipped"], "errors": seen["failed_documents"],
+            "loaded": res["inserted"], "skipped": res["skipped"], "months": res["months"], "errors": seen["failed_documents"],
             "started": started, "ended": dt.datetime.now(dt.timezone.utc)}
 
 

@@ -11,6 +11,7 @@ overwritten.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,10 @@ def insert_live_rows(spark: SparkSession, rows: DataFrame, fact_path: str,
 
 
 def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
-                      keys: tuple[str, ...] = NATURAL_KEYS, time_col: str = "measurement_time") -> dict[str, int]:
+                      keys: tuple[str, ...] = NATURAL_KEYS, time_col: str = "measurement_time") -> dict:
     """O-K3 insert, ignore conflicts on the primary key; reports inserted and
-    skipped separately (the reference counted attempts).
+    skipped separately (the reference counted attempts), and the ``months`` of
+    the batch, which are those that a view needs refreshed.
 
     Rows are told apart by the natural key columns themselves, a null equal to
     a null: the stored ``id`` is a hash and only a value. The table is
@@ -109,7 +111,7 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_path: str,
               for f in schemas.MEASUREMENTS.fields]
     dated = new.select(*fields, X.year_number(time_col).alias("year"), X.month_text(time_col).alias("month"))
     inserted = int(append_partitioned(dated, table_path, sort_within=GEN2_FACT_ORDER).get("rows", 0))
-    return {"inserted": inserted, "skipped": total - inserted}
+    return {"inserted": inserted, "skipped": total - inserted, "months": J.stage_months(once, time_col)}
 
 
 def load_locations(spark: SparkSession, listing: DataFrame, target: DataFrame,
@@ -202,6 +204,43 @@ def create_view(spark: SparkSession, name: str, df: DataFrame, materialize_path:
     return df
 
 
+@dataclass(frozen=True)
+class MonthlyView:
+    """O-K10 a materialised view whose every row belongs to one month of the fact: ``build`` makes it from fact
+    rows, ``fact_time`` is their time and ``view_time`` the view's. It is stored by year and month, so that
+    ``refresh`` computes and replaces the months that a load touched, and reads no other."""
+
+    name: str
+    build: Callable[[DataFrame], DataFrame]
+    path: str
+    fact_time: str = "measurement_time"
+    view_time: str = "measurement_date"
+
+    def _dated(self, fact: DataFrame) -> DataFrame:
+        return self.build(fact).withColumn("year", X.year_number(self.view_time)).withColumn("month", X.month_text(self.view_time))
+
+    def create(self, fact: DataFrame) -> DataFrame:
+        """All months, written and registered. Rows whose time is null have no month and are left out."""
+        self._dated(fact.where(F.col(self.fact_time).isNotNull())).hint("rebalance", "year", "month") \
+            .write.mode("overwrite").partitionBy("year", "month").parquet(self.path)
+        return self.open(fact)
+
+    def refresh(self, fact: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
+        """The listed (year, month) anew; partitions of other months are neither read nor written."""
+        if months:
+            some = J.in_months(fact, self.fact_time, months)
+            self._dated(some).hint("rebalance", "year", "month").write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(self.path)
+        return self.open(fact)
+
+    def open(self, fact: DataFrame) -> DataFrame:
+        """The stored view, registered under its name."""
+        df = fact.sparkSession.read.schema(self._dated(fact).schema).parquet(self.path)
+        df = df.select(*self.build(fact).columns)
+        df.createOrReplaceTempView(self.name.replace(".", "_"))
+        return df
+
+
 def build_views(spark: SparkSession, builders: list[tuple[str, Callable[[], DataFrame]]]) -> list[str]:
     """O-K11 build views in the given (dependency) order; returns the names."""
     names = []
@@ -248,6 +287,15 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
+def dated_schema(name: str):
+    """The schema of the table ``name`` with its partition columns, by which a reader prunes."""
+    schema, parts = TABLES[name]
+    for p, kind in (("year", "long"), ("month", "string")):
+        if p in parts and p not in schema.fieldNames():
+            schema = type(schema)([*schema.fields]).add(p, kind)
+    return schema
+
+
 def first_existing_table(spark: SparkSession, candidates: list[str]) -> str:
     """O-S11 the first of ``candidates`` that exists in the catalog."""
     for name in candidates:

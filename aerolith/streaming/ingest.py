@@ -9,20 +9,25 @@ Event time is stored as ``TIMESTAMP_NTZ`` but watermarks need ``TIMESTAMP``:
 the session zone is UTC, so the cast keeps the wall clock, and sinks cast
 back.
 
-Exactly-once against the fact: ``foreachBatch`` may replay a batch after a
-failure. Each append records (checkpoint, batch id) in a small commit log
-next to the table, and only a batch of the same checkpoint counts as a
-replay; a second source or a new checkpoint starts at batch 0 again and is
-ingested. A failure between the append and the log entry replays the batch,
-and then the insert-if-absent anti-join makes the replay a no-op for rows
-with non-null keys (T15). The default checkpoint is named by source and
-table, so running the same ingest again resumes where it stopped.
+Exactly-once against the fact: ``foreachBatch`` may replay a stream's last batch
+after a failure. Each append leaves a marker (checkpoint, batch id) next to the
+table; only the last few are kept, so a batch looks at one file name however long
+the stream has run. A failure between the append and its marker replays the batch,
+and then the anti-join, in which a null key equals a null, makes the replay a
+no-op. A second source or a new checkpoint starts at batch 0 again and is
+ingested. The default checkpoint is named by source and by the identity of the
+table, which is written with it: the same ingest resumes where it stopped, and a
+table that was dropped and made again starts anew.
+
+A stream lives in a session of its own, so that the number of its state partitions
+is no setting of the session that other queries use.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
-import threading
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +42,8 @@ from aerolith.operators import latest as W
 from aerolith.operators import predicates as P
 from aerolith.operators import quality as Q
 from aerolith.session import checkpoint_root, path_exists, scratch_path, written_once
+from aerolith.streaming import snapshots
+from aerolith.streaming.snapshots import Files
 
 # Flat landed measurement records (one JSON object per line).
 RECORD_SCHEMA = T.StructType([
@@ -48,9 +55,22 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
-def read_record_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of landed records; time parsed to NTZ, scored (O-F8)."""
-    r = spark.readStream.schema(RECORD_SCHEMA)
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session like ``spark`` for one stream. The number of state partitions is fixed by the first run of
+    a checkpoint; by default there is one for each core of the cluster. Progress of all batches of a run is kept."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    return own
+
+
+def read_record_stream(spark: SparkSession, path: str, max_files: int | None = None,
+                       state_partitions: int | None = None) -> DataFrame:
+    """Stream of landed records in a session of its own; time parsed to NTZ, scored (O-F8)."""
+    r = stream_session(spark, state_partitions).readStream.schema(RECORD_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     s = r.json(path)
@@ -68,9 +88,17 @@ def _checkpoint(spark: SparkSession, checkpoint: str | None, label: str) -> str:
     return checkpoint or scratch_path(spark, f"stream-{label}")
 
 
-def _stable_checkpoint(spark: SparkSession, source: str, table_path: str) -> str:
+def _table_identity(files: Files) -> str:
+    """What tells this table from an earlier one at its path; written once, within the table's folder."""
+    name = "_identity"
+    if not files.exists(name):
+        files.write(name, uuid.uuid4().hex)
+    return files.read(name)
+
+
+def _stable_checkpoint(spark: SparkSession, source: str, table_path: str, identity: str) -> str:
     """The same folder below the shared root for the same source and table."""
-    name = hashlib.sha256(f"{source.rstrip('/')}|{table_path.rstrip('/')}".encode()).hexdigest()[:16]
+    name = hashlib.sha256(f"{source.rstrip('/')}|{table_path.rstrip('/')}|{identity}".encode()).hexdigest()[:16]
     return f"{checkpoint_root(spark).rstrip('/')}/ingest-{name}"
 
 
@@ -79,7 +107,8 @@ TABLE_SCHEMA = T.StructType([
     T.StructField("quality_score", T.DoubleType()), T.StructField("batch_id", T.LongType()),
     T.StructField("year", T.LongType()), T.StructField("month", T.StringType()),
 ])
-COMMIT_SCHEMA = "checkpoint string, batch_id long"
+#: Markers of a stream's appends that are kept: only its last batch can come again.
+KEPT_MARKERS = 10
 
 
 def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
@@ -87,28 +116,28 @@ def ingest_insert_if_absent(spark: SparkSession, source: str, table_path: str,
                             trigger_available_now: bool = True):
     """O-T1 incremental ingest: each micro-batch keeps valid rows (O-P6),
     anti-joins them against the table on ``keys`` (narrowed to the batch's
-    months) and appends. Returns the finished (availableNow) query."""
+    months, a null equal to a null) and appends. Returns the finished (availableNow) query."""
     keys = keys or ["location_id", "sensor_id", "measurement_time", "parameter"]
     stream = P.keep_valid_scored(read_record_stream(spark, source))
-    own = checkpoint or _stable_checkpoint(spark, source, table_path)
-    commits = f"{table_path.rstrip('/')}_commits"
+    identity = _table_identity(Files(spark, table_path))
+    own = checkpoint or _stable_checkpoint(spark, source, table_path, identity)
+    markers = Files(spark, f"{table_path.rstrip('/')}_commits/{hashlib.sha256(f'{own}|{identity}'.encode()).hexdigest()[:16]}")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if path_exists(spark, commits):
-            log = spark.read.schema(COMMIT_SCHEMA).parquet(commits)
-            if not log.where((F.col("checkpoint") == own) & (F.col("batch_id") == batch_id)).isEmpty():
-                return  # replay of a batch whose rows are already in the table
+        if markers.exists(f"{batch_id:012d}"):
+            return  # replay of a batch whose rows are already in the table
         new = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
         if path_exists(spark, table_path):
-            existing = spark.read.schema(TABLE_SCHEMA).parquet(table_path)
-            new = J.insert_if_absent(new, existing, keys, time_col="measurement_time")
+            existing = batch.sparkSession.read.schema(TABLE_SCHEMA).parquet(table_path)
+            new = J.insert_if_absent(new, existing, keys, time_col="measurement_time", null_safe=True)
         out = new.withColumn("year", X.year_number("measurement_time")) \
                  .withColumn("month", X.month_text("measurement_time"))
         (out.hint("rebalance", "year", "month")
             .sortWithinPartitions("year", "month", "location_id", "parameter", "measurement_time")
             .write.mode("append").partitionBy("year", "month").parquet(table_path))
-        # a small commit log, not a scan of the table, answers "seen before?"
-        spark.createDataFrame([(own, batch_id)], COMMIT_SCHEMA).write.mode("append").parquet(commits)
+        markers.write(f"{batch_id:012d}", own)
+        for old in markers.names("")[:-KEPT_MARKERS]:
+            markers.delete(old)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", own)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="15 minutes")
@@ -136,14 +165,56 @@ def hourly_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
                     "avg_value", "min_value", "max_value", "std_value", "count", "avg_quality")
 
 
-def close_hours(emitted: DataFrame, table: DataFrame) -> DataFrame:
-    """The correction path of O-T3: the hours that the stream has emitted, plus a
-    batch O-A12 over the table for those that it has not (windows still open when
-    the stream ended, or made only of rows later than the watermark)."""
-    keys = ["location_id", "parameter", "hour"]
-    rows = table.withColumn("hour", X.floor_hour("measurement_time"))
-    rest = rows.join(written_once(emitted.select(*keys).distinct(), "emitted-hours"), keys, "left_anti")
-    return emitted.unionByName(A.hourly(rest.drop("hour")).select(*emitted.columns))
+def close_hours(emitted: DataFrame, table: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+    """The correction path of O-T3: what the stream emitted for hours before ``since``, and a batch O-A12 over
+    the table from there on. ``correction_start`` gives ``since``: the first hour that the stream left open
+    or that got a row later than the watermark, so the hours before are final and the table is read from
+    that time only (a range on its time, which prunes months and row groups). ``None`` computes all hours."""
+    if since is None:
+        return A.hourly(table).select(*emitted.columns)
+    first = F.lit(since).cast("timestamp_ntz")
+    rest = A.hourly(table.where(F.col("measurement_time") >= first)).select(*emitted.columns)
+    return emitted.where(F.col("hour") < first).unionByName(rest)
+
+
+def _event_times(query) -> tuple[dt.datetime | None, dt.datetime | None]:
+    """(the last watermark, the earliest event time that was behind the watermark of its batch)."""
+    parse = lambda x: dt.datetime.fromisoformat(x.replace("Z", "+00:00")).replace(tzinfo=None)
+    mark, late = None, None
+    for p in query.recentProgress:
+        times = (p if isinstance(p, dict) else json.loads(p.json)).get("eventTime") or {}
+        if "watermark" in times:
+            mark = max(filter(None, (mark, parse(times["watermark"]))))
+        if "min" in times and mark is not None and parse(times["min"]) < mark:
+            late = min(filter(None, (late, parse(times["min"]))))
+    return mark, late
+
+
+def _note_event_times(spark: SparkSession, path: str, query) -> None:
+    """Keeps, beside an hourly table, its last watermark and the earliest late time since its last correction."""
+    mark, late = _event_times(query)
+    files = Files(spark, f"{path.rstrip('/')}_times")
+    known = json.loads(files.read("now")) if files.exists("now") else {"watermark": None, "late": None}
+    as_text = lambda pick, a, b: pick(x for x in (a, b and b.isoformat()) if x) if a or b else None
+    files.write("now", json.dumps({"watermark": as_text(max, known["watermark"], mark), "late": as_text(min, known["late"], late)}))
+
+
+def correction_start(spark: SparkSession, path: str) -> dt.datetime | None:
+    """The hour from which ``close_hours`` has work for the hourly table at ``path``: that of its last watermark,
+    or of an earlier late row. ``None`` where no run of the stream has noted its times."""
+    files = Files(spark, f"{path.rstrip('/')}_times")
+    if not files.exists("now"):
+        return None
+    known = json.loads(files.read("now"))
+    times = [dt.datetime.fromisoformat(x) for x in (known["watermark"], known["late"]) if x]
+    return min(times).replace(minute=0, second=0, microsecond=0) if known["watermark"] else None
+
+
+def corrected(spark: SparkSession, path: str) -> None:
+    """Notes that the late rows so far are part of a correction that was stored."""
+    files = Files(spark, f"{path.rstrip('/')}_times")
+    if files.exists("now"):
+        files.write("now", json.dumps(json.loads(files.read("now")) | {"late": None}))
 
 
 def latest_stream(stream: DataFrame) -> DataFrame:
@@ -182,15 +253,12 @@ def alert_stream(stream: DataFrame, min_band: int = 3) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append",
-                 checkpoint: str | None = None, label: str = "sink",
-                 state_partitions: int | None = None, keys: list[str] | None = None):
-    """Run a streaming frame to a Parquet folder (append) or, for
-    update/complete aggregates, replace a snapshot table per batch.
-
-    The number of state-store partitions is fixed by the first run of a
-    checkpoint; it defaults to the cluster's default parallelism (one state
-    partition per core) and is set only while the query starts."""
-    ck = _checkpoint(df.sparkSession, checkpoint, label)
+                 checkpoint: str | None = None, label: str = "sink", keys: list[str] | None = None):
+    """Run a streaming frame to a Parquet folder (append) or, for update/complete
+    aggregates, publish each batch to the keyed table at ``path`` (``snapshots``).
+    An append of windows also notes its event times, for ``correction_start``."""
+    spark = df.sparkSession
+    ck = _checkpoint(spark, checkpoint, label)
     if mode == "append":
         w = df.writeStream.format("parquet").option("path", path).outputMode("append")
     else:
@@ -198,65 +266,19 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append",
             raise ValueError("update mode needs the key columns")
 
         def publish(batch: DataFrame, batch_id: int) -> None:
-            spark = batch.sparkSession
-            out = batch
-            newest = _published(spark, path, below=batch_id)
-            if mode == "update" and newest is not None:
-                # update mode emits only the keys that changed: they replace their rows
-                prev = spark.read.parquet(newest)
-                out = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-            # a replay writes a new folder; the manifest row, written after it, makes it visible
-            target = f"{path.rstrip('/')}/snapshot-{batch_id:012d}-{uuid.uuid4().hex[:8]}"
-            out.write.parquet(target)
-            spark.createDataFrame([(batch_id, target)], MANIFEST_SCHEMA).coalesce(1) \
-                 .write.mode("append").json(f"{path.rstrip('/')}/manifest")
-            _forget_old(spark, path)
+            snapshots.publish(batch, batch_id, path, keys or [], complete=mode == "complete", owner=ck)
         w = df.writeStream.foreachBatch(publish).outputMode(mode)
-    n = state_partitions or df.sparkSession.sparkContext.defaultParallelism
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    with _START:  # the setting is read when the query starts; nothing else is planned in between
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        try:
-            q = w.option("checkpointLocation", ck).trigger(availableNow=True).start()
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+    q = w.option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
+    if mode == "append" and "hour" in df.columns:
+        _note_event_times(spark, path, q)
     return q
 
 
-_START = threading.Lock()
-MANIFEST_SCHEMA = "batch long, path string"
-#: Published snapshots that are kept, so that a reader of an older one can finish.
-KEPT_SNAPSHOTS = 3
-
-
-def _manifest(spark: SparkSession, path: str) -> list:
-    """The published (batch, path), newest first; one row per batch of the stream's life
-    is read, the rows of dropped snapshots are small."""
-    if not path_exists(spark, f"{path.rstrip('/')}/manifest"):
-        return []
-    m = spark.read.schema(MANIFEST_SCHEMA).json(f"{path.rstrip('/')}/manifest")
-    return m.orderBy(F.col("batch").desc(), F.col("path").desc()).limit(KEPT_SNAPSHOTS + 2).collect()
-
-
-def _published(spark: SparkSession, path: str, below: int | None = None) -> str | None:
-    return next((r["path"] for r in _manifest(spark, path) if below is None or r["batch"] < below), None)
-
-
-def _forget_old(spark: SparkSession, path: str) -> None:
-    for r in _manifest(spark, path)[KEPT_SNAPSHOTS:]:
-        old = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot that ``run_to_table`` published in update or complete
-    mode: the manifest names it only after its job committed."""
-    newest = _published(spark, path)
-    if newest is None:
-        raise FileNotFoundError(f"no snapshot is published below {path}")
-    return spark.read.parquet(newest)
+    """The keyed table as the newest batch that ``run_to_table`` published in
+    update or complete mode left it."""
+    return snapshots.read(spark, path)
 
 
 def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STALE_HOURS) -> DataFrame:

@@ -66,8 +66,8 @@ def test_load_measurements_reports_inserted_and_skipped(spark, tmp_path):
     distinct = m.select(*K.NATURAL_KEYS).distinct().count()
     r1 = K.load_measurements(spark, m, table)
     r2 = K.load_measurements(spark, m, table)
-    assert r1 == {"inserted": distinct, "skipped": m.count() - distinct}
-    assert r2 == {"inserted": 0, "skipped": m.count()}
+    assert r1 == {"inserted": distinct, "skipped": m.count() - distinct, "months": [(2024, 1)]}
+    assert r2 == {"inserted": 0, "skipped": m.count(), "months": [(2024, 1)]}
 
 
 def test_null_keys_are_keys_of_their_own(spark, tmp_path):
@@ -77,8 +77,8 @@ def test_null_keys_are_keys_of_their_own(spark, tmp_path):
         AS t(location_id, sensor_id, parameter, measurement_time, value)""").withColumn("id", C.natural_id())
     assert rows.schema.fieldNames()[:5] == [c.split()[0] for c in schema.split(", ")]
     table = str(tmp_path / "m")
-    assert K.load_measurements(spark, rows, table) == {"inserted": 3, "skipped": 0}
-    assert K.load_measurements(spark, rows, table) == {"inserted": 0, "skipped": 3}
+    assert K.load_measurements(spark, rows, table) == {"inserted": 3, "skipped": 0, "months": [(2024, 1)]}
+    assert K.load_measurements(spark, rows, table) == {"inserted": 0, "skipped": 3, "months": [(2024, 1)]}
     assert spark.read.parquet(table).select("id").distinct().count() == 3
 
 
@@ -185,3 +185,31 @@ def test_public_helpers(spark, tmp_path):
     recs = SP.measurement_records(raw).collect()
     assert len(recs) == 1 and recs[0].latitude == 1.0 and recs[0].source == fixed.SOURCE_NAME
     assert recs[0].measurement_time == dt.datetime(2024, 1, 1)
+
+
+def test_a_refresh_reads_and_writes_the_months_of_the_load(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from aerolith.operators import aggregates as A
+    m = AD.measurements(spark, SF).withColumn("measurement_time", F.add_months("measurement_time", (F.col("id") % 3).cast("int")).cast("timestamp_ntz"))
+    table = str(tmp_path / "fact")
+    K.load_measurements(spark, m.where("id % 5 <> 0"), table)
+    fact = spark.read.schema(m.drop("year", "month").select(*[f.name for f in schemas.MEASUREMENTS.fields if f.name in m.columns]).schema
+                             .add("year", "long").add("month", "string")).parquet(table)
+    view = C.monthly_views(str(tmp_path))["presentation.daily_aggregates"]
+    view.create(fact)
+    folder = tmp_path / "presentation" / "daily_aggregates"
+    files = lambda: {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    before = files()
+    res = K.load_measurements(spark, m.where("id % 5 = 0 AND id % 3 = 1"), table)
+    assert res["months"] == [(2024, 2)]
+    fact = spark.read.schema(fact.schema).parquet(table)
+    read = [p for p in K.J.in_months(fact, "measurement_time", res["months"]).inputFiles() if "month=" in p]
+    pruned = K.J.in_months(fact, "measurement_time", res["months"]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(read) > len(pruned) and all("month=02" in r.f for r in pruned)
+    got = view.refresh(fact, res["months"])
+    want = A.daily_aggregates(fact)
+    same = lambda a, b: a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count()
+    assert same(got.drop("avg_value", "std_value", "avg_quality"), want.drop("avg_value", "std_value", "avg_quality"))
+    kept = {k: v for k, v in files().items() if "month=02" not in k}
+    assert kept == {k: v for k, v in before.items() if "month=02" not in k} and len(kept) >= 2
+    assert view.refresh(fact, []).count() == want.count()
