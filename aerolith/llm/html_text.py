@@ -3,12 +3,18 @@
 The markup is read into a tree (unclosed and misnested tags close as in browsers).
 Paragraphs pass points for their length and commas to their ancestors, halved per level
 and discounted by each ancestor's link density; the best container is kept together with
-those siblings that score a share of it. Menus, headers, footers, asides, notices,
-adverts, forms, comments of readers, scripts and styles are taken out by tag, role and
-class before. Text blocks are joined in page order by one newline.
+those siblings that score a share of it. Where an ``article`` or ``main`` around it holds
+most of the page's points, the siblings on the way up to it are asked too. Menus, headers,
+footers, asides, notices, adverts, forms, comments of readers, scripts and styles are taken
+out before: by tag and role, and by class where it names a block outside a paragraph. Words
+that an article uses too (alert, legal, tags) take out a block of an article only if it is
+short or made of links. Text blocks are joined in page order by one newline.
 
 Defined results: null or empty html gives an empty text; a page without any paragraph
-gives the text that is left of its body; repeated rows give repeated rows.
+gives the text that is left of its body; of containers with equal points the deepest, then
+the first, is the best; a very long page is read whole; an empty table gives no rows;
+repeated rows give repeated rows; columns other than the html and those kept are not looked
+at, and kept columns named ``text`` or ``n_chars`` raise.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+#: Of these, what a browser does not read on to the end of the page where the end tag lacks.
+_NOT_TO_THE_END = frozenset("svg math template noscript".split())
 #: Elements that never hold article text.
 DROPPED = RAW | frozenset("nav header footer aside form button select option input label fieldset menu dialog "
                           "object embed canvas audio video map head datalist".split())
@@ -41,13 +49,17 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
            "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = frozenset("ul ol dl table html body div article section td th".split())
 
+def _words(text: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(text.split())})(?=$|[\s_-])", re.IGNORECASE)
+
+
 #: Class, id and role words of what is not the article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertising|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|reply|replies"
-    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|follow"
-    r"|sidebar|side|aside|widgets?|related|recommend\w*|more-?links|popular|trending|nav|navbar|navigation|menu|breadcrumbs?|pager|pagination"
-    r"|header|masthead|topbar|footer|foot|copyright|legal|skip|tools?|toolbar|tags?|taglist|hidden|complementary|contentinfo|search)(?=$|[\s_-])",
-    re.IGNORECASE)
+_NOISE = _words(r"""ads? advert\w* advertising adsense sponsor\w* promo\w* comments? commentlist disqus respond reply replies
+    cookies? consent gdpr popup modal overlay newsletter subscri\w* signup login share sharing social
+    sidebar aside widgets? related recommend\w* more-?links nav navbar navigation menu breadcrumbs? pager pagination
+    masthead topbar footer skip hidden complementary contentinfo""")
+#: Words that name parts of articles too: noise outside of one, and in one where the text is short or linked.
+_DOUBTFUL = _words("banner notice alert follow side popular trending header foot copyright legal tools? toolbar tags? taglist search")
 _LAYOUT = re.compile(r"(?:^|[\s_-])(?:has|with|no|without)[_-]\S+", re.IGNORECASE)
 _PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div article section main".split())
 _KEPT_ANYWAY = frozenset("html body article main".split())
@@ -91,7 +103,7 @@ def parse(text: str) -> Node:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(text, at)
-            at = end.end() if end else len(text)
+            at = end.end() if end else at if tag in _NOT_TO_THE_END else len(text)
             continue
         if tag in BLOCKS and tag != "br":
             node = top
@@ -125,25 +137,37 @@ def _hidden(node: Node) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", attrs))
 
 
+_TEXT = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 td th figcaption".split())
+
+
 def prune(root: Node) -> None:
-    """Takes out what is not article text by tag, role and class."""
-    todo = [root]
+    """Takes out what is not article text: by tag, role and, outside of paragraphs, by class."""
+    _measure(root)
+    todo = [(root, False, False)]
     while todo:
-        node = todo.pop()
+        node, in_text, in_article = todo.pop()
         kept = []
         for k in node.kids:
             if isinstance(k, Node):
                 if k.tag in DROPPED and not (k.tag == "header" and _inside_article(k)):
                     continue
-                if k.attrs and k.tag not in _KEPT_ANYWAY:
-                    names = _names(k)
-                    if _hidden(k) or (names and _NOISE.search(_LAYOUT.sub(" ", names)) and not _holds_article(k)):
-                        continue
-                todo.append(k)
+                if k.attrs and k.tag not in _KEPT_ANYWAY and (_hidden(k) or not in_text and _named_noise(k, in_article)):
+                    continue
+                todo.append((k, in_text or k.tag in _TEXT, in_article or k.tag in ("article", "main")))
             kept.append(k)
         node.kids = kept
 
 
+def _named_noise(node: Node, in_article: bool) -> bool:
+    names = _LAYOUT.sub(" ", _names(node))
+    if not names or _holds_article(node):
+        return False
+    if _NOISE.search(names):
+        return True
+    slight = node.size < 60 or node.linked > 0.3 * node.size
+    return bool(_DOUBTFUL.search(names)) and (slight or not in_article)
+
+
 def _holds_article(node: Node) -> bool:
     """A layout element around the article, whatever its class says."""
     todo = list(node.kids)
@@ -190,10 +214,10 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
-def best_container(root: Node) -> list[Node]:
+def best_container(root: Node) -> list[Node | str]:
     """The container with the most points, and its siblings that hold article text too."""
     order = _measure(root)
-    scored = []
+    scored, points_below, total = [], {}, 0.0
     for node in order:
         if node.tag not in _PARAGRAPHS:
             continue
@@ -204,11 +228,14 @@ def best_container(root: Node) -> list[Node]:
         up, share = node.parent, 1.0
         if node.tag in ("div", "article", "section", "main", "td"):
             up = node  # text that stands in a container without a paragraph
+        total += points
         while up is not None:
             if not up.score:
                 scored.append(up)
                 up.score = 1e-9
             up.score += points * share
+            if up.tag in ("article", "main"):
+                points_below[id(up)] = points_below.get(id(up), 0.0) + points
             share, up = share / 2, up.parent
     if not scored:
         return [root]
@@ -218,29 +245,42 @@ def best_container(root: Node) -> list[Node]:
         return node.score * (1 - density) * (1.25 if node.tag in ("article", "main") else 1.0)
 
     best = max(scored, key=worth)  # the deepest of equals, as leaves come first
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
+    least = 0.05 * worth(best)
+    above, up = [best], best  # from the best container up to an article that holds most of the page's points
+    while up is not None and not (up.tag in ("article", "main") and points_below[id(up)] >= 0.5 * total):
         up = up.parent
-    if up is not None and up.linked < 0.3 * up.size:  # what noise left of the article element is the article
-        return [up]
-    if best.parent is None:
-        return [best]
-    least, before = 0.05 * worth(best), True
-    out = []
-    for k in best.parent.kids:
-        if k is best:
-            out.append(k)
-            before = False
-        elif isinstance(k, Node):
-            plain = k.size and k.linked < 0.25 * k.size
-            prose = plain and (k.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and k.size > 25
-                               or k.tag in ("h1", "h2", "h3") or before and _holds_article(k))
-            if prose or (k.score and worth(k) >= least):
-                out.append(k)
+        above.append(up)
+    if up is None:
+        above = [best, best.parent] if best.parent is not None else [best]
+    whole = up is not None and up.tag == "article"
+    path = set(map(id, above))
+
+    def stays(k: Node, before: bool) -> bool:
+        if whole:  # the article's own parts, but for lists of links
+            return k.linked <= 0.5 * k.size
+        plain = k.size and k.linked < 0.25 * k.size
+        prose = plain and (k.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and k.size > 25
+                           or k.tag in ("h1", "h2", "h3") or before and _holds_article(k))
+        return bool(prose or (k.score and worth(k) >= least))
+
+    out: list[Node | str] = []
+    todo: list[tuple[Node | str, bool]] = [(above[-1], True)]
+    while todo:
+        node, kept = todo.pop()
+        if isinstance(node, str) or id(node) not in path or node is best:
+            if kept:
+                out.append(node)
+            continue
+        inner, before = [], True
+        for k in node.kids:
+            on = isinstance(k, Node) and id(k) in path
+            inner.append((k, on or (whole if isinstance(k, str) else stays(k, before))))
+            before = before and not on
+        todo += reversed(inner)
     return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The text blocks below the nodes: white space within one is one space."""
     out, own = [], []
 
