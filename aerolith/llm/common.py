@@ -47,9 +47,10 @@ def _row_key() -> Column:
 def rows_of(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` that are in ``keys`` (doc_id, row_key), or with ``left_anti`` the
     others. All columns stay; a null doc_id equals a null one."""
-    tagged = docs.withColumn("__key", _row_key())
-    same = (tagged["__key"] == keys["row_key"]) & tagged["doc_id"].eqNullSafe(keys["doc_id"])
-    return tagged.join(keys, same, how).drop("__key")
+    own = free_name(docs, "key")
+    tagged = docs.withColumn(own, _row_key())
+    same = (tagged[own] == keys["row_key"]) & tagged["doc_id"].eqNullSafe(keys["doc_id"])
+    return tagged.join(keys, same, how).drop(own)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -68,7 +68,7 @@ t AS (SELECT k, source, i, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '',
 pages AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
 bad AS (SELECT source, line_key FROM (SELECT source, line_key, count(DISTINCT k) AS n FROM t
             WHERE line_key <> '' AND source IS NOT NULL GROUP BY source, line_key) JOIN pages USING (source)
-        WHERE n >= 5 AND n > 0.1 * pages),
+        WHERE n >= 2 AND n > 0.1 * pages),
 kept AS (SELECT k, count(*) AS n_lines, count(*) FILTER (bad.line_key IS NOT NULL) AS n_dropped,
                 coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bad.line_key IS NULL), '') AS kept
          FROM t LEFT JOIN bad ON t.source = bad.source AND t.line_key = bad.line_key GROUP BY k)

@@ -95,3 +95,17 @@ def test_defined_results(nasty):
     assert all(r.n_words == r.word_chars == r.n_repeat_words == 0 for r in quality)
     lines = {r.doc_id: (r.text, r.n_lines) for r in line_dedup.drop_boilerplate(nasty).where("doc_id in (2, 3)").collect()}
     assert lines == {2: (None, 0), 3: ("", 1)}
+
+
+def test_small_hosts_and_clashing_names_of_lines(spark):
+    """The ratio decides for a host of any size; inner columns take no name of the input."""
+    names = ("doc_id bigint, text string, source string, host string, lines string, split string, kept string, _host int, "
+             "__host int, n int, line int, pages int, n_lines int, n_dropped int")
+    rest = ("h", "l", "s", "k", 1, 2, 3, 4, 5, 6, 7)
+    rows = [(k, f"own line {k}\nthe footer", "small", *rest) for k in range(4)] + [(9, "alone\nthe footer", "one", *rest)]
+    df = spark.createDataFrame(rows, names)
+    out = line_dedup.drop_boilerplate(df)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.host, r.kept, r["__host"]) for r in out.collect()}
+    assert got == {k: (f"own line {k}", 2, 1, "h", "k", 2) for k in range(4)} | {9: ("alone\nthe footer", 2, 0, "h", "k", 2)}
+    kept = line_dedup.drop_boilerplate(df, counts=("before", "gone"))
+    assert kept.columns == [*df.columns, "before", "gone"] and {(r.n_lines, r.n_dropped) for r in kept.collect()} == {(6, 7)}
