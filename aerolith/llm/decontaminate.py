@@ -2,16 +2,19 @@
 
 Texts are compared as lower-cased runs of letters and digits. The 3-word windows of the
 test items are seeds; a first pass counts in how many documents each occurs. An item
-keeps the seeds that at most ``RARE`` of the documents hold, and in any case the rarer half
-of its own. Where a document holds a kept seed, the item is aligned (match +2, mismatch
-and gap -1) with the words around it, and the score is divided by that of a verbatim copy.
-A pair scoring ``MIN_SCORE`` or more is a leak.
+keeps the seeds that at most ``RARE`` of the documents hold, and in any case the rarer half of
+its own and the rarest of every ``RUN`` seeds in a row: a passage of eight of its words, copied
+into however many documents, holds one of them. Where a document holds a kept seed, the item is aligned (match +2, mismatch and gap -1)
+with the words around it, and the score is divided by that of a verbatim copy. A pair
+scoring ``MIN_SCORE`` or more is a leak.
 
-The items are a stated query set: they are read in blocks of bounded size, each broadcast
-and held against all documents. Documents are never shuffled.
+The items are a stated query set: equal texts are one item until the end, items are dealt to
+blocks by their words, each block is broadcast and held against all documents. Documents
+are never shuffled; every block of ``BLOCK_WORDS`` words means two passes over them.
 
 Defined results: null or empty documents match nothing, items of fewer than three words
-are never found, equal items are all reported, repeated documents give repeated rows.
+are never found, equal items are all reported, repeated documents give repeated rows, an
+empty table on either side gives none; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from pyspark.sql import functions as F
 from aerolith.llm.common import keyed, pieces, rows_of, staged
 
 SEED_WORDS = 3
-BLOCK_ITEMS = 20_000
-RARE = 1e-4
+#: Words of the items of a block, which bounds what is collected and broadcast.
+BLOCK_WORDS = 1_000_000
+RARE = 1e-2
 RARE_DOCS = 20
+RUN = 6
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(r"[^\W_]+")
-_BITS = 21  # of a word id in a seed's code
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words(text: str | None) -> list[str]:
@@ -50,8 +55,6 @@ class Items:
         self.ids = [i for i, _ in kept]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64) for _, w in kept]
-        if len(self.vocab) >= 1 << _BITS:
-            raise ValueError("too many words in one block of items: lower block_items")
         own = [seed_codes(w) for w in self.words]
         flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -61,13 +64,19 @@ class Items:
         self.seeds = np.unique(flat)
 
     def keep_rare(self, df: np.ndarray, limit: float) -> None:
-        """Drops the occurrences whose seed is neither rare nor in its item's rarer half."""
+        """Drops the occurrences whose seed is neither rare, nor in its item's rarer half, nor the rarest
+        of any ``RUN`` seeds in a row."""
         freq = df[np.searchsorted(self.seeds, self.flat)]
         order = np.lexsort((self.flat, freq, self.item))
         sizes = np.bincount(self.item, minlength=len(self.ids))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         keep = (freq <= limit) | (2 * rank < sizes[self.item] + 1)
+        in_order = np.lexsort((self.at, self.item))
+        for end, size in zip(np.cumsum(sizes), sizes, strict=True):
+            own = in_order[end - size:end]
+            runs = np.lib.stride_tricks.sliding_window_view(freq[own], min(RUN, size))
+            keep[own[np.unique(runs.argmin(axis=1) + np.arange(len(runs)))]] = True
         self.flat, self.item, self.at = self.flat[keep], self.item[keep], self.at[keep]
         self.seeds = np.unique(self.flat)
 
@@ -78,12 +87,14 @@ class Items:
 
 
 def seed_codes(ids: np.ndarray) -> np.ndarray:
-    """A code per window of three word ids; negative if a word is in no item."""
+    """A code per window of three word ids; negative if a word is in no item. Different windows may share
+    a code, which costs an alignment and no result."""
     if len(ids) < SEED_WORDS:
         return np.zeros(0, np.int64)
-    a, b, c = ids[:-2], ids[1:-1], ids[2:]
-    code = (a << 2 * _BITS) | (b << _BITS) | c
-    return np.where((a < 0) | (b < 0) | (c < 0), -1, code)
+    a, b, c = (x.astype(np.uint64) for x in (ids[:-2], ids[1:-1], ids[2:]))
+    code = (((a * _MIX[0]) ^ b) * _MIX[1] ^ c) >> np.uint64(1)
+    known = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
+    return np.where(known, code.astype(np.int64), -1)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> float:
@@ -134,7 +145,7 @@ def _seed_counts(docs: DataFrame, block) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         total = np.zeros(len(b.seeds), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for text in batch.column("text").to_pylist():
                 codes = np.unique(seed_codes(b.encode(text)))
                 at = np.searchsorted(b.seeds, codes)
@@ -151,19 +162,22 @@ def _seed_counts(docs: DataFrame, block) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: float = RARE,
-          block_items: int = BLOCK_ITEMS) -> DataFrame:
+          block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, row_key): every pair of a document and an item that it holds."""
     spark = docs.sparkSession
     docs = keyed(docs)
     n_docs = docs.count()
-    blocks = max(1, -(-benchmark.count() // block_items))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    doc_kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    item_type = pa.int64() if item_kind == "bigint" else None
+    text = F.coalesce(F.col("text"), F.lit(""))
+    items = staged(benchmark.select("item_id", F.md5(text).alias("item_key"), text.alias("item_text")), "items")
+    texts = items.groupBy("item_key").agg(F.first("item_text").alias("text"))
+    n_words = texts.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).head()[0]
+    blocks = max(1, -(-n_words // block_words))
+    part = F.pmod(F.xxhash64("item_key"), F.lit(blocks))
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
     found = None
     for k in range(blocks):
-        own = benchmark.where(part == k).select("item_id", "text").toPandas()  # about block_items rows
-        first = Items(own["item_id"].tolist(), own["text"].tolist())
+        own = texts.where(part == k).toPandas()  # about block_words words, and no text twice
+        first = Items(own["item_key"].tolist(), own["text"].tolist())
         counted = spark.sparkContext.broadcast(first)
         first.keep_rare(_seed_counts(docs, counted), max(RARE_DOCS, rare * n_docs))
         counted.unpersist()
@@ -176,13 +190,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, r
                         for i, s in matches(block, text, min_score)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(at := pa.array([r for r, _, _ in rows], pa.int64())),
-                     pa.array([i for _, i, _ in rows], item_type), pa.array([s for _, _, s in rows], pa.float64()),
+                     pa.array([i for _, i, _ in rows], pa.string()), pa.array([s for _, _, s in rows], pa.float64()),
                      b.column("row_key").take(at)],
-                    ["doc_id", "item_id", "score", "row_key"])
+                    ["doc_id", "item_key", "score", "row_key"])
 
-        pairs = docs.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, row_key bigint")
+        pairs = docs.mapInArrow(run, f"doc_id {doc_kind}, item_key string, score double, row_key bigint")
         found = pairs if found is None else found.union(pairs)
-    return found
+    return found.join(items.select("item_key", "item_id"), "item_key").select("doc_id", "item_id", "score", "row_key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

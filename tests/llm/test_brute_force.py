@@ -351,8 +351,37 @@ def test_planted_copies_are_found(spark):
         docs.append((k, " ".join(words).capitalize() + "!"))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
-    for size in (20_000, 7):  # one block, and several
-        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, block_items=size).collect()} == want
+    for size in (1_000_000, 200):  # one block, and several
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, block_words=size).collect()} == want
+
+
+def test_partial_copies_of_an_item_that_many_documents_hold(spark):
+    """An item copied whole into sixty documents and in part into others: a part is found wherever it was cut."""
+    rnd = random.Random(8)
+    vocab = [f"v{i}" for i in range(4000)]
+    prose = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [prose(37) for _ in range(20)]
+    docs = [(k, " ".join(prose(60) + items[0] + prose(60))) for k in range(60)]
+    want = {(k, 0) for k in range(60)}
+    # the last part of another item is held by forty documents, its first part by few
+    docs += [(100 + k, " ".join(prose(40) + items[1][18:] + prose(40))) for k in range(40)]
+    want |= {(100 + k, 1) for k in range(40)}
+    for k in range(400):
+        item, n = rnd.randrange(20), rnd.randint(19, 37)
+        at = rnd.choice([0, 37 - n, rnd.randint(0, 37 - n)])
+        docs.append((1000 + k, " ".join(prose(rnd.randint(5, 90)) + items[item][at:at + n] + prose(rnd.randint(5, 90)))))
+        want.add((1000 + k, item))
+    docs += [(5000 + k, " ".join(prose(200))) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+
+
+def test_equal_items_are_one_until_the_end(spark):
+    rows = [(k, "the very same item stands here many times over") for k in range(500)] + [(500, None), (501, "")]
+    df = spark.createDataFrame([(1, "so the very same item stands here many times over it seems"), (2, "nothing")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    assert sorted(r.item_id for r in decontaminate.leaks(df, bench, block_words=3).collect()) == list(range(500))
 
 
 def test_leaks_of_documents_against_all_alignments(spark, docs, texts):
