@@ -5,11 +5,13 @@ lengths (``capacity`` numbers, whatever the corpus) goes to the driver. There ea
 seeded with the longest length left, and a bitset subset-sum over the available lengths
 finds the fullest feasible combination, which is removed. As the same combination stays
 the fullest while its pieces last, it is removed as often as they allow in one step, so
-the plan has a few thousand rows at most. Spark then numbers the pieces of each length
-(hashed buckets, so no length is one task's) and each number looks up its place.
+the plan has a few thousand rows at most. Spark then numbers all pieces by length, dealt by
+ranges that split a common length or a repeated row like any other, and each number looks
+up its place.
 
 Defined results: a null or empty text is one piece holding the end id; repeated rows are
-packed as often as they occur; a null doc_id is kept; an empty table gives no pieces.
+packed as often as they occur; a null doc_id is kept; an empty table gives no pieces; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.common import free_name, ranked, staged
 from aerolith.llm.common import pieces as slices
-from aerolith.llm.common import staged
 from aerolith.llm.tokens import encoder
 
 CAPACITY = 1024
-BUCKET_ROWS = 50_000
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -105,23 +106,13 @@ def min_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return plan
 
 
-def _numbered(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rank`` of each piece among those of its length, from 0 without gaps: a place in a
-    hashed bucket plus the pieces in the buckets before."""
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return (dealt.withColumn("place", place).join(base, ["length", "bucket"])
-            .withColumn("rank", F.col("place") + F.col("base")).drop("bucket", "place", "base"))
-
-
 def pack(cut_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_rows`` (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in cut_rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, used = {s: [] for s in counts}, dict.fromkeys(counts, 0)
+    base, before = {}, 0
+    for s in sorted(counts):
+        base[s], before = before, before + counts[s]
     seq = 0
     for times, bin_ in min_bin_slack(counts, capacity):
         at = 0
@@ -131,24 +122,29 @@ def pack(cut_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += size * copies
         seq += times
     # at most (plan rows) x (different lengths that fit in a bin) entries: bounded by the capacity
-    held = cut_rows.sparkSession.sparkContext.broadcast({s: np.array(p, np.int64) for s, p in first.items()})
+    held = cut_rows.sparkSession.sparkContext.broadcast(({s: np.array(p, np.int64) for s, p in first.items()}, base))
+
+    row, rank_of = free_name(cut_rows, "row"), free_name(cut_rows, "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans, starts = held.value
         for b in batches:
-            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            size, rank = b.column("length").to_numpy(), b.column(rank_of).to_numpy()
             seq_id, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for s in np.unique(size):
-                mine, plan = size == s, held.value[int(s)]
-                row = plan[np.searchsorted(plan[:, 0], rank[mine], "right") - 1]
-                k = rank[mine] - row[:, 0]
-                seq_id[mine], offset[mine] = row[:, 2] + k // row[:, 1], row[:, 3] + k % row[:, 1] * s
-            names = [c for c in b.schema.names if c != "rank"]
+                mine, plan = size == s, plans[int(s)]
+                own = rank[mine] - 1 - starts[int(s)]  # among the pieces of its length, from 0
+                at = plan[np.searchsorted(plan[:, 0], own, "right") - 1]
+                k = own - at[:, 0]
+                seq_id[mine], offset[mine] = at[:, 2] + k // at[:, 1], at[:, 3] + k % at[:, 1] * s
+            names = [c for c in b.schema.names if c not in (row, rank_of)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(seq_id), pa.array(offset)],
                                              [*names, "sequence_id", "offset"])
 
-    ranked = _numbered(cut_rows, sum(counts.values()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    numbered = cut_rows.withColumn(row, F.monotonically_increasing_id())
+    placed = ranked(numbered, [F.col("length").asc(), F.col("doc_id").asc(), F.col("piece").asc(), F.col(row).asc()], rank_of)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_rows.schema)
+    return placed.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

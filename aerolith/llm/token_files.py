@@ -14,11 +14,13 @@ know where four ids lie: lengths come from a 256-entry table and all ids of a fi
 gathered by numpy at once.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first;
-repeated rows are written as often as they occur; an empty table gives no files.
+repeated rows are written as often as they occur; an empty table gives no files; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -104,9 +106,11 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 [pa.array(np.full(len(n), part, np.int32)), pa.array(place), b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
                 ["part", "place", "doc_id", "n", "ids"])
 
-    ordered = (docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
+    # the row's number splits a row that is repeated often over several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
+    ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                           F.monotonically_increasing_id().alias("row"))
+               .repartitionByRange(*order).sortWithinPartitions(*order).drop("row"))
     return staged(ordered.mapInArrow(run, "part int, place bigint, doc_id bigint, n bigint, ids binary"), "token-ids")
 
 
@@ -129,11 +133,15 @@ def _ranking(rows: DataFrame) -> np.ndarray:
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes the files below ``path`` (any file system that pyarrow opens) and returns
-    (file, start, documents, ids, bytes), one row per file."""
+def _files(path: str):
+    """(file system, folder) of a path for the tasks that write: s3a and s3n are S3 to pyarrow."""
     from pyarrow import fs as pafs
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
 
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files below ``path`` (local, hdfs, gs, s3 or s3a: file systems that pyarrow writes) and
+    returns (file, start, documents, ids, bytes), one row per file. They are read by Spark alone."""
     rows = _tokenized(docs, tokenizer, end_id)
     id_of = _ranking(rows)
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 0, np.uint32)
@@ -141,7 +149,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fil
     base, before = {}, 0
     for r in rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row per partition
         base[r["part"]], before = before, before + r["n"]
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = _files(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/ranks.bin") as f:
         f.write(id_of.astype("<u4").tobytes())
@@ -149,7 +157,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, starts = held.value
-        files, top = pafs.FileSystem.from_uri(path)
+        files, top = _files(path)
         doc_ids, sizes, ids, start, end, part = [], [], [], 0, 0, None
 
         def close() -> pa.RecordBatch:
@@ -183,11 +191,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fil
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files below ``path``, ids as
     little-endian uint32 bytes."""
-    from pyarrow import fs as pafs
-
-    files, root = pafs.FileSystem.from_uri(path)
-    with files.open_input_stream(f"{root}/ranks.bin") as f:
-        held = spark.sparkContext.broadcast(np.frombuffer(f.read(), "<u4"))  # a row per vocabulary entry
+    ranks = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/ranks.bin").select("content").head()["content"]
+    held = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks), "<u4"))  # a number per vocabulary entry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -505,7 +505,7 @@ def test_pipeline_stages_against_plain_python(spark, docs):
     for r in rows[0].values():
         lines.update({(r.source, key(x)) for x in r.text.split("\n") if key(x)})
     for i, r in rows[0].items():
-        kept = [x for x in r.text.split("\n") if not (key(x) and lines[r.source, key(x)] >= 5 and lines[r.source, key(x)] > 0.1 * pages[r.source])]
+        kept = [x for x in r.text.split("\n") if not (key(x) and lines[r.source, key(x)] >= 2 and lines[r.source, key(x)] > 0.1 * pages[r.source])]
         assert rows[1][i].text == "\n".join(kept)
     ids = sorted(rows[1])
     root = _roots([_fingerprint(rows[1][i].text) for i in ids])
