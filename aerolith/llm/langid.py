@@ -1,21 +1,26 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Training counts all 4-grams of the rows with crc32(doc_id) mod 4 of 0 or 1 on Spark (3
-calibrates, 2 is held out; a language without a row in 0 or 1 is never predicted); the model of each language is
+Training counts all 4-grams of the learning rows on Spark; the model of each language is
 interpolated Kneser-Ney (absolute discount on the 4-gram counts, continuation counts
 below). Models are kept in sorted arrays of 64-bit n-gram hashes, one row of
 log-probabilities per hash with a column per language, so one binary search serves all
 languages. A text gets the language of lowest cross-entropy per character. No 4-gram is
-left out: a model above ``MAX_CELLS`` stays on Spark, where its columns are computed for
-the 4-grams of the scored texts and broadcast in bounded blocks, one after the other.
+left out: of a model above ``MAX_CELLS``, the columns of the commonest 4-grams are broadcast
+and the texts are read once; what a text holds of the others is joined to their columns and
+summed, which is one shuffle of rare 4-grams with no common key in it.
 
-Calibration uses learning rows that were not counted: accuracy by margin (bounded bins,
-made monotone) becomes the score, and the cross-entropies of right predictions give each
-language the limit above which a text is rejected.
+Rows with crc32(doc_id) mod 4 of 2 are held out. A model of the rows of 0 and 1 is
+calibrated on those of 3: accuracy by margin (bounded bins, made monotone) becomes the
+score, and the cross-entropies of right predictions give each language the limit above
+which a text is rejected. The texts are then scored by a model of all three, so a language
+that occurs in any learning row can be predicted.
 
 Letters are lower-cased; a run of other characters is one space. Defined results: a null
 text, or one without a letter, is ``und`` with score 0 and rejected; so is every row if
-nothing could be learned. A null doc_id is never held out and never learned from.
+nothing could be learned. A null doc_id is never held out and never learned from. Of
+languages with equal cross-entropy the first by name is taken; repeated rows count as often
+as they occur; an empty table gives no rows; other columns are not looked at, and
+``accepted`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from pyspark.sql import functions as F
 from aerolith.llm.common import pieces, rows_of, staged
 
 ORDER = 4
-#: Bound of a broadcast: log-probabilities (4-grams x languages). A larger model is scored
-#: in several blocks, with the same results.
+#: Bound of a broadcast: log-probabilities (4-grams x languages). Of a larger model the commonest
+#: are broadcast and the others joined, with the same results.
 MAX_CELLS = 8_000_000
 BINS = 64
 #: Calibration rows that a margin bin gathers before it stands for itself.
@@ -229,7 +234,11 @@ class CountedModel:
 
 def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model | CountedModel | None:
     """The model of all rows (text, lang) and all their 4-grams; None if there is nothing to learn."""
-    counts = staged(count_grams(rows), "lang-counts")
+    return learned(staged(count_grams(rows), "lang-counts"), max_cells)
+
+
+def learned(counts: DataFrame, max_cells: int = MAX_CELLS) -> Model | CountedModel | None:
+    """The model of counts (lang, gram, n)."""
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row per language
     if not langs:
         return None
@@ -320,7 +329,7 @@ def score(docs: DataFrame, model: Model | CountedModel, *keep: str) -> DataFrame
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     schema += "lang_pred string, xent double, margin double, n bigint"
     if isinstance(model, CountedModel):
-        return _score_in_blocks(docs, model, keep, schema)
+        return _score_counted(docs, model, keep, schema)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,29 +348,45 @@ def score(docs: DataFrame, model: Model | CountedModel, *keep: str) -> DataFrame
     return docs.select("text", *keep).mapInArrow(run, schema)
 
 
-def _score_in_blocks(docs: DataFrame, model: CountedModel, keep: tuple[str, ...], schema: str) -> DataFrame:
-    """``score`` by one pass over the texts for each block of 4-grams (by hash): a pass sums
-    what its block holds of each text, and the passes' sums are added. Equal texts are one."""
+def _common(counts: DataFrame, most: int) -> Column:
+    """Whether a 4-gram seen ``n`` times is one of the commonest, of which there are at most ``most``."""
+    size = F.floor(F.log2("n")).cast("int")
+    classes = (counts.groupBy("gram").agg(F.sum("n").alias("n")).groupBy(size.alias("size"))
+               .agg(F.count(F.lit(1)).alias("grams")).orderBy(F.col("size").desc()).collect())  # a row per power of two
+    held, least = 0, 64
+    for r in classes:
+        held += r["grams"]
+        if held > most:
+            break
+        least = r["size"]
+    return size >= least
+
+
+def _score_counted(docs: DataFrame, model: CountedModel, keep: tuple[str, ...], schema: str) -> DataFrame:
+    """``score`` by one pass over the texts: a text's sum over the commonest 4-grams, and its other
+    4-grams with their numbers, whose columns are joined and added. Equal texts are one."""
     spark, langs = docs.sparkSession, model.langs
     wanted = staged(_distinct_grams(docs), "lang-grams")
-    blocks = max(1, -(-wanted.count() * len(langs) // model.max_cells))
-    columns = staged(gram_columns(model, wanted).withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)).cast("int"))
-                     .repartition("block").sortWithinPartitions("block"), "lang-blocks")
+    seen = model.counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    common = F.coalesce(_common(model.counts, model.max_cells // len(langs)), F.lit(False))
+    columns = staged(gram_columns(model, wanted).join(seen, "gram", "left").select("gram", "logp", common.alias("common")), "lang-columns")
+    found = columns.where("common").select("gram", "logp").toArrow()  # bounded by max_cells
+    key = found.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    logp = found.column("logp").combine_chunks()
+    logp = (logp.combine_chunks() if isinstance(logp, pa.ChunkedArray) else logp).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    held = spark.sparkContext.broadcast((key[order], logp[order]))
     named = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"), "text", *keep)
-    passes = None
-    for k in range(blocks):
-        found = columns.where(F.col("block") == k).select("gram", "logp").toArrow()  # bounded by max_cells
-        key = found.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        logp = found.column("logp").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
-        held = spark.sparkContext.broadcast((key[order], logp[order]))
-        part = staged(named.select("same", "text").mapInArrow(
-            _block_pass(held, len(langs)), "same string, no_letter boolean, n bigint, total array<double>")
-            .groupBy("same").agg(*[F.max(c).alias(c) for c in ("no_letter", "n", "total")]), "lang-pass")
-        held.destroy()
-        passes = part if passes is None else passes.union(part)
-    sums = (passes.groupBy("same").agg(F.max("no_letter").alias("no_letter"), F.max("n").alias("n"),
-                                       F.array(*[F.sum(F.get("total", F.lit(j))) for j in range(len(langs))]).alias("total")))
+    parts = staged(named.select("same", "text").groupBy("same").agg(F.first("text").alias("text")).mapInArrow(
+        _text_pass(held, len(langs)), "same string, gram bigint, n bigint, no_letter boolean, total array<double>"), "lang-parts")
+    own = parts.where("gram IS NULL").select("same", "n", "no_letter", "total")
+    rare = (parts.where("gram IS NOT NULL").select("same", "gram", F.col("n").alias("times"))
+            .join(columns.where("NOT common").select("gram", "logp"), "gram")
+            .select("same", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("no_letter"),
+                    F.transform("logp", lambda p: -p.cast("double") * F.col("times")).alias("total")))
+    sums = (own.union(rare).groupBy("same").agg(
+        F.max("no_letter").alias("no_letter"), F.max("n").alias("n"),
+        F.array(*[F.sum(F.get("total", F.lit(j))) for j in range(len(langs))]).alias("total")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,24 +399,36 @@ def _score_in_blocks(docs: DataFrame, model: CountedModel, keep: tuple[str, ...]
             .select(*keep, "no_letter", "n", "total").mapInArrow(finish, schema))
 
 
-def _block_pass(held, n_langs: int):
-    """Task: (same, no_letter, n, total), the -log p by language of the 4-grams in the block."""
+def _text_pass(held, n_langs: int):
+    """Task: for each text a row without a gram, with its characters and the -log p by language of its
+    common 4-grams, and a row for each other 4-gram with its number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, logp = held.value
         step = max((1 << 23) // n_langs, 1)
+        names = ["same", "gram", "n", "no_letter", "total"]
         for b in pieces(batches, "text", 1 << 20):
             codes, bounds = encode(b.column("text").to_pylist())
             key, owner = grams(codes, bounds)
             total = np.zeros((b.num_rows, n_langs))
             for lo in range(0, len(key), step):
                 at = _lookup(table, key[lo:lo + step])
-                at, own = at[at >= 0], owner[lo:lo + step][at >= 0]
+                own = owner[lo:lo + step]
+                inside, at = own[at >= 0], at[at >= 0]
                 if len(at):
-                    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    total[own[cut]] -= np.add.reduceat(logp[at], cut, axis=0, dtype=np.float64)
+                    cut = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
+                    total[inside[cut]] -= np.add.reduceat(logp[at], cut, axis=0, dtype=np.float64)
+            size = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column("same"), pa.nulls(size, pa.int64()), pa.array(np.bincount(owner, minlength=size).astype(np.int64)),
+                 pa.array(_no_letter(codes, bounds)), pa.array(list(total), pa.list_(pa.float64()))], names)
+            rest = _lookup(table, key) < 0
+            order = np.lexsort((key[rest], owner[rest]))
+            k, o = key[rest][order], owner[rest][order]
+            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))) if len(k) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("same"), pa.array(_no_letter(codes, bounds)), pa.array(np.bincount(owner, minlength=b.num_rows).astype(np.int64)),
-                 pa.array(list(total), pa.list_(pa.float64()))], ["same", "no_letter", "n", "total"])
+                [b.column("same").take(pa.array(o[first])), pa.array(k[first].view(np.int64)),
+                 pa.array(np.diff(np.append(first, len(k))).astype(np.int64)), pa.nulls(len(first), pa.bool_()),
+                 pa.nulls(len(first), pa.list_(pa.float64()))], names)
 
     return run
 
@@ -464,21 +501,22 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``identify`` with the row_key that tells equal doc_ids apart.
-
-    Rows with crc32(doc_id) mod 4 of 0 or 1 and a language are counted, those with 3
-    calibrate, those with 2 are held out of both.
-    """
+    """``identify`` with the row_key that tells equal doc_ids apart."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     rows = docs.select("doc_id", "text", "lang", part.cast("int").alias("part"),
                        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
     labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    model = train(labelled.where("part IN (0, 1)"))
+    counts, others = (staged(count_grams(labelled.where(f"part IN {p}")), "lang-counts") for p in ("(0, 1)", "(3)"))
+    every = staged(counts.union(others).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-counts")
     held = F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out")
+    model, first = learned(every), learned(counts)
     if model is None:
         return rows.select("doc_id", held, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), "row_key")
-    scored = staged(score(rows, model, "doc_id", "lang", "part", "row_key"), "lang-scored")
-    cal = calibrate(scored.where("part = 3 AND lang IS NOT NULL"))
+    if first is None:
+        cal = Calibration([0.0], [0.5], {})
+    else:
+        cal = calibrate(staged(score(labelled.where("part = 3"), first, "lang"), "lang-calibration"))
+    scored = staged(score(rows, model, "doc_id", "part", "row_key"), "lang-scored")
     out = scored.withColumn("score", F.when(F.col("lang_pred") == UND, F.lit(0.0)).otherwise(cal.score()))
     return out.select("doc_id", held, "lang_pred", "score", cal.rejected().alias("rejected"), "row_key")
 

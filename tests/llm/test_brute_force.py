@@ -426,13 +426,14 @@ def test_held_out_accuracy_and_long_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_blocks_score_as_the_whole_model(spark):
+@pytest.mark.parametrize("cells", [12_000, 40])
+def test_a_counted_model_scores_as_the_whole_one(spark, cells):
     """A model over the bound keeps every 4-gram and language, a rare one of single counts too."""
     rows = table(spark, SF, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     odd = [(-1, "Ljubav zmaja grozdje", "rare"), (-2, "zmaja Ljubav", None), (-3, "", None), (-4, None, None), (-5, "日本語 ж", None), (-5, "日本語 ж", None)]
     rows = rows.limit(150).union(spark.createDataFrame(odd, rows.schema))
     learned = rows.where("lang IS NOT NULL")
-    whole, part = langid.train(learned), langid.train(learned, max_cells=12_000)
+    whole, part = langid.train(learned), langid.train(learned, max_cells=cells)
     assert part.langs == whole.langs and "rare" in part.langs
     want, got = ([tuple(r) for r in langid.score(rows, m, "doc_id").orderBy("doc_id").collect()] for m in (whole, part))
     assert len(got) == len(want) == rows.count()
@@ -442,6 +443,58 @@ def test_blocks_score_as_the_whole_model(spark):
     assert {g[1] for g in got if g[0] in (-1, -2)} == {"rare"}
 
 
+def test_model_against_a_plain_kneser_ney(spark):
+    """Cross-entropies by dictionaries of strings, from the definition."""
+    texts = {"x": ["the cat sat on the mat", "that hat, the cat's"], "y": ["der hund und die katze", "das haus der katze"], "z": ["a"]}
+    probe = ["the cat", "die katze sat", "zzz qq", "a", "hat der hund"]
+    rows = [(k, t, lang) for lang, own in texts.items() for k, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    norm = lambda t: " " + re.sub(r"[^a-z]+", " ", t.lower()).lstrip(" ")
+    pad = lambda t: "\0\0" + norm(t)
+    four = lambda t: [pad(t)[i:i + 4] for i in range(len(pad(t)) - 3)]
+
+    def discount(c):
+        one, two = (sum(v == n for v in c.values()) for n in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.9) if one else 0.5
+
+    levels = {}
+    for lang, own in texts.items():
+        c = {4: Counter(g for t in own for g in four(t))}
+        for o in (3, 2, 1):
+            c[o] = Counter(g[1:] for g in c[o + 1])
+        levels[lang] = c
+    n_chars = len({g for c in levels.values() for g in c[1]}) + 1
+
+    def prob(lang, gram):
+        c = levels[lang][len(gram)]
+        d = discount(c)
+        if len(gram) == 1:
+            total = sum(c.values())
+            return d * len(c) / total / n_chars + (c[gram] - d) / total * (gram in c)
+        follow = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        total = sum(follow.values())
+        if not total:
+            return prob(lang, gram[1:])
+        return d * len(follow) / total * prob(lang, gram[1:]) + (c[gram] - d) / total * (gram in c)
+
+    model = langid.train(df)
+    assert model.langs == sorted(texts)
+    key, owner = langid.grams(*langid.encode(probe))
+    got = model.cross_entropy(key, owner, len(probe))[0]
+    want = np.array([[-sum(np.log(prob(lang, g)) for g in four(t)) for lang in model.langs] for t in probe])
+    assert np.allclose(got, want, rtol=1e-4), (got, want)
+
+
+def test_a_language_of_calibration_rows_only_is_learned(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    rest = [k for k in range(10**6, 10**6 + 400) if zlib.crc32(str(k).encode()) % 4 == 3][:30]
+    asked = [k for k in range(10**6, 10**6 + 400) if zlib.crc32(str(k).encode()) % 4 == 2][:5]
+    say = lambda k: f"ljubav zmaja grozdje cvijet zvijezda nebo {k} more ljeto zima proljece jesen kisa " * 4
+    more = [(k, say(k), "rare") for k in rest] + [(k, say(k), "rare") for k in asked]
+    got = langid.identify(docs.union(spark.createDataFrame(more, docs.schema))).where("doc_id >= 1000000").collect()
+    assert {r.lang_pred for r in got} == {"rare"} and sum(r.held_out for r in got) == len(asked)
+
+
 def test_foreign_script_is_rejected(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select(*DOCUMENT_COLUMNS)
     rnd = random.Random(8)
