@@ -260,17 +260,16 @@ def numeric_profile(df: DataFrame, cols: list[str], method: str = "exact") -> Da
     Quartiles are interpolated like pandas; ``method`` picks the quantile
     strategy (see ``quantiles``)."""
     probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
-    rows = df.select(F.lit(0).alias("_all"), *cols)
+    rows = df.select(F.lit(0).alias(QN.ALL), *cols)
     if method == "exact":
-        s = QN.select(rows, cols, ["_all"], probs, _MOMENTS)
+        s = QN.select(rows, cols, [QN.ALL], probs, _MOMENTS)
         table = s.stats
         quartile = F.map_from_entries(F.collect_list(F.struct(F.col("_j") * len(probs) + F.col("_i"), "_q")))  # three a column
-        found = s.quantiles.groupBy("_all").agg(quartile.alias("_quartiles"))
-        table = table.join(found, "_all", "left")
+        table = table.withColumn("_quartiles", s.quantiles.select(quartile).scalar())  # one small row
         at = lambda j, i: F.try_element_at("_quartiles", F.lit(j * len(probs) + i))
     else:
-        x = rows.select("_all", *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
-        table = x.groupBy("_all").agg(*[a for j in range(len(cols)) for a in (
+        x = rows.select(QN.ALL, *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
+        table = x.groupBy(QN.ALL).agg(*[a for j in range(len(cols)) for a in (
             F.count(f"_v{j}").alias(f"_n{j}"), QN.quantile_aggregate(F.col(f"_v{j}"), probs, method).alias(f"_q{j}"),
             *[f(f"_v{j}").alias(f"{name}{j}") for name, f in _MOMENTS.items()])])
         at = lambda j, i: F.col(f"_q{j}")[i]

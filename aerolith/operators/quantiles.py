@@ -37,6 +37,8 @@ from aerolith.session import SMALL_ROWS, written_once
 
 DEFAULT_ACCURACY = 1_000_000
 DEFAULT_MARGIN = 4.0
+#: A constant column of this name makes all rows one group.
+ALL = "_all"
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
@@ -73,10 +75,18 @@ def select(df: DataFrame, values: list[str], by: list[str], probs: list[float],
     small = stats.count() <= SMALL_ROWS
     bounds = stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for j in range(m) for c in (f"_n{j}", f"_a{j}")])
     bounds = F.broadcast(bounds) if small else bounds
+    only = bounds.head() if by == [ALL] else None
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        """``rows`` with the brackets of their group; those of the one group of all rows are literals."""
+        if by == [ALL]:
+            held = only.asDict() if only else {}
+            return rows.withColumns({c: F.lit(held.get(c)).cast(dict(bounds.dtypes)[c]) for c in bounds.columns if c != f"_k_{ALL}"})
+        return rows.join(bounds, _null_safe_on(rows, bounds, by, "_k_"), "inner")
 
     # 2. one pass: a value inside a bracket is its own bucket; what lies below is counted.
     # As SQL text: hundreds of small expressions are slow to build one call at a time
-    near = d.join(bounds, _null_safe_on(d, bounds, by, "_k_"), "inner")
+    near = bounded(d)
     lo, hi = (lambda j, i: f"_a{j}[{i}]"), (lambda j, i: f"_a{j}[{k + i}]")
     inside = lambda x, j, i: f"{x} BETWEEN {lo(j, i)} AND {hi(j, i)}"
     bucket = [F.expr(f"CASE WHEN {' OR '.join(inside(f'_v{j}', j, i) for i in range(k))} THEN _v{j} END").alias(f"_b{j}") for j in range(m)]
@@ -86,7 +96,7 @@ def select(df: DataFrame, values: list[str], by: list[str], probs: list[float],
     part = near.groupBy(*by, *bucket).agg(F.count(F.lit(1)).alias("_c"), *counters)
 
     # 3. these few rows by (group, column, rank): below, each value inside, above
-    few = part.join(bounds, _null_safe_on(part, bounds, by, "_k_"), "inner")
+    few = bounded(part)
     entry = lambda j, i, cls, b="null", c="0L", mx="null", mn="null": (
         f"named_struct('_j', {j}, '_i', {i}, '_cls', {cls}, '_n', _n{j}, '_b', CAST({b} AS DOUBLE), '_c', {c}, "
         f"'_mx', CAST({mx} AS DOUBLE), '_mn', CAST({mn} AS DOUBLE))")
@@ -135,9 +145,9 @@ def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: list[floa
                       accuracy: int = DEFAULT_ACCURACY, margin: float = DEFAULT_MARGIN) -> tuple[DataFrame, bool]:
     """(``exact_quantiles``, whether its rows were counted as few enough to broadcast)."""
     names = names or [f"q{i}" for i in range(len(probs))]
-    own = by or ["_all"]  # one global group: a constant key keeps every step an equi-join
+    own = by or [ALL]
     rows = df.where(F.col(value).isNotNull())
-    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    rows = rows if by else rows.withColumn(ALL, F.lit(0))
     s = select(rows, [value], own, probs, accuracy=accuracy, margin=margin)
     out = s.quantiles.groupBy(*own).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
     return out.select(*by, *names), s.small

@@ -55,20 +55,21 @@ def main() -> None:
              "TOP = TakeOrderedAndProject. No query has a Python node, a cartesian product or a "
              "nested-loop join.", "",
              "Reading the table:", "",
-             "- Joins with a dimension are planned as shuffle joins and turned into broadcasts by AQE "
-             "after the small side was measured. Bounds and batch keys are written and counted first "
+             "- Joins with a dimension become broadcasts by AQE after the small side was measured, or by "
+             "the planner where a written table's size is known. Bounds and batch keys are written and counted first "
              "and broadcast if small; such steps run before the plan shown here, so their own scans "
              "of the fact are not in it (one for the bounds, one for the sketch of a quantile).",
              "- `scans` counts the Parquet scans in the plan shown, per table.",
-             "- `max_by`/`min_by` over struct payloads (latest per key, pandas-style first/last, "
-             "dedupe on key) run as SortAggregate: their buffers are not fixed-width, so Spark "
-             "aggregates sorted runs. They are still partial before the exchange, so a hot key "
-             "leaves each map task as one row; the per-task sort spills like any sort.",
+             "- Latest per key runs in two steps before the plan shown: newest times by a hash aggregation, "
+             "then the rows at those times (`newest-rows`), which the SortAggregate shown here settles. "
+             "First and last values hash, by orders of a fixed width. Dedupe on key still carries whole "
+             "rows through a SortAggregate; it is partial before the exchange, so a hot key leaves each "
+             "map task as one row.",
              "- WGL pairs (partial + final WindowGroupLimit) show `row_number() <= n` limited "
              "before and after the shuffle.",
              "- The quantile queries (iqr_bounds, outliers_iqr, numeric_profile, *_distribution) "
-             "carry the distributed exact selection: sketch aggregate (ObjAgg), bracket pass, and a "
-             "window over bracket buckets only.", "",
+             "carry the distributed exact selection: sketch aggregate (ObjAgg, before the plan shown), one pass "
+             "of counters around the brackets, and a window over bracket buckets only.", "",
              "| query | shuffles | BHJ | SMJ | HashAgg | ObjAgg | SortAgg | WGL | Window | Sort | TOP | Expand | scans | pushed filters |",
              "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
     bad = []
