@@ -24,15 +24,20 @@ from aerolith.operators import quantiles as QN
 from aerolith.session import written_once
 
 
-def first_non_null(df: DataFrame, x: str, *order: str) -> Column:
-    """pandas ``first`` (T9): value of the earliest row where ``x`` is not null. By an order of a fixed
-    width, so that numbers are aggregated by hash; ``coded`` makes a text a number."""
-    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), W.order_key(df, list(order))))
+def first_non_null(x: str, *order: str) -> Column:
+    """pandas ``first`` (T9): value of the earliest row where ``x`` is not null."""
+    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(*[F.col(o) for o in order])))
 
 
-def last_non_null(df: DataFrame, x: str, *order: str) -> Column:
+def last_non_null(x: str, *order: str) -> Column:
     """pandas ``last`` (T9): value of the latest row where ``x`` is not null."""
-    return F.max_by(F.col(x), F.when(F.col(x).isNotNull(), W.order_key(df, list(order))))
+    return F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(*[F.col(o) for o in order])))
+
+
+def first_hashed(df: DataFrame, x: str, *order: str) -> Column:
+    """``first_non_null`` of a column of ``df`` by an order of a fixed width where there is one, so that
+    numbers are aggregated by hash; ``coded`` makes a text a number."""
+    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), W.order_key(df, list(order))))
 
 
 #: Different texts up to which a column is aggregated by their numbers.
@@ -197,7 +202,7 @@ def hourly(m: DataFrame) -> DataFrame:
     """O-A12 hourly mean/min/max/std/count(value)/mean score and the first
     non-null latitude, longitude, unit in time order (tie on id)."""
     h, text = coded(m.withColumn("hour", X.floor_hour("measurement_time")), "unit")
-    first = lambda x: first_non_null(h, x, "measurement_time", "id").alias(x)
+    first = lambda x: first_hashed(h, x, "measurement_time", "id").alias(x)
     return (h.groupBy("location_id", "parameter", "hour")
             .agg(F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
                  F.max("value").alias("max_value"), F.stddev_samp("value").alias("std_value"),
@@ -336,4 +341,4 @@ def first_unit(df: DataFrame, by: list[str], unit: str = "units",
                order: tuple[str, ...] = ("datetime",)) -> DataFrame:
     """O-A29 first non-null unit of each series."""
     rows, text = coded(df, unit)
-    return rows.groupBy(*by).agg(first_non_null(rows, unit, *order).alias(unit)).withColumn(unit, text(F.col(unit)))
+    return rows.groupBy(*by).agg(first_hashed(rows, unit, *order).alias(unit)).withColumn(unit, text(F.col(unit)))
