@@ -33,13 +33,17 @@ def duplicate_count(df: DataFrame, keys: list[str]) -> DataFrame:
 def stale_locations(df: DataFrame, location: str = "location", time_col: str = "datetime",
                     hours: int = fixed.QUALITY_STALE_HOURS) -> DataFrame:
     """O-A17 locations whose newest reading is strictly older than the
-    overall newest minus ``hours``. Null locations are dropped (T8); the
-    overall newest is a scalar subquery (one value, no join)."""
-    newest = df.select(F.max(time_col)).scalar()
-    per_loc = (df.where(F.col(location).isNotNull()).groupBy(location)
-                 .agg(F.max(time_col).alias("_last")))
-    return per_loc.agg(F.count(F.when(F.col("_last") < X.minus_hours(newest, hours), F.lit(1)))
-                       .alias("stale_locations"))
+    overall newest minus ``hours``. Null locations are dropped (T8), but count
+    for the overall newest. One scan of ``df``: a row per location is written,
+    and both the bound (a scalar subquery) and the count come from it."""
+    return _stale(written_once(df.groupBy(location).agg(F.max(time_col).alias("_last")), "newest-per-location"), location, "_last", hours)
+
+
+def _stale(per: DataFrame, location: str, last: str, hours: int) -> DataFrame:
+    """``stale_locations`` from a written row per location, the null one among them."""
+    newest = per.select(F.max(last)).scalar()
+    return per.where(F.col(location).isNotNull()).agg(
+        F.count(F.when(F.col(last) < X.minus_hours(newest, hours), F.lit(1))).alias("stale_locations"))
 
 
 def quality_profile(raw: DataFrame, keys: list[str] | None = None,
@@ -54,7 +58,7 @@ def quality_profile(raw: DataFrame, keys: list[str] | None = None,
     per = written_once(r.groupBy(location).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value").isNull(), F.lit(1))).alias("missing"),
         F.count(F.when(F.col("value") < 0, F.lit(1))).alias("negative"), F.max("datetime").alias("datetime")), "profile")
-    stale = stale_locations(per, location, "datetime", hours).scalar()
+    stale = _stale(per, location, "datetime", hours).scalar()
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     base = per.agg(total("n").alias("total_records"), total("missing").alias("missing_values"),
                    total("negative").alias("negative_values"), F.max("datetime").alias("latest_reading"))

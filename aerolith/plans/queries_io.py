@@ -494,6 +494,19 @@ def q_gen1_views(spark, d):
     return spark.table(names[1])
 
 
+@register("gen1_views_all", oracle("""
+SELECT 'valid' AS view, location_id, parameter, COUNT(*) AS n, ROUND(SUM(value), 6) AS total FROM raw_aq WHERE value >= 0 GROUP BY location_id, parameter
+UNION ALL SELECT 'daily', location_id, parameter, COUNT(*), ROUND(SUM(average_value), 6)
+FROM (SELECT location_id, parameter, AVG(value) AS average_value FROM raw_aq WHERE value >= 0
+      GROUP BY location_id, location, CAST(datetime AS DATE), lat, lon, parameter, units) d GROUP BY location_id, parameter"""))
+def q_gen1_views_all(spark, d):
+    """O-C2: the two views beside the pivot, read by their registered names."""
+    names = C.register_views(spark, C.presentation_gen1(R(spark, d)))
+    sums = lambda kind, name, value: rounded(spark.table(name).groupBy("location_id", "parameter").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")), "total").select(F.lit(kind).alias("view"), "location_id", "parameter", "n", "total")
+    return sums("valid", names[0], "value").unionByName(sums("daily", names[2], "average_value"))
+
+
 @register("initialized_tables", oracle("""
 SELECT 'raw.air_quality' AS name, COUNT(*) AS n_rows, CAST(SUM(location_id) AS BIGINT) AS locations, ROUND(SUM(value), 6) AS total FROM raw_aq
 UNION ALL SELECT 'raw.measurements', COUNT(*), CAST(SUM(location_id) AS BIGINT), ROUND(SUM(value), 6) FROM measurements
