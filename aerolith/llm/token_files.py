@@ -191,8 +191,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fil
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files below ``path``, ids as
     little-endian uint32 bytes."""
-    ranks = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/ranks.bin").select("content").head()["content"]
-    held = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks), "<u4"))  # a number per vocabulary entry
+    ranks = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/ranks.bin").select("content").head()
+    # a number per vocabulary entry; Spark has no row for the empty file of an empty table
+    held = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks["content"]) if ranks else b"", "<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
