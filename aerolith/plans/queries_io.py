@@ -89,7 +89,7 @@ def land_bad_lines(raw: DataFrame, base: str) -> None:
         F.col("locationid").cast("string").alias("location_id"), "k.sensors_id", F.lit("here").alias("location"), "k.datetime",
         F.lit("1.5").alias("lat"), F.lit("2.5").alias("lon"), F.lit("pm10").alias("parameter"), F.lit("ug/m3").alias("units"),
         F.lit("3.5").alias("value"), "locationid", "year", "month")
-    lines.write.mode("append").partitionBy("locationid", "year", "month").option("header", True).csv(base)
+    SA.write_folders(lines, base, "append")
 
 
 @register("archive_ledger", oracle("""

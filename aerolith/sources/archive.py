@@ -11,14 +11,20 @@ task; ``min_partitions`` spreads a scan of few large files after the read.
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith import schemas
 from aerolith.functions import scalars as X
-from aerolith.session import written_once
+from aerolith.session import path_exists, qualified, written_once
 
 ARCHIVE_READ_SCHEMA = T.StructType(schemas.ARCHIVE_CSV.fields + schemas.ARCHIVE_PARTITIONS.fields)
 
@@ -70,7 +76,8 @@ def tagged_lines(spark: SparkSession, base: str, location_ids=None, start: str |
                  end: str | None = None) -> DataFrame:
     """O-S1 + O-K1: every line of the selected partitions as a ``raw.air_quality`` row with its
     ``line_status``. A line with an empty time is a row with a null time, as the table allows it; a line
-    that does not parse has its text in ``_corrupt_record``. One parse of each file serves rows and counts."""
+    that does not parse, or whose time does not, has that text in ``_corrupt_record``. One parse of each
+    file serves rows, counts and rejects."""
     df, asked = _archive_lines(spark, base), F.lit(True)
     if start is not None and end is not None:
         df, asked = _select(df, location_ids, start, end)
@@ -79,7 +86,14 @@ def tagged_lines(spark: SparkSession, base: str, location_ids=None, start: str |
     no_time = F.coalesce(F.col("datetime"), F.lit("")) == ""
     status = (F.when(~asked, F.lit(OUTSIDE)).when(_unparsable(), F.lit(UNPARSABLE))
               .when(no_time, F.lit(WITHOUT_TIME)).otherwise(F.lit(STORED)))
-    return to_raw_rows(df.withColumn("line_status", status), keep=("line_status", CORRUPT))
+    df = df.withColumn("line_status", status)
+    text = F.when(F.col("line_status") == UNPARSABLE, F.coalesce(CORRUPT, "datetime")).otherwise(F.col(CORRUPT))
+    return to_raw_rows(df.withColumn(CORRUPT, text), keep=("line_status", CORRUPT))
+
+
+def rejected_lines(tagged: DataFrame) -> DataFrame:
+    """What ``corrupt_lines`` gives, of lines that are tagged already."""
+    return tagged.where(F.col("line_status") == UNPARSABLE).select("locationid", "year", "month", CORRUPT)
 
 
 def line_ledger(tagged: DataFrame) -> DataFrame:
@@ -123,7 +137,9 @@ def _select(df: DataFrame, location_ids: DataFrame | list[int] | None, start: st
         if ids.count() > MAX_IN_IDS:
             return out.join(ids, F.col("locationid") == F.col("_asked"), "left"), F.col("_asked").isNotNull()
         location_ids = [r["_asked"] for r in ids.collect()]
-    return out.where(F.col("locationid").isin([int(i) for i in location_ids])), F.lit(True)
+    known = [str(int(i)) for i in location_ids]
+    # as one text: a literal column each would cost the driver a call into the JVM for every id
+    return out.where(F.expr(f"locationid IN ({', '.join(known)})") if known else F.lit(False)), F.lit(True)
 
 
 def to_raw_rows(df: DataFrame, now=None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -189,7 +205,74 @@ def write_archive(df: DataFrame, base: str, mode: str = "overwrite") -> None:
         "location_id", "sensors_id", "location",
         F.date_format(F.col("datetime").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("datetime"),
         "lat", "lon", "parameter", "units", "value", "locationid", "year", "month")
+    write_folders(out, base, mode, "gzip")
+
+
+FOLDERS = ("locationid", "year", "month")
+
+
+def write_folders(df: DataFrame, base: str, mode: str, compression: str | None = None) -> None:
+    """``df`` as CSV with a header in folders ``locationid=/year=/month=``. Spark makes the lines and
+    deals them; the tasks put those of a folder into its file with pyarrow, where Spark's committer would
+    rename every folder on the driver, and Hadoop's local files start a process for each file and its
+    checksum. A file appears whole, under its name, and ``_SUCCESS`` after the last. File systems that
+    pyarrow does not write are left to Spark's writer."""
+    if mode == "ignore" and path_exists(df.sparkSession, base):
+        return
+    columns = [c for c in df.columns if c not in FOLDERS]
+    plain = lambda rows, how: (rows.write.mode(how).partitionBy(*FOLDERS).option("header", True)
+                               .option("compression", compression or "none"))
+    root = qualified(df.sparkSession, base)
+
+    def open_root(path: str):
+        """(file system, folder): s3a and s3n are S3 to pyarrow."""
+        from pyarrow import fs
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+    try:
+        open_root(root)
+    except (ValueError, NotImplementedError, OSError):
+        plain(df.hint("rebalance", *FOLDERS), mode).csv(base)
+        return
+    none = df.limit(0)
+    plain(none, mode).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(base)  # as the mode has it
+    header, run_id, end = ",".join(columns) + "\n", uuid.uuid4().hex[:12], ".csv.gz" if compression else ".csv"
+
+    folders = FOLDERS
+    escaped = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what it needs travels with it: workers need not have this package
+        files, top = open_root(root)
+        name = f"part-{TaskContext.get().partitionId():05d}-{run_id}{end}"
+        now = out = own = to = None
+
+        def named(value) -> str:
+            """A partition value as Spark names it in a folder."""
+            return escaped.sub(lambda c: f"%{ord(c[0]):02X}", str(value)) if value not in (None, "") else "__HIVE_DEFAULT_PARTITION__"
+
+        def close() -> None:
+            out.close()
+            files.move(f"{to}/{own}", f"{to}/{name}")
+
+        for b in batches:
+            at, lines = list(zip(*(b.column(c).to_pylist() for c in folders), strict=True)), b.column("line").to_pylist()
+            for values, group in groupby(range(len(lines)), at.__getitem__):
+                if values != now:
+                    if out is not None:
+                        close()
+                    now, own = values, f"_{name}-{uuid.uuid4().hex}"
+                    to = f"{top}/" + "/".join(f"{k}={named(v)}" for k, v in zip(folders, values, strict=True))
+                    files.create_dir(to, recursive=True)
+                    out = files.open_output_stream(f"{to}/{own}", compression=compression)
+                    out.write(header.encode())
+                out.write("".join(f"{lines[i]}\n" for i in group).encode())
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    lines = df.select(F.to_csv(F.struct(*columns)).alias("line"), *FOLDERS)
     # rebalance: AQE splits a hot partition over several tasks and merges small ones
-    (out.hint("rebalance", "locationid", "year", "month").write.mode(mode)
-        .partitionBy("locationid", "year", "month")
-        .option("header", True).option("compression", "gzip").csv(base))
+    dealt = lines.hint("rebalance", *FOLDERS).sortWithinPartitions(*FOLDERS)
+    dealt.mapInArrow(put, "done bigint").agg(F.sum("done")).collect()
+    plain(none, "append").csv(base)  # nothing but _SUCCESS

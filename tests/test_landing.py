@@ -1,5 +1,6 @@
 """Record-level salvage, the line ledger of the archive and the checked location map."""
 
+import gzip
 import json
 
 import pytest
@@ -143,6 +144,51 @@ def test_every_line_is_counted(spark, tmp_path):
     assert {r._corrupt_record for r in spark.read.parquet(aside).collect()} == {"1,two,here,2024-01-01T00:00:00Z,1.0,2.0,pm10,u,3.0", "x,y"}
 
 
+def test_rejects_come_from_the_lines_that_were_read(spark, tmp_path, monkeypatch):
+    base = archive(tmp_path, [GOOD, "1,2,here,yesterday,1.0,2.0,pm10,u,4.0", "x,y"])
+    want = SA.corrupt_lines(spark, base, [1], "2024-01", "2024-01").collect()
+    scans, own = [], SA._archive_lines
+    monkeypatch.setattr(SA, "_archive_lines", lambda *a: scans.append(a) or own(*a))
+    aside = str(tmp_path / "aside")
+    got = C.archive_backfill(spark, base, put_map(tmp_path, '{"1": "here"}'), "2024-01", "2024-01", str(tmp_path / "fact"), rejects_path=aside)
+    assert got["corrupt_lines"] == 2 and len(scans) == 1
+    kept = [tuple(r) for r in spark.read.schema("locationid bigint, year bigint, month string, _corrupt_record string").parquet(aside).collect()]
+    assert sorted(kept) == sorted((int(r[0]), int(r[1]), *r[2:]) for r in want)
+
+
+def test_the_archive_is_written_as_spark_writes_it(spark, tmp_path):
+    rows = [(1, 2, 'a "b", c', "t", 1.5, None, "p", "u", 0.1, 1, 2024, "01"), (None, 2, "", None, 1e-9, 2.0, " p ", "\u00e9", float("nan"), None, 2024, None),
+            (3, 4, "x\\y", "t", 1.0, 2.0, "p", "u", None, 3, 2024, "a/b=c%d[]^{\\ e"), (1, 2, "again", "t", 1.5, 2.5, "p", "u", 3.0, 1, 2024, "01")]
+    df = spark.createDataFrame(rows, "location_id long, sensors_id long, location string, datetime string, lat double, lon double, parameter string, "
+                                     "units string, value double, locationid long, year long, month string")
+    own, plain = tmp_path / "own", tmp_path / "plain"
+    SA.write_folders(df, str(own), "overwrite", "gzip")
+    SA.write_folders(df, str(own), "overwrite", "gzip")  # replaces what is there
+    df.coalesce(1).write.partitionBy(*SA.FOLDERS).option("header", True).option("compression", "gzip").csv(str(plain))
+
+    def held(top):
+        return {str(p.parent.relative_to(top)): sorted(gzip.decompress(p.read_bytes()).decode().splitlines()) for p in top.rglob("part-*.csv.gz")}
+    assert held(own) == held(plain) and len(held(own)) == 3
+    assert (own / "_SUCCESS").exists() and len([p for p in own.rglob("*") if p.is_file() and p.suffix != ".crc"]) == 4
+    assert not [p for p in own.rglob(".part*.crc")]  # a checksum file beside each doubled the files of an archive
+    SA.write_folders(df, str(own), "append")
+    assert len([*own.rglob("part-*.csv")]) == 3 and len(held(own)) == 3
+    SA.write_folders(df, str(own), "ignore")
+    assert len([*own.rglob("part-*.csv")]) == 3
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        SA.write_folders(df, str(own), "errorifexists")
+
+
+def test_ids_of_a_request_are_one_expression(spark, tmp_path, monkeypatch):
+    base = archive(tmp_path, [GOOD])
+    archive(tmp_path, [GOOD, GOOD], "locationid=2/year=2024/month=01")
+    monkeypatch.setattr(SA.F, "lit", lambda x, own=SA.F.lit: own(x) if not isinstance(x, int) or isinstance(x, bool) else pytest.fail("a call for each id"))
+    monkeypatch.setattr(SA.Column, "isin", lambda *a: pytest.fail("a call for each id"))
+    df = SA.read_archive(spark, base, [2, 7], "2024-01", "2024-01")
+    assert df.count() == 2 and len(df.inputFiles()) == 2
+    assert SA.read_archive(spark, base, [], "2024-01", "2024-01").count() == 0
+
+
 def test_lines_outside_a_large_request_are_counted(spark, tmp_path, monkeypatch):
     base = archive(tmp_path, [GOOD])
     archive(tmp_path, [GOOD, GOOD], "locationid=2/year=2024/month=01")
