@@ -287,13 +287,32 @@ def staleness_on_refresh(latest_table: DataFrame, hours: int = fixed.QUALITY_STA
     return Q.stale_locations(latest_table, "location", "measurement_time", hours)
 
 
+def _publish(spark: SparkSession, stage: str, path: str) -> None:
+    """Moves the files of a finished write below ``path``, in the order of their names. Each gets a later
+    modification time than all before it, by a second, which the coarsest file systems tell apart; where
+    times can't be set, a file has that of its move."""
+    files = Files(spark, path)
+    seen = [s.getModificationTime() for s in files.fs.listStatus(files.path(path)) if s.isFile()]
+    last = max(seen, default=0)
+    for name in Files(spark, stage).names(""):
+        if name.startswith("part-"):
+            to = files.path(f"{files.root}/{name}")
+            if not files.fs.rename(files.path(f"{stage}/{name}"), to):
+                raise OSError(f"could not publish {name} below {path}")
+            last = max(last + 1000, files.fs.getFileStatus(to).getModificationTime())
+            files.fs.setTimes(to, last, -1)
+    files.fs.delete(files.path(stage), True)
+
+
 def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
     """Land flat records as JSON lines in ``n_files`` arrivals, oldest first. An
-    arrival has as many files as its size asks for (``rebalance``).
+    arrival has as many files as its size asks for, each a range of its time.
 
-    The file source processes files in modification-time order, so each time
-    slice is written by its own job after the previous one: arrival order is
-    event-time order, as it is for a collector landing files every period."""
+    The file source processes files in modification-time order, and a batch may end
+    within an arrival: so the files of an arrival, too, are published in the order of
+    their times. Arrival order is event-time order file by file, as it is for a
+    collector landing files every period, and no batch is behind the watermark of one
+    before it."""
     out = df.select(*[f.name for f in RECORD_SCHEMA.fields if f.name != "measurement_time"],
                     F.col("measurement_time").alias("_t"),
                     F.date_format(F.col("measurement_time").cast("timestamp"),
@@ -309,5 +328,6 @@ def land_records(df: DataFrame, path: str, n_files: int = 4) -> None:
         cond = F.col("_t") >= F.lit(start)
         if i + 1 < n_files:
             cond = cond & (F.col("_t") < F.lit(lo + step * (i + 1)))
-        out.where(cond).drop("_t").hint("rebalance").write.mode("append").json(path)
-
+        stage = f"{path.rstrip('/')}/_arrival-{uuid.uuid4().hex[:12]}"  # hidden from readers by its name
+        out.where(cond).repartitionByRange("_t").drop("_t").write.json(stage)
+        _publish(out.sparkSession, stage, path)

@@ -205,6 +205,34 @@ def test_a_correction_reads_open_and_late_hours_only(spark, tmp_path):
     assert T.correction_start(spark, out) == dt.datetime(2024, 1, 1, 7)
 
 
+def test_a_batch_may_end_within_an_arrival(spark, tmp_path):
+    """Arrivals of many files, two a batch: no row is behind the watermark, and the hours closed are whole."""
+    from aerolith.operators import aggregates as A
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        T.land_records(AD.scored(spark, SF).drop("quality_score"), src, 3)
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    files = [p for p in (tmp_path / "src").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 8 and len({p.stat().st_mtime_ns // 10**9 for p in files}) == len(files)
+    assert [p.name for p in (tmp_path / "src").iterdir() if p.is_dir()] == []
+    s = P.keep_valid_scored(T.read_record_stream(spark, src, max_files=2))
+    T.run_to_table(T.hourly_stream(s, "1 hour"), out, "append", checkpoint=str(tmp_path / "ck"))
+    table = AD.measurements(spark, SF)
+    last = table.agg(F.max("measurement_time")).first()[0]
+    want = {(r.location_id, r.parameter, r.hour): r["count"] for r in A.hourly(table).collect()
+            if r.hour + dt.timedelta(hours=1) <= last - dt.timedelta(hours=1)}
+    got = spark.read.parquet(out)
+    assert {(r.location_id, r.parameter, r.hour): r["count"] for r in got.collect()} == want
+    since = T.correction_start(spark, out)
+    assert since == (last - dt.timedelta(hours=1)).replace(minute=0, second=0, microsecond=0)
+    assert T.close_hours(got, table, since).count() == A.hourly(table).count()
+
+
 def test_alerts_rule(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
