@@ -64,20 +64,39 @@ def _typed(v: Column, path: str, kind: T.DataType, name: Column) -> tuple[Column
     return value, _issue(name, raw, _present(raw) & value.isNull())
 
 
-def _record(item: Column, index: Column, kind: str) -> Column:
-    """One element of ``results``: its fields, issues, status and, unless accepted, its text."""
-    element = schemas.PAYLOAD_SCHEMAS[kind]["results"].dataType.elementType
-    parts = {f.name: _typed(item, f"$.{f.name}", f.dataType, F.lit(f.name)) for f in element}
-    is_object = F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
-    issues = F.concat(_issue(F.lit(WHOLE_RECORD), item, ~is_object), *[p[1] for p in parts.values()])
+def _issues(v: Column, path: str, kind: T.DataType, name: Column, value: Column) -> list[Column]:
+    """The issues of ``_typed`` where its value is known: the variant is asked again for null values only."""
+    if isinstance(kind, T.ArrayType):
+        return [_typed(v, path, kind, name)[1]]
+    own = _issue(name, F.try_variant_get(v, path, "variant"), value.isNull() & _present(F.try_variant_get(v, path, "variant")))
+    if not isinstance(kind, T.StructType):
+        return [own]
+    inner = [_issues(v, f"{path}.{f.name}", f.dataType, F.concat(name, F.lit(f".{f.name}")), value[f.name]) for f in kind]
+    return [own, *[x for part in inner for x in part]]
+
+
+def _element(kind: str) -> T.StructType:
+    return schemas.PAYLOAD_SCHEMAS[kind]["results"].dataType.elementType
+
+
+def _read(item: Column, index: Column, kind: str) -> Column:
+    """One element of ``results`` with its fields."""
+    return F.struct(index.alias("record"), item.alias("item"), F.try_variant_get(item, "$", "map<string,variant>").isNotNull().alias("is_object"),
+                    F.struct(*[_typed(item, f"$.{f.name}", f.dataType, F.lit(f.name))[0].alias(f.name) for f in _element(kind)]).alias("r"))
+
+
+def _record(x: Column, kind: str) -> Column:
+    """An element that was read, with its issues."""
+    item, is_object = x["item"], x["is_object"]
+    parts = [y for f in _element(kind) for y in _issues(item, f"$.{f.name}", f.dataType, F.lit(f.name), x["r"][f.name])]
+    issues = F.concat(_issue(F.lit(WHOLE_RECORD), item, ~is_object), *parts)
     for path in TIMES.get(kind, ()):  # without its time a record has no place in a table
         text = F.try_variant_get(item, f"$.{path}", "string")
         no_time = is_object & X.parse_utc(text).isNull()
         bad = F.array(F.struct(F.lit(path).alias("field"), text.alias("text")))
         known = F.transform(issues, lambda i: i["field"])
         issues = F.when(no_time & ~F.array_contains(known, path), F.concat(issues, bad)).otherwise(issues)
-    return F.struct(index.alias("record"), F.struct(*[p[0].alias(n) for n, p in parts.items()]).alias("r"),
-                    issues.alias("issues"), F.to_json(item).alias("text"))
+    return F.struct(x["record"].alias("record"), x["r"].alias("r"), issues.alias("issues"), item.alias("item"))
 
 
 def _status(issues: Column, kind: str) -> Column:
@@ -153,10 +172,10 @@ def landing(spark: SparkSession, kind: str, path: str, multiline: bool = True, o
     read = (lines.withColumn("document", F.monotonically_increasing_id()).withColumn("doc", doc)
             .withColumn("items", items)
             .withColumn("reason", F.when(F.col("doc").isNull(), F.lit(NO_JSON)).when(F.col("items").isNull(), F.lit(NO_RESULTS))))
-    found = read.withColumn("found", F.transform("items", lambda x, i: _record(x, i, kind)))
-    judged = F.transform("found", lambda x: F.struct(
+    found = read.withColumn("found", F.transform("items", lambda x, i: _read(x, i, kind)))
+    judged = F.transform(F.transform("found", lambda x: _record(x, kind)), lambda x: F.struct(
         x["record"].alias("record"), x["r"].alias("r"), x["issues"].alias("issues"), _status(x["issues"], kind).alias("status"),
-        F.when(F.size(x["issues"]) > 0, x["text"]).alias("text")))
+        F.when(F.size(x["issues"]) > 0, F.to_json(x["item"])).alias("text")))
     count = lambda s: F.size(F.filter("records", lambda x: x["status"] == s)).cast("bigint").alias(f"n_{s}")
     docs = (found.withColumn("records", F.coalesce(judged, F.array()))
             .select("document", "file_path", "reason", F.when(F.col("reason").isNotNull(), F.col("text")).alias("text"), "records",

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 
@@ -189,6 +190,15 @@ def test_ids_of_a_request_are_one_expression(spark, tmp_path, monkeypatch):
     assert SA.read_archive(spark, base, [], "2024-01", "2024-01").count() == 0
 
 
+def test_records_without_issues_are_not_made_text(spark, tmp_path):
+    """The variant is asked once for a value that is there, and for a record's text where it has issues."""
+    put(tmp_path, "a.json", {"results": [{"locationsId": 1, "sensorsId": 2, "value": 1.5, "datetime": {"utc": "2024-01-01T00:00:00Z"}}]})
+    docs = SP.landing(spark, "latest", str(tmp_path)).documents
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"THEN to_json\(lambda [\w#]+\.item", plan)
+    assert [tuple(r) for r in docs.select("n_accepted", "n_repaired", "n_rejected").collect()] == [(1, 0, 0)]
+
+
 def test_lines_outside_a_large_request_are_counted(spark, tmp_path, monkeypatch):
     base = archive(tmp_path, [GOOD])
     archive(tmp_path, [GOOD, GOOD], "locationid=2/year=2024/month=01")
