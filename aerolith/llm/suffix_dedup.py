@@ -9,8 +9,10 @@ without a global sort:
 1. windows whose anchor occurs once are dropped;
 2. equal windows are counted, and stand for their copies as one;
 3. the different windows of an anchor are gathered in blocks, and each block gets a suffix
-   array with common-prefix lengths. A stack scan yields its prefix intervals of 200 bytes
-   or more; those whose suffixes differ in the byte to the left are the maximal repeats.
+   array with common-prefix lengths, of the suffixes that can begin a maximal repeat: those
+   that share their first 200 bytes with one that has another byte to the left. A stack
+   scan yields its prefix intervals of 200 bytes or more; those whose suffixes differ in
+   the byte to the left are the maximal repeats.
    Each suffix is reported under its deepest maximal interval and each interval under its
    parent, so a repeat's occurrences (its own and those of the intervals below) are all
    there in space linear in the block;
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,7 @@ LEAST, GRAM = 200, 50
 SPAN = LEAST - GRAM + 1  # grams in a string
 CHUNK = 1 << 19          # starts handled at once; positions must fit in 20 bits
 BLOCK_BYTES, BLOCK_WINDOWS = 2 << 20, 6000
+SORT_BYTES = 48 << 20    # suffixes that a block holds as strings of their own
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,10 +70,12 @@ def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
         return out ^ out >> np.uint64(29)
 
 
-def windows(b: np.ndarray, least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """[(first start, starts, anchor hash)] of a text's bytes, covering each start once."""
-    out = []
-    span = least - gram + 1
+def _text_windows(b: np.ndarray, sizes: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, first start in ``b``, starts, anchor hash) of the texts of ``sizes`` bytes that make up
+    ``b``, covering each start of a text once."""
+    span, out = least - gram + 1, [(np.zeros(0, np.int64),) * 4]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(b))  # bytes to the end of the text
     for lo in range(0, max(len(b) - least + 1, 0), CHUNK):
         part = b[lo:lo + CHUNK + least - 1]
         h = _gram_hashes(part, gram)
@@ -82,26 +88,32 @@ def windows(b: np.ndarray, least: int = LEAST, gram: int = GRAM) -> list[tuple[i
         tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         starts = n - span + 1
         anchor = (low - (np.minimum(tail[:starts], head[span - 1:span - 1 + starts]) & low)).astype(np.int64)
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [starts]))
-        out += zip((cut[:-1] + lo).tolist(), np.diff(cut).tolist(), h[anchor[cut[:-1]]].view(np.int64).tolist(), strict=True)
-    return out
+        own, inside = text[lo:lo + starts], left[lo:lo + starts] >= least
+        change = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (inside[1:] != inside[:-1])
+        cut = np.concatenate(([0], np.flatnonzero(change) + 1, [starts]))
+        first, size = cut[:-1], np.diff(cut)
+        first, size = first[inside[first]], size[inside[first]]
+        out.append((own[first], first + lo, size, h[anchor[first]].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def windows(b: np.ndarray, least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """[(first start, starts, anchor hash)] of a text's bytes, covering each start once."""
+    _, first, size, anchor = _text_windows(b, np.array([len(b)]), least, gram)
+    return list(zip(first.tolist(), size.tolist(), anchor.tolist(), strict=True))
 
 
 def _window_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in pieces(batches, "text", 1 << 20):
-            row, at, n, anchor, content = [], [], [], [], []
-            for r, text in enumerate(b.column("text").to_pylist()):
-                raw = text.encode()
-                if len(raw) < LEAST:
-                    continue
-                for s, k, h in windows(np.frombuffer(raw, np.uint8)):
-                    row.append(r), at.append(s), n.append(k), anchor.append(h)
-                    content.append(digest(raw[s:s + k + LEAST - 1]))
-            key = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "row_key", "times")]
+        for b in pieces(batches, "text", CHUNK):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            sizes, raw = np.array([len(x) for x in texts], np.int64), b"".join(texts)
+            row, at, n, anchor = _text_windows(np.frombuffer(raw, np.uint8), sizes)
+            content = [digest(raw[x:y]) for x, y in zip(at.tolist(), (at + n + LEAST - 1).tolist(), strict=True)]
+            key = [b.column(c).take(pa.array(row)) for c in ("doc_id", "row_key", "times")]
             yield pa.RecordBatch.from_arrays(
-                [*key, pa.array(at, pa.int32()), pa.array(n, pa.int16()), pa.array(anchor, pa.int64()),
+                [*key, pa.array((at - (np.cumsum(sizes) - sizes)[row]).astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(anchor),
                  pa.array(np.array(content, np.uint64).view(np.int64))],
                 ["doc_id", "row_key", "times", "at", "n", "anchor", "content"])
 
@@ -126,45 +138,86 @@ def _for_each_row(docs: DataFrame, results: DataFrame, label: str) -> DataFrame:
         docs["doc_id"], *[results[c] for c in results.columns if c not in ("doc_id", "row_key")])
 
 
+def _branching(h: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The members of groups of equal ``h`` in which ``left`` is not one value."""
+    order = np.argsort(h)
+    h, left = h[order], left[order]
+    same = h[1:] == h[:-1]
+    group = np.concatenate(([0], np.cumsum(~same)))
+    mixed = np.zeros(len(h), bool)
+    mixed[group[1:][same & (left[1:] != left[:-1])]] = True
+    out = np.zeros(len(h), bool)
+    out[order] = mixed[group]
+    return out
+
+
+def _doubled(raw: bytes, first: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at ``pos`` by prefix doubling over the whole strings."""
+    ends = np.arange(len(sizes))
+    level = np.full(len(raw) + len(sizes), 256, np.int64)
+    shift = np.repeat(ends, sizes)
+    level[np.arange(len(raw)) + shift] = np.frombuffer(raw, np.uint8)
+    level[first + sizes + ends] += ends  # ends are unique: no prefix goes over one
+    size, most = 1, int(sizes.max(initial=0)) + 1
+    while size < most:
+        nxt = np.zeros(len(level), np.int64)
+        nxt[:-size] = level[size:] + 1
+        level = np.unique(level * (int(nxt.max()) + 1) + nxt, return_inverse=True)[1]
+        size *= 2
+    return np.argsort(level[pos + shift[pos]], kind="stable")
+
+
+def _bytewise(raw: bytes, pos: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The order of the suffixes ``raw[pos:end]`` by comparing them as strings."""
+    suffixes = [raw[x:y] for x, y in zip(pos.tolist(), end.tolist(), strict=True)]
+    return np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+
+
 class Block:
-    """Enhanced suffix array over window strings; suffixes start within the first ``n``."""
+    """Enhanced suffix array over window strings; suffixes start within the first ``n``.
 
-    def __init__(self, strings: list[bytes], least: int = LEAST, copies: list[int] | None = None):
+    Suffixes with equal first ``least`` bytes, by their hash, are left out where the byte to
+    the left is one and the same: no interval of theirs is maximal. So are those that no
+    other one equals, but for whole strings with copies. Up to ``sort_bytes`` of the rest are
+    sorted as strings; more, which would be held as copies, by prefix doubling."""
+
+    def __init__(self, strings: list[bytes], least: int = LEAST, copies: list[int] | None = None, sort_bytes: int = SORT_BYTES):
         sizes = np.array([len(s) for s in strings], np.int64)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        sym = np.empty(int((sizes + 1).sum()), np.int64)
-        for k, (s, at) in enumerate(zip(strings, first, strict=True)):
-            sym[at:at + len(s)] = np.frombuffer(s, np.uint8)
-            sym[at + len(s)] = 256 + k  # ends are unique: no prefix goes over one
-        self.least, self.sym = least, sym
-        level, size, self.levels = sym, 1, []
-        most = int(sizes.max(initial=0)) + 1
-        while size < most:
-            nxt = np.zeros(len(sym), np.int64)
-            nxt[:-size] = level[size:] + 1
-            level = np.unique(level * (int(nxt.max()) + 1) + nxt, return_inverse=True)[1].astype(np.int32).astype(np.int64)
-            size *= 2
-            self.levels.append((size, level.astype(np.int32)))
-        owner = np.repeat(np.arange(len(strings)), np.maximum(sizes - least + 1, 0))
-        begin = np.cumsum(np.maximum(sizes - least + 1, 0)) - np.maximum(sizes - least + 1, 0)
-        offset = np.arange(len(owner)) - begin[owner]
+        first, raw = np.cumsum(sizes) - sizes, b"".join(strings)
+        starts = np.maximum(sizes - least + 1, 0)
+        owner = np.repeat(np.arange(len(strings)), starts)
+        offset = np.arange(len(owner)) - (np.cumsum(starts) - starts)[owner]
         pos = first[owner] + offset
-        order = np.argsort(level[pos], kind="stable")
+        times = np.array(copies if copies is not None else [1] * len(strings), np.int64)
+        before = np.frombuffer(b"\0" + raw, np.uint8)[pos].astype(np.int64)
+        left = np.where(offset > 0, before, -1 - np.arange(len(pos)))
+        kept = (times[owner] > 1) & (offset == 0)
+        if len(pos):
+            kept |= _branching(_gram_hashes(np.frombuffer(raw, np.uint8), least)[pos], left)
+        owner, offset, pos, left = owner[kept], offset[kept], pos[kept], left[kept]
+        end = (first + sizes)[owner]
+        order = _bytewise(raw, pos, end) if int((end - pos).sum()) <= sort_bytes else _doubled(raw, first, sizes, pos)
+        self.least, self.raw = least, raw
         self.owner, self.offset, self.pos = owner[order], offset[order], pos[order]
-        self.left = np.where(self.offset > 0, sym[np.maximum(self.pos - 1, 0)], -1 - np.arange(len(order)))
-        self.lcp = self._lcp()
-        self.copies = np.array(copies if copies is not None else [1] * len(strings), np.int64)[self.owner]
-        self.rest = sizes[self.owner] - self.offset  # bytes of the suffix
+        self.rest = (end - pos)[order]  # bytes of the suffix
+        self.left, self.lcp = left[order], self._lcp()
+        self.copies = times[self.owner]
 
     def _lcp(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it, read off the rank levels."""
-        i, j = self.pos[:-1], self.pos[1:]
-        found = np.zeros(len(i), np.int64)
-        last = len(self.sym) - 1
-        for size, level in reversed(self.levels):
-            found += size * (level[np.minimum(i + found, last)] == level[np.minimum(j + found, last)])
-        found += self.sym[np.minimum(i + found, last)] == self.sym[np.minimum(j + found, last)]
-        return np.concatenate(([0], found))
+        """Common prefix of each suffix with the one before it, eight bytes at a time."""
+        words = np.ndarray((len(self.raw) + 1,), "<u8", self.raw + bytes(8), strides=(1,))
+        most = np.minimum(self.rest[1:], self.rest[:-1])
+        found, live = np.zeros(len(most), np.int64), np.arange(len(most))
+        while len(live):
+            at = found[live]
+            other = words[self.pos[1:][live] + at] ^ words[self.pos[:-1][live] + at]
+            ends = np.flatnonzero(other)
+            for k in range(1, 8):  # the first bytes are the low ones
+                found[live[ends]] += other[ends] << np.uint64(64 - 8 * k) == 0
+            live = live[other == 0]
+            found[live] += 8
+            live = live[found[live] < most[live]]
+        return np.concatenate(([0], np.minimum(found, most)))
 
     def intervals(self) -> Iterator[tuple[int, int, int]]:
         """(common prefix, first rank, last rank) of every interval of ``least`` or more, the
@@ -189,7 +242,7 @@ class Block:
     def repeats(self) -> tuple[list[tuple[int, int, int]], list[int], np.ndarray]:
         """(maximal intervals, parent index of each or -1, deepest one of each suffix or -1)."""
         change = np.concatenate(([0], np.cumsum(self.left[1:] != self.left[:-1])))
-        beside = np.maximum(self.lcp, np.concatenate((self.lcp[1:], [0]))) if len(self.lcp) == len(self.pos) else self.rest
+        beside = np.maximum(self.lcp, np.concatenate((self.lcp[1:], [0]))) if len(self.pos) else self.rest
         # a string with copies repeats as a whole, though it is one suffix
         alone = np.flatnonzero((self.copies > 1) & (self.offset == 0) & (self.rest > beside))
         kept = [(int(self.rest[k]), int(k), int(k)) for k in alone] + [x for x in self.intervals() if change[x[2]] > change[x[1]]]
@@ -201,16 +254,19 @@ class Block:
         return kept, parent, of
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """The union of [start, start + size) as maximal runs."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of [start, start + size) as maximal runs: their starts and their ends."""
     order = np.argsort(starts, kind="stable")
-    out: list[tuple[int, int]] = []
-    for s, e in zip(starts[order].tolist(), (starts + sizes)[order].tolist(), strict=True):
-        if out and s <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], e)
-        else:
-            out.append((s, e))
-    return out
+    s, e = starts[order], np.maximum.accumulate((starts + sizes)[order])
+    apart = s[1:] > e[:-1]
+    return s[np.concatenate((np.ones(min(len(s), 1), bool), apart))], e[np.concatenate((apart, np.ones(min(len(s), 1), bool)))]
+
+
+def _lists(col: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(row of each item, the items' fields) of a column of lists of structs; a null list has none."""
+    sizes = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    items = col.flatten()
+    return np.repeat(np.arange(len(col)), sizes), dict(zip([f.name for f in items.type], items.flatten(), strict=True))
 
 
 _REPEATS = "repeat bigint, parent bigint, length int, n int, anchor bigint, content bigint, offset int"
@@ -313,12 +369,9 @@ def _cut_strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 1 << 20):
-            rows = [(c["anchor"], c["content"], c["copies"], c["hot"], raw[c["at"]:c["at"] + c["n"] + LEAST - 1])
-                    for t, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True)
-                    for raw in [t.encode()] for c in cuts]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+            texts, (row, c) = b.column("text").cast(pa.binary()).to_pylist(), _lists(b.column("cuts"))
+            strings = [texts[r][x:x + n + LEAST - 1] for r, x, n in zip(row.tolist(), c["at"].to_pylist(), c["n"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c["anchor"], c["content"], c["copies"], c["hot"], pa.array(strings, pa.binary())],
                                              ["anchor", "content", "copies", "hot", "string"])
 
     same = (docs["row_key"] == per_text["row_key"]) & docs["doc_id"].eqNullSafe(per_text["doc_id"])
@@ -384,17 +437,24 @@ def remove_repeats(docs: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 1 << 20):
+            texts, (row, c) = b.column("text").cast(pa.binary()).to_pylist(), _lists(b.column("cuts"))
+            sizes = np.array([len(x) for x in texts], np.int64)
+            base = np.cumsum(sizes + 1) - sizes - 1  # texts stand apart by one, so no run goes over two
+            of, x = _lists(c["covers"])
+            at = (base[row] + c["at"].to_numpy())[of]
+            gone = [[] for _ in texts]
+            begin, end = _ranges(at + x["first"].to_numpy(), x["size"].to_numpy())
+            own = np.searchsorted(base, begin, "right") - 1
+            for r, s, e in zip(own.tolist(), (begin - base[own]).tolist(), (end - base[own]).tolist(), strict=True):
+                gone[r].append((s, e))
             rows = []
-            for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                raw = text.encode()
-                spans = [(c["at"] + x["first"], x["size"]) for c in cuts or () for x in c["covers"]]
-                gone = _ranges(*np.array(spans, np.int64).reshape(-1, 2).T) if spans else []
+            for raw, runs in zip(texts, gone, strict=True):
                 at, keep = 0, []
-                for s, e in gone:
+                for s, e in runs:
                     keep.append(raw[at:s])
                     at = e
                 kept = b"".join([*keep, raw[at:]])
-                rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],

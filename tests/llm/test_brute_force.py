@@ -258,6 +258,54 @@ def test_maximal_repeats_of_windows(spark, block_windows):
     assert {w for y in want.values() for w in y} == {w for y in found.values() for w in y}
 
 
+@pytest.mark.parametrize("sort_bytes", [suffix_dedup.SORT_BYTES, 0])
+def test_a_block_sorts_the_suffixes_that_can_begin_a_maximal_repeat(sort_bytes):
+    """Of a passage in three contexts the suffixes after its first byte have one byte to the left, so the
+    array has those of its first byte alone; sorted as strings or by prefix doubling it is the same."""
+    passage = " ".join(f"p{i}" for i in range(80)).encode()
+    strings = [b"a" * k + bytes([65 + k]) + passage + b"z" * k for k in range(3)]
+    block = suffix_dedup.Block(strings, sort_bytes=sort_bytes)
+    assert sorted(zip(block.owner.tolist(), block.offset.tolist(), strict=True)) == [(0, 1), (1, 2), (2, 3)]
+    kept, parent, of = block.repeats()
+    assert [(n, hi - lo) for n, lo, hi in kept] == [(len(passage) + 1, 1), (len(passage), 2)]
+    assert parent == [1, -1] and sorted(of.tolist()) == [0, 0, 1]
+
+
+def test_both_orders_of_a_block_give_the_same_repeats():
+    rnd = random.Random(4)
+    for _ in range(80):
+        strings = [bytes(rnd.choice((0, 1, 255)) for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(1, 6))]
+        copies = [rnd.choice((1, 1, 3)) for _ in strings]
+        found = []
+        for sort_bytes in (1 << 20, 0):
+            block = suffix_dedup.Block(strings, 4, copies, sort_bytes)
+            kept, parent, of = block.repeats()
+            where = [frozenset((int(block.owner[k]), int(block.offset[k])) for k in range(lo, hi + 1)) for _, lo, hi in kept]
+            found.append({(n, w, where[p] if p >= 0 else None) for (n, _, _), w, p in zip(kept, where, parent, strict=True)})
+        assert found[0] == found[1]
+
+
+def test_windows_of_texts_put_together():
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choice(b"abc") for _ in range(n)) for n in (0, 199, 200, 900, 1, 350, 0, 201, 40)] + [b"ab" * 300, b"ab" * 300]
+    sizes = np.array([len(t) for t in texts])
+    found = suffix_dedup._text_windows(np.frombuffer(b"".join(texts), np.uint8), sizes)
+    base = np.cumsum(sizes) - sizes
+    got = [(r, s - base[r], n, h) for r, s, n, h in zip(*(x.tolist() for x in found), strict=True)]
+    assert got == [(r, *w) for r, t in enumerate(texts) for w in suffix_dedup.windows(np.frombuffer(t, np.uint8))]
+
+
+def test_ranges_are_the_maximal_runs():
+    rnd = random.Random(6)
+    for _ in range(50):
+        spans = [(rnd.randint(0, 60), rnd.randint(1, 9)) for _ in range(rnd.randint(0, 12))]
+        flags = bytearray(80)
+        for s, n in spans:
+            flags[s:s + n] = b"\1" * n
+        begin, end = suffix_dedup._ranges(*np.array(spans, np.int64).reshape(-1, 2).T)
+        assert list(zip(begin.tolist(), end.tolist(), strict=True)) == [m.span() for m in re.finditer(b"\1+", bytes(flags))]
+
+
 # --- SimHash ------------------------------------------------------------------------------
 
 def _fingerprint(text):
