@@ -7,7 +7,8 @@ once by the ``tokenizers`` library, and the ids are put together.
   space between other characters, except that a space goes with the word after it. White
   space in runs or beyond ASCII is kept whole.
 * A tokenizer that lower-cases and drops white space never joins across any white space,
-  and reads A-Z as a-z.
+  and reads A-Z as a-z. In a Latin-1 text it reads all letters in lower case, and a point,
+  comma or exclamation mark with no mark beside it stands alone.
 
 Most units are one run of letters, which is one pre-token: its bytes go straight to the
 library's merge model. Everything else goes through the whole library. A text with the
@@ -30,8 +31,10 @@ _OTHER_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNIT = re.compile(r"\s?\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+", re.ASCII)
 _MARKS = string.punctuation
+#: What a Latin-1 character is: a mark that ends words, another mark, or neither.
+_CLASSES = bytes(46 if c in ".,!" else 32 if c.isalnum() or c.isspace() else 33 for c in map(chr, range(256)))
 #: Bytes of one generation of the cache, as estimated; two are held. Longer units are not kept.
-MAX_BYTES, ENTRY_BYTES, MAX_UNIT = 80 << 20, 200, 64
+MAX_BYTES, ENTRY_BYTES, MAX_UNIT = 112 << 20, 200, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -72,6 +75,7 @@ class Encoder:
         self.special = [t["content"].lower() for t in made["added_tokens"]]
         self.odd = not all("<" in x for x in self.special)
         self.kind = _kind(made)
+        self.plain, self.tokenize = self.kind == "words", self.model.tokenize
         self.units = {"bytes": self._byte_units, "words": self._word_units, "other": lambda t: []}[self.kind]
         self.known = _Known(self._learn)
         self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on
@@ -94,7 +98,16 @@ class Encoder:
 
     @staticmethod
     def _word_units(text: str) -> list[str]:
-        return (text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split()
+        """The units of a text: Latin-1 lower-cases one by one and composes nothing. A mark that
+        stands beside no other one is a pre-token of its own, so a word is one unit before it and elsewhere."""
+        try:
+            marks = text.encode("latin-1").translate(_CLASSES)
+        except UnicodeEncodeError:
+            return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+        text = text.lower()
+        if not (b".." in marks or b".!" in marks or b"!." in marks):
+            text = text.replace(".", " . ").replace(",", " , ").replace("!", " ! ")
+        return text.split()
 
     def _raw(self, unit: str) -> str:
         return unit if self.kind == "words" else unit[1:] if unit[:1] == "\x00" else " " + unit
@@ -118,9 +131,9 @@ class Encoder:
         of their own, so a word is encoded once whatever mark it stands before. Short units are kept."""
         ids = self.before.get(unit)
         if ids is None:
-            letters = self._letters(unit)
+            letters = unit if self.plain and unit.isascii() and unit.isalpha() else self._letters(unit)
             if letters is not None:
-                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
             else:
                 word = unit.rstrip(_MARKS)
                 if len(word) < len(unit) and word[-1:].lower().isalpha():  # a dotted capital I ends in a mark

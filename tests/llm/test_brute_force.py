@@ -95,6 +95,21 @@ def test_packing_places_every_token_once(docs, texts):
     assert one.ids == b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.sequence_id == 0), key=lambda r: r.offset))
 
 
+def test_a_word_is_one_unit_before_any_mark():
+    from tokenizers import Tokenizer
+    path = tokenizer_file("word_bpe_49k.json")
+    enc, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    text = "Été. été, ÉTÉ! été.\nword word."
+    assert enc.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert set(enc.known) == {"été", "word", ".", ",", "!"}
+    rnd = random.Random(8)
+    some = [*map(chr, range(0x1C)), *map(chr, range(0x20, 0x100)), *"..,,!!''   \n", *"abÀé"]
+    texts = ["".join(rnd.choices(some, k=rnd.randint(1, 40))) for _ in range(1500)]
+    texts += ["".join(rnd.choices("ab. ,!'s_\"\u2013\u00bd\u0301", k=rnd.randint(1, 12))) for _ in range(1500)]
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_fullest_is_the_best_subset_sum():
     rnd = random.Random(2)
     for _ in range(200):
