@@ -38,13 +38,14 @@ def archive_backfill(spark: SparkSession, archive_base: str, location_map: str,
     ids = written_once(ids, "location-ids")
     shards = [] if strict_map else [r["file_path"] for r in SP.rejected_map_shards(spark, location_map, map_whole_file)
                                     .select("file_path").distinct().orderBy("file_path").limit(NAMED_SHARDS).collect()]
-    lines = SA.tagged_lines(spark, archive_base, ids, start, end)
+    files = SA.listed_files(spark, archive_base)
+    lines = SA.tagged_lines(spark, archive_base, ids, start, end, files)
     if rejects_path is not None:  # two sinks take the lines; an archive of many small files costs most to read
         lines = written_once(lines.hint("rebalance"), "archive-lines")
     found = K.append_archive(lines, fact_path)
     if rejects_path is not None and found["corrupt_lines"]:
         SA.rejected_lines(lines).write.mode("append").parquet(rejects_path)
-    missing = SA.missing_partitions(spark, archive_base, ids, start, end)
+    missing = SA.missing_partitions(spark, archive_base, ids, start, end, files)
     return {**found, "missing_partitions": missing, "rejected_map_shards": shards}
 
 

@@ -6,6 +6,10 @@ predicate on the partition columns, which Spark evaluates against the
 partition listing (``PartitionFilters``) before any file is opened, instead
 of one read per path. gzip files are not splittable, so each file is one
 task; ``min_partitions`` spreads a scan of few large files after the read.
+
+Spark's reader lists and plans every file on the driver. The load and the
+search for missing partitions take the files from ``listed_files``, which
+tasks list, and tasks read them, so the driver holds nothing for each file.
 """
 
 from __future__ import annotations
@@ -58,7 +62,10 @@ def _line_text():
     return F.when(asked, F.coalesce(F.col(CORRUPT), F.lit("")))
 
 
-def _archive_lines(spark: SparkSession, base: str) -> DataFrame:
+def _archive_lines(spark: SparkSession, base: str, files: DataFrame | None = None) -> DataFrame:
+    """The lines of the archive, parsed; with ``files`` those of these files, read by tasks."""
+    if files is not None:
+        return _lines_of(spark, base, files)
     schema = T.StructType([*ARCHIVE_READ_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(schema)
             .option("header", True).option("basePath", base)
@@ -73,16 +80,19 @@ def _unparsable():
 
 
 def tagged_lines(spark: SparkSession, base: str, location_ids=None, start: str | None = None,
-                 end: str | None = None) -> DataFrame:
+                 end: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """O-S1 + O-K1: every line of the selected partitions as a ``raw.air_quality`` row with its
     ``line_status``. A line with an empty time is a row with a null time, as the table allows it; a line
     that does not parse, or whose time does not, has that text in ``_corrupt_record``. One parse of each
-    file serves rows, counts and rejects."""
-    df, asked = _archive_lines(spark, base), F.lit(True)
+    file serves rows, counts and rejects. ``files`` are those of ``listed_files``, where they are known."""
+    files = listed_files(spark, base) if files is None else files
+    df, asked = files if files is not None else _archive_lines(spark, base), F.lit(True)
     if start is not None and end is not None:
         df, asked = _select(df, location_ids, start, end)
     elif location_ids is not None:
         df, asked = _select(df, location_ids, "0001-01", "9999-12")
+    if files is not None:
+        df, asked = _archive_lines(spark, base, df.withColumn(ASKED, asked)), F.col(ASKED)
     no_time = F.coalesce(F.col("datetime"), F.lit("")) == ""
     status = (F.when(~asked, F.lit(OUTSIDE)).when(_unparsable(), F.lit(UNPARSABLE))
               .when(no_time, F.lit(WITHOUT_TIME)).otherwise(F.lit(STORED)))
@@ -177,23 +187,28 @@ def requested_partitions(spark: SparkSession, location_ids: DataFrame, start: st
         F.lpad(((F.col("_m") % 12) + 1).cast("string"), 2, "0").alias("month"))
 
 
-def present_partitions(spark: SparkSession, base: str) -> DataFrame:
+def present_partitions(spark: SparkSession, base: str, files: DataFrame | None = None) -> DataFrame:
     """(locationid, year, month) of every archive file, from the file listing
-    alone: the ``binaryFile`` source reads no content when only path-derived
-    columns are selected. Types are fixed whatever partition inference says
-    (an inferred month 1 becomes '01' again, T1)."""
-    files = (spark.read.format("binaryFile").option("basePath", base)
-             .option("pathGlobFilter", "*.csv*").load(base))
+    alone: that of ``listed_files``, or else the ``binaryFile`` source, which
+    reads no content when only path-derived columns are selected. Types are
+    fixed whatever partition inference says (an inferred month 1 becomes '01'
+    again, T1)."""
+    files = listed_files(spark, base) if files is None else files
+    if files is not None:
+        files = files.where(F.substring_index("path", "/", -1).contains(".csv"))
+    else:
+        files = (spark.read.format("binaryFile").option("basePath", base)
+                 .option("pathGlobFilter", "*.csv*").load(base))
     return files.select(F.col("locationid").cast("long").alias("locationid"),
                         F.col("year").cast("long").alias("year"),
                         F.lpad(F.col("month").cast("string"), 2, "0").alias("month")).distinct()
 
 
 def missing_partitions(spark: SparkSession, base: str, location_ids: DataFrame, start: str,
-                       end: str) -> DataFrame:
+                       end: str, files: DataFrame | None = None) -> DataFrame:
     """O-S3 requested partitions absent from the archive: an anti-join of the
     request against the partitions listed (no data file is read)."""
-    found = present_partitions(spark, base)
+    found = present_partitions(spark, base, files)
     req = requested_partitions(spark, location_ids, start, end)
     return req.join(found, ["locationid", "year", "month"], "left_anti")
 
@@ -211,6 +226,149 @@ def write_archive(df: DataFrame, base: str, mode: str = "overwrite") -> None:
 FOLDERS = ("locationid", "year", "month")
 
 
+def _opener():
+    """A function for the driver and the tasks: (file system, folder) of pyarrow for a path. What it needs
+    travels with it: workers need not have this package."""
+    def open_root(path: str):
+        """s3a and s3n are S3 to pyarrow."""
+        from pyarrow import fs
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return open_root
+
+
+#: Whether the lines of a file were asked for.
+ASKED = "_lines_asked"
+#: What a task reads of small files, and how much of a file at once.
+FILES_A_TASK, BYTES_A_TASK, READ_BYTES = 500, 32 << 20, 1 << 20
+
+
+def listed_files(spark: SparkSession, base: str) -> DataFrame | None:
+    """(path, bytes, locationid, year, month) of every archive file, listed by tasks and written once. It
+    takes what Spark's file sources take: no hidden and no empty files, and none beside the partitions. None
+    where those are needed: for a file system that pyarrow does not read, and where a folder or a file is not
+    as ``write_folders`` and the collectors make them (other partition columns, no numbers, other suffixes)."""
+    from pyarrow import fs
+    root, open_root = qualified(spark, base), _opener()
+    try:
+        if re.search(r"[%?#]", root):  # not a plain URI
+            return None
+        files, top = open_root(root)
+        if files.get_file_info(top).type != fs.FileType.Directory:
+            return None
+    except (ValueError, NotImplementedError, OSError):
+        return None
+    partitions, read_as_is = list(FOLDERS), ("csv", "gz", "bz2")
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        files, top = open_root(root)
+        for _ in batches:
+            found = files.get_file_info(fs.FileSelector(top))
+            for i in range(0, len(found), 10_000):
+                some = found[i:i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in some], pa.string()), pa.array([x.size for x in some], pa.int64()),
+                                                  pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_())], ["path", "bytes", "folder"])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        files, top = open_root(root)
+        hidden = lambda x: (x[0] == "_" and "=" not in x and not x.startswith(("_metadata", "_common_metadata"))
+                            or x[0] == "." or x.endswith("._COPYING_"))
+        number = lambda x: None if x == "__HIVE_DEFAULT_PARTITION__" else int(x)
+
+        def row(path: str, size: int):
+            """The file with its partition, or None for one that no reader takes."""
+            *folders, name = path[len(top):].strip("/").split("/")
+            if not size or any(hidden(x) for x in (*folders, name)):
+                return None
+            while folders and "=" not in folders[-1]:  # a folder within a partition
+                folders.pop()
+            if not folders:
+                return None
+            keys, values = zip(*((k, v) for k, _, v in (x.partition("=") for x in folders)), strict=True)
+            if (list(keys) != partitions or "" in values or name.startswith("_") or name.rpartition(".")[2] not in read_as_is
+                    or not all(re.fullmatch(r"[+-]?[0-9]{1,18}|__HIVE_DEFAULT_PARTITION__", v) for v in values[:2])):
+                return path, size, None, None, None, False
+            month = None if values[2] == "__HIVE_DEFAULT_PARTITION__" else re.sub("%([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)), values[2])
+            return path, size, number(values[0]), number(values[1]), month, True
+
+        for b in batches:
+            rows = []
+            for path, size, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if folder and hidden(path[len(top):].strip("/")):
+                    continue
+                found = files.get_file_info(fs.FileSelector(path, recursive=True)) if folder else []
+                own = [(x.path, x.size) for x in found if x.type == fs.FileType.File] if folder else [(path, size)]
+                rows += [r for r in (row(*x) for x in own) if r is not None]
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    def batch(rows: list) -> pa.RecordBatch:
+        kinds = {"path": pa.string(), "bytes": pa.int64(), "locationid": pa.int64(), "year": pa.int64(), "month": pa.string(), "plain": pa.bool_()}
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], [*kinds])
+
+    tops = spark.range(0, 1, 1, 1).mapInArrow(children, "path string, bytes bigint, folder boolean")
+    found = (tops.repartition(4 * spark.sparkContext.defaultParallelism)
+             .mapInArrow(below, "path string, bytes bigint, locationid bigint, year bigint, month string, plain boolean"))
+    found = written_once(found, "archive-files")
+    seen = found.agg(F.count(F.when(F.col("plain"), True)).alias("plain"), F.count(F.when(~F.col("plain"), True)).alias("other")).first()
+    return found.drop("plain") if seen["plain"] and not seen["other"] else None
+
+
+def _lines_of(spark: SparkSession, base: str, files: DataFrame) -> DataFrame:
+    """What Spark's reader gives of ``files``, with their column ``ASKED``: a task reads many files, cuts
+    them into lines without the header and blank ones, and Spark's CSV parser takes each line."""
+    chosen = written_once(files.select("path", "bytes", *FOLDERS, ASKED), "archive-chosen")
+    n = chosen.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(n["files"], spark.sparkContext.defaultParallelism), -(-n["files"] // FILES_A_TASK), -(-n["bytes"] // BYTES_A_TASK))
+    root, open_root, at_once, columns = qualified(spark, base), _opener(), READ_BYTES, [*FOLDERS, ASKED]
+
+    def lines_in(source) -> Iterator[list[bytes]]:
+        """The lines as Hadoop's reader cuts them: at line feeds, carriage returns or both."""
+        rest, start = b"", True
+        while chunk := source.read(at_once):
+            rest += chunk
+            if start:
+                rest, start = rest.removeprefix(b"\xef\xbb\xbf"), False
+            end = max(rest.rfind(b"\n"), rest.rfind(b"\r", 0, -1)) + 1  # after a return at the end a feed may follow
+            if end:
+                yield rest[:end].splitlines()
+                rest = rest[end:]
+        yield rest.splitlines()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, blank, kinds = open_root(root)[0], bytes(range(33)), [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        held, size = [[] for _ in kinds], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds, strict=True)], ["line", *columns])
+
+        for b in batches:
+            for path, *at in zip(*(b.column(c).to_pylist() for c in ("path", *columns)), strict=True):
+                header = True
+                with source.open_input_stream(path, compression={"gz": "gzip", "bz2": "bz2"}.get(path.rpartition(".")[2])) as text:
+                    for some in lines_in(text):
+                        some = [x for x in some if x.strip(blank)]
+                        if header and some:
+                            header, some = False, some[1:]
+                        for own, values in zip(held, [some, *([v] * len(some) for v in at)], strict=True):
+                            own += values
+                        size += sum(map(len, some))
+                        if len(held[0]) >= 10_000 or size >= 4 << 20:
+                            yield batch()
+                            held, size = [[] for _ in kinds], 0
+        yield batch()
+
+    lines = chosen.select("path", *columns).repartition(tasks).mapInArrow(read, "line binary, locationid bigint, year bigint, month string, " + ASKED + " boolean")
+    schema = T.StructType([*schemas.ARCHIVE_CSV.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
+    parsed = F.from_csv(F.col("line").cast("string"), schema.toDDL(), options)  # a cast keeps the bytes, as Spark's reader does
+    return lines.select(parsed.alias("_line"), *columns).select("_line.*", *columns)
+
+
 def write_folders(df: DataFrame, base: str, mode: str, compression: str | None = None) -> None:
     """``df`` as CSV with a header in folders ``locationid=/year=/month=``. Spark makes the lines and
     deals them; the tasks put those of a folder into its file with pyarrow, where Spark's committer would
@@ -222,13 +380,7 @@ def write_folders(df: DataFrame, base: str, mode: str, compression: str | None =
     columns = [c for c in df.columns if c not in FOLDERS]
     plain = lambda rows, how: (rows.write.mode(how).partitionBy(*FOLDERS).option("header", True)
                                .option("compression", compression or "none"))
-    root = qualified(df.sparkSession, base)
-
-    def open_root(path: str):
-        """(file system, folder): s3a and s3n are S3 to pyarrow."""
-        from pyarrow import fs
-        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-
+    root, open_root = qualified(df.sparkSession, base), _opener()
     try:
         open_root(root)
     except (ValueError, NotImplementedError, OSError):

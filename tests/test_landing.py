@@ -216,6 +216,88 @@ def test_an_empty_selection_counts_nothing(spark, tmp_path):
     assert (got["lines"], got["appended"], got["outside"]) == (0, 0, 0)
 
 
+def odd_archive(tmp_path):
+    """An archive with all that a reader has to get right: ends of lines, quotes, bytes that are no text, files that are none."""
+    base = archive(tmp_path, [GOOD, "", '1,2,"a ""b"", c",,1.0,2.0,pm10,u,4.0', "x,y", '1,2,"open,2024-01-01T00:00:00Z,1.0,2.0,pm10,u,3.0', GOOD + ",more"])
+    at = tmp_path / "archive" / "locationid=1/year=2024/month=01"
+    (at / "feeds.csv").write_bytes(b"\xef\xbb\xbf \r\n" + HEAD.strip().encode() + b"\r\n" + GOOD.encode() + b"\r" + GOOD.encode() + b"\r\n\r\n\t \n" + GOOD.encode())
+    (at / "bytes.csv").write_bytes(HEAD.encode() + b"1,2,\xff\xc3\xa9 \xe2\x82,2024-01-01T00:00:00+02:00,nan,2.0,pm10,u,1e3\n1,2,\xc3,yesterday,1,2,\x00,u,3\n")
+    (at / "twice.csv.gz").write_bytes(gzip.compress((HEAD + GOOD).encode()) + gzip.compress(f"\n{GOOD}\n".encode()))
+    (at / "only_head.csv").write_text(HEAD)
+    for name in ("_hidden.csv", ".hidden.csv", "copied.csv._COPYING_"):
+        (at / name).write_text(HEAD + GOOD)
+    (at / "empty.csv").write_text("")
+    for folder in ("sub", "_temporary/0"):
+        (at / folder).mkdir(parents=True)
+        (at / folder / "f.csv").write_text(HEAD + GOOD)
+    (tmp_path / "archive" / "beside.csv").write_text(HEAD + GOOD)
+    for other in ("locationid=2/year=2024/month=02", "locationid=7/year=2023/month=12", "locationid=3/year=2024/month=a%2Fb",
+                  "locationid=__HIVE_DEFAULT_PARTITION__/year=2024/month=__HIVE_DEFAULT_PARTITION__"):
+        archive(tmp_path, [GOOD, "x,y"], other)
+    return base
+
+
+def held(df):
+    """The rows of a frame as text, NaN and null apart."""
+    return sorted(str([(c, repr(v)) for c, v in r.asDict().items() if c != "ingestion_datetime"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("asked", [(), ([1, 7, 9], "2023-12", "2024-01"), (None, "2024-01", "2024-02")])
+@pytest.mark.parametrize("at_once", [1 << 20, 5])
+def test_tasks_read_what_sparks_reader_reads(spark, tmp_path, monkeypatch, asked, at_once):
+    base = odd_archive(tmp_path)
+    if asked:  # a month that is no number fails with either reader where months are compared
+        (tmp_path / "archive/locationid=3/year=2024/month=a%2Fb").rename(tmp_path / "archive/locationid=3/year=2024/month=03")
+    monkeypatch.setattr(SA, "READ_BYTES", at_once)
+    assert SA.listed_files(spark, base) is not None
+    own, there = held(SA.tagged_lines(spark, base, *asked)), held(SA.present_partitions(spark, base))
+    monkeypatch.setattr(SA, "listed_files", lambda *a: None)
+    assert own == held(SA.tagged_lines(spark, base, *asked)) and len(own) >= 10
+    assert there == held(SA.present_partitions(spark, base)) and len(there) == 5
+
+
+def test_the_driver_does_not_list_the_files_of_a_load(spark, tmp_path):
+    """Spark's reader keeps and plans every file of an archive on the driver; at a million files that is gigabytes."""
+    base = archive(tmp_path, [GOOD, "x,y"])
+    ids = spark.createDataFrame([(1,), (9,)], "location_id long")
+    tagged = SA.tagged_lines(spark, base, ids, "2024-01", "2024-02")
+    missing = C.archive_backfill(spark, base, put_map(tmp_path, '{"1": "here", "9": null}'), "2024-01", "2024-02", str(tmp_path / "fact"))["missing_partitions"]
+    for df in (tagged, missing, SA.missing_partitions(spark, base, ids, "2024-01", "2024-02")):
+        assert not [f for f in df.inputFiles() if "/locationid=" in f]
+    assert {(r.locationid, r.month) for r in missing.collect()} == {(1, "02"), (9, "01"), (9, "02")}
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and sorted(r.line_status for r in tagged.collect()) == ["stored", "unparsable"]
+
+
+@pytest.mark.parametrize("at, name", [("country=x/locationid=1/year=2024/month=01", "f.csv"), ("locationid=one/year=2024/month=01", "f.csv"),
+                                      ("locationid=1/month=01/year=2024", "f.csv"), ("locationid=1/year=2024/month=01", "f.csv.deflate"),
+                                      ("", "f.csv"), ("locationid=1/year=2024/month=01", "_f.csv")])
+def test_other_layouts_are_left_to_sparks_reader(spark, tmp_path, at, name):
+    (tmp_path / "archive" / at).mkdir(parents=True)
+    (tmp_path / "archive" / at / name).write_text(HEAD + GOOD + "\n")
+    assert SA.listed_files(spark, str(tmp_path / "archive")) is None
+    assert SA.listed_files(spark, str(tmp_path / "none")) is None
+
+
+def test_a_file_that_is_cut_short_fails(spark, tmp_path):
+    base = archive(tmp_path, [GOOD])
+    whole = gzip.compress((HEAD + GOOD * 50).encode())
+    (tmp_path / "archive/locationid=1/year=2024/month=01/cut.csv.gz").write_bytes(whole[:-9])
+    with pytest.raises(Exception, match="Truncated"):
+        SA.tagged_lines(spark, base).collect()
+
+
+def test_many_files_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        base = archive(tmp_path, [GOOD] * 3, f"locationid={i}/year=2024/month=01")
+    monkeypatch.setattr(SA, "FILES_A_TASK", 1)
+    tagged = SA.tagged_lines(spark, base)
+    assert tagged.rdd.getNumPartitions() == 12 and tagged.count() == 36
+    monkeypatch.setattr(SA, "FILES_A_TASK", 500)
+    monkeypatch.setattr(SA, "BYTES_A_TASK", 200)
+    assert SA.tagged_lines(spark, base).rdd.getNumPartitions() > 12
+
+
 # --- location map -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("text, reason", [('{"1": "a", "2": "b', "not JSON"), ("[1, 2]", "not an object"), ('{"1": "a", "one": "b"}', "an id is no number"),
